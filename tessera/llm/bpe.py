@@ -283,7 +283,8 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ("doc_id"
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows of `encoded` with a column `decoded` (binary): the bytes that the ids stand for; null ids are empty."""
     file = _rank_file(encoded, path)
-    at = encoded.columns.index(ids_col)
+    names = encoded.columns
+    at = names.index(ids_col)
     schema = ", ".join(f"`{c}` {k}" for c, k in encoded.dtypes) + ", decoded binary"
 
     def run(batches):
@@ -295,7 +296,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
                 col = batch.column(at)
                 counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
                 data = codec.decode(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*encoded.columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
