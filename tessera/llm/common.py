@@ -34,6 +34,14 @@ def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores after it until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_texts(docs: DataFrame, keep: list[str], text_col: str, fn: Callable, schema: str) -> DataFrame:
     """Apply `fn(texts: list[bytes], table: pa.RecordBatch) -> pa.RecordBatch` to Arrow batches of UTF-8 texts; null is empty.
 

@@ -6,8 +6,8 @@ document's verdict is the mean over its features of log(target / raw), compared
 
 Defined cases: a null text has no words and fails the base rules, as an empty one does; a document without words scores
 0; repeated rows are judged alike and each counts in the raw multinomial; without trusted documents every ratio is that
-of the smoothed raw counts alone, and so a constant minus their log; extra columns are kept by `judge` and must not be
-named like the columns it adds; no rows give no rows.
+of the smoothed raw counts alone, and so a constant minus their log; extra columns of any name are kept by `judge`; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_plain
+from .common import fresh, small_or_plain
 
 #: White space between words: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
@@ -110,13 +110,27 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     return [math.log(t) - math.log(r) + shift for r, t in zip(raw, target, strict=True)]
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """The documents with a struct column of a name that they don't have, and that name.
+
+    Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
+    """
     logs = F.lit(weights(docs, trusted, id_col, text_col, buckets))
+    name = fresh(docs, "quality_rules")
+    field = lambda x: F.col(f"{name}.{x}")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = docs.withColumns(text_counts(text) | {"__h": word_hashes(text)})
-    total = F.aggregate(features(F.col("__h"), buckets), F.lit(0.0), lambda a, f: a + F.get(logs, f))
-    out = out.withColumns({"n_words": F.size("__h").cast("long"), "n_repeat_words": repeated_words(F.col("__h")), "__sum": total}).drop("__h")
-    out = out.withColumn("llr", F.when(F.col("n_words") == 0, 0.0).otherwise(F.col("__sum") / (2 * F.col("n_words") - 1))).drop("__sum")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    out = docs.withColumn(name, F.struct(*[v.alias(k) for k, v in text_counts(text).items()], word_hashes(text).alias("h")))
+    total = F.aggregate(features(field("h"), buckets), F.lit(0.0), lambda a, f: a + F.get(logs, f))
+    kept_counts = [field(x).alias(x) for x in ("word_chars", "n_symbols", "n_dup_lines")]
+    out = out.withColumn(name, F.struct(F.size(field("h")).cast("long").alias("n_words"), *kept_counts, repeated_words(field("h")).alias("n_repeat_words"), total.alias("llr")))
+    failed = (field("n_words") < 20) | (100 * field("n_repeat_words") > 30 * field("n_words"))
+    llr = F.when(field("n_words") == 0, 0.0).otherwise(field("llr") / (2 * field("n_words") - 1))
+    counts = [field(x).alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    out = out.withColumn(name, F.struct(*counts, failed.alias("base_failed"), llr.alias("llr"), (~failed & (llr >= threshold)).alias("kept")))
+    return out, name
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, **how) -> DataFrame:
+    """The documents that pass, with their own columns."""
+    judged, name = judge(docs, trusted, **how)
+    return judged.where(F.col(f"{name}.kept")).drop(name)

@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secret_scan, simhash_dedup, spaced_seeds
+from . import attention_quality, bpe, chat_tree, language_id, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
+from .common import settled, shared_dir
+from .oracles import ORACLES, chat_sql, reputation_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The fixed rules of op1; the longest that fits a host and path wins.
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document whose number stands in its path: good if of quality and not toxic."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
+    url = F.col("url")
+    numbered = pages.select(url_reputation.host_of(url).alias("host"), F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    outcomes = numbered.join(labels, "doc_id").select("host", "good")
+    return url_reputation.judge(pages, outcomes, RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = attention_quality.train(docs, _table(spark, sf_dir, "labels").where(_remainder(3) != 1))
+    found = attention_quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    return chat_tree.digests(turns.unionByName(spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(_remainder(5) != 0))
+    found = language_id.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
-    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels.where("quality = 1 and toxic = 0").select("doc_id"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    judged, name = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels.where("quality = 1 and toxic = 0").select("doc_id"))
+    return judged.select("doc_id", *[f"{name}.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +72,25 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
+    back = warc.read(spark, path)
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:x-page:(-?[0-9]+)', 1) as bigint)")
+    mine = F.col("warc_type") == "response"
+    out = back.select(
+        number("record_id").alias("page_id"),
+        F.when(mine, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(mine, warc.base32_sha1(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )
+    out = settled(out)  # a few columns a page, so that the archive need not stay
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -48,5 +108,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op9_byte_bpe, op10_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan)}
+ORACLES["op1_url_reputation"] = reputation_sql(url_reputation.TWO_LABELS, RULES, url_reputation.LIMIT, url_reputation.SIGMAS)
+ORACLES["op3_chat_tree"] = chat_sql(chat_tree.CONTROL, "</s>[INST] ok [/INST]")
