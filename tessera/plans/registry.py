@@ -21,3 +21,11 @@ def query(oracle: str | None = None, name: str | None = None):
         return fn
 
     return add
+
+
+def sql_query(name: str, sql: str, duck: str | None = None) -> None:
+    """Register a query that is one SQL text over tables and views of the model; `duck` where the dialects differ."""
+    from .observations import duck_sql, run_sql
+
+    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
+    ORACLES[name] = duck_sql(duck or sql)
