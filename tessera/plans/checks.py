@@ -1 +1,132 @@
+"""Data-quality rules over the model with planted defects, so that rules have something to find."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as q
+from .observations import run_sql
+from .registry import query, sql_query
+
+#: The settled observations with defects by row number: repeated ids and keys, wrong enums, nulls, swapped periods.
+BAD = """bad as (
+  select case when observation_id % 401 = 0 then 1 when observation_id % 409 = 0 then null else observation_id end as observation_id, indicator_id, flow_id, product_id, region_id,
+    case when observation_id % 419 = 0 then null else unit_id end as unit_id, case when observation_id % 199 < 60 then 'ed_9' else source_id end as source_id, source_ref, report_type,
+    case when observation_id % 211 = 0 then 'ytd_cumulative' when observation_id % 223 = 0 then 'weekly' else period_type end as period_type,
+    case when observation_id % 227 = 0 then period_end else period_start end as period_start, case when observation_id % 227 = 0 then period_start else period_end end as period_end,
+    case when observation_id % 229 = 0 then 'NCV' else calorific_basis end as calorific_basis, ytd_cutoff_month, data_status,
+    case when observation_id % 233 = 0 then 'branch' else aggregation_role end as aggregation_role, case when observation_id % 239 = 0 then null else is_total end as is_total, is_derived, is_preferred, is_escalated,
+    extraction_confidence, ref_year, case when observation_id % 241 = 0 then null else value end as value, case when observation_id % 482 = 0 then ' ' else 'raw' end as value_raw, amount,
+    case when observation_id % 251 = 0 then series_key || '|' else series_key end as series_key, case when observation_id % 257 = 0 then 'twice' else upsert_key end as upsert_key,
+    scope, geography_scope, redevance_included, supersedes_id
+  from settled
+)"""
+
+
+def rule(name: str, sql: str, duck: str | None = None) -> None:
+    """Register a rule over `bad`; its own WITH goes behind the planted table."""
+
+    def planted(text: str) -> str:
+        low = text.lstrip().lower()
+        if low.startswith("with recursive "):
+            return f"with recursive {BAD}, " + text.lstrip()[15:]
+        return f"with {BAD}, " + text.lstrip()[5:] if low.startswith("with ") else f"with {BAD} {text}"
+
+    sql_query(name, planted(sql), planted(duck or sql))
+
+
+GAS = "('GROSS', 'NET')"
+PAIR = "series_key, period_start, period_end"
+
+# Validation checks
+rule("c6_one_period_type", q.one_value(("period_type",)))
+rule("c6b_one_unit_basis", q.one_value(("unit_id", "calorific_basis")))
+rule("c2_twin_bands", """select a.observation_id, b.observation_id as twin_id, round(b.value / a.value, 6) as ratio from bad a join bad b on a.indicator_id = b.indicator_id and a.source_id = b.source_id and a.product_id = b.product_id
+  and a.region_id is not distinct from b.region_id and coalesce(a.scope, '') = coalesce(b.scope, '') and a.period_start = b.period_start and a.period_end = b.period_end
+where a.calorific_basis = 'GROSS' and b.calorific_basis = 'NET' and a.value > 5 and abs(b.value / a.value - 0.95) > case when a.value <= 15 then 0.15 when a.value < 40 then 0.06 else 0.003 end""")
+rule("c2b_table_pair", "select a.observation_id, b.observation_id as other_id from bad a join bad b on a.product_id = b.product_id and a.region_id = b.region_id and a.ref_year = b.ref_year and a.calorific_basis = b.calorific_basis where a.source_ref = 'T3' and b.source_ref = 'T4' and b.value > 5 and abs(a.value / b.value - 1) > case when b.value <= 30 then 0.12 else 0.5 end")
+rule("c1_balance", "select ref_year, source_id, cast(sum(case when region_id = 'asia' then amount when region_id = 'africa' then - amount else 0 end) as double) as net, cast(sum(case when region_id = 'europe' then amount else 0 end) as double) as printed from bad where aggregation_role = 'leaf' and source_id = 'ed_1' group by ref_year, source_id having abs(sum(case when region_id = 'asia' then amount when region_id = 'africa' then - amount else 0 end) - sum(case when region_id = 'europe' then amount else 0 end)) > greatest(5, 0.02 * abs(sum(case when region_id = 'europe' then amount else 0 end)))")
+rule("c3_carriers", "select ref_year, source_id, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as carriers, cast(max(case when aggregation_role = 'grand_total' then amount end) as double) as total from bad group by ref_year, source_id, calorific_basis having abs(sum(case when aggregation_role = 'leaf' then amount end) - max(case when aggregation_role = 'grand_total' then amount end)) > greatest(5, 0.02 * max(case when aggregation_role = 'grand_total' then amount end))")
+rule("c10_clean_sums", "select source_id, ref_year, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as leaves, cast(max(case when aggregation_role = 'grand_total' then amount end) as double) as total from bad where extraction_confidence <> 'low' group by source_id, ref_year, calorific_basis having abs(sum(case when aggregation_role = 'leaf' then amount end) - max(case when aggregation_role = 'grand_total' then amount end)) > greatest(8, 0.05 * max(case when aggregation_role = 'grand_total' then amount end))")
+rule("c11_overcount", f"select {PAIR.split(',')[1]}, region_id, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as leaves from bad where is_preferred group by period_start, region_id, calorific_basis having sum(case when aggregation_role = 'leaf' then amount end) > 1.15 * max(case when aggregation_role = 'subtotal' then amount end)")
+rule("c12_one_grand_total", "select ref_year, calorific_basis, scope, count(*) filter (where aggregation_role = 'grand_total') as n_grand from bad where is_preferred group by ref_year, calorific_basis, scope having count(*) filter (where not is_total) > 0 and count(*) filter (where aggregation_role = 'grand_total') <> 1")
+rule("c7_language", "select b.observation_id, b.source_id from bad b join (select 'ed_' || cast(r_regionkey + 1 as varchar(9)) as source_id, r_regionkey = 4 as not_canonical from region) s on b.source_id = s.source_id where s.not_canonical")
+rule("c9_core_filled", f"select observation_id, series_key from bad where value is null or unit_id is null or source_id is null or period_type is null or calorific_basis not in {GAS}")
+rule("c6c_ytd_annual", "select series_key from bad where period_type = 'annual' intersect select series_key from bad where period_type = 'ytd_cumulative'")
+rule("c4_multi_source", f"select {PAIR}, count(distinct source_id) as n_sources, max(value) - min(value) as spread from bad where value is not null group by {PAIR} having count(distinct source_id) > 1 and max(value) - min(value) > greatest(5, 0.02 * abs(max(value)))")
+sql_query("c5_december", "select y.ref_year, count(*) as pairs, count(*) filter (where abs(y.value - a.value) <= greatest(5.0, 0.05 * abs(a.value))) as agreeing from ytd y join obs a on y.source_id = a.source_id and y.product_id = a.product_id and y.region_id = a.region_id and y.calorific_basis = a.calorific_basis and y.ref_year = a.ref_year where y.ytd_cutoff_month = 12 group by y.ref_year")
+sql_query("c8_editions", "select count(*) as editions from (select distinct source_id, ref_year from ytd) e")
+
+# Structural checks
+rule("qa_1_1_ids", q.unique("observation_id"))
+rule("qa_1_2_upsert_keys", q.unique("upsert_key"))
+rule("qa_1_3_key_definition", "select observation_id, upsert_key from bad where upsert_key is distinct from series_key || '#' || cast(period_start as varchar(10)) || '#' || cast(period_end as varchar(10)) || '#' || source_id")
+rule("qa_1_4_cells", f"select {PAIR}, source_id, count(*) as n from bad group by {PAIR}, source_id having count(*) > 1")
+rule("qa_1_5_pipes", "select observation_id, length(series_key) - length(replace(series_key, '|', '')) as pipes from bad where length(series_key) - length(replace(series_key, '|', '')) <> 15")
+_FACTS = " union all ".join(q.orphans(c, "bad", p, k) for c, p, k in (("source_id", "sources", "source_id"), ("region_id", "regions", "region_id"), ("product_id", "products", "product_id")))
+rule("qa_2_1_fact_references", f"with sources as (select distinct source_id from settled), regions as (select lower(r_name) as region_id from region where r_regionkey <> 2), products as (select distinct 'prod.' || lower(p_type) as product_id from part where p_type <> 'SMALL') {_FACTS}")
+rule("qa_2_2_satellites", "with notes as (select 'FN-1' as footnote_id), links as (select observation_id, 'FN-' || cast(ref_year % 3 as varchar(3)) as footnote_id from bad where is_escalated) " + q.orphans("footnote_id", "links", "notes", "footnote_id") + " union all " + q.orphans("supersedes_id", "bad", "(select observation_id from settled where observation_id % 7 <> 0)", "observation_id").replace("supersedes_id as offender", "cast(supersedes_id as varchar(20)) as offender"))
+rule("qa_2_3_dead_members", "select lower(n_name) as member from nation n where not exists (select 1 from bad b where b.region_id = lower(n.n_name))")
+_TREE = "tree as (select 'p' || cast(p_partkey as varchar(9)) as node, case when p_partkey % 50 = 0 then 'p' || cast(p_partkey as varchar(9)) when p_partkey % 53 = 0 then 'gone' when p_partkey % 59 = 0 then 'p' || cast(p_partkey + 59 as varchar(9)) when p_partkey > 1900 and p_partkey % 3 = 0 then 'p' || cast(p_partkey - 3 as varchar(9)) end as parent from part union all select 'x1', 'x2' union all select 'x2', 'x3' union all select 'x3', 'x1')"
+rule("qa_3_1_trees", q.cycles("tree", "node", "parent").replace("with recursive walk as", f"with recursive {_TREE}, walk as") + " union all select node as offender, -1 from tree t where parent is not null and not exists (select 1 from tree p where p.node = t.parent)")
+for _name, _column in (("qa_3_2_product_siblings", "product_id"), ("qa_3_3_flow_siblings", "region_id")):
+    rule(_name, f"with edges as (select distinct {_column} as child, min({_column}) over () as parent from bad where {_column} is not null) select c.source_id, c.ref_year, c.calorific_basis, c.{_column} as child, p.{_column} as parent, count(*) as n from bad c join edges e on c.{_column} = e.child join bad p on p.{_column} = e.parent and p.source_id = c.source_id and p.ref_year = c.ref_year and p.calorific_basis = c.calorific_basis and p.scope is not distinct from c.scope where not c.is_total and not p.is_total and e.child <> e.parent and c.ref_year = 1996 group by c.source_id, c.ref_year, c.calorific_basis, c.{_column}, p.{_column}")
+rule("qa_4_1_detail_totals", "select observation_id from bad where is_preferred and is_total and aggregation_role = 'leaf' union all select observation_id from bad where is_preferred and is_total is null")
+rule("qa_4_2_detail_preferred", "select count(*) as n from (select * from bad where is_preferred and not is_total) d where not is_preferred")
+rule("qa_5_1_domains", q.outside(q.DOMAINS))
+rule("qa_5_2_mixed_keys", q.one_value(("period_type", "calorific_basis", "unit_id")))
+rule("qa_5_3_twin_keys", "select series_key from bad where calorific_basis = 'GROSS' intersect select series_key from bad where calorific_basis <> 'GROSS' union all (select series_key from bad where period_type = 'annual' intersect select series_key from bad where period_type <> 'annual')")
+rule("qa_5_4_periods", "select sum(case when period_start > period_end then 1 else 0 end) as swapped, sum(case when period_type = 'ytd_cumulative' and ytd_cutoff_month is null then 1 else 0 end) as no_cutoff, sum(case when period_type = 'point_in_time' and period_start <> period_end then 1 else 0 end) as no_point from bad", "select sum(case when period_start > period_end then 1 else 0 end)::bigint as swapped, sum(case when period_type = 'ytd_cumulative' and ytd_cutoff_month is null then 1 else 0 end)::bigint as no_cutoff, sum(case when period_type = 'point_in_time' and period_start <> period_end then 1 else 0 end)::bigint as no_point from bad")
+rule("qa_6_1_mandatory", q.null_counts(q.MANDATORY))
+rule("qa_6_2_null_values", "select observation_id, value_raw from bad where value is null and trim(value_raw) = ''")
+rule("qa_6_3_flags", q.null_counts(q.FLAGS))
+rule("qa_8_1_quarantine", "with quarantine as (select observation_id, case when observation_id % 7 = 0 then '' else 'value=' || cast(ref_year as varchar(4)) end as context from bad where extraction_confidence = 'low') select observation_id, context from quarantine where context not like '%value=%'")
+rule("qa_8_2_conflicts", f"select {PAIR}, source_id, count(distinct value) as n_values from bad group by {PAIR}, source_id having count(distinct value) > 1")
+rule("qa_9_3_clean_leaks", "select count(*) filter (where extraction_confidence = 'low') as low, count(*) filter (where is_escalated) as escalated from (select * from bad where is_preferred and extraction_confidence <> 'low') v")
+rule("qa_10_1_redevance", "select b.observation_id, b.redevance_included, d.included from bad b join (select 'GROSS' as basis, true as included union all select 'NET', true) d on b.calorific_basis = d.basis where b.redevance_included is distinct from d.included")
+rule("qa_10_2_templates", "select b.source_id, b.report_type, d.template, count(*) as n from bad b join (select 'ed_' || cast(r_regionkey + 1 as varchar(9)) as source_id, case r_regionkey when 0 then 'bilan' else 'memento' end as template from region) d on b.source_id = d.source_id where b.report_type <> d.template group by b.source_id, b.report_type, d.template")
+
+_VIEWS = ("obs", "ytd", "settled", "v_series", "v_series_clean")
+_QUALIFIERS = ("calorific_basis", "period_type", "scope", "geography_scope", "aggregation_role", "data_status", "extraction_confidence", "is_escalated", "is_derived", "unit_id")
+
+
+def _columns(spark, sf_dir):
+    return {v: run_sql(spark, sf_dir, f"select * from {v}").dtypes for v in _VIEWS}
+
+
+@query("select * from (values " + ", ".join(f"('{v}', true)" for v in _VIEWS) + ") v(view_name, resolves)")
+def qa_9_1_views(spark, sf_dir):
+    return spark.createDataFrame([(v, bool(c)) for v, c in _columns(spark, sf_dir).items()], "view_name string, resolves boolean")
+
+
+@query("select cast(null as varchar) as view_name, cast(null as varchar) as missing where false")
+def qa_9_2_qualifiers(spark, sf_dir):
+    """Of two views, the qualifier columns that they fail to show."""
+    have = _columns(spark, sf_dir)
+    gone = [(v, x) for v in ("v_series", "v_series_clean") for x in _QUALIFIERS if x not in {c for c, _ in have[v]}]
+    return spark.createDataFrame(gone, "view_name string, missing string")
+
+
+@query("select 'part' as table_name, false as has_edge_type union all select 'nation', false")
+def qa_3_4_edge_type(spark, sf_dir):
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").columns for t in ("part", "nation")}
+    return spark.createDataFrame([(t, "edge_type" in c) for t, c in tables.items()], "table_name string, has_edge_type boolean")
+
+
+RULES = [
+    q.Rule("1.1", "BLOCK", q.unique("observation_id", "settled"), "ids are unique"),
+    q.Rule("1.2", "BLOCK", q.unique("upsert_key", "settled"), "upsert keys are unique"),
+    q.Rule("5.1", "BLOCK", q.outside(q.DOMAINS, "settled"), "enum columns hold known members"),
+    q.Rule("6.1", "BLOCK", q.null_counts(q.MANDATORY, "settled"), "mandatory columns are filled"),
+    q.Rule("6.3", "BLOCK", q.null_counts(q.FLAGS, "settled"), "flags are filled"),
+    q.Rule("C6", "FAIL", q.one_value(("period_type",), "settled"), "one period type a series"),
+    q.Rule("C4", "INFO", f"select {PAIR} from settled group by {PAIR} having count(distinct source_id) > 1", "cells of several sources"),
+]
+
+
+@query("select * from (values " + ", ".join(f"('{r.name}', '{'INFO' if r.name == 'C4' else 'PASS'}', '{r.about}')" for r in RULES) + ") v(rule_name, outcome, about)")
+def qa_7_1_report(spark, sf_dir):
+    """The rules that are enforced and what each found on the sound model."""
+    found = q.run(spark, RULES, lambda s, sql: run_sql(s, sf_dir, sql))
+    about = {r.name: r.about for r in RULES}
+    return spark.createDataFrame([(n, o, about[n]) for n, o, _ in found], "rule_name string, outcome string, about string")

@@ -1 +1,167 @@
+"""Extraction over token grids made from the test tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import extraction as ex
+from .observations import duck_sql, run_sql, table, view
+from .registry import query, sql_query
+
+#: A page of words: each part is one, on a grid of rows 12 apart with a jitter, at uneven places.
+_WORDS = """select p_partkey, p_partkey % 40 as page, cast(12 * (p_size % 9) + (p_partkey % 3) * 0.02 as double) as y, cast((p_partkey * 37) % 500 as double) as x0, cast((p_partkey * 37) % 500 + 8 + p_size % 7 as double) as x1, p_name as text from part"""
+_ANCHORS = [(0, "real", 60.0), (1, "a", 150.0), (2, "b", 240.0), (3, "c", 330.0), (4, "var", 420.0)]
+
+
+@query(f"""with w as ({_WORDS}) select page, round(y, 1) as line_y, string_agg(text, ' ' order by x0, text) as line from w group by page, round(y, 1)""")
+def x1_lines(spark, sf_dir):
+    return ex.lines(run_sql(spark, sf_dir, _WORDS))
+
+
+@query(f"with w as ({_WORDS}) select p_partkey from w where abs(y - 48) <= 6")
+def x2_band(spark, sf_dir):
+    return ex.band(run_sql(spark, sf_dir, _WORDS), 48.0, 6.0).select("p_partkey")
+
+
+@query(f"""with w as ({_WORDS}), l as (select page, round(y, 1) as line_y, string_agg(text, ' ' order by x0, text) as line from w group by page, round(y, 1)) select page, min(line_y) as line_y from l where contains(lower(line), 'small') group by page""")
+def x3_find_row(spark, sf_dir):
+    return ex.find_row(ex.lines(run_sql(spark, sf_dir, _WORDS)), "Small")
+
+
+_ASSIGNED = f"""with w as ({_WORDS}), a as (select * from (values {", ".join(f"({o}, '{c}', {x})" for o, c, x in _ANCHORS)}) v(ord, col, x)),
+d as (select w.*, a.col, abs((x0 + x1) / 2 - a.x) as d, row_number() over (partition by p_partkey order by abs((x0 + x1) / 2 - a.x), a.ord) as nth from w cross join a), near as (select * from d where nth = 1 and d <= 27)"""
+
+
+def _anchored(spark, sf_dir):
+    anchors = spark.createDataFrame(_ANCHORS, "ord int, column string, x double")
+    return ex.nearest_anchor(run_sql(spark, sf_dir, _WORDS), anchors)
+
+
+@query(_ASSIGNED + " select p_partkey, col as column_name from near")
+def x4_nearest_anchor(spark, sf_dir):
+    return _anchored(spark, sf_dir).select("p_partkey", F.col("column").alias("column_name"))
+
+
+@query(_ASSIGNED + " select page, round(y, 1) as line_y, col as column_name, string_agg(text, '' order by x0, text) as cell from near group by all")
+def x5_concat(spark, sf_dir):
+    words = _anchored(spark, sf_dir).withColumn("line_y", F.round("y", 1))
+    return ex.cells(words, ["page", "line_y"]).withColumnRenamed("column", "column_name")
+
+
+@query("""with g as (select event_id, user_id, epoch(ts) as secs, lag(epoch(ts)) over (partition by user_id order by epoch(ts), event_id) as before from events)
+select event_id, sum(case when secs - before > 3600 then 1 else 0 end) over (partition by user_id order by secs, event_id rows unbounded preceding)::bigint as cluster from g""")
+def x6_gap_sessionise(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return ex.clusters(events, ["user_id"], "at", "at", 3600.0, ["event_id"]).select("event_id", "cluster")
+
+
+@query(f"""with w as ({_WORDS}), g as (select *, lag(x1) over (partition by page order by x0, p_partkey) as before from w), c as (select *, sum(case when x0 - before > 14 then 1 else 0 end) over (partition by page order by x0, p_partkey rows unbounded preceding) as cluster from g)
+select page, cluster::bigint as cluster, (min(x0) + max(x1)) / 2 as centre from c group by page, cluster""")
+def x6_column_centres(spark, sf_dir):
+    runs = ex.clusters(run_sql(spark, sf_dir, _WORDS), ["page"], "x0", "x1", ex.COLUMN_GAP, ["p_partkey"])
+    return runs.groupBy("page", "cluster").agg(((F.min("x0") + F.max("x1")) / 2).alias("centre"))
+
+
+_HEADS = """select o_orderkey as page, cast(o_orderkey % 4 + 3 as int) as n_columns, cast(o_orderkey % 6 + 1 as int) as number, cast(year(o_orderdate) as int) as real_year, cast(case when o_orderkey % 5 = 0 then null else month(o_orderdate) end as int) as cutoff from orders where o_orderkey <= 6000"""
+_ROLES = "case when n_columns >= 5 then ['real', 'a', 'b', 'c', 'var', 'tcam'][number] when n_columns = 4 then ['real', 'b', 'c', 'var'][number] else ['real', 'b', 'c'][number] end"
+
+
+@query(f"""with h as ({_HEADS}), r as (select *, {_ROLES} as role, [real_year - 2, real_year, real_year + 1] as ytd from h),
+y as (select *, case role when 'real' then real_year when 'a' then ytd[1] when 'b' then ytd[2] when 'c' then ytd[3] end as year, coalesce(cutoff, 4) as m from r)
+select page, role, case when year is not null then case role when 'real' then 'annual' else 'ytd_cumulative' end end as period_type, make_date(year, 1, 1) as period_start,
+  case when role = 'real' then make_date(year, 12, 31) else make_date(year, m, [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][m]) end as period_end, year as ref_year, case when year is not null and role <> 'real' then m end as cutoff_month from y""")
+def x9_period_map(spark, sf_dir):
+    h = run_sql(spark, sf_dir, _HEADS).withColumn("role", ex.column_role(F.col("n_columns"), F.col("number")))
+    years = F.array(F.col("real_year") - 2, F.col("real_year"), F.col("real_year") + 1)
+    h = h.withColumn("p", ex.period(F.col("role"), F.col("real_year"), years, F.col("cutoff"), F.col("n_columns")))
+    return h.select("page", "role", *[f"p.{c}" for c in ("period_type", "period_start", "period_end", "ref_year")], F.col("p.cutoff").alias("cutoff_month"))
+
+
+@query("""with l as (select o_custkey as page, o_orderkey as line_y, 'fin ' || case when o_orderkey % 2 = 0 then '2019 2020 ' else '' end || cast(2000 + o_orderkey % 5 as varchar) as line from orders where o_orderkey <= 3000),
+c as (select *, len(regexp_extract_all(line, '\\b(20\\d\\d)\\b')) as n from l), b as (select page, arg_max(line, n * 1000000 - line_y) as line from c group by page),
+y as (select page, list_transform(regexp_extract_all(line, '\\b(20\\d\\d)\\b'), lambda v: v::int) as ytd from b),
+o as (select c.page, min(v::int) as real_year from (select page, unnest(regexp_extract_all(line, '\\b(20\\d\\d)\\b')) as v from c) c join y on y.page = c.page where not list_contains(y.ytd, v::int) group by c.page)
+select y.page, array_to_string(y.ytd, ',') as ytd_years, o.real_year from y left join o using (page)""")
+def x8_header_years(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey <= 3000")
+    line = F.concat(F.lit("fin "), F.when(F.col("o_orderkey") % 2 == 0, "2019 2020 ").otherwise(""), (2000 + F.col("o_orderkey") % 5).cast("string"))
+    found = ex.header_years(o.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("line_y"), line.alias("line")))
+    return found.select("page", F.array_join(F.col("ytd_years").cast("array<string>"), ",").alias("ytd_years"), "real_year")
+
+
+def x10_greedy_dedupe(spark, sf_dir):
+    """Order-dependent, so without SQL; compared with brute force in the tests."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 200).alias("page"), (F.hour("ts") * 60.0 + F.minute("ts")).alias("y"))
+    return ex.collapse_rows(events, ["page"])
+
+
+query()(x10_greedy_dedupe)
+
+
+@query("""with r as (select o_custkey as page, cast(o_orderkey % 997 as double) as y from orders), a as (select page, y, max(case when abs(y - 100) <= 60 then 1 else 0 end) over (partition by page order by y) as begun from r),
+g as (select *, case when y - lag(y) over (partition by page order by y) > 90 then 1 else 0 end as broken from a where begun = 1), s as (select *, sum(broken) over (partition by page order by y rows unbounded preceding) as cuts from g) select page, y from s where cuts = 0""")
+def x10_contiguous(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), (F.col("o_orderkey") % 997).cast("double").alias("y"))
+    return ex.contiguous(rows, ["page"], F.lit(100.0), gap=90.0, first=60.0).select("page", "y")
+
+
+@query("select l_suppkey, list_sort(list(l_extendedprice - l_quantity))[len(list(l_quantity)) // 2 + 1] as drift from lineitem group by l_suppkey")
+def x12_upper_median(spark, sf_dir):
+    return ex.median_drift(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_extendedprice"), F.col("l_quantity"))
+
+
+sql_query("x13_unpivot_sql", "select o_custkey, 'F' as status, count(*) as n from orders where o_orderstatus = 'F' group by o_custkey union all select o_custkey, 'O', count(*) from orders where o_orderstatus = 'O' group by o_custkey")
+
+
+@query("select o_custkey, status, n from (select o_custkey, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as final, nullif(count(*) filter (where o_orderstatus = 'O'), 0) as open, nullif(count(*) filter (where o_orderstatus = 'P'), 0) as pending from orders group by o_custkey) m unpivot (n for status in (final, open, pending))")
+def x13_unpivot(spark, sf_dir):
+    count = lambda s, name: F.nullif(F.count_if(F.col("o_orderstatus") == s), F.lit(0).cast("long")).alias(name)
+    matrix = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(count("F", "final"), count("O", "open"), count("P", "pending"))
+    return ex.unpivot(matrix, ["o_custkey"], ["final", "open", "pending"], "status", "n")
+
+
+_RULES = [("small", "first"), ("s", "second"), ("large b", "third"), ("large", "fourth")]
+
+
+@query("select p_partkey, case " + " ".join(f"when starts_with(lower(p_name), '{p}') then '{v}' end" if i == len(_RULES) - 1 else f"when starts_with(lower(p_name), '{p}') then '{v}'" for i, (p, v) in enumerate(_RULES)) + " as flow from part")
+def x14_prefix_rules(spark, sf_dir):
+    return ex.prefix_rule(table(spark, sf_dir, "part"), "p_name", _RULES, "flow").select("p_partkey", "flow")
+
+
+_SHAKEN = "select *, case when observation_id % 61 = 0 then value * 2 else value end as shaken from obs"
+
+
+@query(duck_sql(f"""with s as ({_SHAKEN}), t as (select source_id, ref_year, calorific_basis, sum(case when aggregation_role = 'leaf' then shaken end) as parts, max(case when aggregation_role = 'grand_total' then shaken end) as total from s group by all)
+select s.observation_id, case when abs(t.parts - t.total) > greatest(8.0, 0.02 * abs(t.total)) then 'low' else 'normal' end as confidence from s join t using (source_id, ref_year, calorific_basis)"""))
+def x15_self_check(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, _SHAKEN)
+    return ex.flag_inconsistent(rows, ["source_id", "ref_year", "calorific_basis"], "shaken", F.col("aggregation_role") == "leaf", F.col("aggregation_role") == "grand_total").select("observation_id", "confidence")
+
+
+sql_query("x16_year_pairs", "select a.observation_id as current_id, b.observation_id as prior_id, 'provisional' as current_status, 'final' as prior_status from obs a join obs b on a.series_key = b.series_key and a.source_id = b.source_id and a.ref_year = b.ref_year + 1")
+sql_query("x17_derived_totals", "select ref_year, source_id, calorific_basis, cast(round(sum(case when region_id in ('asia', 'europe') then amount end), 1) as double) as local_total, cast(round(sum(amount), 1) as double) as with_exports from obs where aggregation_role = 'leaf' group by ref_year, source_id, calorific_basis")
+
+
+@query(duck_sql("""with r as (select *, case when ref_year % 2 = 0 then 0 else amount end as printed from obs where not (aggregation_role = 'grand_total' and ref_year = 1999))
+select source_id, ref_year, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as amount, true as is_derived from r group by source_id, ref_year, calorific_basis
+having count(*) filter (where aggregation_role = 'grand_total' and ref_year % 2 = 1 and printed <> 0) = 0"""))
+def x18_missing_totals(spark, sf_dir):
+    rows = view(spark, sf_dir, "obs").where("not (aggregation_role = 'grand_total' and ref_year = 1999)")
+    rows = rows.withColumn("amount", F.when((F.col("aggregation_role") == "grand_total") & (F.col("ref_year") % 2 == 0), 0).otherwise(F.col("amount")))
+    out = ex.missing_totals(rows, ["source_id", "ref_year", "calorific_basis"], "amount", "aggregation_role")
+    return out.withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as nth from conversations")
+def x19_nth_occurrence(spark, sf_dir):
+    return ex.nth_of(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "role", "nth")
+
+
+sql_query("x20_resolvers", "select p_partkey, case when lower(p_name) like '%small%' then 'redevance' when lower(p_name) like '%l%' then 'f fiscal' when lower(p_name) like '%red%' then 'color' end as resolved from part")
+
+
+@query(duck_sql("select observation_id, is_total and (flow_id is null or flow_id = 'flow.sales') and coalesce(product_id, '') = '' and coalesce(region_id, '') = '' and coalesce(level_id, '') = '' as is_grand from obs"))
+def x21_grand(spark, sf_dir):
+    obs = view(spark, sf_dir, "obs")
+    grand = ex.is_grand_total(F.col("is_total"), F.col("flow_id"), "flow.sales", F.col("product_id"), F.col("region_id"), F.col("level_id"))
+    return obs.select("observation_id", grand.alias("is_grand"))

@@ -1 +1,90 @@
+"""Sources: mixed tables, markdown tables, links, names of files, archives."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import vocab
+from ..sources import files
+from .functions_ import _norm
+from .observations import run_sql, table
+from .registry import query
+
+_MIXED = [("unit", "t", "tonne", "mass", "", "", "", "", ""), ("unit", "GWh", "gigawattheure", "energy", "", "", "", "", ""), ("unit", "t", "tonne", "mass", "", "", "", "", ""), ("conversion", "", "", "", "GWh", "ktep", "0.086", "", "electricity"), ("conversion", "", "", "", "PCI", "PCS", "1.1111111111", "PCI->PCS", "natural gas"), ("conversion", "", "", "", "PCS", "PCI", "0.9", "PCI->PCS", "natural gas"), ("conversion", "", "", "", "baril", "m3", "bad", "", "volume"), ("prefix", "k", "kilo", "prefix", "", "", "1e3", "", "")]
+_MIXED_SQL = "select * from (values " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _MIXED) + ") v(record_type, unit_code, unit_label_fr, quantity_kind, from_unit, to_unit, factor, calorific_basis, scope)"
+
+
+@query(f"with m as ({_MIXED_SQL}) select distinct 'unit' as kind, unit_code as a, quantity_kind as b, cast(null as double) as factor from m where record_type = 'unit' union all select distinct 'conversion', from_unit, to_unit, try_cast(factor as double) from m where record_type = 'conversion'")
+def s4_split_units(spark, sf_dir):
+    units, factors = files.split_units(run_sql(spark, sf_dir, _MIXED_SQL).withColumn("note", F.lit(None).cast("string")))
+    return units.select(F.lit("unit").alias("kind"), F.col("unit_code").alias("a"), F.col("quantity_kind").alias("b"), F.lit(None).cast("double").alias("factor")).unionByName(factors.select(F.lit("conversion").alias("kind"), F.col("from_unit").alias("a"), F.col("to_unit").alias("b"), "factor"))
+
+
+_NOTES = "select p_partkey as line_no, case when p_size % 5 = 0 then 'prose | only' when p_size % 5 = 1 then '| FN-' || upper(p_type) || ' | toggle | ' || p_name || ' | x | **drop** |' when p_size % 5 = 2 then '  | **FN-B' || upper(p_type) || '** | Units-Basis | ' || p_name || ' | x | effect |' else '| not an id | a | b | c | d |' end as value from part"
+
+
+@query("""with n as (select p_partkey, p_size % 5 as k, p_type, p_name from part where p_size % 5 in (1, 2)), f as (select *, row_number() over (partition by k, p_type order by p_partkey) as nth from n)
+select case k when 1 then 'FN-' else 'FN-B' end || upper(p_type) as footnote_id, case k when 1 then 'toggle' else 'units_basis' end as type, p_name || ' — ' || case k when 1 then 'drop' else 'effect' end as text from f where nth = 1""")
+def s5_footnotes(spark, sf_dir):
+    return files.footnotes(run_sql(spark, sf_dir, _NOTES))
+
+
+@query("select page_id, replace(unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)), '&amp;', '&') as link from pages")
+def s8_link_harvest(spark, sf_dir):
+    return files.links(table(spark, sf_dir, "pages")).select("page_id", "link")
+
+
+_NAMES = ["Conjoncture_avril_2026.pdf", "Conjoncture_Energetique_fin_decembre_2019.pdf", "Conjoncture_2024_Ar_resume.pdf", "Chiffres_cles_2024.pdf", "Rapport_Bilan_2023_VF-2024.pdf", "Bilan_National_2022_updated.pdf", "Evolution_du_Bilan_2010-2020.pdf", "Bulletin-fevrier-20.pdf", "ESIA_summary_2021.pdf", "Note_Methodologique.pdf", "Guide_en.pdf", "conjonctre_mai_2021_v_2022_v-2022.pdf"]
+_EXPECTED = [("Conjoncture", "fr", "2026-04", ""), ("Conjoncture", "fr", "2019-12", ""), ("Conjoncture", "ar", "2024", ""), ("Memento", "fr", "2024", ""), ("Bilan", "fr", "2023", "VF-2024"), ("Bilan", "multi", "2022", "updated"), ("Bilan", "fr", "2010-2020", ""), ("Bulletin-COVID", "fr", "2020-02", ""), ("Other", "en", "2021", ""), ("Bilan", "fr", "", ""), ("Other", "en", "", ""), ("Conjoncture", "fr", "2021-05", "v_2022")]
+
+
+@query("select * from (values " + ", ".join(f"('{n}', " + ", ".join(f"'{x}'" for x in e) + ")" for n, e in zip(_NAMES, _EXPECTED, strict=True)) + ") v(name, family, language, period, version)")
+def s9_s11_file_names(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, "select name from (values " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(name)")
+    family, language = files.classify(F.col("name"))
+    return rows.select("name", family.alias("family"), language.alias("language")).select("name", "family", "language", files.report_period(F.col("name"), F.col("family")).alias("period"), files.version(F.col("name")).alias("version"))
+
+
+@query("""with f as (select c_mktsegment as url, cast(c_nationkey % 4 as varchar) as body, min(c_custkey) as first_at from customer group by all)
+select url, sha256(body) as sha256, first_at as fetched_at, row_number() over (partition by url order by first_at, sha256(body)) as version_no from f""")
+def s7_archive_versions(spark, sf_dir):
+    fetched = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("url"), F.sha2((F.col("c_nationkey") % 4).cast("string"), 256).alias("sha256"), F.col("c_custkey").alias("fetched_at"))
+    return files.archive_versions(fetched)
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 0 then 'annual' when 1 then 'monthly' else 'annual' end as cadence, o_orderkey % 4 in (1, 2, 3) as is_canonical_lang, case when o_orderkey % 2 = 1 then cast(month(o_orderdate) as int) end as cutoff_month from orders""")
+def s14_register_sources(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    family = F.when(F.col("o_orderkey") % 3 == 0, "Bilan").when(F.col("o_orderkey") % 3 == 1, "Conjoncture").otherwise("Unknown")
+    language = F.when(F.col("o_orderkey") % 4 == 0, "ar").when(F.col("o_orderkey") % 4 == 1, "en").when(F.col("o_orderkey") % 4 == 2, "fr").otherwise("multi")
+    period = F.when(F.col("o_orderkey") % 2 == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy"))
+    return files.register_sources(o.select("o_orderkey", family.alias("report_family"), language.alias("language"), period.alias("period"))).select("o_orderkey", "cadence", "is_canonical_lang", "cutoff_month")
+
+
+@query("select page_id, case when contains(lower(url), 'guide') then 'guide' when contains(lower(url), 'strateg') or contains(lower(url), 'pst') then 'strategy' when contains(lower(url), 'th') then 'other' else 'other' end as doc_type from pages")
+def s15_document_type(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.document_type(F.col("url")).alias("doc_type"))
+
+
+#: Parts' names against a vocabulary of nation names and pieces of words, in order; first names win.
+_VOCAB = "select n_nationkey as ord, 'v' || cast(n_nationkey as {t}) as id, case n_nationkey % 3 when 0 then n_name else lower(n_name) end as label, case n_nationkey when 1 then 'large|Small size' when 2 then 'medium|large' when 3 then 'é promo' when 4 then 'economy' else null end as aliases from nation"
+_PARTS = "select p_partkey, case p_partkey % 4 when 0 then 'The ' || p_type || ', (new)' when 1 then upper(p_type) when 2 then p_name else 'É PROMO!' end as label from part"
+_MATCH = f"""with v as ({_VOCAB.format(t="varchar")}), raw as (select ord, id, 0 as p, label as name from v union all select ord, id, 1, split_part(aliases, '|', 1) from v where aliases is not null union all select ord, id, 2, split_part(aliases, '|', 2) from v where contains(aliases, '|')),
+n as (select {_norm("name")} as name, id, ord, p from raw), known as (select name, arg_min(id, ord * 10 + p) as id, min(ord * 10 + p) as o from n where name <> '' group by name),
+own as (select p_partkey, label, {_norm("label")} as norm from ({_PARTS})),
+best as (select o.p_partkey, o.label, coalesce((select id from known k where k.name = o.norm), (select arg_min(id, k.o) from known k where contains(' ' || o.norm || ' ', ' ' || k.name || ' '))) as id from own o)"""
+
+
+def _matched(spark, sf_dir):
+    known = vocab.names(run_sql(spark, sf_dir, _VOCAB.format(t="string")), "id", ["label"], "aliases", "ord")
+    return vocab.match(run_sql(spark, sf_dir, _PARTS), "label", known)
+
+
+@query(_MATCH + " select p_partkey, label, id from best where id is not null")
+def j9_vocab_match(spark, sf_dir):
+    return _matched(spark, sf_dir)[0].select("p_partkey", "label", "id")
+
+
+@query(_MATCH + " select p_partkey, label from best where id is null")
+def m5_quarantine(spark, sf_dir):
+    return _matched(spark, sf_dir)[1].select("p_partkey", "label")

@@ -1 +1,130 @@
+"""The semantic interface as set queries: search, retrieval, guarded comparison, conversion."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import api, settle
+from .observations import duck_sql, run_sql, table, view
+from .registry import query, sql_query
+
+#: Search tiers of the model's series: what, which, where, context.
+_TIERS = """select series_key, indicator_id, period_type, geography_scope, scope, calorific_basis, unit_id, max(aggregation_role) as aggregation_role, count(*) as n_obs, 'order revenue umsatz' as t1, lower(coalesce(replace(product_id, '.', ' '), '')) as t2,
+  lower(coalesce(region_id, '') || ' ' || coalesce(scope, '') || ' ' || geography_scope || ' ' || calorific_basis) as t3, 'sales annual orders' as t4 from {view} group by series_key, indicator_id, product_id, region_id, scope, geography_scope, calorific_basis, unit_id, period_type"""
+_WORDS = ["asia", "large", "net", "sales", "order", "zzz"]
+_WEIGHT = " + ".join(f"case when contains(t1, '{w}') then 8 when contains(t2, '{w}') then 4 when contains(t3, '{w}') then 2 when contains(t4, '{w}') then 1 else 0 end" for w in _WORDS)
+
+
+@query(duck_sql(f"with c as ({_TIERS.format(view='obs')}) select series_key, cast({_WEIGHT} as int) as score, n_obs from c where {_WEIGHT} > 0 order by 2 desc, n_obs desc, series_key limit 15"))
+def t1_search(spark, sf_dir):
+    scored = api.tier_scores(run_sql(spark, sf_dir, _TIERS.format(view="obs")), _WORDS).where("score > 0")
+    return scored.orderBy(F.desc("score"), F.desc("n_obs"), "series_key").limit(15).select("series_key", "score", "n_obs")
+
+
+_DOC_TIERS = "select doc_id as id, lower(lang) as t1, lower(source) as t2, lower(text) as t3, cast(n_chars as {t}) as t4 from documents"
+
+
+@query(f"with d as ({_DOC_TIERS.format(t='varchar')}) select id, cast(" + " + ".join(f"case when contains(t1, '{w}') then 8 when contains(t2, '{w}') then 4 when contains(t3, '{w}') then 2 when contains(t4, '{w}') then 1 else 0 end" for w in ("en", "src1", "that", "token", "99")) + " as int) as score from d")
+def t1_score_documents(spark, sf_dir):
+    terms = text.terms(F.lit("en SRC1 that token 99 x"))
+    return api.tier_scores(run_sql(spark, sf_dir, _DOC_TIERS.format(t="string")), terms).select("id", "score")
+
+
+sql_query("t2_list", "select distinct series_key, calorific_basis from obs where lower(indicator_id) = 'order_revenue' and lower(series_key) like '%asia%'")
+_FAMILIES = [("oil price", "crude_price"), ("thth", "fx_rate"), ("ther", "trade"), ("blog", "refining")]
+
+
+@query("select page_id, case " + " ".join(f"when contains(lower(url), '{p}') then '{f}'" for p, f in _FAMILIES) + " end as family from pages")
+def t12_deferred(spark, sf_dir):
+    low = F.lower(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", text.first_rule([(low.contains(p), f) for p, f in _FAMILIES]).alias("family"))
+
+
+@query(duck_sql("with x as (select unnest(['calorific_basis', 'period_type', 'geography_scope', 'scope', 'unit_id']) as attribute, unnest([calorific_basis, period_type, geography_scope, scope, unit_id]) as value from v_series) select attribute, array_to_string(list_sort(list(distinct coalesce(nullif(value, ''), 'NA'))), ',') as vals from x group by attribute having count(distinct coalesce(nullif(value, ''), 'NA')) > 1"))
+def t13_twin_warnings(spark, sf_dir):
+    return api.twin_conflicts(view(spark, sf_dir, "v_series")).select("attribute", F.array_join("values", ",").alias("vals"))
+
+
+@query(duck_sql("with g as (select * from (values ('calorific_basis', 'NET', 'GROSS'), ('calorific_basis', 'PCI', 'PCS'), ('scope', 'flash_only', 'all|market')) v(attribute, token, never_sum_with)), used as (select distinct unnest([calorific_basis, scope, aggregation_role]) as token from v_series) select attribute, token, never_sum_with from g where token in (select token from used)"))
+def t14_glossary(spark, sf_dir):
+    glossary = spark.createDataFrame([("calorific_basis", "NET", "GROSS"), ("calorific_basis", "PCI", "PCS"), ("scope", "flash_only", "all|market")], "attribute string, token string, never_sum_with string")
+    used = view(spark, sf_dir, "v_series").select(F.explode(F.array("calorific_basis", "scope", "aggregation_role")).alias("token")).distinct()
+    return glossary.join(used, "token", "left_semi").select("attribute", "token", "never_sum_with")
+
+
+_ONE = "order_revenue|flow.sales|prod.large||asia||||GROSS|cur|annual|False||||incl_exports"
+
+
+@query(duck_sql(f"select series_key, value, ref_year, source_id from v_series_clean where series_key = '{_ONE}' and ref_year >= 1996"))
+def t3_series(spark, sf_dir):
+    rows = api.surface(settle.precedence(view(spark, sf_dir, "obs"))).where(api.conditions(_ONE, start_year=1996))
+    return api.envelope(rows).select("series_key", "value", "ref_year", F.col("provenance.source_id").alias("source_id"))
+
+
+@query(duck_sql(f"select series_key, value, cast(month(period_end) as int) as ytd_cutoff_month from ytd where ref_year = 1998 and ytd_cutoff_month = 6 and region_id = 'asia' and source_id = 'ed_2'"))
+def t4_observation(spark, sf_dir):
+    rows = view(spark, sf_dir, "ytd").where(api.conditions(start_year=1998, end_year=1998)).where("region_id = 'asia' and source_id = 'ed_2'")
+    return api.envelope(rows).where("ytd_cutoff_month = 6").select("series_key", "value", "ytd_cutoff_month")
+
+
+sql_query("t5_describe", "with notes as (select observation_id, 'FN-' || report_type as footnote_id from obs where extraction_confidence = 'low') select o.series_key, min(o.ref_year) as first_year, max(o.ref_year) as last_year, count(distinct n.footnote_id) as n_notes from obs o left join notes n on o.observation_id = n.observation_id group by o.series_key")
+
+#: Pairs of series to compare: neighbours in the order of their keys.
+_PAIRS = "select a.series_key as one, b.series_key as other from (select series_key, row_number() over (order by series_key) as n from (select distinct series_key from obs) x) a join (select series_key, row_number() over (order by series_key) as n from (select distinct series_key from obs) y) b on b.n = a.n + {step}"
+_COMPARED = f"""with s as ({_TIERS.format(view="v_series")}), roles as (select series_key, array_agg(distinct aggregation_role) as r from v_series group by series_key),
+p as ({_PAIRS.format(step=1)} union all {_PAIRS.format(step=7)}),
+j as (select p.one, p.other, a.period_type is distinct from b.period_type or coalesce(nullif(a.geography_scope, ''), 'NA') <> coalesce(nullif(b.geography_scope, ''), 'NA') or coalesce(nullif(a.scope, ''), 'NA') <> coalesce(nullif(b.scope, ''), 'NA') or a.calorific_basis <> b.calorific_basis or a.unit_id <> b.unit_id as twins,
+  a.indicator_id = b.indicator_id and coalesce(a.period_type, '') = coalesce(b.period_type, '') and coalesce(a.geography_scope, '') = coalesce(b.geography_scope, '') as together, ra.r as r1, rb.r as r2
+  from p join s a on p.one = a.series_key join s b on p.other = b.series_key join roles ra on ra.series_key = p.one join roles rb on rb.series_key = p.other)"""
+_STATUS = "case when together and ({has}(r1, 'grand_total') or {has}(r2, 'grand_total') or {has}(r1, 'subtotal') or {has}(r2, 'subtotal') or (({has}(r1, 'leaf') or {has}(r2, 'leaf')) and ({has}(r1, 'alternative_breakdown') or {has}(r2, 'alternative_breakdown')))) then 'refused_aggregation' when twins then 'refused_incompatible' else 'compared' end"
+
+
+@query(duck_sql(_COMPARED + f" select one, other, {_STATUS.format(has='list_contains')} as status from j"))
+def t6_compare_guard(spark, sf_dir):
+    """The guard of `compare`, over many pairs at once: live roles decide before differing attributes."""
+    pairs = run_sql(spark, sf_dir, _PAIRS.format(step=1) + " union all " + _PAIRS.format(step=7))
+    live = view(spark, sf_dir, "v_series")
+    series = live.groupBy("series_key", "indicator_id", *api.TWINS).agg(F.collect_set("aggregation_role").alias("roles"))
+    side = lambda k: series.select(F.col("series_key").alias(k), F.struct("indicator_id", *api.TWINS, "roles").alias(f"{k}_s"))
+    joined = pairs.join(side("one"), "one").join(side("other"), "other")
+    filled = lambda k, a: F.when(F.coalesce(F.col(f"{k}_s.{a}"), F.lit("")) == "", "NA").otherwise(F.col(f"{k}_s.{a}"))
+    differ = F.lit(False)
+    for a in api.TWINS:
+        differ = differ | (filled("one", a) != filled("other", a))
+    together = (F.col("one_s.indicator_id") == F.col("other_s.indicator_id")) & (filled("one", "period_type") == filled("other", "period_type")) & (filled("one", "geography_scope") == filled("other", "geography_scope"))
+    roles = F.array_union("one_s.roles", "other_s.roles")
+    has = lambda r: F.array_contains(roles, r)
+    clash = together & (has("grand_total") | has("subtotal") | (has("leaf") & has("alternative_breakdown")))
+    return joined.select("one", "other", F.when(clash, "refused_aggregation").when(differ, "refused_incompatible").otherwise("compared").alias("status"))
+
+
+@query(duck_sql("select indicator_id, period_type, geography_scope, array_to_string(list_sort(list(distinct aggregation_role)), ',') as roles, 'grand_total' as reason from v_series group by indicator_id, period_type, geography_scope"))
+def t6_role_conflicts(spark, sf_dir):
+    live = view(spark, sf_dir, "v_series")
+    chosen = live.select("series_key", "indicator_id", "period_type", "geography_scope").distinct()
+    found = api.role_conflicts(chosen, live)
+    return found.select("indicator_id", "period_type", "geography_scope", F.array_join("roles", ",").alias("roles"), "reason")
+
+
+@query(duck_sql("select series_key, period_start, count(*) as n_values from (select distinct series_key, period_start, period_end, source_id, value from settled where region_id = 'asia') v group by series_key, period_start, period_end having count(distinct source_id) > 1 and max(value) - min(value) > greatest(5.0, 0.02 * abs(max(value)))"))
+def t7_conflicts(spark, sf_dir):
+    log = settle.reconciliation_log(settle.precedence(view(spark, sf_dir, "obs")).where("region_id = 'asia'")).where("note = 'disagreement>tol'")
+    return log.select("series_key", "period_start", F.size(F.map_keys(F.from_json("values_json", "map<string, double>"))).cast("long").alias("n_values"))
+
+
+_FACTORS = [("GWh", "ktep", 0.086, "", "electricity"), ("ktep", "GWh", 11.63, "", "electricity"), ("PCI", "PCS", 1.1111111111, "PCI->PCS", "natural gas"), ("PCS", "PCI", 0.9, "PCI->PCS", "natural gas"), ("baril", "m3", 0.159, "", "volume"), ("t_x", "tep", 1.03, "", "crude oil quality"), ("t_x", "tep", 1.02, "", "crude oil MAP")]
+_CASES = [(100.0, "ktep-pci", "ktep-pcs", None, "ok", 111.11111111, True), (100.0, "ktep-pcs", "ktep-pci", "Natural_Gas", "ok", 90.0, True), (1000.0, "GWh", "ktep", "elec", "ok", 86.0, False), (5.0, "kt", "GWh", None, "no_factor", None, False), (5.0, "GWh", "ktep", "banana", "no_factor", None, False), (7.0, "x", "x", None, "ok", 7.0, False), (2.0, "t_x", "tep", None, "ambiguous", None, False), (2.0, "t_x", "tep", "crude", "ok", 2.06, False), (3.0, "m3", "baril", "vol", "no_factor", None, False), (10.0, "PCI", "PCS", None, "ok", 11.111111111, True)]
+_VALUES = ", ".join(f"({v}, '{a}', '{b}', " + ("null" if s is None else f"'{s}'") + f", '{st}', " + ("null" if r is None else str(r)) + f", {str(c).lower()})" for v, a, b, s, st, r, c in _CASES)
+
+
+@query(f"select from_unit, to_unit, scope, status, round(cast(result as double), 8) as result, basis_change from (values {_VALUES}) v(value, from_unit, to_unit, scope, status, result, basis_change)")
+def t9_convert(spark, sf_dir):
+    asked = spark.createDataFrame([c[:4] for c in _CASES], "value double, from_unit string, to_unit string, scope string")
+    factors = spark.createDataFrame(_FACTORS, "from_unit string, to_unit string, factor double, calorific_basis string, scope string")
+    return api.conversions(asked, factors).select("from_unit", "to_unit", "scope", "status", F.round("result", 8).alias("result"), "basis_change")
+
+
+sql_query("t8_units", "select p_brand as unit_code, min(p_type) as quantity_kind, count(*) as uses from part group by p_brand")
+sql_query("t10_dimensions", "select 'product_id' as dimension, product_id as member, count(*) as n from obs where product_id is not null group by product_id union all select 'region_id', region_id, count(*) from obs where region_id is not null group by region_id")
+sql_query("t11_glossary", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, explode(split('grand_total|subtotal', '[|]')) as w union all select 'basis', 'NET', explode(split('GROSS', '[|]'))) g", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, unnest(string_split('grand_total|subtotal', '|')) as w union all select 'basis', 'NET', unnest(string_split('GROSS', '|'))) g")

@@ -33,7 +33,7 @@ def split_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def footnotes(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:
     """(footnote_id, type, text) of a markdown table's rows (id | type | verbatim | applies to | effect); the first of an id stays."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     rows = lines.where(F.ltrim(line).startswith("|")).select(cells.alias("c"), order).where(F.size("c") >= 5)
     rows = rows.withColumn("footnote_id", F.regexp_extract(F.col("c")[0], r"^\*{0,2}(FN-[A-Z0-9\-]+)\*{0,2}$", 1)).where("footnote_id <> ''")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("footnote_id").orderBy(order))).where("nth = 1")
