@@ -4,7 +4,7 @@ Tokens are runs of ASCII letters and digits and of non-ASCII characters, in lowe
 item and of a document is hashed once per fixed mask; a mask reads the positions marked 1 and ignores those marked 0,
 so a substituted token at an ignored position does not hide the hit. Hits of the hash join are verified on the token
 sequences themselves: along the hit's diagonal the region with the most matches is taken in which matches outweigh
-mismatches four to one, and it counts as an overlap if it has `least` matching tokens (for items shorter than
+mismatches three to one, and it counts as an overlap if it has `least` matching tokens (for items shorter than
 `least / 0.8` tokens: four fifths of the item's tokens).
 
 Defined cases: null or tokenless texts and items never overlap; items shorter than the shortest mask are matched as one
@@ -76,8 +76,8 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_region(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the region with the most matches net of four times its mismatches."""
-    run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -4))))
+    """(start, end, matches) of the region with the most matches net of three times its mismatches."""
+    run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
     low = np.minimum.accumulate(run)
     gain = run - low
     end = int(gain.argmax())

@@ -93,7 +93,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], id_col:
     url = F.col(f"`{url_col}`")
     own = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labelled = outcomes.groupBy("host").agg(F.sum("good").alias("good"), F.count("good").alias("n"))
-    hosts = own.select("host").distinct().join(labelled, "host", "left").select("host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("n", F.lit(0)).alias("n"))
+    hosts = own.select("host").union(labelled.select("host")).distinct().join(labelled, "host", "left").select("host", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("n", F.lit(0)).alias("n"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = own.join(reputations(hosts, sigmas).select("host", "bound"), "host", "left")
     method = F.when(F.col("bound") >= limit, "allow").otherwise("block")
