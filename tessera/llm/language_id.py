@@ -73,6 +73,8 @@ class Model:
 
     def __init__(self, samples: list[tuple[str, str]], penalty: float = PENALTY):
         self.languages = sorted({lang for _, lang in samples})
+        #: What letters get that no word holds, such as a lone ordinal sign.
+        self.usual = max(self.languages, key=lambda x: sum(len(t) for t, lang in samples if lang == x), default="und")
         self.penalty = penalty
         count = len(self.languages)
         grams, wholes = np.ones((count, 1 << BITS)), np.full((count, 1 << BITS), 0.2)
@@ -164,9 +166,10 @@ class Model:
         raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
         letter, starts, ends = _words(raw)
         edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in data])))
-        nothing = ("und", 0.0, [])
+        lettered = [any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts]
+        nothing = [(self.usual if x else "und", 0.0, []) for x in lettered]
         if not len(starts) or not self.languages:
-            return [nothing] * len(texts)
+            return nothing
         bounds = np.searchsorted(starts, edges)
         labels = self.labels(self.scores(raw, letter, starts, ends), bounds)
         point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to each byte, this one included
@@ -181,10 +184,10 @@ class Model:
         text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         weight = np.bincount(text * len(self.languages) + labels, weights=ends - starts, minlength=len(texts) * len(self.languages)).reshape(len(texts), -1)
         out = []
-        for i, t in enumerate(texts):
+        for i in range(len(texts)):
             total = weight[i].sum()
-            if not total or not (any(c.isalpha() for c in t[:64]) or any(map(str.isalpha, t))):
-                out.append(nothing)
+            if not total or not lettered[i]:
+                out.append(nothing[i])
                 continue
             k = int(weight[i].argmax())
             out.append((self.languages[k], float(weight[i, k] / total), [(a - base[i], b - base[i], self.languages[x]) for a, b, x in run[spans_at[i] : spans_at[i + 1]]]))

@@ -55,6 +55,7 @@ def test_spans_of_mixed_text(model):
 def test_scripts_narrow_the_candidates():
     m = L.Model([("the cat and the dog " * 20, "en"), ("кот и собака в доме " * 20, "ru"), ("der hund und die katze " * 20, "de")])
     assert [x[0] for x in m.identify(["Собака", "the dog", "und die", "ΑΒΓ", "漢字", "123 !?", ""])][:3] == ["ru", "en", "de"]
+    assert m.identify(["ª"])[0][0] in m.languages and m.identify(["ª", "the dog"])[0][0] in m.languages
     assert m.identify(["123 !?"])[0] == ("und", 0.0, []) and m.identify(["漢字"])[0][0] in m.languages
 
 
