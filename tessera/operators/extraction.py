@@ -184,3 +184,32 @@ def is_grand_total(is_total: Column, flow: Column, main_flow: str, *dimensions:
     for d in dimensions:
         bare = bare & (F.coalesce(d, F.lit("")) == "")
     return bare
+
+
+def resolve(rows: DataFrame, label: str, rules: list[tuple[str, dict[str, str]]], dimensions: list[str]) -> DataFrame:
+    """The rows with the dimensions of the first rule whose words stand in the normalised label; no rule gives nulls.
+
+    Rules are tried in order, so a word that is part of another must come after it.
+    """
+    own = norm_label(F.col(label))
+    made = F.lit(None)
+    for words, found in reversed(rules):
+        values = F.struct(*[F.lit(found.get(d)).cast("string").alias(d) for d in dimensions])
+        holds = F.contains(F.concat(F.lit(" "), own, F.lit(" ")), F.concat(F.lit(" "), norm_label(F.lit(words)), F.lit(" ")))
+        made = F.when(holds, values).otherwise(made)
+    return rows.withColumn("resolved", made).select("*", *[F.col("resolved")[d].alias(d) for d in dimensions]).drop("resolved")
+
+
+def year_pairs(rows: DataFrame, keys: list[str], prior: str, current: str, year: str) -> DataFrame:
+    """(keys, ref_year, value, data_status): a table of two years as long rows, the earlier final, the later provisional."""
+    pair = F.array(
+        F.struct((F.col(year) - 1).alias("ref_year"), F.col(prior).cast("double").alias("value"), F.lit("final").alias("data_status")),
+        F.struct(F.col(year).alias("ref_year"), F.col(current).cast("double").alias("value"), F.lit("provisional").alias("data_status")),
+    )
+    return rows.select(*keys, F.explode(pair).alias("p")).select(*keys, "p.*").where("value is not null")
+
+
+def usage_totals(leaves: DataFrame, keys: list[str], parts: str, local: list[str], value: str) -> DataFrame:
+    """(keys, scope, value): totals derived from leaves, one over the local parts and one over all, to one decimal."""
+    sums = leaves.groupBy(*keys).agg(F.sum(F.when(F.col(parts).isin(*local), F.col(value))).alias("local"), F.sum(value).alias("incl_exports"))
+    return sums.unpivot(keys, ["local", "incl_exports"], "scope", "total").where("total is not null").select(*keys, "scope", F.round("total", 1).cast("double").alias("value"), F.lit(True).alias("is_derived"))

@@ -138,8 +138,18 @@ def x15_self_check(spark, sf_dir):
     return ex.flag_inconsistent(rows, ["source_id", "ref_year", "calorific_basis"], "shaken", F.col("aggregation_role") == "leaf", F.col("aggregation_role") == "grand_total").select("observation_id", "confidence")
 
 
-sql_query("x16_year_pairs", "select a.observation_id as current_id, b.observation_id as prior_id, 'provisional' as current_status, 'final' as prior_status from obs a join obs b on a.series_key = b.series_key and a.source_id = b.source_id and a.ref_year = b.ref_year + 1")
-sql_query("x17_derived_totals", "select ref_year, source_id, calorific_basis, cast(round(sum(case when region_id in ('asia', 'europe') then amount end), 1) as double) as local_total, cast(round(sum(amount), 1) as double) as with_exports from obs where aggregation_role = 'leaf' group by ref_year, source_id, calorific_basis")
+@query("""with y as (select c_nationkey, c_mktsegment, 2020 + c_nationkey % 3 as year, case when min(c_custkey) % 3 <> 0 then min(c_acctbal) end as prior, max(c_acctbal) as cur from customer group by c_nationkey, c_mktsegment)
+select c_nationkey, c_mktsegment, year - 1 as ref_year, prior as value, 'final' as data_status from y where prior is not null union all select c_nationkey, c_mktsegment, year, cur, 'provisional' from y""")
+def x16_year_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.when(F.min("c_custkey") % 3 != 0, F.min("c_acctbal")).alias("prior"), F.max("c_acctbal").alias("cur"))
+    return ex.year_pairs(c.withColumn("year", 2020 + F.col("c_nationkey") % 3), ["c_nationkey", "c_mktsegment"], "prior", "cur", "year")
+
+
+@query(duck_sql("""with s as (select ref_year, source_id, calorific_basis, sum(case when region_id in ('asia', 'europe') then amount end) as l, sum(amount) as e from obs where aggregation_role = 'leaf' group by all)
+select ref_year, source_id, calorific_basis, 'local' as scope, cast(round(l, 1) as double) as value, true as is_derived from s where l is not null union all select ref_year, source_id, calorific_basis, 'incl_exports', cast(round(e, 1) as double), true from s"""))
+def x17_derived_totals(spark, sf_dir):
+    leaves = view(spark, sf_dir, "obs").where("aggregation_role = 'leaf'")
+    return ex.usage_totals(leaves, ["ref_year", "source_id", "calorific_basis"], "region_id", ["asia", "europe"], "amount")
 
 
 @query(duck_sql("""with r as (select *, case when ref_year % 2 = 0 then 0 else amount end as printed from obs where not (aggregation_role = 'grand_total' and ref_year = 1999))
@@ -157,7 +167,14 @@ def x19_nth_occurrence(spark, sf_dir):
     return ex.nth_of(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "role", "nth")
 
 
-sql_query("x20_resolvers", "select p_partkey, case when lower(p_name) like '%small%' then 'redevance' when lower(p_name) like '%l%' then 'f fiscal' when lower(p_name) like '%red%' then 'color' end as resolved from part")
+
+
+_RESOLVERS = [("small gear", {"product": "prod.gear", "size": "small"}), ("gear", {"product": "prod.gear"}), ("small", {"size": "small"}), ("large ring", {"product": "prod.ring", "size": "large"})]
+
+
+@query("select p_partkey, p_name, " + ", ".join("case " + " ".join(f"when contains(' ' || lower(p_name) || ' ', ' {w} ') then " + (f"'{d[k]}'" if k in d else "null") for w, d in _RESOLVERS) + f" end as {k}" for k in ("product", "size")) + " from part")
+def x20_resolvers(spark, sf_dir):
+    return ex.resolve(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", _RESOLVERS, ["product", "size"])
 
 
 @query(duck_sql("select observation_id, is_total and (flow_id is null or flow_id = 'flow.sales') and coalesce(product_id, '') = '' and coalesce(region_id, '') = '' and coalesce(level_id, '') = '' as is_grand from obs"))
