@@ -26,29 +26,46 @@ from .components import components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Buckets above this size are split again by bits, so that one task holds at most so many fingerprints at once.
 BUCKET = 2048
+#: Bytes of text that are taken apart at once.
+PART = 1 << 20
+
+
+def _parts(text: bytes, size: int):
+    """The text in parts of about `size` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of one UTF-8 text: majority bits over the XXH64 of its word shingles, repeats included."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(words) - shingle + 1
-    spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed) for a, b in spans])
-    rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 255 * 64):
-        bits = np.unpackbits(rows[at : at + 255 * 64], axis=1)
-        for low in range(0, len(bits), 255):  # at most 255 rows, so the bytes can't overflow
-            ones += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    """The SimHash of one UTF-8 text: majority bits over the XXH64 of its word shingles, repeats included.
+
+    Long texts go through in parts that share the words at their ends, so memory stays bounded.
+    """
+    ones, count, words = np.zeros(64, np.int64), 0, []
+    for part in _parts(text.translate(LOWER), PART):
+        words = [*words[len(words) - shingle + 1 :], *part.split()] if len(words) >= shingle else words + part.split()
+        n = len(words) - shingle + 1
+        if n <= 0:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+        digest = xxhash.xxh64_digest
+        rows = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in spans]), np.uint8).reshape(n, 8)
+        count += n
+        for at in range(0, n, 255 * 64):
+            bits = np.unpackbits(rows[at : at + 255 * 64], axis=1)
+            for low in range(0, len(bits), 255):  # at most 255 rows, so the bytes can't overflow
+                ones += np.add.reduce(bits[low : low + 255], axis=0, dtype=np.uint8)
+    if not count:
+        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
 def _signed(x: int) -> int:

@@ -106,4 +106,11 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_spanning_forest_has_true_links():
     fps = np.array([0, 1, 3, 7, 15, 31, 1 << 40, (1 << 40) + 1], np.int64)
     links = S._spanning(fps, 3)
-    assert len(links) == 6 and all((a ^ b).bit_count() <= 3 for a, b in links)
+    assert len(links) == 7 and all((a ^ b).bit_count() <= 3 for a, b in links)
+
+
+def test_long_texts_go_through_in_parts(monkeypatch):
+    texts = ["one two three four five six seven " * 9, "a b", "a", "x" * 50 + " y z", "  lead  and   trail  "]
+    for size in (1, 5, 13, 1 << 20):
+        monkeypatch.setattr(S, "PART", size)
+        assert [S.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
