@@ -24,6 +24,8 @@ from .common import map_texts
 BITS = 16
 PENALTY = 12.0
 RULED_OUT = -40.0
+#: Words that are scored at once, to bound memory.
+WORDS = 1 << 17
 #: Training texts for each language at most about this many, and of at most so many characters.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 #: Leading bytes of UTF-8 for each script: (script, first, last); 0 is ASCII and so Latin.
@@ -100,7 +102,15 @@ class Model:
         return np.maximum.reduceat(np.append(lead, 0), np.stack((starts, ends), axis=1).ravel())[::2]
 
     def scores(self, raw, letter, starts, ends) -> np.ndarray:
-        """(words, languages): log-probabilities."""
+        """(words, languages): log-probabilities; a bounded number of words at once."""
+        out = np.zeros((len(starts), len(self.languages)), np.float32)
+        for low in range(0, len(starts), WORDS):
+            s, e = starts[low : low + WORDS], ends[low : low + WORDS]
+            a, b = s[0], e[-1]
+            out[low : low + WORDS] = self._scores(raw[a:b], letter[a:b], s - a, e - a)
+        return out
+
+    def _scores(self, raw, letter, starts, ends) -> np.ndarray:
         where = np.flatnonzero(letter)
         sizes = ends - starts
         at = np.cumsum(sizes) - sizes
@@ -172,7 +182,7 @@ class Model:
             return nothing
         bounds = np.searchsorted(starts, edges)
         labels = self.labels(self.scores(raw, letter, starts, ends), bounds)
-        point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to each byte, this one included
+        point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # code points up to each byte, this one included
         change = np.ones(len(labels), bool)
         change[1:] = labels[1:] != labels[:-1]
         change[bounds[:-1][np.diff(bounds) > 0]] = True

@@ -52,6 +52,13 @@ def test_spans_of_mixed_text(model):
     assert spans[0][0] == 0 and abs(spans[1][0] - len(en * 3)) < 8
 
 
+def test_words_are_scored_alike_in_parts(model, monkeypatch):
+    text = "the of and das ist nicht, été señor 12 über-all " * 40
+    whole = words(model, text)
+    monkeypatch.setattr(L, "WORDS", 7)
+    assert np.array_equal(words(model, text), whole)
+
+
 def test_scripts_narrow_the_candidates():
     m = L.Model([("the cat and the dog " * 20, "en"), ("кот и собака в доме " * 20, "ru"), ("der hund und die katze " * 20, "de")])
     assert [x[0] for x in m.identify(["Собака", "the dog", "und die", "ΑΒΓ", "漢字", "123 !?", ""])][:3] == ["ru", "en", "de"]
