@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, small_or_plain
+from .common import map_texts, settled, small_or_plain
 
 MASKS = ("111111", "1110111", "1111011", "11011011")
 #: Characters of benchmark text in one broadcast block.
@@ -174,5 +174,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that overlap no item. Rows with a null id are judged together, as one document."""
-    bad = overlaps(docs, benchmark, id_col=id_col, **how).select(F.col("id").alias("__bad")).distinct()
+    bad = settled(overlaps(docs, benchmark, id_col=id_col, **how).select(F.col("id").alias("__bad")).distinct())  # else counted and joined from two searches
     return docs.join(small_or_plain(bad, 1_000_000), docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
