@@ -28,6 +28,8 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BUCKET = 2048
 #: Bytes of text that are taken apart at once.
 PART = 1 << 20
+#: A fingerprint with over a MANYth of all rows, and over MANY, is joined by a broadcast.
+MANY = 300
 
 
 def _parts(text: bytes, size: int):
@@ -156,13 +158,16 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """One row (id, fp, component) a document; component: the smallest id reachable over links, its own included."""
     each = settled(fingerprints(docs, id_col, text_col, shingle, seed))
-    reps = settled(each.groupBy("fp").agg(F.min("id").alias("rep")))
+    reps = settled(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     stars = components(links(reps.select("fp"), max_bits, bucket), "a", "b")
     linked = reps.join(stars, reps.fp == stars.node).select("fp", "root", "rep")
     lowest = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(lowest, "root").select("fp", "least")
-    named = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"))
-    return each.join(named, "fp", "left").select("id", "fp", "component")
+    named = reps.join(linked, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component"), "copies")
+    hot = max(MANY, each.count() // MANY)  # at most MANY fingerprints have more copies; those rows are not shuffled
+    few = F.broadcast(settled(named.where(F.col("copies") > hot).drop("copies")))
+    rest = each.join(few.select("fp"), "fp", "left_anti").join(named.where(F.col("copies") <= hot).drop("copies"), "fp")
+    return each.join(few, "fp").unionByName(rest).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
