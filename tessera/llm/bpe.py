@@ -28,7 +28,9 @@ from .common import map_texts
 NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Entries of the per-worker memory of units; it is emptied when full, which changes no result.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
+#: Ids that are decoded at once, and bytes of text that are encoded at once, to bound memory.
+DECODE_IDS, ENCODE_BYTES = 1 << 19, 2 << 20
 #: Marks a unit at the start of a text; no text holds this code point.
 FIRST = "\ud800"
 
@@ -238,9 +240,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text, from ids end to end."""
-        lengths = self.lengths[ids]
-        data = gather(self.bytes, self.offsets[ids], lengths).tobytes()
-        upto = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        parts = [ids[at : at + DECODE_IDS] for at in range(0, len(ids), DECODE_IDS)]
+        data = b"".join([gather(self.bytes, self.offsets[x], self.lengths[x]).tobytes() for x in parts])
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.lengths[ids])))
+        upto = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [data[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
 
@@ -277,7 +280,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ("doc_id"
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
         return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*keep, "ids"])
 
-    return map_texts(docs, list(keep), text_col, run, f"{kinds}, ids array<int>")
+    return map_texts(docs, list(keep), text_col, run, f"{kinds}, ids array<int>", ENCODE_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -291,11 +294,15 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
         codec = None
         for whole in batches:
             codec = codec or _codec(file.value, pattern)
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                col = batch.column(at)
-                counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                data = codec.decode(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64))
+            many = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(whole.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            start = 0
+            while start < whole.num_rows:  # rows of about DECODE_IDS ids, one at least
+                limit = DECODE_IDS + (int(many[start - 1]) if start else 0)
+                end = max(start + 1, int(np.searchsorted(many, limit, side="right")))
+                batch = whole.slice(start, end - start)
+                counts = np.diff(many[start:end], prepend=many[start - 1] if start else 0)
+                start, col = end, batch.column(at)
+                data = codec.decode(col.flatten().to_numpy(zero_copy_only=False), counts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -42,7 +42,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_texts(docs: DataFrame, keep: list[str], text_col: str, fn: Callable, schema: str) -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], text_col: str, fn: Callable, schema: str, most_bytes: int = 4 << 20) -> DataFrame:
     """Apply `fn(texts: list[bytes], table: pa.RecordBatch) -> pa.RecordBatch` to Arrow batches of UTF-8 texts; null is empty.
 
     Only the columns in `keep` and the text are read, so other columns may have any name.
@@ -51,7 +51,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, fn: Callable, sch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most_bytes):
                 texts = [x or b"" for x in piece.column(piece.num_columns - 1).cast(pa.binary()).to_pylist()]
                 out = fn(texts, piece)
                 if out is not None and out.num_rows:
@@ -60,7 +60,7 @@ def map_texts(docs: DataFrame, keep: list[str], text_col: str, fn: Callable, sch
     return src.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about `most_bytes` of text each (one row at least), to bound memory."""
     col = batch.column(batch.num_columns - 1)
     sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
