@@ -3,12 +3,12 @@
 Tokens are runs of ASCII letters and digits and of non-ASCII characters, in lower case. Every window of a benchmark
 item and of a document is hashed once per fixed mask; a mask reads the positions marked 1 and ignores those marked 0,
 so a substituted token at an ignored position does not hide the hit. Hits of the hash join are verified on the token
-sequences themselves: along the hit's diagonal the region with the most matches is taken in which matches outweigh
-mismatches three to one, and it counts as an overlap if it has `least` matching tokens (for items shorter than
-`least / 0.8` tokens: four fifths of the item's tokens).
+sequences themselves: along the hit's diagonal the region with the most matches is taken in which there are at least
+three matches to a mismatch, and it counts as an overlap if it has `least` matching tokens (for items shorter than
+`least / 0.8` tokens: four fifths of the item's tokens, all others counting as mismatches). Some mask of MASKS lies in
+every region of 13 matches or more; short items have masks of their own, one for every way to miss a fifth.
 
-Defined cases: null or tokenless texts and items never overlap; items shorter than the shortest mask are matched as one
-whole n-gram; repeated document rows give repeated result rows, repeated items count once each; a pair of document and
+Defined cases: null or tokenless texts and items never overlap; repeated document rows give repeated result rows, repeated items count once each; a pair of document and
 item is reported once, with its longest overlap (the first in the text on ties); other columns are ignored whatever
 their names; empty tables give no rows. The benchmark is taken in blocks of a bounded size, each broadcast in turn.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, settled, small_or_plain
 
-MASKS = ("111111", "1110111", "1111011", "11011011")
+#: No region of 13 matches or more, three to a mismatch, avoids all of them (the tests search through all arrangements).
+MASKS = ("111111", "1110111", "1111011", "11011011", "1111101", "11111001", "11110101", "11110011", "1011111")
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 16_000_000
 CHUNK = 1 << 20
@@ -76,13 +78,31 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_region(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the region with the most matches net of three times its mismatches."""
+    """(start, end, matches) of the region with the most matches and at least three to a mismatch; the first on ties."""
     run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-    low = np.minimum.accumulate(run)
-    gain = run - low
-    end = int(gain.argmax())
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+    count = np.concatenate(([0], np.cumsum(equal)))
+    first = np.searchsorted(-np.minimum.accumulate(run), -run)  # for each end the earliest start with a net of zero or more
+    end = int((count - count[first]).argmax())
+    inside = np.flatnonzero(equal[first[end] : end]) + first[end]
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
+def short_masks(n: int, misses: int) -> list[tuple[str, int]]:
+    """(mask, place in the item) such that any `misses` tokens of an item of `n` tokens lie outside some mask.
+
+    The item is cut into as few parts as leave six marked positions, or into single tokens, and every choice of
+    `misses` parts is ignored once.
+    """
+    out = []
+    for parts in range(misses + 1, n + 1):
+        sizes = np.array_split(np.arange(n), parts)
+        if n - misses * len(sizes[0]) >= 6 or parts == n:
+            for gone in combinations(sizes, misses):
+                ignored = {int(i) for part in gone for i in part}
+                mask = "".join("0" if i in ignored else "1" for i in range(n))
+                out.append((mask.strip("0"), mask.index("1")))
+            break
+    return out
 
 
 class Index:
@@ -92,12 +112,17 @@ class Index:
         self.ids = [i for i, _ in items]
         self.tokens = [token_hashes(t)[0] for _, t in items]
         self.need = [least if 0.8 * len(t) >= least else math.ceil(0.8 * len(t)) for t in self.tokens]
-        shortest = min(map(len, masks))
-        self.masks = list(masks) + ["1" * k for k in sorted({len(t) for t in self.tokens if 0 < len(t) < shortest})]
+        rows_of: dict[str, list[tuple[int, int, int]]] = {mask: [] for mask in masks}
+        for i, t in enumerate(self.tokens):
+            if 0.8 * len(t) >= least:
+                for mask in masks:
+                    rows_of[mask] += [(h, i, p) for p, h in enumerate(seeds(t, mask).tolist())]
+            elif len(t):
+                for mask, p in short_masks(len(t), len(t) - self.need[i]):
+                    rows_of.setdefault(mask, []).append((int(seeds(t[p : p + len(mask)], mask)[0]), i, p))
+        self.masks = list(rows_of)
         self.tables = []
-        for mask in self.masks:
-            exact = len(mask) < shortest
-            rows = [(h, i, p) for i, t in enumerate(self.tokens) if not exact or len(t) == len(mask) for p, h in enumerate(seeds(t, mask).tolist())]
+        for rows in rows_of.values():
             keys = np.array([r[0] for r in rows], np.uint64)
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << 20, bool)

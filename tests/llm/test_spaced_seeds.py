@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 from tessera.llm import spaced_seeds as S
@@ -67,3 +69,50 @@ def test_long_data_are_hashed_alike_in_chunks(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 37)
     parts = S.token_hashes(text)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def brute_overlap(item, text, least=13):
+    """Most matches over all placements and regions with three matches to a mismatch, if they are enough."""
+    need, best = (least if 0.8 * len(item) >= least else math.ceil(0.8 * len(item))), 0
+    for shift in range(-len(item) + 1, len(text)):
+        equal = [0 <= shift + i < len(text) and text[shift + i] == x for i, x in enumerate(item)]
+        for a in range(len(item)):
+            hits = 0
+            for b in range(a, len(item)):
+                hits += equal[b]
+                if hits > best and hits >= 3 * (b + 1 - a - hits):
+                    best = hits
+    return best if best >= need else None
+
+
+def test_against_all_placements(spark):
+    rng = random.Random(3)
+    items, texts = [], []
+    for n in [*range(2, 18), 20, 20, 26, 34, 34]:
+        item = [f"w{rng.randrange(400)}" for _ in range(n)]
+        for k in range(1, 7):
+            copy = list(item)
+            for i in rng.sample(range(n), min(n, k)):
+                copy[i] = f"x{rng.randrange(400)}"
+            cut = rng.choice([0, 0, 0, 1, 2])
+            texts.append(copy[cut:] if k % 2 else [*"before it".split(), *copy, *"after it".split()])
+        items.append(item)
+    w = ITEM.split()
+    items.append(w)
+    texts += [["x" if i % 4 == 3 and i < 16 else x for i, x in enumerate(w)], [*w[:9], "y", "y", *w[11:]]]
+    items.append([f"v{i}" for i in range(34)])
+    texts.append([f"v{i}" if not 12 <= i < 16 and i not in (20, 27) else "z" for i in range(34)])
+    want = sorted((d, i, m) for d, t in enumerate(texts) for i, x in enumerate(items) if (m := brute_overlap(x, t)))
+    found = S.overlaps(docs(spark, *map(" ".join, texts)), bench(spark, *map(" ".join, items)))
+    assert sorted((r.id, r.item, r.n_matches) for r in found.collect()) == want and len(want) > 40
+
+
+def test_no_region_avoids_all_masks():
+    """All arrangements of 13 to 25 matches with three to a mismatch, as far as no mask lies in them; longer regions hold such ones."""
+    span = max(map(len, S.MASKS))
+    bits = [int(m, 2) for m in S.MASKS]
+    front = {(1, 1, 0)}  # the last tokens as bits, matches, mismatches
+    while front:
+        assert not any(m >= 13 and 3 * x <= m for _, m, x in front)
+        steps = {((s << 1 | v) & (1 << span) - 1, m + v, x + 1 - v) for s, m, x in front for v in (0, 1)}
+        front = {(s, m, x) for s, m, x in steps if m <= 25 and x <= 8 and not any(s & b == b for b in bits)}
