@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of ASCII letters and digits and of non-ASCII characters, in lower case. Every window of a benchmark
+Tokens are runs of letters, digits and marks in lower case; ASCII signs and all Unicode white space and punctuation part
+them. Characters of scripts written without spaces, and non-ASCII symbols, are tokens of their own. Every window of a benchmark
 item and of a document is hashed once per fixed mask; a mask reads the positions marked 1 and ignores those marked 0,
 so a substituted token at an ignored position does not hide the hit. Hits of the hash join are verified on the token
 sequences themselves: along the hit's diagonal the region with the most matches is taken in which there are at least
@@ -16,7 +17,8 @@ their names; empty tables give no rows. The benchmark is taken in blocks of a bo
 from __future__ import annotations
 
 import math
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +41,39 @@ _SLOT = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _KEEP = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 
+#: Code points of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Tai, Khmer, kana, bopomofo, Han, Yi, and their extensions.
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B16F), (0x1F200, 0x1F2FF), (0x20000, 0x323AF))
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 0 a part of a token or ASCII, 1 between tokens, 2 a token of its own."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for i in range(128, 0x110000):
+        c = unicodedata.category(chr(i))
+        if c[0] in "ZP" or c == "Cc" or i in (0x200B, 0x2060, 0xFEFF):
+            kinds[i] = 1
+        elif c in ("Sm", "Sc", "So"):
+            kinds[i] = 2
+    for lo, hi in UNSPACED:
+        kinds[lo : hi + 1][kinds[lo : hi + 1] == 0] = 2
+    return kinds
+
+
+def folded(text: bytes) -> bytes:
+    """The text in lower case with ASCII spaces for other separators and around characters that are tokens."""
+    if text.isascii():
+        return text.lower()
+    codes = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+    kind = _kinds()[codes]
+    codes = np.where(kind == 1, np.uint32(32), codes)
+    if (kind == 2).any():
+        wide = np.where(kind == 2, 3, 1)
+        last, codes = np.cumsum(wide) - 1, np.repeat(codes, wide)
+        codes[last[kind == 2]] = codes[last[kind == 2] - 2] = 32
+    return codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+
+
 def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash and the byte offset of every token of lower-cased UTF-8; long data are read in chunks."""
     raw = np.frombuffer(data, np.uint8)
@@ -110,7 +145,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...], least: int):
         self.ids = [i for i, _ in items]
-        self.tokens = [token_hashes(t)[0] for _, t in items]
+        self.tokens = [token_hashes(folded(t))[0] for _, t in items]
         self.need = [least if 0.8 * len(t) >= least else math.ceil(0.8 * len(t)) for t in self.tokens]
         rows_of: dict[str, list[tuple[int, int, int]]] = {mask: [] for mask in masks}
         for i, t in enumerate(self.tokens):
@@ -180,7 +215,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             if not held:
                 held.append(Index(sent.value, masks, least))
             index = held[0]
-            low = [x.lower() if x.isascii() else x.decode("utf-8", "replace").lower().encode() for x in texts]
+            low = [folded(x) for x in texts]
             tokens, starts = token_hashes(b"\n".join(low))
             ends = np.cumsum([len(x) + 1 for x in low])
             bounds = np.concatenate(([0], np.searchsorted(starts, ends)))

@@ -116,3 +116,12 @@ def test_no_region_avoids_all_masks():
         assert not any(m >= 13 and 3 * x <= m for _, m, x in front)
         steps = {((s << 1 | v) & (1 << span) - 1, m + v, x + 1 - v) for s, m, x in front for v in (0, 1)}
         front = {(s, m, x) for s, m, x in steps if m <= 25 and x <= 8 and not any(s & b == b for b in bits)}
+
+
+def test_unicode_spaces_marks_and_unspaced_scripts(spark):
+    han = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    texts = [f"今日の詩は「{han}」という", f"x {ITEM.replace(' ', chr(0xA0))} y", f"x {ITEM.replace(' ', chr(0x3000))} y", " ".join(f"“{w}”" for w in ITEM.split()), ITEM.replace(" ", "—"), han[:3] + "その他の文字", "5€ " + ITEM.replace(" ", " "), "café " + ITEM]
+    found = S.overlaps(docs(spark, *texts), bench(spark, ITEM, han))
+    assert pairs(found) == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0), (6, 0), (7, 0)]
+    starts = {r.id: (r.text_start, r.n_tokens) for r in found.collect()}
+    assert starts[0] == (5, 20) and starts[3] == (0, 20) and starts[6] == (2, 20) and starts[7] == (1, 20)
