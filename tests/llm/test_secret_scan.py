@@ -75,3 +75,13 @@ def test_redaction(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in odd(spark).collect()}
     assert S.redact(empty(spark)).count() == 0 and S.scan(empty(spark)).count() == 0
     assert S.scan(odd(spark)).where("size(spans) > 0").count() == 0
+
+
+def test_contexts_with_suffixes_tabs_arrows_and_schemes():
+    value = "x9K2mPq7Zt4WvB3nL"
+    for before in ("secret_key=", "aws_secret_access_key = ", "private_key: ", "password:\t", "password\t=\t", "password => ", "'password' => '", "secretAccessKey: ", "token_value = ", "client_secret_value=", "Authorization: Bearer ", "authorization: bearer\t", "Authorization: Basic ", "Authorization: token ", "bearer ", "password: secret: ", "password := ", "cfg['password'] = '", "api key is ", "Bearer: "):
+        text = f"é {before}{value} end"
+        assert ("guess", len(before) + 2, len(before) + 2 + len(value)) in S.spans(text), before
+        assert value not in S.redacted(text)
+    assert all(k != "guess" for text in ("Authorization: Bearer of password: password123, token => changeme", "bearer " * 2000) for k, *_ in S.spans(text))
+    assert [s for s in S.spans("pwd: password123 token: " + value) if s[0] == "guess"] == [("guess", 24, 41)]
