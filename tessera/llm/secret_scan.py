@@ -12,11 +12,15 @@ other than id and text are ignored by `scan` and kept as they are by `redact`; n
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import re
 
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,33 @@ superman batman trustno iloveyou qwerty abc secret default guest test user root
 true false token value string your here insert replace placeholder todo summer winter spring autumn love star king
 london paris berlin madrid january february march april may june july august september october november december monday
 friday sunday the and with from this that computer internet server database public private access system service""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+LONGEST = 20
+
+
+def _ranks() -> dict[str, int]:
+    """The place of common password words, then of words and word parts of four letters or more in the vocabularies of
+    four public tokenizers (English, many languages, whole words, pieces), which list them by frequency: at most 180,000.
+    """
+    listed: list[list[str]] = []
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            ranked = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, f))
+        listed.append([token.decode("utf-8", "ignore").strip() for _, token in ranked])
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    listed.append([w.removesuffix("</w>") for w in sorted(vocab, key=vocab.get)])
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    listed.append([pieces.id_to_piece(i).strip("\u2581") for i in range(pieces.get_piece_size())])
+    ranks: dict[str, int] = {}
+    for words in (COMMON, *listed):
+        own = dict.fromkeys(w.lower() for w in words if words is COMMON or 4 <= len(w) <= LONGEST and w.isalpha())
+        for i, w in enumerate(own):
+            place = i + 1 if words is COMMON else len(COMMON) + i + 1
+            ranks[w] = min(place, ranks.get(w, place))
+    return ranks
+
+
+RANK = _ranks()
 PLAIN = str.maketrans("043157$@!", "oaeistsai")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 from tessera.llm import queries
 from tessera.llm import secret_scan as S
@@ -85,3 +87,14 @@ def test_contexts_with_suffixes_tabs_arrows_and_schemes():
         assert value not in S.redacted(text)
     assert all(k != "guess" for text in ("Authorization: Bearer of password: password123, token => changeme", "bearer " * 2000) for k, *_ in S.spans(text))
     assert [s for s in S.spans("pwd: password123 token: " + value) if s[0] == "guess"] == [("guess", 24, 41)]
+
+
+def test_long_ordinary_words_in_context_stay_below_the_limit():
+    words = "invalidated prohibited authorization misappropriated internationalization unauthorized synchronized regenerated discontinued responsibilities confidential unavailable automatically transmitted obligatoires responsabilidades erforderlichen Bedingungen"
+    for word in words.split():
+        assert S.guess_cost(word) < S.LEAST, word
+        assert not S.spans(f"The token is {word} when") and not S.spans(f"Authorization is {word} here."), word
+    rng = random.Random(1)
+    for alphabet in (string.ascii_lowercase, string.ascii_letters + string.digits):
+        assert sum(S.guess_cost("".join(rng.choices(alphabet, k=13))) >= S.LEAST for _ in range(500)) >= 495
+    assert S.guess_cost("correcthorsebatterystaple") >= S.LEAST and len(S.RANK) <= 180_000
