@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     limit = lambda y: int(min(1.0, sample / total[y]) * (1 << 30))
     chosen = marks.where(F.col("h") < F.when(F.col("y") == 1, limit(1)).otherwise(limit(0))).select("i", "y")
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.length("t") <= sample_chars)
-    rows = sorted((r[0], r[1], r[2]) for r in own.join(small_or_plain(chosen, 4 * sample), "i").select("i", "t", "y").collect())  # the sample
+    rows = sorted((r[0], r[1], r[2]) for r in own.join(small_or_plain(chosen), "i").select("i", "t", "y").collect())  # the sample
     y = np.array([r[2] for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return Model(share)

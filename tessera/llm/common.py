@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if have.isDefined():
         return have.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -28,10 +31,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_plain(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it is counted to hold at most `max_rows` rows; otherwise unchanged (a shuffled join)."""
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+#: Bytes up to which a table is broadcast; each row counts ROW bytes and its strings and binaries.
+BROADCAST_BYTES, ROW = 64 << 20, 64
+
+
+def fits(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether `df` is measured to take at most `most_bytes` when broadcast."""
+    sizes = [F.coalesce(F.octet_length(f"`{c}`").cast("long"), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return (df.agg(F.sum(sum(sizes, F.lit(ROW)).cast("long"))).first()[0] or 0) <= most_bytes
+
+
+def small_or_plain(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it `fits`; otherwise unchanged (a shuffled join). It is computed for both uses."""
+    return F.broadcast(df) if fits(df, most_bytes) else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -75,16 +75,14 @@ def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(warc.records(_table(spark, sf_dir, "pages")), path)
-    back = warc.read(spark, path)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:x-page:(-?[0-9]+)', 1) as bigint)")
-    mine = F.col("warc_type") == "response"
-    out = back.select(
-        number("record_id").alias("page_id"),
-        F.when(mine, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(mine, warc.base32_sha1(F.col("payload"))).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        number("refers_to").alias("refers_to"),
-    )
+
+    def rows(back: DataFrame, kind: str, size, digest) -> DataFrame:
+        return back.where(F.col("warc_type") == kind).select(number("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), F.lit(kind).alias("record_type"), number("refers_to").alias("refers_to"))
+
+    responses = rows(warc.read(spark, path), "response", F.octet_length("payload").cast("long"), warc.base32_sha1(F.col("payload")))
+    revisits = rows(warc.read(spark, path, payload=False), "revisit", F.col("declared_length"), F.substring_index("payload_digest", ":", -1))
+    out = responses.unionByName(revisits)
     out = settled(out)  # a few columns a page, so that the archive need not stay
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,18 +4,29 @@ Writing is DataFrame functions and Spark's own text writer with CRLF as the line
 reaches takes the archives and a lost task is simply written again. Payload digests group equal payloads; the record of
 the largest id is the response and the others are revisits without payload.
 
-Reading plans partitions from the files (small files share one, up to `partition_bytes`), takes predicates on the
-record type and the other header columns, parses a record's headers first and seeks over the block of a record that no
-predicate wants or whose payload is not asked for.
+Reading plans partitions from the files, takes predicates on the record type and the other header columns, parses a
+record's headers first and seeks over the block of a record that no predicate wants or whose payload is not asked for.
+Small files share a partition, up to `partition_bytes`; a larger plain file is cut into ranges of that size, and a record
+belongs to the range that holds its first byte. Each range's task hops from the file's start over headers alone, since a
+payload may itself hold what looks like a record. A gzip file is one partition: nothing in it tells where a member ends.
+
+`payload_length` counts the payload bytes that stand in the block, whatever its HTTP head says; `declared_length` is the
+Content-Length of that head, null unless it is one plain number. A head may have any size; a block without the empty line
+after its head has no payload. A record whose own Content-Length is missing or no plain number has null lengths and no
+payload, and reading goes on at the next line that begins with `WARC/`, as it does after a length that is too short; one
+that reaches beyond the end of the file takes what is there. A gzip member that is cut short fails the read.
 
 Defined cases: a null payload is empty; of repeated rows with the largest id of their payload all are responses; a null
 id is smaller than any other and, where all ids of a payload are null, its rows are responses; line breaks in a URL
-become spaces, a null URL is left out; an archive without records gives no rows; other columns are ignored.
+become spaces, a null URL is left out; an archive without records gives no rows; other columns are ignored. A payload is
+one cell and so must fit a task (below 2 GB); without payloads records of any length are read.
 """
 
 from __future__ import annotations
 
 import io
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +36,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith
 
-from .common import small_or_plain
+from .common import fits, settled
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SCHEMA = "record_id string, warc_type string, target_uri string, date string, payload_digest string, refers_to string, content_type string, payload_length long, payload binary"
+SCHEMA = "record_id string, warc_type string, target_uri string, date string, payload_digest string, refers_to string, content_type string, payload_length long, declared_length long, payload binary"
 #: Header of each column that predicates can be pushed to.
 HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type"}
 BATCH_BYTES = 8 << 20
-#: Bytes of a block that are read for its own headers when the payload is not asked for.
-HEAD = 16 << 10
+#: Bytes of a line of an HTTP head, or of a line between records, that are looked at; a field's name and number stand there.
+LINE = 64 << 10
+NUMBER = re.compile(r"[0-9]{1,18}")
 
 
 def base32_sha1(data: Column) -> Column:
@@ -45,12 +57,21 @@ def base32_sha1(data: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Rows (id, url, payload, payload_bytes, payload_digest, record_type, refers_to)."""
+    """Rows (id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
+
+    Payloads that are shared are found on their digests alone. If those are few they are broadcast; otherwise each row's
+    verdict is settled first and joined by id, so that no payload is shuffled to where its many copies meet.
+    """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     own = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     own = own.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
     shared = own.groupBy("payload_digest").agg(F.max("id").alias("winner"), F.count("*").alias("copies")).where("copies > 1 and winner is not null").drop("copies")
-    joined = own.join(small_or_plain(shared, 500_000), "payload_digest", "left")
+    shared = settled(shared)
+    if fits(shared):
+        joined = own.join(F.broadcast(shared), "payload_digest", "left")
+    else:
+        verdicts = own.select("id", "payload_digest").join(shared, "payload_digest").distinct().withColumnsRenamed({"id": "i", "payload_digest": "d"})
+        joined = own.join(verdicts, own.id.eqNullSafe(verdicts.i) & (own.payload_digest == verdicts.d), "left")
     revisit = F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner"))
     return joined.select("id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
 
@@ -89,7 +110,9 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """(path, first byte, byte after the last) of each piece."""
+
+    pieces: list[tuple[str, int, int]]
 
 
 class WarcReader(DataSourceReader):
@@ -111,14 +134,18 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         fs, path = _open(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True)) if fs.get_file_info(path).type == pafs.FileType.Directory else [fs.get_file_info(path)]
-        plan, held = [], 0
+        plan, shared, held = [], [], 0
         for info in sorted((x for x in found if x.type == pafs.FileType.File and x.size and not x.base_name.startswith(("_", "."))), key=lambda x: x.path):
-            if not plan or held + info.size > self.most:
-                plan.append(Files([]))
+            if info.size > self.most and not info.path.endswith(".gz"):
+                ranges = math.ceil(info.size / self.most)
+                plan += [Files([(info.path, info.size * k // ranges, info.size * (k + 1) // ranges)]) for k in range(ranges)]
+                continue
+            if not shared or held + info.size > self.most:
+                shared.append(Files([]))
                 held = 0
-            plan[-1].paths.append(info.path)
+            shared[-1].pieces.append((info.path, 0, info.size))
             held += info.size
-        return plan or [Files([])]
+        return plan + shared or [Files([])]
 
     def wanted(self, headers: dict[str, str]) -> bool:
         for name, kind, value in self.tests:
@@ -130,10 +157,11 @@ class WarcReader(DataSourceReader):
     def read(self, partition):
         fs, _ = _open(self.path)
         rows, held = [], 0
-        for path in partition.paths:
+        for path, start, end in partition.pieces:
             packed = path.endswith(".gz")
-            with fs.open_input_stream(path, compression="gzip" if packed else None) if packed else fs.open_input_file(path) as raw:
-                for row in _records(io.BufferedReader(raw, 1 << 20), self, not packed):
+            with fs.open_input_stream(path, compression="gzip") if packed else fs.open_input_file(path) as raw:
+                stream = io.BufferedReader(raw, 1 << 20 if packed or self.payload and not start else 16 << 10)
+                for row in _records(stream, self, None if packed else raw.size(), start, end):
                     rows.append(row)
                     held += 512 + len(row[-1] or b"")
                     if held > BATCH_BYTES:
@@ -156,42 +184,80 @@ def _fields(stream) -> dict[str, str]:
     return out
 
 
-def _records(stream, reader: WarcReader, seekable: bool) -> Iterator[tuple]:
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            if line.strip():
-                raise ValueError(f"no WARC record starts with {line[:40]!r}")
+def _number(text: str) -> int | None:
+    return int(text) if NUMBER.fullmatch(text) else None
+
+
+def _line(stream, most: int | None = None) -> tuple[bytes, int]:
+    """The next line, cut to LINE bytes, and how many bytes of the stream it takes; at most `most`."""
+    line = stream.readline(LINE if most is None else min(LINE, most))
+    size, ended = len(line), line.endswith(b"\n")
+    while size and not ended and (most is None or size < most):
+        more = stream.readline(LINE if most is None else min(LINE, most - size))
+        if not more:
+            break
+        size, ended = size + len(more), more.endswith(b"\n")
+    return line, size
+
+
+def _http_head(stream, size: int) -> tuple[int, int | None]:
+    """Bytes of the head of a block of `size` bytes, the empty line included, and the one length that it declares."""
+    read, declared = 0, []
+    while read < size:
+        line, taken = _line(stream, size - read)
+        read += taken
+        if not taken or not line.strip(b"\r\n"):
+            break
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length":
+            declared.append(value.strip().decode("utf-8", "replace"))
+    return read, _number(declared[0]) if len(declared) == 1 else None
+
+
+def _records(stream, reader: WarcReader, file_size: int | None, start: int, end: int) -> Iterator[tuple]:
+    """The wanted records that begin from `start` up to `end`; file_size is None for a stream that can't seek."""
+    while True:
+        at = stream.tell() if file_size is not None else start
+        line, taken = _line(stream)
+        if not taken or at >= end and file_size is not None:
+            return
+        if not line.startswith(b"WARC/"):  # empty lines between records, and what a bad length leaves behind
             continue
         headers = _fields(stream)
-        size = int(headers.get("content-length", 0))
-        want = reader.wanted(headers)
-        http = "application/http" in headers.get("content-type", "")
-        data, length = None, size
-        if want:
-            block = io.BytesIO(stream.read(size if reader.payload else min(size, HEAD) if http else 0))
-            _skip(stream, size - len(block.getvalue()), seekable)
-            if http:  # the payload's length stands in the block's own headers
-                block.readline()
-                length = int(_fields(block).get("content-length", size - block.tell()))
-            if reader.payload and headers.get("warc-type") != "revisit":
-                data = block.read()
+        size = _number(headers.get("content-length", ""))
+        want = at >= start and reader.wanted(headers)
+        if size is None:
+            if want:
+                yield (*(headers.get(x) for x in HEADERS.values()), None, None, None)
+            continue
+        if file_size is not None:
+            size = min(size, file_size - stream.tell())
+        if not want:
+            _skip(stream, size, file_size is not None)
+            continue
+        head, declared = _http_head(stream, size) if "application/http" in headers.get("content-type", "") else (0, None)
+        if reader.payload and headers.get("warc-type") != "revisit":
+            data = stream.read(size - head)
+            length = len(data)
         else:
-            _skip(stream, size, seekable)
-        if want:
-            yield (*(headers.get(x) for x in HEADERS.values()), length, data)
+            data, length = None, _skip(stream, size - head, file_size is not None)
+        yield (*(headers.get(x) for x in HEADERS.values()), length, declared, data)
 
 
-def _skip(stream, size: int, seekable: bool) -> None:
+def _skip(stream, size: int, seekable: bool) -> int:
+    """Passes over `size` bytes; the number of those that were there."""
     if seekable:
         stream.seek(size, io.SEEK_CUR)
-        return
-    while size > 0 and (got := len(stream.read(min(size, 1 << 20)))):
-        size -= got
+        return size
+    left = size
+    while left > 0 and (got := len(stream.read(min(left, 1 << 20)))):
+        left -= got
+    return size - left
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * len(HEADERS) + [pa.int64(), pa.binary()]
-    names = [*HEADERS, "payload_length", "payload"]
+    kinds = [pa.string()] * len(HEADERS) + [pa.int64(), pa.int64(), pa.binary()]
+    names = [*HEADERS, "payload_length", "declared_length", "payload"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
