@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and the guess cost of values in a credential context.
 
 The fixed patterns give spans of the kinds assign, access and hex. Beside them every value that follows a credential
-word is priced by dynamic programming: the cheapest segmentation into common words, dates, repeats, keyboard walks and
-brute-force stretches, in powers of ten of the guesses that a cracker would need. Values that cost `least` or more get
-a span of the kind guess; placeholders, plain words and keyboard walks stay below.
+word is priced by dynamic programming: the cheapest segmentation into common words, dates, repeated blocks, keyboard
+walks and brute-force stretches, in powers of ten of the guesses that a cracker would need. It is the true minimum over
+all segmentations: a walk, a repeat or a date may begin at any of its characters. Values that cost `least` or more get a
+span of the kind guess; placeholders, plain words and keyboard walks stay below.
 
 Defined cases: null and empty texts have no spans; whole texts are scanned, and a value of any length is priced in
-time proportional to its length; offsets count code points, ends exclusive; repeated rows are scanned alike; columns
-other than id and text are ignored by `scan` and kept as they are by `redact`; no rows give no rows.
+time proportional to its length; offsets count code points, ends exclusive; repeated rows are scanned alike; spans of
+equal start go by kind, as listed in KINDS, and overlapping ones all stay; columns other than id and text are ignored by
+`scan` and kept as they are by `redact`, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import base64
 import json
 import math
 import re
+from functools import lru_cache
 
 import pandas as pd
 import public_tokenizers
@@ -73,51 +76,96 @@ PLAIN = str.maketrans("043157$@!", "oaeistsai")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 DATE = re.compile(r"(?:(?:19|20)\d\d)([-/.]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/.]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d)|(?:19|20)\d\d")
-#: Powers of ten of guesses: one more segment; a character of a brute-force stretch; a year; a day.
-SEGMENT, BRUTE, YEAR, DAY = math.log10(2), 1.0, math.log10(120), math.log10(120 * 365)
+#: Powers of ten of guesses: one more segment; a character of a brute-force stretch; a year; a day; the first key and the
+#: turns of a keyboard walk, besides its length; a word in capitals or with signs for letters.
+SEGMENT, BRUTE, YEAR, DAY, WALK, VARIED = math.log10(2), 1.0, math.log10(120), math.log10(120 * 365), math.log10(47 * 4), math.log10(4)
 #: Values from 10 ** LEAST guesses on are taken for secrets.
 LEAST = 10.0
 
 
+class _Starts:
+    """Starts of a stretch that grows with its end, of which those are kept that may yet be the cheapest.
+
+    A stretch costs what lies before it and log10 of its length. Of two starts the earlier one loses ground ever more
+    slowly, so from the place where it is no dearer than a later one it stays so, and the later one is dropped.
+    """
+
+    def __init__(self):
+        self.at: list[int] = []
+
+    def least(self, best: list[float], end: int) -> float:
+        low, kept = math.inf, []
+        for x in self.at:
+            cost = best[x] + math.log10(end - x)
+            if cost < low:
+                low = cost
+                kept.append(x)
+        self.at = kept
+        return low
+
+
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for `value`: the minimum over segmentations of the sum of their costs."""
-    n, low = len(value), value.lower()
+    n, low = len(value), _lower(value)
     plain = low.translate(PLAIN)
-    alike, walk = [1] * n, [1] * n
-    for i in range(1, n):
-        if low[i] == low[i - 1]:
-            alike[i] = alike[i - 1] + 1
-        if (low[i - 1], low[i]) in NEXT:
-            walk[i] = walk[i - 1] + 1
     dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append((i, YEAR if m.end() - i == 4 else DAY))
+        if value[i].isdigit():
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, j):
+                    dates.setdefault(j, []).append((i, YEAR if j - i == 4 else DAY))
     best = [0.0] * (n + 1)
+    walk, walks = 1, _Starts()
+    same = [0] * (LONGEST + 1)  # by period: characters up to here that equal the one a period before
+    repeats: list[list[_Starts]] = [[_Starts() for _ in range(p)] for p in range(LONGEST + 1)]
     for j in range(1, n + 1):
         cost = best[j - 1] + BRUTE  # a brute-force stretch grows by one character
         for size in range(3, min(LONGEST, j) + 1):
-            rank = RANK.get(low[j - size : j])
-            turned = rank or RANK.get(plain[j - size : j])
+            part = low[j - size : j]
+            rank = RANK.get(part)
+            if rank:
+                cost = min(cost, best[j - size] + SEGMENT + math.log10(rank + 1) + (0 if value[j - size : j] == part else VARIED))
+            turned = RANK.get(plain[j - size : j])
             if turned:
-                varied = 0 if rank and value[j - size : j] == low[j - size : j] else math.log10(4)
-                cost = min(cost, best[j - size] + SEGMENT + math.log10(turned + 1) + varied)
-        if alike[j - 1] >= 3:
-            k = alike[j - 1]
-            cost = min(cost, best[j - k] + SEGMENT + BRUTE + math.log10(k))
-        if walk[j - 1] >= 3:
-            k = walk[j - 1]
-            cost = min(cost, best[j - k] + SEGMENT + math.log10(47 * 4) + math.log10(k))
+                cost = min(cost, best[j - size] + SEGMENT + math.log10(turned + 1) + (0 if value[j - size : j] == plain[j - size : j] else VARIED))
+        for p in range(1, min(LONGEST, j - 1) + 1):
+            if value[j - 1] != value[j - 1 - p]:
+                if same[p]:
+                    same[p], repeats[p] = 0, [_Starts() for _ in range(p)]
+                continue
+            same[p] += 1
+            times = 2 if p > 1 else 3
+            if same[p] >= p * (times - 1):
+                starts = repeats[p][j % p]
+                starts.at.append(j - p * times)
+                cost = min(cost, starts.least(best, j) - math.log10(p) + SEGMENT + (BRUTE if p == 1 else _block_cost(value[j - p : j])))
+        if j > 1 and (low[j - 2], low[j - 1]) in NEXT:
+            walk += 1
+            if walk >= 3:
+                walks.at.append(j - 3)
+                cost = min(cost, walks.least(best, j) + SEGMENT + WALK)
+        elif walk > 1:
+            walk, walks = 1, _Starts()
         for i, price in dates.get(j, ()):
             cost = min(cost, best[i] + SEGMENT + price)
         best[j] = cost
     return best[n]
 
 
+@lru_cache(1 << 12)
+def _block_cost(block: str) -> float:
+    return guess_cost(block)
+
+
 def spans(text: str, least: float = LEAST) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind."""
     out = []
-    low = text.lower()
+    low = text.lower()  # only searched for words, so its length may differ
     if any(w in low for w in WORDS_IN_ASSIGN):
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import string
+import time
 
 from tessera.llm import queries
 from tessera.llm import secret_scan as S
@@ -41,23 +43,63 @@ def test_whole_table(spark, sf_dir):
         assert [x for x in listed if not x.startswith("guess")] == [":".join(map(str, s)) for s in want]
 
 
-def brute_cost(value):
-    """The same costs by enumeration of all segmentations."""
+def brute_cost(value, known=None):
+    """The same costs by enumeration of all segments of every kind, each judged by itself."""
+    known = {} if known is None else known
+    if value in known:
+        return known[value]
     n, best = len(value), {0: 0.0}
 
-    def segment(i, j):
-        part, low = value[i:j], value[i:j].lower()
-        costs = [S.BRUTE] if j - i == 1 else []
-        rank = S.RANK.get(low) or S.RANK.get(low.translate(S.PLAIN))
-        if rank and j - i >= 3:
-            costs.append(S.SEGMENT + S.math.log10(rank + 1) + (0 if S.RANK.get(low) and part == low else S.math.log10(4)))
-        return min(costs, default=None)
+    def costs(part):
+        k, low = len(part), part.lower()
+        if k == 1:
+            yield S.BRUTE
+        for form in (low, low.translate(S.PLAIN)):
+            if k >= 3 and form in S.RANK:
+                yield S.SEGMENT + math.log10(S.RANK[form] + 1) + (0 if part == form else math.log10(4))
+        for p in range(1, min(S.LONGEST, k // 2) + 1):
+            if k % p == 0 and k >= 3 and part == part[:p] * (k // p):
+                yield S.SEGMENT + math.log10(k // p) + brute_cost(part[:p], known)
+        if k >= 3 and all(x in S.NEXT for x in zip(low, low[1:], strict=False)):
+            yield S.SEGMENT + math.log10(47 * 4) + math.log10(k)
+        if S.DATE.fullmatch(part):
+            yield S.SEGMENT + (S.YEAR if k == 4 else S.DAY)
 
     for j in range(1, n + 1):
-        best[j] = min(best[i] + c for i in range(j) if (c := segment(i, j)) is not None)
+        best[j] = min(best[i] + c for i in range(j) for c in costs(value[i:j]))
+    known[value] = best[n]
     return best[n]
 
 
+def mixed_value(rng):
+    out = ""
+    while len(out) < rng.randint(1, 22):
+        row = rng.choice(S.ROWS)
+        at = rng.randrange(len(row))
+        out += rng.choice([
+            lambda: rng.choice(["password", "P4ssw0rd", "monkey", "sunshine", "Dragon"]),
+            lambda: row[at : at + rng.randint(2, 6)][:: rng.choice([1, -1])],
+            lambda: "".join(rng.choices("abc12", k=rng.randint(1, 3))) * rng.randint(1, 4),
+            lambda: rng.choice(["1987-06-05", "19870605", "2011", "5.6.1999", "31122001"]),
+            lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(1, 4))),
+            lambda: "fdsasdf"[: rng.randint(2, 7)],
+        ])()
+    return out[:26]
+
+
+def test_cost_is_the_minimum_over_all_segmentations():
+    rng, known = random.Random(5), {}
+    for value in ["passwordfdsasdfghjkl", "aaaabaaaab", "abcabcabcab", "12121987", *(mixed_value(rng) for _ in range(3000))]:
+        assert abs(S.guess_cost(value) - brute_cost(value, known)) < 1e-9, value
+    assert S.guess_cost("passwordfdsasdfghjkl") < 4.3
+
+
+def test_costs_of_long_values_take_time_in_proportion():
+    began = time.time()
+    assert all(S.guess_cost(v) < S.LEAST for v in ("a" * 20_000, "ab" * 10_000, "qwerty" * 3000)) and S.guess_cost("x9K2mPq7Zt4W" * 1500) >= S.LEAST
+    assert time.time() - began < 20
+
+
 def test_guess_costs():
     for value in ("password", "P4ssw0rd", "letmeinxadmin", "zzqpassword", "monkeydragon", "kvpmzx"):
         assert abs(S.guess_cost(value) - brute_cost(value)) < 1e-9
