@@ -143,7 +143,7 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
     sizes = counted.agg(F.sum((F.col("n") > 2).cast("long")), F.max("n")).first()
     if not sizes[0]:
         return found
-    members = lambda which: posted.join(small_or_plain(counted.where(which).select("k"), 1_000_000), "k")
+    members = lambda which: posted.join(small_or_plain(counted.where(which).select("k")), "k")
     some = members(F.col("n").between(3, bucket)).groupBy("k").agg(F.collect_list("fp").alias("fps"))
     found = found.unionByName(_bucket_links(some, max_bits))
     if sizes[1] > bucket:  # each bucket of a bit run holds at most 2 ** (3 * max_bits) fingerprints

@@ -235,4 +235,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The documents that overlap no item. Rows with a null id are judged together, as one document."""
     bad = settled(overlaps(docs, benchmark, id_col=id_col, **how).select(F.col("id").alias("__bad")).distinct())  # else counted and joined from two searches
-    return docs.join(small_or_plain(bad, 1_000_000), docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    return docs.join(small_or_plain(bad), docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
