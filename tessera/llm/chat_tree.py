@@ -12,7 +12,8 @@ strings of this and other templates get a backslash after their first character;
 
 Defined cases: null roles and texts are empty; rows of one conversation go by turn (null first), then role and text, and
 repeated rows are repeated turns; rows with a null conv_id are one conversation; equal conversations share all nodes;
-other columns are ignored; no rows give no rows. One conversation is held in one task, being one output row.
+other columns are ignored; no rows give no rows. Roles and texts of any length are formatted and read back whole; one
+conversation is held in one task, being one output row. Conversations of equal turns stand in the order of their ids.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def format_tree(turns: DataFrame, **cols) -> tuple[DataFrame, DataFrame]:
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (id, turns array<struct<depth, role, text, loss, length>>): the conversations, read from the layout."""
-    body = r"(?s)^<\|turn\|>((?:\\.|[^\\\n])*)\n(.*)<\|end\|>\n$"
+    body = r"(?s)^<\|turn\|>((?:[^\\\n]++|\\.)*+)\n(.*)<\|end\|>\n$"  # possessive, so that a long role takes no stack
     parsed = nodes.select(
         "start",
         unescape(F.regexp_extract("segment", body, 1)).alias("role"),

@@ -100,3 +100,8 @@ def test_common_prefix():
     a = C.keys([("user", "x"), ("assistant", "y"), ("user", "z")])
     b = C.keys([("user", "x"), ("assistant", "y"), ("user", "w"), ("user", "z")])
     assert (C.common(a, b), C.common(a, a), C.common(a, b""), C.common(C.keys([("u", "serx")]), C.keys([("us", "erx")]))) == (2, 3, 0, 0)
+
+
+def test_long_roles_and_texts_are_read_back(spark):
+    rows = [(1, 0, "r" * 1_000_000, "x"), (1, 1, "assistant", "y" * 1_000_000), (2, 0, "\\\n" * 100_000, "\\" * 100_000), (2, 1, "assistant", "</s>" * 50_000)]
+    assert {tuple(r) for r in C.digests(conversations(spark, rows)).collect()} == brute(rows)
