@@ -1,19 +1,23 @@
 """Language spans of mixed-language text: scripts narrow the candidates, Viterbi picks among them.
 
-Every word gets a log-probability for each learned language from hashed byte trigrams, word ends included, and from
-the hashed word itself. Languages that were never seen in a word's script are ruled out for it. The labels of a text's
-words are the Viterbi path under a penalty for each switch, so that a stray word does not make a span.
+A word is a run of letters and combining marks. It gets a log-probability for each learned language from hashed byte
+trigrams, word ends included, and from the hashed word itself. Its script is told by ranges of code points, and languages
+that were never seen in that script are ruled out for it. The labels of a text's words are the Viterbi path under a
+penalty for each switch, so that a stray word does not make a span.
 
 Texts whose best single language can't be beaten by any switch are settled by that bound alone; the others step through
 Viterbi together, one word of each at a time.
 
 Defined cases: a null text and one without letters are `und` with score 0 and no spans; a text whose letters are in no
-learned script is judged by all languages; whole texts are labelled; ties go to the language first in the alphabet;
-repeated rows are labelled alike; other columns are ignored; without any training text all is `und`; no rows give none.
+learned script is judged by all languages; whole texts are labelled, the longest too; any number of languages can be
+learned; ties go to the language first in the alphabet; repeated rows are labelled alike; other columns are ignored; without any training text all is `und`; no rows give none.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,24 +32,59 @@ RULED_OUT = -40.0
 WORDS = 1 << 17
 #: Training texts for each language at most about this many, and of at most so many characters.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
-#: Leading bytes of UTF-8 for each script: (script, first, last); 0 is ASCII and so Latin.
-SCRIPTS = (("latin", 0xC3, 0xCB), ("greek", 0xCD, 0xCF), ("cyrillic", 0xD0, 0xD4), ("armenian", 0xD5, 0xD6), ("hebrew", 0xD7, 0xD7), ("arabic", 0xD8, 0xDB), ("indic", 0xE0, 0xE0), ("asian", 0xE1, 0xE3), ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED))
-NAMES = [s for s, _, _ in SCRIPTS]
+#: Ranges of code points of scripts. A letter outside all of them is of the script "other"; ASCII and combining accents are Latin.
+SCRIPTS = (
+    ("latin", 0x41, 0x36F), ("latin", 0x1E00, 0x1EFF), ("latin", 0x2C60, 0x2C7F), ("latin", 0xA720, 0xA7FF), ("latin", 0xAB30, 0xAB6F), ("latin", 0xFB00, 0xFB06), ("latin", 0xFF21, 0xFF5A),
+    ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF),
+    ("cyrillic", 0x400, 0x52F), ("cyrillic", 0x1C80, 0x1C8F), ("cyrillic", 0x2DE0, 0x2DFF), ("cyrillic", 0xA640, 0xA69F),
+    ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("hebrew", 0xFB1D, 0xFB4F),
+    ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F), ("arabic", 0x8A0, 0x8FF), ("arabic", 0xFB50, 0xFDFF), ("arabic", 0xFE70, 0xFEFF),
+    ("syriac", 0x700, 0x74F), ("thaana", 0x780, 0x7BF), ("nko", 0x7C0, 0x7FF),
+    ("devanagari", 0x900, 0x97F), ("devanagari", 0xA8E0, 0xA8FF), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF), ("oriya", 0xB00, 0xB7F),
+    ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F), ("sinhala", 0xD80, 0xDFF),
+    ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F), ("khmer", 0x1780, 0x17FF), ("mongolian", 0x1800, 0x18AF),
+    ("georgian", 0x10A0, 0x10FF), ("georgian", 0x1C90, 0x1CBF), ("georgian", 0x2D00, 0x2D2F), ("ethiopic", 0x1200, 0x139F), ("ethiopic", 0x2D80, 0x2DDF), ("cherokee", 0x13A0, 0x13FF), ("cherokee", 0xAB70, 0xABBF),
+    ("hangul", 0x1100, 0x11FF), ("hangul", 0x3130, 0x318F), ("hangul", 0xA960, 0xA97F), ("hangul", 0xAC00, 0xD7FF),
+    ("kana", 0x3040, 0x30FF), ("kana", 0x31F0, 0x31FF), ("kana", 0xFF66, 0xFF9F), ("bopomofo", 0x3100, 0x312F), ("bopomofo", 0x31A0, 0x31BF),
+    ("han", 0x2E80, 0x2FDF), ("han", 0x3005, 0x3007), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x323AF),
+)
+NAMES = ["latin", *sorted({s for s, _, _ in SCRIPTS} - {"latin"}), "other"]
+
+_LETTER = np.array([chr(i).isalpha() if i < 128 else False for i in range(256)])
+_RANGES = sorted((lo, hi, NAMES.index(s)) for s, lo, hi in SCRIPTS)
+_FROM, _TO, _OF = (np.array(x) for x in zip(*_RANGES, strict=True))
+
+
+@cache
+def _word_points() -> np.ndarray:
+    """Whether each code point is a letter or a combining mark, and so a part of a word."""
+    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+
+
+def _points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the multi-byte characters of valid UTF-8 that begin at `at`."""
+    lead = raw[at].astype(np.int32)
+    byte = lambda k: raw[np.minimum(at + k, len(raw) - 1)].astype(np.int32) & 0x3F
+    two = (lead & 0x1F) << 6 | byte(1)
+    three = (lead & 0x0F) << 12 | byte(1) << 6 | byte(2)
+    four = (lead & 0x07) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)
+    return np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+
 
-_LETTER = np.array([chr(i).isalpha() if i < 128 else True for i in range(256)])
-_SCRIPT = np.zeros(256, np.int8)
-for _k, (_, _a, _b) in enumerate(SCRIPTS):
-    _SCRIPT[_a : _b + 1] = _k
+def _script_of(points: np.ndarray) -> np.ndarray:
+    k = np.maximum(np.searchsorted(_FROM, points, side="right") - 1, 0)
+    return np.where((points >= _FROM[k]) & (points <= _TO[k]), _OF[k], len(NAMES) - 1)
 
 
 def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(is a letter byte, first byte of each word, byte after each word)."""
-    lead = raw >= 0xC0
-    bad = lead & ((raw == 0xC2) | (raw == 0xE2))
+    """(is a byte of a letter or mark, first byte of each word, byte after each word)."""
     letter = _LETTER[raw]
-    if bad.any():  # with their continuation bytes
-        group = np.cumsum(raw < 0x80) + np.cumsum(lead)
-        letter = letter & ~np.isin(group, group[bad])
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        lead = lead[_word_points()[_points(raw, lead)]]
+        size = np.where(raw[lead] < 0xE0, 2, np.where(raw[lead] < 0xF0, 3, 4))
+        for k in range(4):  # with their continuation bytes
+            letter[lead[size > k] + k] = True
     edge = np.diff(np.concatenate(([False], letter, [False])).astype(np.int8))
     return letter, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
@@ -75,12 +114,10 @@ class Model:
 
     def __init__(self, samples: list[tuple[str, str]], penalty: float = PENALTY):
         self.languages = sorted({lang for _, lang in samples})
-        #: What letters get that no word holds, such as a lone ordinal sign.
-        self.usual = max(self.languages, key=lambda x: sum(len(t) for t, lang in samples if lang == x), default="und")
         self.penalty = penalty
         count = len(self.languages)
         grams, wholes = np.ones((count, 1 << BITS)), np.full((count, 1 << BITS), 0.2)
-        scripts = np.zeros((len(SCRIPTS), count))
+        scripts = np.zeros((len(NAMES), count))
         for text, lang in samples:
             k = self.languages.index(lang)
             raw = np.frombuffer(text.lower().encode(), np.uint8)
@@ -89,7 +126,7 @@ class Model:
                 continue
             grams[k] += np.bincount(_codes(raw, letter)[letter], minlength=1 << BITS)
             wholes[k] += np.bincount(_word_codes(raw, starts, ends), minlength=1 << BITS)
-            scripts[:, k] += np.bincount(self.scripts(raw, letter, starts, ends), minlength=len(SCRIPTS))
+            scripts[:, k] += np.bincount(self.scripts(raw, letter, starts, ends), minlength=len(NAMES))
         logs = lambda x: np.log(x / x.sum(axis=1, keepdims=True)).T.astype(np.float32)
         self.grams, self.wholes = np.ascontiguousarray(logs(grams)), np.ascontiguousarray(logs(wholes))
         seen = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0))
@@ -97,9 +134,11 @@ class Model:
 
     @staticmethod
     def scripts(raw, letter, starts, ends) -> np.ndarray:
-        """The script of each word: that of its last non-ASCII leading byte if it has one, else Latin."""
-        lead = np.where(letter & (raw >= 0xC0), _SCRIPT[raw], 0)
-        return np.maximum.reduceat(np.append(lead, 0), np.stack((starts, ends), axis=1).ravel())[::2]
+        """The script of each word: the last one in NAMES of its letters' scripts; Latin if all are ASCII."""
+        at = np.flatnonzero(letter & (raw >= 0xC0))
+        own = np.zeros(len(raw) + 1, np.int64)
+        own[at] = _script_of(_points(raw, at))
+        return np.maximum.reduceat(own, np.stack((starts, ends), axis=1).ravel())[::2]
 
     def scores(self, raw, letter, starts, ends) -> np.ndarray:
         """(words, languages): log-probabilities; a bounded number of words at once."""
@@ -125,11 +164,11 @@ class Model:
         full = np.flatnonzero(sizes)
         upto = np.concatenate((np.zeros((1, count)), np.cumsum(score, axis=0, dtype=np.float64)))
         best = (upto[bounds[1:]] - upto[bounds[:-1]]).argmax(axis=1)
-        out = np.repeat(best, sizes).astype(np.int8)
+        out = np.repeat(best, sizes)
         if count == 1 or not len(full):
             return out
         text = np.repeat(np.arange(len(sizes)), sizes)
-        own = np.take_along_axis(score, out[:, None].astype(np.int64), axis=1)
+        own = np.take_along_axis(score, out[:, None], axis=1)
         worst = np.zeros(len(sizes))
         far = 1e9 * (text + 1.0)
         for k in range(count):  # the largest sum that any stretch of words gains in language k
@@ -147,7 +186,7 @@ class Model:
         first, size = bounds[texts], sizes[texts]
         steps = int(size[0])
         active = np.searchsorted(-size, -np.arange(steps), side="left")  # texts with more than t words
-        came = np.zeros((int(size.sum()), score.shape[1]), np.int8)
+        came = np.zeros((int(size.sum()), score.shape[1]), np.min_scalar_type(score.shape[1]))
         at = np.concatenate(([0], np.cumsum(active)))
         best = score[first].astype(np.float64)
         for t in range(1, steps):
@@ -165,7 +204,7 @@ class Model:
         out[first[one:]] = score[first[one:]].argmax(axis=1)
         for t in range(steps - 1, 0, -1):
             a = active[t]
-            now = out[first[:a] + t].astype(np.int64)
+            now = out[first[:a] + t]
             out[first[:a] + t - 1] = came[at[t] : at[t + 1]][np.arange(a), now]
 
     def identify(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -177,9 +216,9 @@ class Model:
         letter, starts, ends = _words(raw)
         edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in data])))
         lettered = [any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts]
-        nothing = [(self.usual if x else "und", 0.0, []) for x in lettered]
+        nothing = ("und", 0.0, [])
         if not len(starts) or not self.languages:
-            return nothing
+            return [nothing] * len(texts)
         bounds = np.searchsorted(starts, edges)
         labels = self.labels(self.scores(raw, letter, starts, ends), bounds)
         point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # code points up to each byte, this one included
@@ -197,7 +236,7 @@ class Model:
         for i in range(len(texts)):
             total = weight[i].sum()
             if not total or not lettered[i]:
-                out.append(nothing[i])
+                out.append(nothing)
                 continue
             k = int(weight[i].argmax())
             out.append((self.languages[k], float(weight[i, k] / total), [(a - base[i], b - base[i], self.languages[x]) for a, b, x in run[spans_at[i] : spans_at[i + 1]]]))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 
 from tessera.llm import language_id as L
 from tessera.llm import queries
@@ -52,6 +53,52 @@ def test_spans_of_mixed_text(model):
     assert spans[0][0] == 0 and abs(spans[1][0] - len(en * 3)) < 8
 
 
+def brute_score(model, word):
+    """The log-probabilities of one word, its trigrams and hashes by Python's integers."""
+    data = word.encode()
+    padded = b" " + data + b" "
+    total = np.zeros(len(model.languages))
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        code = ((a * 65599 + b) * 65599 + c) % 2**32 * 2654435761 % 2**32 >> 32 - L.BITS
+        total += model.grams[code]
+    power, whole = 0x9E3779B97F4A7C15, 0
+    for i, x in enumerate(data):
+        whole += (x + 1) * pow(power, i % 64 + 1, 2**64)
+    total += model.wholes[whole * 0xD6E8FEB86659FD93 % 2**64 >> 64 - L.BITS]
+    scripts = [next((L.NAMES.index(s) for s, lo, hi in L.SCRIPTS if lo <= ord(c) <= hi), len(L.NAMES) - 1) for c in word]
+    return total + model.barred[max(scripts)]
+
+
+def test_word_scores_against_brute_force(spark, model, sf_dir):
+    text = " ".join(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect() if r.text)
+    text += " Ünïcödé naïve Собака мир ΑΒΓ 漢字 हिन्दी ภาษาไทย"
+    own = regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    scores = words(model, text)
+    assert len(scores) == len(own)
+    for w, row in zip(own, scores, strict=True):
+        assert np.allclose(row, brute_score(model, w), atol=1e-3), w
+
+
+def test_scripts_are_ranges_of_code_points():
+    def of(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return [L.NAMES[k] for k in L.Model.scripts(raw, *L._words(raw))]
+
+    want = {"Việt": "latin", "ở": "latin", "かな": "kana", "ქართული": "georgian", "हिन्दी": "devanagari", "ภาษาไทย": "thai", "বাংলা": "bengali", "\U0001d49c": "other", "漢字": "han", "한국어": "hangul", "\U00020000": "han", "tree": "latin", "ελληνικά": "greek"}
+    assert {x: of(x) for x in want} == {x: [s] for x, s in want.items()}
+    assert of("“one” … 、two。 ª ¿tres? — \U0001f600 x\u0301y") == ["latin"] * 5
+
+
+def test_hundreds_of_languages():
+    rng = random.Random(2)
+    tongues = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(300)}
+    m = L.Model([(" ".join(w * 4), lang) for lang, w in tongues.items()])
+    some = rng.sample(sorted(tongues), 20)
+    assert [x[0] for x in m.identify([" ".join(tongues[k]) for k in some])] == some
+    (_, _, spans), = m.identify([" ".join(tongues["l007"] * 3 + tongues["l290"] * 3)])
+    assert [s[2] for s in spans] == ["l007", "l290"]
+
+
 def test_words_are_scored_alike_in_parts(model, monkeypatch):
     text = "the of and das ist nicht, été señor 12 über-all " * 40
     whole = words(model, text)
