@@ -51,34 +51,43 @@ labelled as (
 def _strength(name: str) -> str:
     """A CTE with the shrinking strength k of the level `name`, by the method of moments."""
     return f""", s_{name} as (
-  select count(*) as g, sum(n)::double as n, sum(good)::double as k, sum(n * n)::double as nn, sum(good * good / n::double) as kk from {name} where n > 0
+  select count(*) as g, sum(n)::double as n, sum(good)::double as k, sum(n::double * n) as nn, sum(good::double * good / n) as kk from {name} where n > 0
 ), r_{name} as (
   select g, n, k, case when g >= 2 and k > 0 and k < n and nn < n * n then
     ((kk - 2 * (k / n) * k + (k / n) * (k / n) * n - (g - 1) * (k / n) * (1 - k / n)) / (n - nn / n)) / ((k / n) * (1 - k / n)) end as rho from s_{name}
 ), k_{name} as (select case when rho > 0 then least(1000.0, greatest(1.0, 1 / rho - 1)) else 1000.0 end as k from r_{name})"""
 
 
-def reputation_sql(two_labels: tuple[str, ...], rules: dict[str, str], limit: float, sigmas: float) -> str:
+def reputation_sql(two_labels: tuple[str, ...], rules: dict[str, str], limit: float, tail: float) -> str:
+    """op1; the posterior's probability below the limit is summed up from its series of positive terms."""
     two = "(" + ", ".join(f"'{x}'" for x in two_labels) + ")"
     cases: dict[str, str] = {}
     for text in sorted(rules, key=lambda x: (-len(x), x)):
         name, slash, rest = text.partition("/")
         cases[text] = f"(o.host = '{name}' or ends_with(o.host, '.{name}')) and starts_with(o.path, '{slash + rest}')"
     rule = "case " + " ".join(f"when {c} then '{t}'" for t, c in cases.items()) + " end"
-    verdict = "case " + " ".join(f"when {c} then '{rules[t]}'" for t, c in cases.items()) + f" when j.bound >= {limit} then 'allow' else 'block' end"
+    verdict = "case " + " ".join(f"when {c} then '{rules[t]}'" for t, c in cases.items()) + f" when j.risk <= {tail} then 'allow' else 'block' end"
     return (
         "with " + _LABELLED.format(two=two) + _strength("suffixes") + _strength("domains") + _strength("named")
-        + f""", total as (select (sum(good) + 1.0) / (sum(n) + 2.0) as mean from suffixes
+        + f""", total as (select coalesce(sum(good), 0) as good, coalesce(sum(n), 0) as n from suffixes
 ), sm as (
-  select suffix, (good + ks.k * total.mean) / (n + ks.k) as m from suffixes, k_suffixes ks, total
+  select suffix, s.good, s.n, (t.good - s.good + 1.0) / (t.n - s.n + 2.0) as rest from suffixes s, total t
 ), dm as (
-  select d.domain, d.suffix, (d.good + kd.k * sm.m) / (d.n + kd.k) as m from domains d join sm using (suffix), k_domains kd
+  select d.domain, d.suffix, d.good, d.n, (s.good - d.good + ks.k * s.rest) / (s.n - d.n + ks.k) as above from domains d join sm s using (suffix), k_suffixes ks
 ), hm as (
-  select h.host, h.n, kh.k, (h.good + kh.k * dm.m) / (h.n + kh.k) as m from named h join dm on h.domain = dm.domain and h.suffix = dm.suffix, k_named kh
+  select h.host, h.good, h.n, kh.k, (d.good - h.good + kd.k * d.above) / (d.n - h.n + kd.k) as prior
+  from named h join dm d on h.domain = d.domain and h.suffix = d.suffix, k_domains kd, k_named kh
+), post as (
+  select host, good + k * prior as a, n - good + k * (1 - prior) as b from hm
+), shapes as (
+  select distinct a, b from post
+), risks as (
+  select a, b, least(1.0, sum(exp((a + i) * ln({limit}) + b * ln(1 - {limit}) + lgamma(a + b + i) - lgamma(b) - lgamma(a + 1 + i)))) as risk
+  from shapes, (select unnest(range(20000)) as i) group by a, b
 ), judged as (
-  select host, m - {sigmas} * sqrt(m * (1 - m) / (n + k + 1)) as bound from hm
+  select host, risk from post join risks using (a, b)
 )
-select o.page_id, o.host, o.path, {rule} as rule, {verdict} as verdict from own o join judged j using (host)"""
+select o.page_id, o.host, o.path, {rule} as rule, {verdict} as verdict, round(1000 * j.risk)::bigint as risk_permille from own o join judged j using (host)"""
     )
 
 

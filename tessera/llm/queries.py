@@ -23,13 +23,16 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of the document whose number stands in its path: good if of quality and not toxic."""
+    """A page's outcome is the label of the document whose number stands in its path: good if of quality and not toxic.
+
+    risk_permille: the posterior probability, in thousandths, that fewer than half of the host's pages are good.
+    """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good"))
     url = F.col("url")
     numbered = pages.select(url_reputation.host_of(url).alias("host"), F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)").alias("doc_id"))
     outcomes = numbered.join(labels, "doc_id").select("host", "good")
-    return url_reputation.judge(pages, outcomes, RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+    return url_reputation.judge(pages, outcomes, RULES).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round(1000 * F.col("risk")).cast("long").alias("risk_permille"))
 
 
 def _remainder(n: int):
@@ -107,5 +110,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan)}
-ORACLES["op1_url_reputation"] = reputation_sql(url_reputation.TWO_LABELS, RULES, url_reputation.LIMIT, url_reputation.SIGMAS)
+ORACLES["op1_url_reputation"] = reputation_sql(url_reputation.TWO_LABELS, RULES, url_reputation.LIMIT, url_reputation.TAIL)
 ORACLES["op3_chat_tree"] = chat_sql(chat_tree.CONTROL, "</s>[INST] ok [/INST]")
