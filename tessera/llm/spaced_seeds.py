@@ -3,15 +3,17 @@
 Tokens are runs of letters, digits and marks in lower case; ASCII signs and all Unicode white space and punctuation part
 them. Characters of scripts written without spaces, and non-ASCII symbols, are tokens of their own. Every window of a benchmark
 item and of a document is hashed once per fixed mask; a mask reads the positions marked 1 and ignores those marked 0,
-so a substituted token at an ignored position does not hide the hit. Hits of the hash join are verified on the token
-sequences themselves: along the hit's diagonal the region with the most matches is taken in which there are at least
+so a substituted token at an ignored position does not hide the hit. Hits of the hash join are verified on the tokens
+themselves, byte by byte: along the hit's diagonal the region with the most matches is taken in which there are at least
 three matches to a mismatch, and it counts as an overlap if it has `least` matching tokens (for items shorter than
 `least / 0.8` tokens: four fifths of the item's tokens, all others counting as mismatches). Some mask of MASKS lies in
 every region of 13 matches or more; short items have masks of their own, one for every way to miss a fifth.
 
-Defined cases: null or tokenless texts and items never overlap; repeated document rows give repeated result rows, repeated items count once each; a pair of document and
-item is reported once, with its longest overlap (the first in the text on ties); other columns are ignored whatever
-their names; empty tables give no rows. The benchmark is taken in blocks of a bounded size, each broadcast in turn.
+Defined cases: null or tokenless texts and items never overlap; repeated document rows give repeated result rows, repeated
+items count once each; a pair of document and item is reported once, with its longest overlap (the first in the text on
+ties); whole texts are searched, hits of however many items being expanded a bounded number at a time; other columns are
+ignored whatever their names; empty tables give no rows. The benchmark is taken in blocks of a bounded size, each
+broadcast in turn, at the cost of one more scan of the documents.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from .common import map_texts, settled, small_or_plain
 MASKS = ("111111", "1110111", "1111011", "11011011", "1111101", "11111001", "11110101", "11110011", "1011111")
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 16_000_000
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once, and hits or tokens on their diagonals that are looked at once, to bound memory.
+CHUNK, HITS = 1 << 20, 1 << 20
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _SLOT = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_ROUND = np.uint64(0x9E3779B97F4A7C16)
 _KEEP = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 
@@ -74,29 +78,32 @@ def folded(text: bytes) -> bytes:
     return codes.astype("<u4").tobytes().decode("utf-32-le").encode()
 
 
-def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash and the byte offset of every token of lower-cased UTF-8; long data are read in chunks."""
+def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hash, the first byte and the byte after of every token of folded UTF-8; long data are read in chunks."""
     raw = np.frombuffer(data, np.uint8)
-    hashes, starts, at = [], [], 0
+    hashes, starts, ends, at = [], [], [], 0
     while at < len(raw):
         end = min(len(raw), at + CHUNK)
         while end < len(raw) and _KEEP[raw[end]]:
             end += 1
         part = raw[at:end]
         keep = _KEEP[part]
-        begins = np.flatnonzero(keep & ~np.concatenate(([False], keep[:-1])))
+        edge = np.diff(np.concatenate(([False], keep, [False])).astype(np.int8))
+        begins = np.flatnonzero(edge == 1)
         if len(begins):
             where = np.arange(len(part))
             sizes = np.diff(np.append(begins, len(part)))
             place = where[begins[0] :] - np.repeat(begins, sizes)
-            value = _BYTE[part[begins[0] :]] * _PLACE[place & 63] + place.astype(np.uint64) // np.uint64(64)
+            round_ = place.astype(np.uint64) // np.uint64(64)
+            value = _BYTE[part[begins[0] :]] * (_PLACE[place & 63] + round_ * _ROUND) + round_
             value[~keep[begins[0] :]] = 0
             hashes.append(np.add.reduceat(value, begins - begins[0]))
             starts.append(begins + at)
+            ends.append(np.flatnonzero(edge == -1) + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -145,15 +152,21 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...], least: int):
         self.ids = [i for i, _ in items]
-        self.tokens = [token_hashes(folded(t))[0] for _, t in items]
-        self.need = [least if 0.8 * len(t) >= least else math.ceil(0.8 * len(t)) for t in self.tokens]
+        texts = [folded(t) for _, t in items]
+        found = [token_hashes(t) for t in texts]
+        self.tokens = [f[0] for f in found]
+        self.words = [[t[a:b] for a, b in zip(f[1].tolist(), f[2].tolist(), strict=True)] for t, f in zip(texts, found, strict=True)]
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.tokens])
+        self.need = np.array([least if 0.8 * len(t) >= least else math.ceil(0.8 * len(t)) for t in self.tokens], np.int64)
         rows_of: dict[str, list[tuple[int, int, int]]] = {mask: [] for mask in masks}
         for i, t in enumerate(self.tokens):
             if 0.8 * len(t) >= least:
                 for mask in masks:
                     rows_of[mask] += [(h, i, p) for p, h in enumerate(seeds(t, mask).tolist())]
             elif len(t):
-                for mask, p in short_masks(len(t), len(t) - self.need[i]):
+                for mask, p in short_masks(len(t), len(t) - int(self.need[i])):
                     rows_of.setdefault(mask, []).append((int(seeds(t[p : p + len(mask)], mask)[0]), i, p))
         self.masks = list(rows_of)
         self.tables = []
@@ -164,8 +177,8 @@ class Index:
             seen[(keys >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((keys[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order], seen))
 
-    def overlaps(self, tokens: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-        """(text, item, first token in the text, first token in the item, tokens, matches) of texts end to end."""
+    def _diagonals(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The distinct (text, item, diagonal) of all hits; a bounded number of hits at a time."""
         found = []
         for mask, (keys, item, place, seen) in zip(self.masks, self.tables, strict=True):
             if not len(keys):
@@ -175,18 +188,34 @@ class Index:
             lo, hi = np.searchsorted(keys, got[at]), np.searchsorted(keys, got[at], side="right")
             many = hi - lo
             at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-            if len(at):
-                entry = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                where = np.repeat(at, many)
+            for part in _runs(many):
+                k, first, where = many[part], lo[part], np.repeat(at[part], many[part])
+                entry = np.repeat(first - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
                 text = np.searchsorted(bounds, where, side="right") - 1
-                found.append(np.stack((text, item[entry], where - place[entry]), axis=1))
-        if not found:
-            return []
+                found.append(np.unique(np.stack((text, item[entry], where - place[entry]), axis=1), axis=0))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+    def _matching(self, tokens: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those (text, item, diagonal, first, last) on whose diagonal enough tokens match; first and last in the item."""
+        text, item, diagonal = rows.T
+        first, last = np.maximum(0, bounds[text] - diagonal), np.minimum(self.sizes[item], bounds[text + 1] - diagonal)
+        size, kept = last - first, []
+        for part in _runs(size):
+            n = size[part]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            equal = self.flat[np.repeat((self.offsets[item] + first)[part], n) + step] == tokens[np.repeat((diagonal + first)[part], n) + step]
+            kept.append(np.add.reduceat(equal, np.cumsum(n) - n, dtype=np.int64) >= self.need[item[part]])
+        return np.column_stack((rows, first, last))[np.concatenate(kept)] if kept else np.zeros((0, 5), np.int64)
+
+    def overlaps(self, data: bytes, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """(text, item, first token in the text, first token in the item, tokens, matches) of texts end to end in `data`."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for text, i, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
-            mine, lo, hi = self.tokens[i], int(bounds[text]), int(bounds[text + 1])
-            first, last = max(0, lo - diagonal), min(len(mine), hi - diagonal)
-            equal = mine[first:last] == tokens[diagonal + first : diagonal + last]
+        for text, i, diagonal, first, last in self._matching(tokens, bounds, self._diagonals(tokens, bounds)).tolist():
+            lo, words = int(bounds[text]), self.words[i]
+            equal = self.tokens[i][first:last] == tokens[diagonal + first : diagonal + last]
+            for k in np.flatnonzero(equal).tolist():
+                t = diagonal + first + k
+                equal[k] = data[starts[t] : ends[t]] == words[first + k]
             if np.count_nonzero(equal) < self.need[i]:
                 continue
             start, end, matches = best_region(equal)
@@ -198,6 +227,14 @@ class Index:
         return [(text, i, -b[1], b[2], b[3], b[0]) for (text, i), b in sorted(best.items())]
 
 
+def _runs(many: np.ndarray) -> list[slice]:
+    """Consecutive slices of about HITS in sum, one element at least."""
+    if not len(many):
+        return []
+    cut = np.flatnonzero(np.diff((np.cumsum(many) - many) // HITS)) + 1
+    return [slice(a, b) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(many)], strict=True)]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows (id, item, text_start, item_start, n_tokens, n_matches), in tokens: overlaps of documents with items."""
     spark = docs.sparkSession
@@ -216,10 +253,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 held.append(Index(sent.value, masks, least))
             index = held[0]
             low = [folded(x) for x in texts]
-            tokens, starts = token_hashes(b"\n".join(low))
+            data = b"\n".join(low)
+            tokens, starts, stops = token_hashes(data)
             ends = np.cumsum([len(x) + 1 for x in low])
             bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
-            rows = index.overlaps(tokens, bounds)
+            rows = index.overlaps(data, tokens, starts, stops, bounds)
             if not rows:
                 return None
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))

@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import spaced_seeds as S
 
 from .helpers import empty, odd
@@ -68,7 +70,8 @@ def test_long_data_are_hashed_alike_in_chunks(monkeypatch):
     whole = S.token_hashes(text)
     monkeypatch.setattr(S, "CHUNK", 37)
     parts = S.token_hashes(text)
-    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert [text[a:b] for a, b in zip(whole[1].tolist(), whole[2].tolist(), strict=True)] == re.findall(rb"[a-z]+", text)
 
 
 def brute_overlap(item, text, least=13):
@@ -125,3 +128,33 @@ def test_unicode_spaces_marks_and_unspaced_scripts(spark):
     assert pairs(found) == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0), (6, 0), (7, 0)]
     starts = {r.id: (r.text_start, r.n_tokens) for r in found.collect()}
     assert starts[0] == (5, 20) and starts[3] == (0, 20) and starts[6] == (2, 20) and starts[7] == (1, 20)
+
+
+def test_long_tokens_that_differ_in_the_order_of_their_bytes(spark, monkeypatch):
+    long = ["a" * i + "b" + "c" * 63 + "d" + "e" * 9 for i in range(20)]
+    swapped = ["a" * i + "d" + "c" * 63 + "b" + "e" * 9 for i in range(20)]
+    assert not (S.token_hashes(" ".join(long).encode())[0] == S.token_hashes(" ".join(swapped).encode())[0]).any()
+    texts = [" ".join(long), " ".join(swapped), ITEM, " ".join(reversed(ITEM.split()))]
+    assert pairs(S.overlaps(docs(spark, *texts), bench(spark, " ".join(long), ITEM))) == [(0, 0), (2, 1)]
+    # with equal hashes for all tokens only the bytes tell them apart
+    same = lambda data: (np.ones(len(w := list(re.finditer(rb"[a-z0-9]+", data))), np.uint64), np.array([m.start() for m in w], np.int64), np.array([m.end() for m in w], np.int64))
+    monkeypatch.setattr(S, "token_hashes", same)
+    index = S.Index([(7, ITEM.encode())], S.MASKS, 13)
+    for text, want in ((f"x {ITEM} y", [(0, 0, 1, 0, 20, 20)]), (" ".join(reversed(ITEM.split())), [])):
+        data = text.encode()
+        tokens, starts, ends = same(data)
+        assert index.overlaps(data, tokens, starts, ends, np.array([0, len(tokens)])) == want
+
+
+def test_a_phrase_that_all_items_share(monkeypatch):
+    """Hits of thousands of items are expanded in chunks, to the same result."""
+    phrase = "which of the following is the best answer to the question"
+    items = [(i, f"{phrase} {' '.join(f'i{i}w{k}' for k in range(8))}".encode()) for i in range(3000)]
+    index = S.Index(items, S.MASKS, 13)
+    data = b"\n".join([f"{phrase} and more of it".encode() * 3, items[1234][1], b"nothing"])
+    tokens, starts, ends = S.token_hashes(data)
+    bounds = np.searchsorted(starts, [0, data.index(b"\n"), data.rindex(b"\n"), len(data)])
+    whole = index.overlaps(data, tokens, starts, ends, bounds)
+    assert [r[:2] for r in whole] == [(1, 1234)]
+    monkeypatch.setattr(S, "HITS", 5000)
+    assert index.overlaps(data, tokens, starts, ends, bounds) == whole
