@@ -6,7 +6,8 @@ passages, the weights being learned from document labels alone, and the weighted
 
     h = tanh(W x + b);  a = softmax over the bag of w . (tanh(V h) * sigmoid(U h));  score = sigmoid(c . sum(a h) + d)
 
-The model is fitted on the driver, on a bounded sample of labelled documents, by full-batch Adam with a fixed seed.
+The model is fitted on the driver, on a bounded sample of labelled documents, by full-batch Adam with a fixed seed. The
+encoder sees the shape of passages, not their meaning: fluent text that is wrong looks like a good one.
 
 Defined cases: a null or wordless text is one empty passage and is scored like any other bag; texts over PART bytes are
 cut at white space into parts whose passages join one bag; whole texts are scored; repeated rows get equal scores;
@@ -120,20 +121,7 @@ class Model:
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         at, bag = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
         for step in range(1, epochs + 1):
-            h, v, u, a, z, p = self._forward(w, x, at, bag)
-            g = {}
-            dz = ((p - y) / len(y))[:, None].astype(np.float32)
-            g["c"], g["d"] = z.T @ dz, dz.sum(axis=0)
-            dzh = dz @ w["c"].T
-            dh = a * dzh[bag]
-            da = (h * dzh[bag]).sum(axis=1, keepdims=True)
-            ds = a * (da - np.add.reduceat(a * da, at)[bag])
-            g["w"] = (v * u).T @ ds
-            dv, du = ds @ w["w"].T * u * (1 - v * v), ds @ w["w"].T * v * u * (1 - u)
-            g["V"], g["U"] = h.T @ dv, h.T @ du
-            dh += dv @ w["V"].T + du @ w["U"].T
-            dh *= 1 - h * h
-            g["W"], g["b"] = x.T @ dh, dh.sum(axis=0)
+            g = self._gradient(w, x, at, bag, y)
             for k in w:
                 grad = g[k] + decay * w[k]
                 slope[k] = 0.9 * slope[k] + 0.1 * grad
@@ -142,6 +130,25 @@ class Model:
         self.weights = w
         return self
 
+    @staticmethod
+    def _gradient(w, x, at, bag, y) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the bags' labels."""
+        h, v, u, a, z, p = Model._forward(w, x, at, bag)
+        g = {}
+        dz = ((p - y) / len(y))[:, None].astype(x.dtype)
+        g["c"], g["d"] = z.T @ dz, dz.sum(axis=0)
+        dzh = dz @ w["c"].T
+        dh = a * dzh[bag]
+        da = (h * dzh[bag]).sum(axis=1, keepdims=True)
+        ds = a * (da - np.add.reduceat(a * da, at)[bag])
+        g["w"] = (v * u).T @ ds
+        dv, du = ds @ w["w"].T * u * (1 - v * v), ds @ w["w"].T * v * u * (1 - u)
+        g["V"], g["U"] = h.T @ dv, h.T @ du
+        dh += dv @ w["V"].T + du @ w["U"].T
+        dh *= 1 - h * h
+        g["W"], g["b"] = x.T @ dh, dh.sum(axis=0)
+        return g
+
     @staticmethod
     def _forward(w, x, at, bag):
         h = np.tanh(x @ w["W"] + w["b"])

@@ -7,7 +7,9 @@ can merge leave the matrix. Pieces longer than LONG bytes would need as many rou
 merges from a heap over a linked list.
 
 Defined cases: null and empty texts have no ids and decode to empty bytes; whole texts are encoded, whatever their
-length; repeated rows are encoded alike; extra columns are dropped unless named in `keep`; no rows give no rows.
+length; of pairs of equal rank the leftmost merges first; repeated rows are encoded alike; extra columns are dropped
+unless named in `keep`; a kept column of the name `ids`, or one of the name `decoded` in a table to decode, gives way to
+the new one; no rows give no rows. Any pattern may be passed in; for others than UNIT_PATTERN texts are split whole.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,13 +36,17 @@ MEMORY = 1 << 18
 DECODE_IDS, ENCODE_BYTES = 1 << 19, 2 << 20
 #: Marks a unit at the start of a text; no text holds this code point.
 FIRST = "\ud800"
+#: The pattern whose pieces never reach over a single space, so that texts may be taken apart there.
+UNIT_PATTERN = public_tokenizers.PATTERN
 
 
 class Codec:
     """Ranks of a byte-level BPE in the format of one base64 token and its rank a line."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        self.split = regex.compile(pattern).findall
+        expression = regex.compile(pattern)
+        self.split = lambda text: [m[0] for m in expression.finditer(text)] if expression.groups else expression.findall(text)
+        self.in_units = pattern == UNIT_PATTERN
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_file.splitlines() if x)}
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         size = max(ranks.values()) + 1
@@ -208,12 +215,12 @@ class Codec:
         """
         rows = []
         for text in texts:
-            units = text.split(" ")
+            units = text.split(" ") if self.in_units else [text]
             units[0] = FIRST + units[0]
             rows.append(units)
         index = dict.fromkeys(chain.from_iterable(rows), 0)
         odd = {x for x in index if not x or x[0].isspace()}
-        once = set()
+        once = set() if self.in_units else set(index)
         if odd:
             for i, units in enumerate(rows):
                 if not odd.isdisjoint(units):
@@ -272,6 +279,7 @@ def _rank_file(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Rows (*keep, ids array<int>): the ids of each whole text, without special tokens."""
+    keep = [c for c in keep if c.lower() != "ids"]
     kinds = ", ".join(f"`{c}` {docs.select(f'`{c}`').dtypes[0][1]}" for c in keep)
     file = _rank_file(docs, path)
 
@@ -286,6 +294,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] = ("doc_id"
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """The rows of `encoded` with a column `decoded` (binary): the bytes that the ids stand for; null ids are empty."""
     file = _rank_file(encoded, path)
+    encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == "decoded" and c != ids_col])
     names = encoded.columns
     at = names.index(ids_col)
     schema = ", ".join(f"`{c}` {k}" for c, k in encoded.dtypes) + ", decoded binary"

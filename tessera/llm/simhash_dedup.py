@@ -3,7 +3,8 @@
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most `max_bits` bits agree in at
 least 8 - max_bits bytes, so a pair is a candidate only if its tally of shared positional bytes reaches that minimum.
 The index is kept over the combinations of that many byte positions: a pair meets under some combination exactly if
-its tally reaches the minimum, so single frequent bytes never bring pairs together. Survivors are verified bit by bit.
+its tally reaches the minimum, so single frequent bytes never bring pairs together. The shared bytes of every pair that
+meets are tallied, pairs short of the minimum go, and survivors are verified bit by bit.
 
 Defined cases: null or wordless texts have fingerprint zero and link like any other; exact copies meet as one
 fingerprint before any pairing; repeated rows give repeated result rows; a null id stays null and never names a
@@ -138,8 +139,9 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
     posted = fps.select("fp", F.posexplode(lit(masks)).alias("c", "mask")).select("fp", "c", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"))
     counted = posted.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     counted = settled(counted)
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    found = counted.where(F.col("n") == 2).where(close).select("a", "b").distinct()
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    tally = sum((apart.bitwiseAND(F.lit(_signed(0xFF << (8 * i)))) == 0).cast("int") for i in range(8))
+    found = counted.where(F.col("n") == 2).where(tally >= 8 - max_bits).where(F.bit_count(apart) <= max_bits).select("a", "b").distinct()
     sizes = counted.agg(F.sum((F.col("n") > 2).cast("long")), F.max("n")).first()
     if not sizes[0]:
         return found

@@ -56,3 +56,22 @@ def test_decode_keeps_columns_and_takes_null_ids(spark):
     rows = spark.createDataFrame([(1, [0, 1], "x"), (2, None, "y"), (3, [], None)], "doc_id long, ids array<int>, other string")
     got = [tuple(map(lambda v: bytes(v) if isinstance(v, bytearray) else v, r)) for r in bpe.decode(rows, PATH, P.PATTERN).select("doc_id", "other", "decoded").collect()]
     assert got == [(1, "x", CODEC.tokens[0] + CODEC.tokens[1]), (2, "y", b""), (3, None, b"")]
+
+
+def test_other_patterns_split_whole_texts():
+    texts = ["one two  three four", " a b", "", "x" * 700, "don't stop"]
+    for pattern in (r"[\s\S]{1,7}", r"(\w+)|(\W+)", r" ?\S+"):
+        codec = bpe.Codec(DATA, pattern)
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=REFERENCE._mergeable_ranks, special_tokens={})
+        for _ in range(2):
+            ids, counts = codec.encode(texts)
+            want = [enc.encode_ordinary(t) for t in texts]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_clashing_names_give_way(spark):
+    rows = spark.createDataFrame([(1, "a b", "old", "old")], "doc_id long, text string, ids string, decoded string")
+    ids = bpe.encode(rows, PATH, P.PATTERN, keep=["doc_id", "ids", "decoded"])
+    back = bpe.decode(ids, PATH, P.PATTERN)
+    assert ids.columns == ["doc_id", "decoded", "ids"] and back.columns == ["doc_id", "ids", "decoded"]
+    assert bytes(back.first().decoded) == b"a b" and back.first().ids == REFERENCE.encode_ordinary("a b")
