@@ -121,18 +121,35 @@ def _spanning(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(buckets: DataFrame, max_bits: int) -> DataFrame:
+def _nearest(fps: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]:
+    """Links of each fingerprint of one bucket with at most `most` of those closest to it."""
+    fps, out = np.unique(fps), []
+    for at in range(0, len(fps), 128):
+        apart = np.bitwise_count((fps[at : at + 128, None] ^ fps[None, :]).view(np.uint64)).astype(np.int16)
+        apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = 99
+        near = np.argsort(apart, axis=1, kind="stable")[:, :most]
+        row, col = np.nonzero(np.take_along_axis(apart, near, axis=1) <= max_bits)
+        a, b = fps[at + row], fps[near[row, col]]
+        out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
+    return out
+
+
+def _bucket_links(buckets: DataFrame, max_bits: int, nearest: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            links = [x for fps in batch.column(0).to_pylist() for x in _spanning(np.array(fps, np.int64), max_bits)]
+            groups = [np.array(fps, np.int64) for fps in batch.column(0).to_pylist()]
+            links = [x for fps in groups for x in _spanning(fps, max_bits) + (_nearest(fps, max_bits, nearest) if nearest else [])]
             a, b = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return buckets.select("fps").mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fps(fp)` that connect all fingerprints within `max_bits` bits."""
+def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, nearest: int = 0) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fps(fp)` that connect all fingerprints within `max_bits` bits.
+
+    With `nearest`, each fingerprint is also linked with so many of the closest in every bucket, for callers that verify.
+    """
     masks = [_signed(m) for m in _masks(max_bits)]
     subs = [[_signed(s) for s in _bit_masks(m, max_bits)] for m in _masks(max_bits)]
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -147,13 +164,13 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
         return found
     members = lambda which: posted.join(small_or_plain(counted.where(which).select("k")), "k")
     some = members(F.col("n").between(3, bucket)).groupBy("k").agg(F.collect_list("fp").alias("fps"))
-    found = found.unionByName(_bucket_links(some, max_bits))
+    found = found.unionByName(_bucket_links(some, max_bits, nearest))
     if sizes[1] > bucket:  # each bucket of a bit run holds at most 2 ** (3 * max_bits) fingerprints
         hot = members(F.col("n") > bucket)
         sub = F.element_at(F.array(*[lit(x) for x in subs]), F.col("c") + 1)
         finer = hot.select("fp", "k", F.explode(sub).alias("sub")).select("fp", F.xxhash64("k", "sub", F.col("fp").bitwiseAND(F.col("sub"))).alias("k"))
         finer = finer.groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        found = found.unionByName(_bucket_links(finer, max_bits))
+        found = found.unionByName(_bucket_links(finer, max_bits, nearest))
     return found.distinct()
 
 
@@ -170,10 +187,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = F.broadcast(settled(named.where(F.col("copies") > hot).drop("copies")))
     rest = each.join(few.select("fp"), "fp", "left_anti").join(named.where(F.col("copies") <= hot).drop("copies"), "fp")
     return each.join(few, "fp").unionByName(rest).select("id", "fp", "component")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with one of each near-duplicate group left: the one with the smallest id (of repeated ids, all rows)."""
-    kept = near_duplicates(docs, id_col, text_col, **how).where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    kept = kept.withColumnRenamed("id", "__kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

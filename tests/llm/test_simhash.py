@@ -88,14 +88,6 @@ def test_links_of_a_crowd_are_complete_in_small_and_large_buckets(spark):
         assert {f: root(f) for f in fps} == want
 
 
-def test_keep_one_keeps_columns_and_one_of_each_group(spark):
-    docs = odd(spark)
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 9 not in ids and ids.count(5) == 2 and 1 in ids and 2 not in ids and None in ids
-
-
 def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
