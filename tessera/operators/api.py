@@ -84,6 +84,37 @@ def twin_conflicts(chosen: DataFrame) -> DataFrame:
     return each.groupBy("attribute").agg(F.array_sort(F.collect_set("value")).alias("values")).where(F.size("values") > 1)
 
 
+def glossary_of(rows: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The entries of glossary(attribute, token, ...) for the values that the rows hold in that attribute."""
+    pairs = [F.struct(F.lit(c).alias("attribute"), F.col(c).alias("token")) for c in (*TWINS, "aggregation_role") if c in rows.columns]
+    used = rows.select(F.explode(F.array(*pairs)).alias("u")).select("u.*").distinct()
+    return glossary.join(used, ["attribute", "token"], "left_semi")
+
+
+def compare_pairs(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The status that `Store.compare` gives each of many pairs (one, other) of series, from their live observations.
+
+    Roles that must not be added up decide before attributes that differ.
+    """
+    series = live.groupBy("series_key", "indicator_id", *TWINS).agg(F.collect_set("aggregation_role").alias("roles"))
+    side = lambda k: series.select(F.col("series_key").alias(k), F.struct("indicator_id", *TWINS, "roles").alias(f"{k}_s"))
+    joined = pairs.join(side("one"), "one").join(side("other"), "other")
+    filled = lambda k, a: F.when(F.coalesce(F.col(f"{k}_s.{a}"), F.lit("")) == "", "NA").otherwise(F.col(f"{k}_s.{a}"))
+    agree = lambda a: filled("one", a) == filled("other", a)
+    differ = reduce(lambda x, y: x | y, [~agree(a) for a in TWINS])
+    together = (F.col("one_s.indicator_id") == F.col("other_s.indicator_id")) & agree("period_type") & agree("geography_scope")
+    has = lambda r: F.array_contains(F.array_union("one_s.roles", "other_s.roles"), r)
+    clash = together & (has("grand_total") | has("subtotal") | (has("leaf") & has("alternative_breakdown")))
+    return joined.select("one", "other", F.when(clash, "refused_aggregation").when(differ, "refused_incompatible").otherwise("compared").alias("status"))
+
+
+def unit_rows(units: DataFrame, factors: DataFrame) -> DataFrame:
+    """Units and conversions as one table (kind, unit, quantity_kind, to_unit, scope, factor)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    one = units.select(F.lit("unit").alias("kind"), F.col("unit_code").alias("unit"), "quantity_kind", none("string").alias("to_unit"), none("string").alias("scope"), none("double").alias("factor"))
+    return one.unionByName(factors.select(F.lit("conversion").alias("kind"), F.col("from_unit").alias("unit"), none("string").alias("quantity_kind"), "to_unit", "scope", F.col("factor").cast("double").alias("factor")))
+
+
 def conversions(requests: DataFrame, factors: DataFrame) -> DataFrame:
     """Requests (value, from_unit, to_unit, scope) with status, result, factor and basis_change.
 
@@ -147,8 +178,7 @@ class Store:
     def _attached(self, df: DataFrame) -> list[dict]:
         if self.glossary is None:
             return []
-        used = df.select(F.explode(F.array(*[F.col(c) for c in (*TWINS, "aggregation_role") if c in df.columns])).alias("token")).distinct()
-        return self._rows(self.glossary.join(used, "token", "left_semi").orderBy("attribute", "token"))
+        return self._rows(glossary_of(df, self.glossary).orderBy("attribute", "token"))
 
     def search_series(self, query: str, limit: int = 15) -> dict:
         full = query + "".join(f" {v}" for k, v in self.synonyms.items() if k in query)
@@ -235,7 +265,9 @@ class Store:
         return {"status": "ok", "n": len(rows), "conflicts": rows}
 
     def list_units(self) -> dict:
-        return {"status": "ok", "units": self._rows(self.units.orderBy("unit_code")), "conversions": self._rows(self.factors.orderBy("from_unit", "to_unit", "scope"))}
+        rows = self._rows(unit_rows(self.units, self.factors).orderBy("unit", "to_unit", "scope"))
+        of = lambda kind, names: [{n: r[n] for n in names} for r in rows if r["kind"] == kind]
+        return {"status": "ok", "units": of("unit", ("unit", "quantity_kind")), "conversions": of("conversion", ("unit", "to_unit", "scope", "factor"))}
 
     def convert_units(self, value: float, from_unit: str, to_unit: str, scope: str | None = None, calorific_basis: str | None = None) -> dict:
         asked = self.spark.createDataFrame([(float(value), from_unit, to_unit, scope)], "value double, from_unit string, to_unit string, scope string")

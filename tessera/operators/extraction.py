@@ -38,14 +38,20 @@ def find_row(found: DataFrame, label: str) -> DataFrame:
 def nearest_anchor(words: DataFrame, anchors: DataFrame, tolerance: float = CELL_TOLERANCE) -> DataFrame:
     """The words with the column of the nearest anchor(ord, column, x); the first anchor wins ties; too far is dropped.
 
-    The anchors of a page layout are a handful, so they become one array and no row is multiplied.
+    Anchors with a column `page` are those of that page and meet its words in an equi-join, as one array a page; without
+    it they are of one layout that all pages share, a handful. No row is multiplied.
     """
+    centre = (F.col("x0") + F.col("x1")) / 2
+    if "page" in anchors.columns:
+        own = anchors.groupBy("page").agg(F.collect_list(F.struct("ord", "column", "x")).alias("spots"))
+        best = F.array_min(F.transform("spots", lambda a: F.struct(F.abs(centre - a["x"]).alias("d"), a["ord"].alias("o"), a["column"].alias("c"))))
+        near = words.join(own, "page").withColumn("near", best).drop("spots")
+        return near.where(F.col("near.d") <= tolerance).withColumn("column", F.col("near.c")).drop("near")
     table = anchors.agg(F.sort_array(F.collect_list(F.struct("ord", "column", "x"))).alias("anchors")).first()
     spots = [(a["ord"], a["column"], a["x"]) for a in table["anchors"]]
     if not spots:
         return words.withColumn("column", F.lit(None).cast("string")).limit(0)
-    centre = (F.col("x0") + F.col("x1")) / 2
-    best = F.least(*[F.struct(F.abs(centre - x).alias("d"), F.lit(o).alias("o"), F.lit(c).alias("c")) for o, c, x in spots])
+    best = F.array_min(F.array(*[F.struct(F.abs(centre - x).alias("d"), F.lit(o).alias("o"), F.lit(c).alias("c")) for o, c, x in spots]))
     near = words.withColumn("near", best)
     return near.where(F.col("near.d") <= tolerance).withColumn("column", F.col("near.c")).drop("near")
 

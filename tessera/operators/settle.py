@@ -44,16 +44,21 @@ def beyond(a, b, tolerance):
 
 
 def reconciliation_log(settled: DataFrame) -> DataFrame:
-    """One row for each cell that several sources report, with what each says and how it was resolved."""
-    pairs = F.sort_array(F.collect_list(F.struct("source_id", "value")))
+    """One row for each cell that several sources report, with what each says and how it was resolved.
+
+    Of a source that reports a cell several times the last value, by observation_id, is listed.
+    """
+    listed = F.sort_array(F.collect_list(F.when(F.col("source_id").isNotNull(), F.struct("source_id", "observation_id", "value"))))
+    last = lambda s: F.filter(s, lambda x, i: ~F.get(s, i + 1)["source_id"].eqNullSafe(x["source_id"]))
+    pairs = F.transform(last(F.col("listed")), lambda x: F.struct(x["source_id"], x["value"]))
     cells = settled.where("value is not null").groupBy(*CELL, "ref_year", "period_type", "calorific_basis").agg(
         F.countDistinct("source_id").alias("n_sources"), F.max("value").alias("high"), F.min("value").alias("low"),
-        pairs.alias("pairs"), F.max(F.when(F.col("is_preferred"), F.col("source_id"))).alias("winner"),
+        listed.alias("listed"), F.max(F.when(F.col("is_preferred"), F.col("source_id"))).alias("winner"),
     )
     apart = F.col("high") - F.col("low") > F.greatest(F.lit(LOG_TOLERANCE[0]), LOG_TOLERANCE[1] * F.abs(F.col("high")))
     return cells.where("n_sources > 1").select(
         *CELL, "ref_year", "period_type", "calorific_basis", "n_sources", "high", "low",
-        F.to_json(F.map_from_entries("pairs")).alias("values_json"),
+        F.to_json(F.map_from_entries(pairs)).alias("values_json"),
         F.when(apart, F.concat(F.lit("precedence:"), F.col("winner"))).otherwise("agree").alias("resolution"),
         F.when(apart, "disagreement>tol").otherwise("within tolerance").alias("note"),
     )

@@ -18,6 +18,11 @@ def first_of_each(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
     return batch.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def insert_or_ignore(stored: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows to append: the first of each key of the batch that is not stored; all others are ignored."""
+    return first_of_each(batch.join(stored.select(key), key, "left_anti"), key, order)
+
+
 def upsert(stored: DataFrame, batch: DataFrame, order: list[str], key: str = "upsert_key", value: str = "value", cell: str = "source_cell") -> tuple[DataFrame, DataFrame]:
     """(rows to append, collisions).
 

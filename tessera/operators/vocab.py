@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_label
 
-#: A vocabulary is matched by containment only while it is known to be this small.
-MOST_NAMES = 50_000
-
 
 def names(vocab: DataFrame, id_col: str, label_cols: list[str], alias_col: str | None, order: str) -> DataFrame:
     """(name, id, ord): every normalised label and alias; the first id in vocabulary order owns a name."""
@@ -20,20 +17,28 @@ def names(vocab: DataFrame, id_col: str, label_cols: list[str], alias_col: str |
     return each.where("name <> ''").groupBy("name").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
 
 
+def _grams(words: Column, longest: int) -> Column:
+    """The distinct runs of at most `longest` words, joined by spaces."""
+
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(max(longest, 1)))), of)))
+
+
 def match(labels: DataFrame, label: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels with `id`, labels without any).
 
     A normalised label that is a name takes its id; else the first name in vocabulary order that begins the label or
-    stands in it as whole words; else the label is set aside. Each distinct label is matched once.
+    stands in it as whole words; else the label is set aside. Each distinct label is matched once, by an equi-join of
+    its runs of words with the names, so vocabularies may have any size.
     """
     own = labels.withColumn("norm", norm_label(F.col(label)))
     each = own.select("norm").distinct()
     exact = each.join(known.select(F.col("name").alias("norm"), "id"), "norm")
     rest = each.join(exact, "norm", "left_anti").where("norm <> ''")
-    few = known.limit(MOST_NAMES + 1)
-    if few.count() > MOST_NAMES:
-        raise ValueError(f"a vocabulary of over {MOST_NAMES} names is matched by whole labels only")
-    inside = rest.join(F.broadcast(few), F.expr("contains(concat(' ', norm, ' '), concat(' ', name, ' '))"))
+    longest = known.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 0
+    inside = rest.select("norm", F.explode(_grams(F.split("norm", " "), longest)).alias("name")).join(known, "name")
     loose = inside.groupBy("norm").agg(F.min_by("id", "ord").alias("id"))
     found = own.join(exact.unionByName(loose), "norm")
     return found.drop("norm"), own.join(exact.unionByName(loose).select("norm"), "norm", "left_anti").drop("norm")

@@ -58,7 +58,7 @@ where y.ytd_cutoff_month = 12 and a.aggregation_role = 'leaf'""")
 sql_query("j6_parent_child", """with tree as (select distinct 'prod.' || lower(p_type) || '/' || p_brand as child, 'prod.' || lower(p_type) as parent from part),
 seen as (select distinct 'prod.' || lower(p_type) || '/' || p_brand as node, p_size from part where p_size <= 5 union all select distinct 'prod.' || lower(p_type), p_size from part where p_size in (2, 4))
 select c.p_size, c.node as child, p.node as parent from seen c join tree t on c.node = t.child join seen p on p.node = t.parent and p.p_size is not distinct from c.p_size""")
-sql_query("j7_orphans", "select l_orderkey, l_partkey from lineitem l where l_quantity > 45 and not exists (select 1 from (select * from part where p_size > 10) p where p.p_partkey = l.l_partkey)")
+sql_query("j7_orphans", "select l_orderkey, l_partkey from lineitem l where not exists (select 1 from (select * from part where p_size > 10) p where p.p_partkey = l.l_partkey)")
 sql_query("j8_drift", "select s.source_id, s.report_type, d.report_type as expected, count(*) as n from obs s join (select 'ed_' || cast(prio as varchar(9)) as source_id, case prio when 1 then 'bilan' when 2 then 'rapport' when 3 then 'rapport' else 'conjoncture' end as report_type from (select distinct prio from obs) q) d on s.source_id = d.source_id where s.report_type is distinct from d.report_type group by s.source_id, s.report_type, d.report_type")
 
 # Aggregations
@@ -83,7 +83,7 @@ sql_query("a_role_rollup", "select region_id, product_id, aggregation_role, cast
 sql_query("a16_mode_rates", "select mode, round(avg(hit), 6) as rate, round(var_pop(hit), 6) as variance, count(*) as n from (select explode(split(concat_ws(',', event_type, case when value > 50 then 'large' end), ',')) as mode, case when value > 25 then 1.0D else 0.0D end as hit from events) group by mode", "select mode, round(avg(hit), 6) as rate, round(var_pop(hit), 6) as variance, count(*) as n from (select unnest(string_split(concat_ws(',', event_type, case when value > 50 then 'large' end), ',')) as mode, case when value > 25 then 1.0::double else 0.0::double end as hit from events) group by mode")
 
 # Ranking, sets, recursion
-sql_query("w4_order_by", "select o_orderkey, round(o_totalprice / (o_custkey + 1), 6) as ratio from orders order by ratio desc, o_orderkey limit 500")
+sql_query("w4_order_by", "select o_orderkey, round(o_totalprice / (o_custkey + 1), 6) as ratio from orders order by ratio desc, o_orderkey")
 sql_query("w5_topk", "select p_partkey, p_name, p_size from part order by p_size desc, p_retailprice desc, p_partkey limit 50")
 sql_query("w6_probe", "select exists (select 1 from obs where extraction_confidence = 'low') as has_low, exists (select 1 from obs where value < 0) as has_negative")
 sql_query("w7_intersect", "select series_key from obs where ref_year = 1995 intersect select series_key from obs where ref_year = 2001")

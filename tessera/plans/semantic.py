@@ -46,11 +46,10 @@ def t13_twin_warnings(spark, sf_dir):
     return api.twin_conflicts(view(spark, sf_dir, "v_series")).select("attribute", F.array_join("values", ",").alias("vals"))
 
 
-@query(duck_sql("with g as (select * from (values ('calorific_basis', 'NET', 'GROSS'), ('calorific_basis', 'PCI', 'PCS'), ('scope', 'flash_only', 'all|market')) v(attribute, token, never_sum_with)), used as (select distinct unnest([calorific_basis, scope, aggregation_role]) as token from v_series) select attribute, token, never_sum_with from g where token in (select token from used)"))
+@query(duck_sql("with g as (select * from (values ('calorific_basis', 'NET', 'GROSS'), ('calorific_basis', 'PCI', 'PCS'), ('scope', 'flash_only', 'all|market'), ('unit_id', 'NET', 'x')) v(attribute, token, never_sum_with)), used as (select distinct unnest(['calorific_basis', 'scope', 'aggregation_role']) as attribute, unnest([calorific_basis, scope, aggregation_role]) as token from v_series) select g.attribute, g.token, never_sum_with from g join used u on u.attribute = g.attribute and u.token = g.token"))
 def t14_glossary(spark, sf_dir):
-    glossary = spark.createDataFrame([("calorific_basis", "NET", "GROSS"), ("calorific_basis", "PCI", "PCS"), ("scope", "flash_only", "all|market")], "attribute string, token string, never_sum_with string")
-    used = view(spark, sf_dir, "v_series").select(F.explode(F.array("calorific_basis", "scope", "aggregation_role")).alias("token")).distinct()
-    return glossary.join(used, "token", "left_semi").select("attribute", "token", "never_sum_with")
+    glossary = spark.createDataFrame([("calorific_basis", "NET", "GROSS"), ("calorific_basis", "PCI", "PCS"), ("scope", "flash_only", "all|market"), ("unit_id", "NET", "x")], "attribute string, token string, never_sum_with string")
+    return api.glossary_of(view(spark, sf_dir, "v_series"), glossary).select("attribute", "token", "never_sum_with")
 
 
 _ONE = "order_revenue|flow.sales|prod.large||asia||||GROSS|cur|annual|False||||incl_exports"
@@ -70,10 +69,11 @@ def t4_observation(spark, sf_dir):
 
 sql_query("t5_describe", "with notes as (select observation_id, 'FN-' || report_type as footnote_id from obs where extraction_confidence = 'low') select o.series_key, min(o.ref_year) as first_year, max(o.ref_year) as last_year, count(distinct n.footnote_id) as n_notes from obs o left join notes n on o.observation_id = n.observation_id group by o.series_key")
 
-#: Pairs of series to compare: neighbours in the order of their keys.
-_PAIRS = "select a.series_key as one, b.series_key as other from (select series_key, row_number() over (order by series_key) as n from (select distinct series_key from obs) x) a join (select series_key, row_number() over (order by series_key) as n from (select distinct series_key from obs) y) b on b.n = a.n + {step}"
+#: Pairs of series to compare: those of one product and region, and each leaf with the totals of its region and basis.
+_PAIRS = """select a.series_key as one, b.series_key as other from {s} a join {s} b on a.product_id is not distinct from b.product_id and a.region_id is not distinct from b.region_id where a.series_key < b.series_key
+  union all select a.series_key, b.series_key from {s} a join {s} b on a.region_id = b.region_id and a.calorific_basis = b.calorific_basis where a.product_id is not null and b.product_id is null""".format(s="(select distinct series_key, product_id, region_id, calorific_basis from obs)")
 _COMPARED = f"""with s as ({_TIERS.format(view="v_series")}), roles as (select series_key, array_agg(distinct aggregation_role) as r from v_series group by series_key),
-p as ({_PAIRS.format(step=1)} union all {_PAIRS.format(step=7)}),
+p as ({_PAIRS}),
 j as (select p.one, p.other, a.period_type is distinct from b.period_type or coalesce(nullif(a.geography_scope, ''), 'NA') <> coalesce(nullif(b.geography_scope, ''), 'NA') or coalesce(nullif(a.scope, ''), 'NA') <> coalesce(nullif(b.scope, ''), 'NA') or a.calorific_basis <> b.calorific_basis or a.unit_id <> b.unit_id as twins,
   a.indicator_id = b.indicator_id and coalesce(a.period_type, '') = coalesce(b.period_type, '') and coalesce(a.geography_scope, '') = coalesce(b.geography_scope, '') as together, ra.r as r1, rb.r as r2
   from p join s a on p.one = a.series_key join s b on p.other = b.series_key join roles ra on ra.series_key = p.one join roles rb on rb.series_key = p.other)"""
@@ -82,21 +82,7 @@ _STATUS = "case when together and ({has}(r1, 'grand_total') or {has}(r2, 'grand_
 
 @query(duck_sql(_COMPARED + f" select one, other, {_STATUS.format(has='list_contains')} as status from j"))
 def t6_compare_guard(spark, sf_dir):
-    """The guard of `compare`, over many pairs at once: live roles decide before differing attributes."""
-    pairs = run_sql(spark, sf_dir, _PAIRS.format(step=1) + " union all " + _PAIRS.format(step=7))
-    live = view(spark, sf_dir, "v_series")
-    series = live.groupBy("series_key", "indicator_id", *api.TWINS).agg(F.collect_set("aggregation_role").alias("roles"))
-    side = lambda k: series.select(F.col("series_key").alias(k), F.struct("indicator_id", *api.TWINS, "roles").alias(f"{k}_s"))
-    joined = pairs.join(side("one"), "one").join(side("other"), "other")
-    filled = lambda k, a: F.when(F.coalesce(F.col(f"{k}_s.{a}"), F.lit("")) == "", "NA").otherwise(F.col(f"{k}_s.{a}"))
-    differ = F.lit(False)
-    for a in api.TWINS:
-        differ = differ | (filled("one", a) != filled("other", a))
-    together = (F.col("one_s.indicator_id") == F.col("other_s.indicator_id")) & (filled("one", "period_type") == filled("other", "period_type")) & (filled("one", "geography_scope") == filled("other", "geography_scope"))
-    roles = F.array_union("one_s.roles", "other_s.roles")
-    has = lambda r: F.array_contains(roles, r)
-    clash = together & (has("grand_total") | has("subtotal") | (has("leaf") & has("alternative_breakdown")))
-    return joined.select("one", "other", F.when(clash, "refused_aggregation").when(differ, "refused_incompatible").otherwise("compared").alias("status"))
+    return api.compare_pairs(run_sql(spark, sf_dir, _PAIRS), view(spark, sf_dir, "v_series"))
 
 
 @query(duck_sql("select indicator_id, period_type, geography_scope, array_to_string(list_sort(list(distinct aggregation_role)), ',') as roles, 'grand_total' as reason from v_series group by indicator_id, period_type, geography_scope"))
@@ -107,9 +93,9 @@ def t6_role_conflicts(spark, sf_dir):
     return found.select("indicator_id", "period_type", "geography_scope", F.array_join("roles", ",").alias("roles"), "reason")
 
 
-@query(duck_sql("select series_key, period_start, count(*) as n_values from (select distinct series_key, period_start, period_end, source_id, value from settled where region_id = 'asia') v group by series_key, period_start, period_end having count(distinct source_id) > 1 and max(value) - min(value) > greatest(5.0, 0.02 * abs(max(value)))"))
+@query(duck_sql("select series_key, period_start, count(*) as n_values from (select distinct series_key, period_start, period_end, source_id, value from settled) v group by series_key, period_start, period_end having count(distinct source_id) > 1 and max(value) - min(value) > greatest(5.0, 0.02 * abs(max(value)))"))
 def t7_conflicts(spark, sf_dir):
-    log = settle.reconciliation_log(settle.precedence(view(spark, sf_dir, "obs")).where("region_id = 'asia'")).where("note = 'disagreement>tol'")
+    log = settle.reconciliation_log(settle.precedence(view(spark, sf_dir, "obs"))).where("note = 'disagreement>tol'")
     return log.select("series_key", "period_start", F.size(F.map_keys(F.from_json("values_json", "map<string, double>"))).cast("long").alias("n_values"))
 
 
@@ -125,6 +111,14 @@ def t9_convert(spark, sf_dir):
     return api.conversions(asked, factors).select("from_unit", "to_unit", "scope", "status", F.round("result", 8).alias("result"), "basis_change")
 
 
-sql_query("t8_units", "select p_brand as unit_code, min(p_type) as quantity_kind, count(*) as uses from part group by p_brand")
+_UNIT_VALUES = ", ".join(f"('conversion', '{a}', '{b}', '{s}', {f})" for a, b, f, _, s in _FACTORS)
+
+
+@query(f"select 'unit' as kind, p_brand as unit, min(p_type) as quantity_kind, cast(null as varchar) as to_unit, cast(null as varchar) as scope, cast(null as double) as factor from part group by p_brand union all select kind, a, null, b, s, cast(f as double) from (values {_UNIT_VALUES}) v(kind, a, b, s, f)")
+def t8_units(spark, sf_dir):
+    units = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("unit_code")).agg(F.min("p_type").alias("quantity_kind"))
+    return api.unit_rows(units, spark.createDataFrame(_FACTORS, "from_unit string, to_unit string, factor double, calorific_basis string, scope string"))
+
+
 sql_query("t10_dimensions", "select 'product_id' as dimension, product_id as member, count(*) as n from obs where product_id is not null group by product_id union all select 'region_id', region_id, count(*) from obs where region_id is not null group by region_id")
 sql_query("t11_glossary", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, explode(split('grand_total|subtotal', '[|]')) as w union all select 'basis', 'NET', explode(split('GROSS', '[|]'))) g", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, unnest(string_split('grand_total|subtotal', '|')) as w union all select 'basis', 'NET', unnest(string_split('GROSS', '|'))) g")

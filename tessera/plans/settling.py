@@ -66,9 +66,9 @@ def m6_downgrade(spark, sf_dir):
     return settle.distrust(settled, _GROUP, "shaken").select("observation_id", "extraction_confidence")
 
 
-#: Orders as two batches: the stored ones, and a replay with new keys, equal repeats, and values that differ.
-_STORED = "select 'k' || cast(o_orderkey % 7001 as {t}) as upsert_key, o_totalprice as value, 'c' || cast(o_custkey % 50 as {t}) as source_cell, o_orderkey from orders where o_orderkey % 3 <> 0 and o_orderkey <= 7000"
-_BATCH = "select 'k' || cast(o_orderkey % 7001 as {t}) as upsert_key, case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end as value, 'c' || cast((o_custkey + case when o_orderkey % 2 = 0 then 1 else 0 end) % 50 as {t}) as source_cell, o_orderkey from orders where o_orderkey <= 9000"
+#: All orders as two batches, two neighbours a key: the stored ones, and a replay with new keys, equal repeats, and values that differ.
+_STORED = "select 'k' || cast(o_orderkey - o_orderkey % 2 as {t}) as upsert_key, o_totalprice as value, 'c' || cast(o_custkey % 50 as {t}) as source_cell, o_orderkey from orders where o_orderkey % 6 = 2"
+_BATCH = "select 'k' || cast(o_orderkey - o_orderkey % 2 as {t}) as upsert_key, case when o_orderkey % 5 = 0 then o_totalprice + 1 else o_totalprice end as value, 'c' || cast((o_custkey + case when o_orderkey % 2 = 0 then 1 else 0 end) % 50 as {t}) as source_cell, o_orderkey from orders"
 _FIRSTS = f"""with stored as ({_STORED.format(t="varchar")}), batch as ({_BATCH.format(t="varchar")}),
 firsts as (select * from (select *, row_number() over (partition by upsert_key order by o_orderkey, value, source_cell) as nth from batch) where nth = 1),
 fresh as (select * exclude (nth) from firsts where upsert_key not in (select upsert_key from stored)),
@@ -117,7 +117,11 @@ def m2_m3_escalate_defaults(spark, sf_dir):
     return out.select("p_partkey", "field_id", "is_escalated", "escalation_ref", F.array_join("footnotes", "|").alias("notes"), "calorific_basis", "extraction_confidence")
 
 
-sql_query("m7_insert_or_ignore", "select c_mktsegment, min(c_custkey) as kept from customer group by c_mktsegment")
+@query("""with stored as (select distinct c_mktsegment || '/' || cast(c_nationkey as varchar) as key from customer where c_nationkey % 4 = 0), batch as (select c_mktsegment || '/' || cast(c_nationkey as varchar) as key, c_custkey from customer)
+select key, min(c_custkey) as c_custkey from batch where key not in (select key from stored) group by key""")
+def m7_insert_or_ignore(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("key"), "c_custkey", "c_nationkey")
+    return upsert.insert_or_ignore(rows.where("c_nationkey % 4 = 0").select("key").distinct(), rows.select("key", "c_custkey"), "key", ["c_custkey"])
 
 _CATALOG = """select series_key, indicator_id, unit_id, calorific_basis, period_type, max(aggregation_role) as aggregation_role, bool_or(is_total) as is_total, count(*) as n_obs,
   min(ref_year) as first_year, max(ref_year) as last_year, count(distinct source_id) as n_sources, string_agg(distinct report_type, '/' order by report_type) as families,

@@ -25,10 +25,15 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def split_units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units, conversion factors) of a mixed table; other record types are left out, and a repeated key keeps one row."""
-    units = rows.where("record_type = 'unit'").select("unit_code", "unit_label_fr", "quantity_kind", "note").dropDuplicates(["unit_code"])
-    factors = rows.where("record_type = 'conversion'").select("from_unit", "to_unit", F.expr("try_cast(factor as double)").alias("factor"), F.coalesce("calorific_basis", F.lit("")).alias("calorific_basis"), F.coalesce("scope", F.lit("")).alias("scope"), "note")
-    return units, factors.dropDuplicates(["from_unit", "to_unit", "scope"])
+    """(units, conversion factors) of a mixed table; other record types are left out.
+
+    The first row of a repeated key stays: by `line_no` where there is one, else by the rows' own text.
+    """
+    order = ["line_no"] if "line_no" in rows.columns else []
+    first = lambda df, keys: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *[c for c in df.columns if c not in (*keys, *order)]))).where("nth = 1").drop("nth", *order)
+    units = first(rows.where("record_type = 'unit'").select("unit_code", "unit_label_fr", "quantity_kind", "note", *order), ["unit_code"])
+    factors = rows.where("record_type = 'conversion'").select("from_unit", "to_unit", F.expr("try_cast(factor as double)").alias("factor"), F.coalesce("calorific_basis", F.lit("")).alias("calorific_basis"), F.coalesce("scope", F.lit("")).alias("scope"), "note", *order)
+    return units, first(factors, ["from_unit", "to_unit", "scope"])
 
 
 def footnotes(lines: DataFrame, line: str = "value", order: str = "line_no") -> DataFrame:

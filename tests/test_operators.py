@@ -1,5 +1,7 @@
 """Small frames for what the test tables don't hold."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,42 @@ def test_vocabulary(spark):
     assert sorted(str(r.x) for r in missed.collect()) == ["", "None", "charbon"]
 
 
+def test_vocabularies_of_any_size(spark):
+    names = spark.range(60_000).selectExpr("cast(id as int) as o", "concat('v', id) as id", "concat('name ', id, ' of many words') as label", "cast(null as string) as alias")
+    known = vocab.names(names, "id", ["label"], "alias", "o")
+    found, missed = vocab.match(column(spark, ["the name 59999 of many words here", "Name 7 of many words", "name 7 of"]), "x", known)
+    assert {r.x: r.id for r in found.collect()} == {"the name 59999 of many words here": "v59999", "Name 7 of many words": "v7"}
+    assert [r.x for r in missed.collect()] == ["name 7 of"]
+
+
+def test_anchors_of_each_page(spark):
+    words = spark.createDataFrame([(1, 95.0, 105.0, "4"), (2, 95.0, 105.0, "5"), (3, 95.0, 105.0, "6")], "page int, x0 double, x1 double, text string")
+    anchors = spark.createDataFrame([(1, 1, "b", 110.0), (1, 0, "a", 90.0), (2, 0, "z", 101.0), (3, 0, "far", 300.0)], "page int, ord int, column string, x double")
+    found = extraction.nearest_anchor(words, anchors)
+    assert sorted((r.page, r.column) for r in found.collect()) == [(1, "a"), (2, "z")] and found.columns == ["page", "x0", "x1", "text", "column"]
+
+
+def test_a_source_that_reports_a_cell_twice_is_listed_with_its_last_value(spark):
+    rows = [(1, "a", 1.0, True), (2, "a", 9.0, False), (3, "b", 2.0, False), (4, None, 5.0, False)]
+    df = spark.createDataFrame([("s", "2020-01-01", "2020-12-31", 2020, "annual", "NA", i, src, v, p) for i, src, v, p in rows], "series_key string, period_start string, period_end string, ref_year int, period_type string, calorific_basis string, observation_id long, source_id string, value double, is_preferred boolean")
+    assert settle.reconciliation_log(df).first().values_json == '{"a":9.0,"b":2.0}'
+
+
+def test_the_first_row_of_a_unit_stays(spark):
+    rows = [(2, "unit", "t", "second"), (1, "unit", "t", "first"), (3, "conversion", None, None)]
+    df = spark.createDataFrame([(n, k, u, label, "mass", "a", "b", "2", "", "", "") for n, k, u, label in rows], "line_no int, record_type string, unit_code string, unit_label_fr string, quantity_kind string, from_unit string, to_unit string, factor string, calorific_basis string, scope string, note string")
+    units, factors = files.split_units(df)
+    assert [r.unit_label_fr for r in units.collect()] == ["first"] and [r.factor for r in factors.collect()] == [2.0]
+
+
+def test_pairs_have_the_status_that_compare_gives(store, spark, sf_dir):
+    live = store.obs.where("is_preferred")
+    keys_ = [r.series_key for r in live.select("series_key").distinct().orderBy(F.xxhash64("series_key")).limit(6).collect()]
+    pairs = [(a, b) for a in keys_ for b in keys_ if a < b]
+    found = {(r.one, r.other): r.status for r in api.compare_pairs(spark.createDataFrame(pairs, "one string, other string"), live).collect()}
+    assert found == {p: store.compare(list(p))["status"] for p in pairs}
+
+
 def test_anchor_ties_go_to_the_first(spark):
     words = spark.createDataFrame([(1, 5.0, 95.0, 105.0, "4"), (1, 5.0, 200.0, 202.0, "9")], "page int, y double, x0 double, x1 double, text string")
     anchors = spark.createDataFrame([(1, "b", 110.0), (0, "a", 90.0)], "ord int, column string, x double")
@@ -168,8 +206,13 @@ def test_stream_of_editions_is_idempotent(spark, tmp_path):
     ingest.start(spark, source, schema, store, aside, check, ["value"]).awaitTermination(120)
     spark.createDataFrame([("a", 1.0, "c1"), ("b", 9.0, "c2"), ("c", 3.0, "c1")], schema).coalesce(1).write.mode("append").parquet(source)
     ingest.start(spark, source, schema, store, aside, check, ["value"]).awaitTermination(120)
-    assert sorted((r.upsert_key, r.value) for r in spark.read.parquet(store).collect()) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
-    assert [(r.upsert_key, r.value) for r in spark.read.parquet(aside).collect()] == [("b", 9.0)]
+    kept = lambda: (sorted((r.upsert_key, r.value) for r in spark.read.parquet(store).collect()), [(r.upsert_key, r.value) for r in spark.read.parquet(aside).collect()])
+    assert kept() == ([("a", 1.0), ("b", 2.0), ("c", 3.0)], [("b", 9.0)])
+    # a batch whose commit was lost is run again, and changes nothing
+    os.remove(f"{check}/commits/1")
+    os.remove(f"{check}/commits/.1.crc")
+    ingest.start(spark, source, schema, store, aside, check, ["value"]).awaitTermination(120)
+    assert kept() == ([("a", 1.0), ("b", 2.0), ("c", 3.0)], [("b", 9.0)])
 
 
 def test_plans_prune_and_push(spark, sf_dir):
