@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from . import settle
+from .catalog import tiers
 
 # Attributes that must agree in a comparison, weights of the search tiers, and bounds of relevance.
 TWINS = ("calorific_basis", "period_type", "geography_scope", "scope", "unit_id")
@@ -183,7 +184,7 @@ class Store:
     def search_series(self, query: str, limit: int = 15) -> dict:
         full = query + "".join(f" {v}" for k, v in self.synonyms.items() if k in query)
         words = [t for t in full.lower().replace("'", " ").replace("-", " ").split() if len(t) > 1]
-        scored = tier_scores(self.catalog, words).where("score > 0")
+        scored = tier_scores(tiers(self.catalog), words).where("score > 0").drop("t1", "t2", "t3", "t4")
         hits = self._rows(scored.orderBy(F.desc("score"), F.desc("n_obs"), "series_key").limit(limit))
         family = self.out_of_scope(full)
         out = {"status": "ok", "query": query, "n_matches": scored.count(), "returned": len(hits), "series": hits}

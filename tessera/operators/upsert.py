@@ -46,7 +46,7 @@ def with_defaults(batch: DataFrame) -> DataFrame:
 
 def escalate(batch: DataFrame, field: str = "field_id", note: str = "FN-FIELD-NAME") -> DataFrame:
     """Rows of fields with a disputed name are escalated once, with a reference and a footnote."""
-    disputed = F.col(field).isin(*ESCALATED_FIELDS, *[f"field.{x}" for x in ESCALATED_FIELDS]) & ~F.coalesce(F.col("is_escalated"), F.lit(False))
+    disputed = F.coalesce(F.col(field).isin(*ESCALATED_FIELDS, *[f"field.{x}" for x in ESCALATED_FIELDS]), F.lit(False)) & ~F.coalesce(F.col("is_escalated"), F.lit(False))
     notes = F.coalesce(F.col("footnotes"), F.array().cast("array<string>"))
     return batch.withColumns({
         "is_escalated": F.coalesce(F.col("is_escalated"), F.lit(False)) | disputed,

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import api, settle
+from ..operators import api, catalog, settle
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
+from .settling import DEFINED_SQL
 
-#: Search tiers of the model's series: what, which, where, context.
+#: Attributes of the model's series.
 _TIERS = """select series_key, indicator_id, period_type, geography_scope, scope, calorific_basis, unit_id, max(aggregation_role) as aggregation_role, count(*) as n_obs, 'order revenue umsatz' as t1, lower(coalesce(replace(product_id, '.', ' '), '')) as t2,
   lower(coalesce(region_id, '') || ' ' || coalesce(scope, '') || ' ' || geography_scope || ' ' || calorific_basis) as t3, 'sales annual orders' as t4 from {view} group by series_key, indicator_id, product_id, region_id, scope, geography_scope, calorific_basis, unit_id, period_type"""
+_TERMS = "Asia large-net sales order zzz"
 _WORDS = ["asia", "large", "net", "sales", "order", "zzz"]
 _WEIGHT = " + ".join(f"case when contains(t1, '{w}') then 8 when contains(t2, '{w}') then 4 when contains(t3, '{w}') then 2 when contains(t4, '{w}') then 1 else 0 end" for w in _WORDS)
 
 
-@query(duck_sql(f"with c as ({_TIERS.format(view='obs')}) select series_key, cast({_WEIGHT} as int) as score, n_obs from c where {_WEIGHT} > 0 order by 2 desc, n_obs desc, series_key limit 15"))
+@query(duck_sql(f"""with d as ({DEFINED_SQL}), c as (select series_key, n_obs, lower(indicator_id) as t1, lower(coalesce(product_id, '')) as t2, lower(concat_ws(' ', region_id, scope, geography_scope, calorific_basis)) as t3, lower(concat_ws(' ', flow_id, definition, families, period_type)) as t4 from d)
+select series_key, cast({_WEIGHT} as int) as score, n_obs from c where {_WEIGHT} > 0 order by 2 desc, n_obs desc, series_key limit 15"""))
 def t1_search(spark, sf_dir):
-    scored = api.tier_scores(run_sql(spark, sf_dir, _TIERS.format(view="obs")), _WORDS).where("score > 0")
-    return scored.orderBy(F.desc("score"), F.desc("n_obs"), "series_key").limit(15).select("series_key", "score", "n_obs")
+    """The best fifteen, as the store answers over the product's own catalog."""
+    settled = settle.precedence(view(spark, sf_dir, "obs"))
+    found = api.Store(spark, settled, catalog.catalog(settled)).search_series(_TERMS)
+    return spark.createDataFrame([(r["series_key"], r["score"], r["n_obs"]) for r in found["series"]], "series_key string, score int, n_obs long")
 
 
 _DOC_TIERS = "select doc_id as id, lower(lang) as t1, lower(source) as t2, lower(text) as t3, cast(n_chars as {t}) as t4 from documents"

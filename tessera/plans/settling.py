@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
-from ..operators import settle, upsert
+from ..operators import ingest, settle, upsert
+from ..sources.shared import shared_dir
 from .observations import duck_sql, run_sql, view
 from .registry import query, sql_query
 
@@ -131,6 +134,37 @@ _CATALOG = """select series_key, indicator_id, unit_id, calorific_basis, period_
 from settled group by all"""
 
 
+#: The catalog with its definition and dimensions, for the search and the published form.
+CATALOG_SQL = _CATALOG.replace("from settled group by all", ", flow_id, product_id, region_id, scope, geography_scope from settled group by series_key, indicator_id, unit_id, calorific_basis, period_type, flow_id, product_id, region_id, scope, geography_scope")
+DEFINED_SQL = f"select *, indicator_id || '. ' || display_name || '. Source families: ' || families || '; period_type=' || period_type || '; years ' || first_year || '–' || last_year || '. Aggregation role: ' || aggregation_role || '.' as definition from ({CATALOG_SQL})"
+
+
+@query(duck_sql(f"""select series_key as series_id, display_name, aggregation_role, definition, unit_id as unit, calorific_basis, case calorific_basis when 'NET' then 'inferred' else 'stated' end as basis_confidence, period_type, flow_id as flow, product_id as product,
+  cast(null as varchar) as sector, region_id as region, cast(null as varchar) as field, cast(null as varchar) as level, cast(null as varchar) as producer, cast(null as varchar) as technology, scope, geography_scope, cast(null as varchar) as redevance_toggle,
+  is_total, n_obs, first_year, last_year, n_sources, families, replace(families, '/', '-v1/') || '-v1' as templates, confidence, escalated from ({DEFINED_SQL})"""))
+def m10_catalog(spark, sf_dir):
+    obs = settle.precedence(view(spark, sf_dir, "obs"))
+    obs = obs.withColumns({"basis_confidence": F.when(F.col("calorific_basis") == "NET", "inferred").otherwise("stated"), "template_version": F.concat("report_type", F.lit("-v1"))})
+    return cat.published(cat.catalog(obs))
+
+
+_LOADED = "observation_id % 419 <> 0"
+
+
+@query(duck_sql(f"""with taken as (select * from obs where {_LOADED}), taken_cells as (select {KEYS}, count(distinct source_id) as n_sources from taken where value is not null group by {KEYS})
+select 'observation' as table_name, (select count(*) from taken) as n union all select 'preferred', (select count(*) from taken_cells) union all select 'reconciliation', (select count(*) from taken_cells where n_sources > 1)
+union all select 'series', (select count(distinct series_key) from taken) union all select 'quarantine', (select count(*) from obs) - (select count(*) from taken) union all select 'appended_again', 0"""))
+def b1_ingest_run(spark, sf_dir):
+    """A batch with rows that break a constraint, loaded into an empty store and then once more."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    batch = view(spark, sf_dir, "obs").withColumns({"unit_id": F.when(F.expr(_LOADED), F.col("unit_id")), "source_cell": F.concat_ws("|", "source_ref", "observation_id"), "load_key": F.col("observation_id")})
+    ingest.reset(spark, root)
+    first = ingest.ingest(spark, batch, root, 1)
+    again = ingest.ingest(spark, batch, root, 2)
+    rows = [(k, first[k]) for k in ("observation", "preferred", "reconciliation", "series", "quarantine")] + [("appended_again", again["observation"] - first["observation"])]
+    return spark.createDataFrame(rows, "table_name string, n long")
+
+
 @query(duck_sql(f"select * exclude (flow_id, product_id, region_id, scope, geography_scope) from ({_CATALOG.replace('from settled group by all', ', flow_id, product_id, region_id, scope, geography_scope from settled group by series_key, indicator_id, unit_id, calorific_basis, period_type, flow_id, product_id, region_id, scope, geography_scope')})"))
 def a1_catalog(spark, sf_dir):
     out = cat.catalog(settle.precedence(view(spark, sf_dir, "obs")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import keys, text
 from tessera.operators import api, catalog, extraction, quality, settle, upsert, vocab
+from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
 from tessera.streaming import ingest
@@ -126,8 +127,6 @@ def test_rules_report_errors_and_go_on(spark):
 def store(spark, sf_dir):
     settled = settle.precedence(view(spark, sf_dir, "obs"))
     cat = catalog.catalog(settled)
-    low = lambda *c: F.lower(F.concat_ws(" ", *c))
-    cat = cat.withColumns({"t1": F.lit("order revenue"), "t2": low("product_id"), "t3": low("region_id", "scope", "geography_scope", "calorific_basis"), "t4": low("flow_id", "families", "period_type")})
     factors = spark.createDataFrame([("PCI", "PCS", 1.1111111111, "PCI->PCS", "natural gas", "")], "from_unit string, to_unit string, factor double, calorific_basis string, scope string, note string")
     units = spark.createDataFrame([("cur", "money")], "unit_code string, quantity_kind string")
     glossary = spark.createDataFrame([("calorific_basis", "NET", "net of discount", "GROSS"), ("scope", "flash_only", "x", "a|b")], "attribute string, token string, definition string, never_sum_with string")
@@ -215,6 +214,35 @@ def test_stream_of_editions_is_idempotent(spark, tmp_path):
     assert kept() == ([("a", 1.0), ("b", 2.0), ("c", 3.0)], [("b", 9.0)])
 
 
+def test_an_ingest_run_is_idempotent_and_keeps_constraints(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one = {"indicator_id": "gas", "unit_id": "kt", "value": 5.0, "period_type": "annual", "period_start": "2020-01-01", "period_end": "2020-12-31", "ref_year": 2020, "report_type": "bilan", "data_status": "final", "calorific_basis": "NA", "extra": "x"}
+    rows = [one | {"source_id": "a", "source_cell": "c1", "load_key": 1}, one | {"source_id": "b", "source_cell": "c1", "load_key": 2, "value": 50.0, "report_type": "conjoncture"}, one | {"source_id": "c", "source_cell": "c1", "load_key": 3, "period_start": "2021-01-01"}, one | {"source_id": "d", "source_cell": "c1", "load_key": 4, "data_status": "guessed"}, one | {"source_id": "e", "source_cell": "c1", "load_key": 5, "unit_id": None}]
+    schema = "indicator_id string, unit_id string, value double, period_type string, period_start string, period_end string, ref_year int, report_type string, data_status string, calorific_basis string, extra string, source_id string, source_cell string, load_key long"
+    batch = spark.createDataFrame(rows, schema)
+    ingest_run.reset(spark, root)
+    first = ingest_run.ingest(spark, batch, root, 1)
+    assert (first["observation"], first["preferred"], first["reconciliation"], first["series"], first["quarantine"]) == (2, 1, 1, 1, 3)
+    assert {r.context for r in spark.read.parquet(f"{root}/quarantine").collect()} == {"period_start > period_end", "data_status=guessed", "unit_id is null"}
+    stored = ingest_run.observations(spark, root)
+    assert stored.schema == ingest_run.OBSERVATION and sorted(r.observation_id for r in stored.collect()) == [1, 2]
+    assert ingest_run.ingest(spark, batch, root, 1) == first  # the same run again
+    assert ingest_run.ingest(spark, batch, root, 2)["observation"] == 2  # the same batch as a later run
+    more = batch.where("source_id = 'a'").withColumns({"value": F.lit(7.0), "source_cell": F.lit("c9")}).unionByName(batch.where("source_id = 'a'").withColumn("source_id", F.lit("z")))
+    third = ingest_run.ingest(spark, more, root, 3)
+    assert third["observation"] == 3 and spark.read.parquet(f"{root}/quarantine/run=3").first().dimension == "SERIES_KEY_COLLISION"
+    assert spark.read.parquet(f"{root}/settled").where("is_preferred").first().source_id in ("a", "z")
+    stored, ids_ = ingest_run.observations(spark, root), lambda x: spark.createDataFrame([(x,)], "id string")
+    assert {(r.column, r.member) for r in ingest_run.orphans(stored, {"unit_id": ids_("t"), "source_id": ids_("a")}).collect()} == {("unit_id", "kt"), ("source_id", "b"), ("source_id", "z")}
+    ingest_run.reset(spark, root)
+    assert ingest_run.observations(spark, root).count() == 0
+
+
+def test_the_published_catalog_has_its_columns(store):
+    out = catalog.published(store.catalog)
+    assert len(out.columns) == 28 and out.columns[:5] == ["series_id", "display_name", "aggregation_role", "definition", "unit"] and out.where("display_name is null").count() == 0
+
+
 def test_plans_prune_and_push(spark, sf_dir):
     plan = run_sql(spark, sf_dir, "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")._jdf.queryExecution().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
