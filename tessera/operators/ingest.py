@@ -8,8 +8,6 @@ break a declared constraint and the values that contradict stored ones. Loading
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -51,12 +49,6 @@ def violations() -> Column:
     return F.array_compact(F.array(*filled, *known, F.when(F.col("period_start") > F.col("period_end"), "period_start > period_end")))
 
 
-def orphans(rows: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
-    """(column, member, n): members that rows refer to and that the dimension tables don't hold; `references` by column."""
-    each = [rows.where(F.col(c).isNotNull()).groupBy(F.lit(c).alias("column"), F.col(c).alias("member")).agg(F.count("*").alias("n")).join(ids.select(F.col(ids.columns[0]).alias("member")), "member", "left_anti") for c, ids in references.items()]
-    return reduce(DataFrame.unionByName, each)
-
-
 def reset(spark: SparkSession, root: str) -> None:
     """Empty tables of the declared schema, from which a rebuild starts."""
     spark.createDataFrame([], OBSERVATION).drop("indicator_id").write.mode("overwrite").parquet(f"{root}/observation/run=0/indicator_id=none")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Allowed enum members, columns that must be filled, and tolerances of the checks.
 DOMAINS = {
@@ -57,6 +59,23 @@ def orphans(column: str, view: str, parent: str, key: str) -> str:
     return f"select '{column}' as reference, {column} as offender, count(*) as n from {view} c where {column} is not null and not exists (select 1 from {parent} p where p.{key} = c.{column}) group by {column}"
 
 
+def orphan_members(rows: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
+    """(reference, offender, n): members that rows refer to and that the dimension tables don't hold; `references` by column.
+
+    One pass over the rows, whatever the number of references; only the distinct members are joined.
+    """
+    used = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("reference"), F.col(c).cast("string").alias("offender")) for c in references])).alias("r")).select("r.*")
+    used = used.where("offender is not null").groupBy("reference", "offender").agg(F.count("*").alias("n"))
+    known = reduce(DataFrame.unionByName, [ids.select(F.lit(c).alias("reference"), F.col(ids.columns[0]).cast("string").alias("offender")) for c, ids in references.items()])
+    return used.join(known.distinct(), ["reference", "offender"], "left_anti")
+
+
+def outside_members(rows: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(domain, offender, n): enum members that are not known, from one pass over the rows."""
+    wrong = [F.when(~F.col(c).isin(*members), F.struct(F.lit(c).alias("domain"), F.col(c).alias("offender"))) for c, members in domains.items()]
+    return rows.select(F.explode(F.array_compact(F.array(*wrong))).alias("w")).select("w.*").groupBy("domain", "offender").agg(F.count("*").alias("n"))
+
+
 def cycles(edges: str, child: str, parent: str, depth: int = 50) -> str:
     """Nodes that come back to themselves along parents."""
     return f"""with recursive walk as (

@@ -233,7 +233,7 @@ def test_an_ingest_run_is_idempotent_and_keeps_constraints(spark, tmp_path):
     assert third["observation"] == 3 and spark.read.parquet(f"{root}/quarantine/run=3").first().dimension == "SERIES_KEY_COLLISION"
     assert spark.read.parquet(f"{root}/settled").where("is_preferred").first().source_id in ("a", "z")
     stored, ids_ = ingest_run.observations(spark, root), lambda x: spark.createDataFrame([(x,)], "id string")
-    assert {(r.column, r.member) for r in ingest_run.orphans(stored, {"unit_id": ids_("t"), "source_id": ids_("a")}).collect()} == {("unit_id", "kt"), ("source_id", "b"), ("source_id", "z")}
+    assert {(r.reference, r.offender) for r in quality.orphan_members(stored, {"unit_id": ids_("t"), "source_id": ids_("a")}).collect()} == {("unit_id", "kt"), ("source_id", "b"), ("source_id", "z")}
     ingest_run.reset(spark, root)
     assert ingest_run.observations(spark, root).count() == 0
 
