@@ -27,6 +27,8 @@ from .components import components
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Buckets above this size are split again by bits, so that one task holds at most so many fingerprints at once.
 BUCKET = 2048
+#: Links that a task holds before it hands them on, about.
+LINKS = 50_000
 #: Bytes of text that are taken apart at once.
 PART = 1 << 20
 #: A fingerprint with over a MANYth of all rows, and over MANY, is joined by a broadcast.
@@ -134,15 +136,50 @@ def _nearest(fps: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]
     return out
 
 
+def _first_combination(max_bits: int) -> np.ndarray:
+    """For each set of agreeing bytes, as bits, the number of the first mask of `_masks` that lies in it; -1 for none."""
+    sets = [sum(1 << i for i in c) for c in combinations(range(8), 8 - max_bits)]
+    return np.array([next((k for k, s in enumerate(sets) if s & have == s), -1) for have in range(256)], np.int64)
+
+
+def _meets_first(apart: np.ndarray, c: int, sub: int, first: np.ndarray, subs: list[list[int]]) -> np.ndarray:
+    """Whether bucket (c, sub) is the first of all in which fingerprints `apart` from each other meet; sub is -1 if there is none.
+
+    Links that are given only there still connect all: what a link joins in a later bucket is joined in an earlier one.
+    """
+    agree = (apart.view(np.uint8).reshape(-1, 8) == 0) @ (1 << np.arange(8))  # little-endian: byte i is the i-th mask part
+    out = first[agree] == c
+    for k in range(sub + 1):
+        same = apart & np.int64(subs[c][k]) == 0
+        out &= same if k == sub else ~same
+    return out
+
+
 def _bucket_links(buckets: DataFrame, max_bits: int, nearest: int) -> DataFrame:
+    first = _first_combination(max_bits)
+    subs = [[_signed(s) for s in _bit_masks(m, max_bits)] for m in _masks(max_bits)]
+
+    def out(links: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *links])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
     def run(batches):
         for batch in batches:
-            groups = [np.array(fps, np.int64) for fps in batch.column(0).to_pylist()]
-            links = [x for fps in groups for x in _spanning(fps, max_bits) + (_nearest(fps, max_bits, nearest) if nearest else [])]
-            a, b = zip(*links, strict=True) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return buckets.select("fps").mapInArrow(run, "a long, b long")
+            ends, values = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
+            c, sub = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            held, count = [], 0
+            for i in range(batch.num_rows):
+                fps = values[ends[i] : ends[i + 1]]
+                pairs = np.array(_spanning(fps, max_bits) + (_nearest(fps, max_bits, nearest) if nearest else []), np.int64).reshape(-1, 2)
+                pairs = pairs[_meets_first(pairs[:, 0] ^ pairs[:, 1], c[i], sub[i], first, subs)]
+                held.append(pairs)
+                count += len(pairs)
+                if count > LINKS:
+                    yield out(held)
+                    held, count = [], 0
+            yield out(held)
+
+    return buckets.select("fps", F.col("c").cast("int"), F.col("sub").cast("int")).mapInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, nearest: int = 0) -> DataFrame:
@@ -163,13 +200,13 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, nearest: int
     if not sizes[0]:
         return found
     members = lambda which: posted.join(small_or_plain(counted.where(which).select("k")), "k")
-    some = members(F.col("n").between(3, bucket)).groupBy("k").agg(F.collect_list("fp").alias("fps"))
+    some = members(F.col("n").between(3, bucket)).groupBy("k", "c").agg(F.collect_list("fp").alias("fps")).withColumn("sub", F.lit(-1))
     found = found.unionByName(_bucket_links(some, max_bits, nearest))
     if sizes[1] > bucket:  # each bucket of a bit run holds at most 2 ** (3 * max_bits) fingerprints
         hot = members(F.col("n") > bucket)
         sub = F.element_at(F.array(*[lit(x) for x in subs]), F.col("c") + 1)
-        finer = hot.select("fp", "k", F.explode(sub).alias("sub")).select("fp", F.xxhash64("k", "sub", F.col("fp").bitwiseAND(F.col("sub"))).alias("k"))
-        finer = finer.groupBy("k").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+        finer = hot.select("fp", "k", "c", F.posexplode(sub).alias("sub", "m")).select("fp", "c", "sub", F.xxhash64("k", "m", F.col("fp").bitwiseAND(F.col("m"))).alias("k"))
+        finer = finer.groupBy("k", "c", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         found = found.unionByName(_bucket_links(finer, max_bits, nearest))
     return found.distinct()
 

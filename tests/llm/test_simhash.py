@@ -106,3 +106,18 @@ def test_long_texts_go_through_in_parts(monkeypatch):
     for size in (1, 5, 13, 1 << 20):
         monkeypatch.setattr(S, "PART", size)
         assert [S.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
+
+
+def test_a_pair_is_given_in_the_first_bucket_where_it_meets():
+    first, masks = S._first_combination(3), S._masks(3)
+    subs = [[S._signed(x) for x in S._bit_masks(m, 3)] for m in masks]
+    rng = random.Random(8)
+    for _ in range(300):
+        apart = 0
+        for _ in range(rng.randint(1, 3)):
+            apart ^= 1 << rng.randrange(64)
+        x = np.array([S._signed(apart)], np.int64)
+        meets = [c for c, m in enumerate(masks) if not apart & m]
+        assert [c for c in range(56) if S._meets_first(x, c, -1, first, subs)[0]] == meets[:1]
+        finer = [k for k, m in enumerate(subs[meets[0]]) if not apart & m & (2**64 - 1)]
+        assert [k for k in range(56) if S._meets_first(x, meets[0], k, first, subs)[0]] == finer[:1]
