@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extraction as ex
+from ..operators import tables, vocab
+from .functions_ import _norm
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
 
@@ -181,3 +183,103 @@ def x21_grand(spark, sf_dir):
     obs = view(spark, sf_dir, "obs")
     grand = ex.is_grand_total(F.col("is_total"), F.col("flow_id"), "flow.sales", F.col("product_id"), F.col("region_id"), F.col("level_id"))
     return obs.select("observation_id", grand.alias("is_grand"))
+
+
+@query(f"""with recursive y as (select distinct page, y from ({_WORDS}) w), walk as (select page, 0 as block, min(y) as y from y group by page
+  union all select w.page, w.block + 1, min(y.y) from walk w join y on y.page = w.page and y.y - w.y > 30 group by w.page, w.block) select page, block, y from walk""")
+def x11_blocks(spark, sf_dir):
+    return tables.blocks(run_sql(spark, sf_dir, _WORDS), ["page"])
+
+
+#: Labels that rules know, that the vocabulary of fields or products knows, and that nothing knows.
+_LABELS = ["Demande", "Production d'électricité", "Hors prod. élec.", "Haute pression", "Moy. & Basse pression", "FUEL + GASOIL", "Gaz naturel", "STEG", "IPP (Gaz naturel)", "Achat tiers", "Echanges", "Production nationale", "Production pour marché local", "Total", "Haute tension", "Moyen tension", "Basse tension", "Redevance totale (forfait fiscal)", "PRODUCTION NATIONALE +F.Fiscal", "Achats", "Ressources", "Ventes externes", "Nawara", "El Borma sud", "Gasoil ordinaire", "GPL", "Consommation totale", "???", "", "Demande totale"]
+_FIELDS, _PRODUCTS = [("field.nawara", "Nawara"), ("field.el_borma", "El Borma")], [("prod.lpg", "GPL"), ("prod.gasoil_ordinaire", "Gasoil ordinaire")]
+
+
+def _named(spark, pairs):
+    return vocab.names(spark.createDataFrame([(i, n, k) for i, (k, n) in enumerate(pairs)], "ord int, label string, id string"), "id", ["label"], None, "ord")
+
+
+def _known(spark):
+    return {"field_id": _named(spark, _FIELDS), "product_id": _named(spark, _PRODUCTS), "level_id": _named(spark, [("lvl.ht", "HT")])}
+
+
+def _label_sql() -> str:
+    """Every label under every resolver, spread over the parts, and what SQL makes of it: cases of rules, then of names."""
+    labels = ", ".join("(" + str(i) + ", '" + x.replace("'", "''") + "')" for i, x in enumerate(_LABELS))
+    resolvers = ", ".join(f"({i}, '{r}')" for i, r in enumerate(tables.RESOLVERS))
+    own = f"select p.p_partkey, l.label, r.resolver from part p join (values {labels}) l(i, label) on p.p_partkey % {len(_LABELS)} = l.i join (values {resolvers}) r(j, resolver) on (p.p_partkey - p.p_partkey % {len(_LABELS)}) / {len(_LABELS)} % {len(tables.RESOLVERS)} = r.j"
+    return own
+
+
+def _resolved_sql() -> str:
+    tests = {"is": "norm = '{t}'", "starts": "starts_with(norm, '{t}')", "has": "contains(norm, '{t}')"}
+    quoted = lambda x: "null" if x is None else f"'{x}'"
+
+    def column(d: str) -> str:
+        arms = []
+        for name, (rules, dimension, extra) in tables.RESOLVERS.items():
+            arms += [f"when resolver = '{name}' and {tests[how].format(t=t)} then {quoted(found.get(d))}" for how, t, found in rules]
+            pairs = {"field_id": _FIELDS, "product_id": _PRODUCTS, "level_id": [("lvl.ht", "HT")]}.get(dimension, [])
+            arms += [f"when resolver = '{name}' and contains(' ' || norm || ' ', ' {n.lower()} ') then {quoted(k if d == dimension else extra.get(d))}" for k, n in pairs]
+        return f"case {' '.join(arms)} end as {d}"
+
+    def known() -> str:
+        arms = []
+        for name, (rules, dimension, _) in tables.RESOLVERS.items():
+            arms += [f"when resolver = '{name}' and {tests[how].format(t=t)} then {1 if found.get('is_total') else 0}" for how, t, found in rules]
+            pairs = {"field_id": _FIELDS, "product_id": _PRODUCTS, "level_id": [("lvl.ht", "HT")]}.get(dimension, [])
+            arms += [f"when resolver = '{name}' and contains(' ' || norm || ' ', ' {n.lower()} ') then {1 if k in tables.PARTS else 0}" for k, n in pairs]
+        return f"case {' '.join(arms)} end as total"
+
+    return f"select p_partkey, label, resolver, {', '.join(map(column, tables.DIMENSIONS))}, {known()} from (select *, {_norm('label')} as norm from ({_label_sql()}) o) n"
+
+
+@query(f"select p_partkey, resolver, {', '.join(tables.DIMENSIONS)}, total = 1 as is_total from ({_resolved_sql()}) x where total is not null")
+def x20_row_resolvers(spark, sf_dir):
+    found, _ = tables.resolve_rows(run_sql(spark, sf_dir, _label_sql()), _known(spark))
+    return found.drop("label")
+
+
+@query(f"select p_partkey, label, resolver from ({_resolved_sql()}) x where total is null")
+def x20_labels_aside(spark, sf_dir):
+    return tables.resolve_rows(run_sql(spark, sf_dir, _label_sql()), _known(spark))[1]
+
+
+#: Words on the pages of the tables of two years: a label, two numbers near the years' places, and strays, from parts.
+_YEAR_WORDS = """select p_partkey % 14 as page, cast(70 + 7 * (p_partkey % 41) as double) as y, cast(case p_partkey % 4 when 0 then 20 + p_size when 1 then 165 + p_size % 12 when 2 then 220 + p_size % 15 else 460 + (p_size * 7) % 240 end as double) as x0,
+  cast(case p_partkey % 4 when 0 then 60 + p_size when 1 then 175 + p_size % 12 when 2 then 232 + p_size % 15 else 470 + (p_size * 7) % 240 end as double) as x1, case p_partkey % 4 when 0 then p_name when 3 then case when p_size % 2 = 0 then p_brand else '7' end else cast(p_size * 10 as {t}) || ',5' end as text from part"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+@query(f"""with w as ({_YEAR_WORDS.format(t="varchar")}), s as (select * from (values {_values(tables.YEAR_TABLES)}) v({", ".join(x.split()[0] for x in tables.YEAR_TABLES_SCHEMA.split(", "))})),
+h as (select s.*, w.y, w.x0, w.text, (w.x0 + w.x1) / 2 as c from w join s on w.page = s.page where w.y between s.y0 and s.y1),
+g as (select *, c between cell_min and cell_max and least(abs(c - prior_x), abs(c - current_x)) <= 27 and regexp_matches(regexp_replace(text, '[,.%+ -]', '', 'g'), '^[0-9]+$') as is_cell, abs(c - prior_x) <= abs(c - current_x) as is_prior from h),
+l as (select ref, round(y, 1) as line_y, string_agg(text, ' ' order by x0, text) filter (where not is_cell and x0 between label_min and label_max) as label, string_agg(text, '' order by x0, text) filter (where is_cell and is_prior) as prior, string_agg(text, '' order by x0, text) filter (where is_cell and not is_prior) as current from g group by ref, round(y, 1))
+select ref, line_y, label, 'prior' as year_column, prior as token from l where label <> '' and prior <> '' union all select ref, line_y, label, 'current', current from l where label <> '' and current <> ''""")
+def x16_year_tables(spark, sf_dir):
+    specs = spark.createDataFrame(tables.YEAR_TABLES, tables.YEAR_TABLES_SCHEMA)
+    return tables.year_table_rows(run_sql(spark, sf_dir, _YEAR_WORDS.format(t="string")), specs).select("ref", "line_y", "label", "year_column", "token")
+
+
+_BALANCE = "select conv_id, turn, case turn % 3 when 0 then 'Gaz naturel' when 1 then 'Pétrole' else role end as label from conversations"
+
+
+@query(f"""with b as (select *, row_number() over (partition by conv_id, label order by turn) as nth from ({_BALANCE}) x)
+select conv_id, turn, label, case when label = 'Gaz naturel' then case nth when 1 then 'flow.resources' else 'flow.demand' end end as flow_id from b where nth = 1 or label = 'Gaz naturel' and nth = 2""")
+def x19_occurrences(spark, sf_dir):
+    return tables.occurrences(run_sql(spark, sf_dir, _BALANCE), ["conv_id"], ["turn"])
+
+
+_LEVEL_ROWS = """select case when p_size % 2 = 0 then 'gas_demand' else 'electricity_sales' end as indicator_id, 'u' as unit_id, 'NA' as calorific_basis, p_brand as source_ref, 2020 + p_size % 3 as ref_year, cast(p_size * 10 + p_partkey % 10 as double) as value,
+  case p_partkey % 3 when 0 then 'power_generation' when 1 then 'non_power' end as scope, case p_partkey % 4 when 0 then 'local' when 1 then 'exports_only' end as geography_scope, case when p_partkey % 5 <> 0 then 'lvl' end as level_id from part"""
+
+
+@query(f"""with r as ({_LEVEL_ROWS}), s as (select indicator_id, unit_id, calorific_basis, source_ref, ref_year, sum(value) filter (where indicator_id = 'gas_demand' and scope is not null) as u,
+  sum(value) filter (where indicator_id = 'electricity_sales' and geography_scope = 'local' and level_id is not null) as l, max(value) filter (where indicator_id = 'electricity_sales' and geography_scope = 'exports_only') as e from r group by all)
+select indicator_id, unit_id, calorific_basis, source_ref, ref_year, round(v, 1) as value, f as flow_id, g as geography_scope, true as is_total, true as is_grand, true as is_derived from (select *, u as v, 'flow.demand' as f, cast(null as varchar) as g from s union all select *, l, 'flow.sales', 'local' from s union all select *, l + e, 'flow.sales', 'incl_exports' from s) t where v is not null""")
+def x17_table_totals(spark, sf_dir):
+    return tables.derived_totals(run_sql(spark, sf_dir, _LEVEL_ROWS))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, text
-from tessera.operators import api, catalog, extraction, quality, settle, upsert, vocab
+from tessera.operators import api, catalog, extraction, quality, settle, tables, upsert, vocab
 from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
@@ -243,6 +243,23 @@ def test_the_published_catalog_has_its_columns(store):
     assert len(out.columns) == 28 and out.columns[:5] == ["series_id", "display_name", "aggregation_role", "definition", "unit"] and out.where("display_name is null").count() == 0
 
 
+def test_a_table_of_two_years_becomes_observations(spark):
+    specs = spark.createDataFrame(tables.YEAR_TABLES, tables.YEAR_TABLES_SCHEMA)
+    line = lambda y, label, prior, now: [(13, y, 20.0, 60.0, label), (13, y, 175.0, 190.0, prior), (13, y, 228.0, 242.0, now)]
+    words = spark.createDataFrame(line(110.0, "Haute tension", "1 500,5", "1600") + line(120.0, "Basse tension", "700", "-") + line(130.0, "Ventes externes", "10", "20") + line(140.0, "Inconnu", "1", "2") + [(3, 110.0, 20.0, 60.0, "x")], "page int, y double, x0 double, x1 double, text string")
+    names = {d: vocab.names(spark.createDataFrame([(0, "none", "none")], "o int, id string, label string"), "id", ["label"], None, "o") for d in ("field_id", "product_id", "level_id")}
+    rows, aside = tables.year_observations(tables.year_table_rows(words, specs), names, 2024)
+    assert sorted((r.ref_year, r.data_status, r.level_id or r.geography_scope, r.value) for r in rows.collect()) == [(2023, "final", "exports_only", 10.0), (2023, "final", "lvl.bt", 700.0), (2023, "final", "lvl.ht", 1500.5), (2024, "provisional", "exports_only", 20.0), (2024, "provisional", "lvl.ht", 1600.0)]
+    assert {r.label for r in aside.collect()} == {"Inconnu"}
+    totals = {(r.ref_year, r.geography_scope): r.value for r in tables.derived_totals(rows).collect()}
+    assert totals == {(2023, "local"): 2200.5, (2023, "incl_exports"): 2210.5, (2024, "local"): 1600.0, (2024, "incl_exports"): 1620.0}
+
+
+def test_blocks_count_from_their_top(spark):
+    rows = spark.createDataFrame([(1, y) for y in (10.0, 35.0, 41.0, 60.0, 72.0, 200.0)] + [(2, None)], "page int, y double")
+    assert [(r.block, r.y) for r in tables.blocks(rows, ["page"]).orderBy("block").collect()] == [(0, 10.0), (1, 41.0), (2, 72.0), (3, 200.0)]
+
+
 def test_plans_prune_and_push(spark, sf_dir):
     plan = run_sql(spark, sf_dir, "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")._jdf.queryExecution().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
