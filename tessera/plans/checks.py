@@ -12,7 +12,7 @@ from .registry import query, sql_query
 #: The settled observations with defects by row number: repeated ids and keys, wrong enums, nulls, swapped periods.
 BAD = """bad as (
   select case when observation_id % 401 = 0 then 1 when observation_id % 409 = 0 then null else observation_id end as observation_id, case when observation_id % 431 = 0 then 'gone' else indicator_id end as indicator_id,
-    case when observation_id % 5 = 0 then 'flow.export' when observation_id % 5 = 1 then 'flow.local' when observation_id % 433 = 0 then 'flow.gone' else flow_id end as flow_id, product_id, region_id,
+    case when observation_id % 3 = 0 then 'flow.export' when observation_id % 3 = 1 then 'flow.local' when observation_id % 433 = 0 then 'flow.gone' else flow_id end as flow_id, product_id, region_id,
     case when observation_id % 269 = 0 then 'sec.x' else sector_id end as sector_id, case when observation_id % 271 = 0 then 'field.gone' else field_id end as field_id, case when observation_id % 277 = 0 then 'lvl.hp' else level_id end as level_id,
     case when observation_id % 281 = 0 then 'prod.gone' else producer_id end as producer_id, case when observation_id % 293 = 0 then 'gone' when redevance_included then 'incl' else 'excl' end as redevance_toggle_id,
     case when observation_id % 419 = 0 then null else unit_id end as unit_id, case when observation_id % 199 < 60 then 'ed_9' else source_id end as source_id, source_ref, report_type,
