@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import api, catalog, settle
+from ..operators import api, catalog, evaluate, settle
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
 from .settling import DEFINED_SQL
@@ -127,3 +127,32 @@ def t8_units(spark, sf_dir):
 
 sql_query("t10_dimensions", "select 'product_id' as dimension, product_id as member, count(*) as n from obs where product_id is not null group by product_id union all select 'region_id', region_id, count(*) from obs where region_id is not null group by region_id")
 sql_query("t11_glossary", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, explode(split('grand_total|subtotal', '[|]')) as w union all select 'basis', 'NET', explode(split('GROSS', '[|]'))) g", "select attribute, token, w as never_with from (select 'role' as attribute, 'leaf' as token, unnest(string_split('grand_total|subtotal', '|')) as w union all select 'basis', 'NET', unnest(string_split('GROSS', '|'))) g")
+
+
+_LEAF, _NET, _TOTAL = _ONE, _ONE.replace("GROSS", "NET").replace("False", "True"), "order_revenue|flow.sales|||||||GROSS|cur|annual|False||||incl_exports"
+_CASES = [
+    evaluate.Case("series", "get_series", (_LEAF,), {}, {"status": "ok", "n": 0, "observations.0.calorific_basis": "GROSS"}),
+    evaluate.Case("all of it", "get_series", (_LEAF,), {"include_low": True, "include_escalated": True}, {"n": 0}),
+    evaluate.Case("a year", "get_observation", (_LEAF, 1996), {"include_low": True, "include_escalated": True}, {"observations.0.value": 0.0}),
+    evaluate.Case("no such year", "get_series", (_LEAF,), {"start_year": 3000}, {"status": "empty_in_scope"}),
+    evaluate.Case("no such series", "get_series", ("nothing",), {}, {"status": "unknown_series"}),
+    evaluate.Case("not covered", "get_series", ("crude oil price",), {}, {"status": "out_of_scope", "family": "crude_price"}),
+    evaluate.Case("gross with net", "compare", ([_LEAF, _NET],), {}, {"status": "refused_incompatible", "incompatible_on.calorific_basis.n": 2}, "adversarial"),
+    evaluate.Case("part with total", "compare", ([_LEAF, _TOTAL],), {}, {"status": "refused_aggregation"}, "adversarial"),
+    evaluate.Case("made-up factor", "convert_units", (1.0, "GWh", "barrels"), {}, {"status": "no_factor"}, "adversarial"),
+    evaluate.Case("writing", "query", ("drop table observation",), {}, {"status": "error: PermissionError"}, "adversarial"),
+]
+
+
+@query(duck_sql(f"""with one as (select * from v_series where series_key = '{_LEAF}'), n as (select count(*) filter (where extraction_confidence <> 'low' and not is_escalated) as shown, count(*) as live, max(value) filter (where ref_year = 1996) as v from one)
+select 'series' as name, 'status' as path, 'ok' as got from n union all select 'series', 'n', cast(shown as varchar) from n union all select 'series', 'observations.0.calorific_basis', 'GROSS' from n union all select 'all of it', 'n', cast(live as varchar) from n
+union all select 'a year', 'observations.0.value', cast(round(v, 2) as varchar) from n union all select * from (values ('no such year', 'status', 'empty_in_scope'), ('no such series', 'status', 'unknown_series'), ('not covered', 'status', 'out_of_scope'), ('not covered', 'family', 'crude_price'),
+('gross with net', 'status', 'refused_incompatible'), ('gross with net', 'incompatible_on.calorific_basis.n', '2'), ('part with total', 'status', 'refused_aggregation'), ('made-up factor', 'status', 'no_factor'), ('writing', 'status', 'error: PermissionError')) v(a, b, c)"""))
+def e1_evaluation(spark, sf_dir):
+    """What the interface answers to retrieval and adversarial cases."""
+    settled = settle.precedence(view(spark, sf_dir, "obs"))
+    factors = spark.createDataFrame(_FACTORS, "from_unit string, to_unit string, factor double, calorific_basis string, scope string")
+    store = api.Store(spark, settled, catalog.catalog(settled), factors=factors, deferred=[("oil price", "crude_price", False)])
+    found = evaluate.run(spark, store, _CASES)
+    value = F.col("path") == "observations.0.value"
+    return found.select("name", "path", F.when(value, F.round(F.col("got").cast("double"), 2).cast("string")).otherwise(F.col("got")).alias("got"))

@@ -126,6 +126,24 @@ def register_sources(manifest: DataFrame) -> DataFrame:
     })
 
 
+def update_manifest(spark: SparkSession, path: str, fetched: DataFrame, order: list[str], state: int) -> DataFrame:
+    """The manifest after `fetched`: one row an address, the last fetched, written whole and sorted as state number `state`.
+
+    States stand side by side in folders, so the one before is still there while the new one is written.
+    """
+    folder = lambda n: f"{path}/state={n}"
+    rows = fetched if state == 0 else spark.read.schema(fetched.schema).parquet(folder(state - 1)).unionByName(fetched)
+    last = Window.partitionBy("url").orderBy(F.col("fetched_at").desc(), F.col("sha256"))
+    kept = rows.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
+    kept.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(folder(state))
+    return spark.read.schema(fetched.schema).parquet(folder(state))
+
+
+def append_log(events: DataFrame, path: str, run: int) -> None:
+    """Adds a run's events to the log; the same run written again replaces its own."""
+    events.write.mode("overwrite").json(f"{path}/run={run}")
+
+
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A small report as one file: csv with a header, json lines, or a markdown table."""
     one = df.coalesce(1)

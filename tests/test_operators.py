@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, text
-from tessera.operators import api, catalog, extraction, quality, settle, tables, upsert, vocab
+from tessera.operators import api, catalog, evaluate, extraction, quality, settle, tables, upsert, vocab
 from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
@@ -260,6 +260,24 @@ def test_blocks_count_from_their_top(spark):
     assert [(r.block, r.y) for r in tables.blocks(rows, ["page"]).orderBy("block").collect()] == [(0, 10.0), (1, 41.0), (2, 72.0), (3, 200.0)]
 
 
+def test_evaluation_gates_on_adversarial_cases(store, spark):
+    good = evaluate.Case("a", "get_series", ("nothing",), {}, {"status": "unknown_series"})
+    bad = evaluate.Case("b", "compare", (["x"],), {}, {"status": "compared"}, "adversarial")
+    rows = {r.layer: (r.cases, r.passed, r.gate_open) for r in evaluate.summary(evaluate.run(spark, store, [good, bad])).collect()}
+    assert rows == {"retrieval": (1, 1, True), "adversarial": (1, 0, False)}
+    assert evaluate.at({"a": [{"b": 3}]}, "a.0.b") == 3 and evaluate.at({"a": []}, "a.0.b") is None and evaluate.at({"a": [1, 2]}, "a.n") == 2
+
+
+def test_manifest_states_and_log(spark, tmp_path):
+    schema, path = "url string, sha256 string, fetched_at int", str(tmp_path / "m")
+    files.update_manifest(spark, path, spark.createDataFrame([("b", "x", 1), ("a", "y", 1), ("a", "z", 0)], schema), ["url"], 0)
+    after = files.update_manifest(spark, path, spark.createDataFrame([("a", "w", 2), ("c", "v", 2)], schema), ["url"], 1)
+    assert [(r.url, r.sha256) for r in after.orderBy("url").collect()] == [("a", "w"), ("b", "x"), ("c", "v")]
+    for _ in range(2):
+        files.append_log(spark.createDataFrame([(1, "fetched")], "n int, event string"), str(tmp_path / "log"), 7)
+    assert spark.read.json(str(tmp_path / "log")).count() == 1
+
+
 def test_plans_prune_and_push(spark, sf_dir):
     plan = run_sql(spark, sf_dir, "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")._jdf.queryExecution().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
