@@ -317,8 +317,23 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: list[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Rows (*keep, ids array<int>, decoded binary): what `encode` and then `decode` give, with one Python worker a task."""
+    keep = [c for c in keep if c.lower() not in ("ids", "decoded")]
+    kinds = "".join(f"`{c}` {docs.select(f'`{c}`').dtypes[0][1]}, " for c in keep)
+    file = _rank_file(docs, path)
+
+    def run(texts, batch):
+        codec = _codec(file.value, pattern)
+        ids, counts = codec.encode(x.decode("utf-8", "replace") for x in texts)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        cols = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(codec.decode(ids, counts), pa.binary())]
+        return pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *cols], [*keep, "ids", "decoded"])
+
+    return map_texts(docs, keep, text_col, run, f"{kinds}ids array<int>, decoded binary", ENCODE_BYTES)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the digest form of encoding and decoding `documents`."""
-    ids = encode(docs, path, pattern)
-    marked = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), "ids")
-    return decode(marked, path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")
+    return round_trip(docs, path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -75,3 +75,11 @@ def test_clashing_names_give_way(spark):
     back = bpe.decode(ids, PATH, P.PATTERN)
     assert ids.columns == ["doc_id", "decoded", "ids"] and back.columns == ["doc_id", "ids", "decoded"]
     assert bytes(back.first().decoded) == b"a b" and back.first().ids == REFERENCE.encode_ordinary("a b")
+
+
+def test_a_round_trip_is_encoding_then_decoding(spark):
+    pairs = lambda df: sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in df.collect()), key=str)
+    docs = odd(spark)
+    assert pairs(bpe.round_trip(docs, PATH, P.PATTERN)) == pairs(bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN))
+    clash = spark.createDataFrame([("a b", "x", 1)], "text string, decoded string, n int")
+    assert bpe.round_trip(clash, PATH, P.PATTERN, keep=["decoded", "n"]).columns == ["n", "ids", "decoded"]
