@@ -130,7 +130,7 @@ sql_query("t11_glossary", "select attribute, token, w as never_with from (select
 
 
 _LEAF, _NET, _TOTAL = _ONE, _ONE.replace("GROSS", "NET").replace("False", "True"), "order_revenue|flow.sales|||||||GROSS|cur|annual|False||||incl_exports"
-_CASES = [
+_QUESTIONS = [
     evaluate.Case("series", "get_series", (_LEAF,), {}, {"status": "ok", "n": 0, "observations.0.calorific_basis": "GROSS"}),
     evaluate.Case("all of it", "get_series", (_LEAF,), {"include_low": True, "include_escalated": True}, {"n": 0}),
     evaluate.Case("a year", "get_observation", (_LEAF, 1996), {"include_low": True, "include_escalated": True}, {"observations.0.value": 0.0}),
@@ -153,6 +153,6 @@ def e1_evaluation(spark, sf_dir):
     settled = settle.precedence(view(spark, sf_dir, "obs"))
     factors = spark.createDataFrame(_FACTORS, "from_unit string, to_unit string, factor double, calorific_basis string, scope string")
     store = api.Store(spark, settled, catalog.catalog(settled), factors=factors, deferred=[("oil price", "crude_price", False)])
-    found = evaluate.run(spark, store, _CASES)
+    found = evaluate.run(spark, store, _QUESTIONS)
     value = F.col("path") == "observations.0.value"
     return found.select("name", "path", F.when(value, F.round(F.col("got").cast("double"), 2).cast("string")).otherwise(F.col("got")).alias("got"))
