@@ -111,3 +111,43 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length({escaped("role")}) + length({escaped("text")}) + {len("<|turn|>") + len("<|end|>") + 2})::bigint as formatted_chars
 from t group by conv_id"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce(list_prepend(xor(c, ascii(x)::bigint), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda b, z: xor(b >> 1, (b & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda y: ascii(y)::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda c, x: {byte.replace('ascii(x)::bigint', 'x')}))"
+
+
+#: op13: words equal `q` apart, islands of such places, and of equal stretches that with the smallest period.
+ORACLES["op13_periodic_runs"] = f"""
+with own as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') as ws,
+    {crc32_sql("doc_id::varchar")} as h from documents
+), sized as (
+  select *, len(ws) as n, h // 10 as g from own
+), cut as (
+  select *, case when h % 10 = 0 and n > 0 then g % n end as a from sized
+), looped as (
+  select *, 1 + (n - a) // (3 + g % 8) as p from cut
+), words as (
+  select r, i, case when a is not null and i >= a then ws[1 + a + (i - a) % p] else ws[1 + i] end as w
+  from (select *, unnest(range(n)) as i from looped)
+), pairs as (
+  select x.r, y.i - x.i as q, x.i from words x join words y on x.r = y.r and x.w = y.w and y.i > x.i
+), islands as (
+  select r, q, min(i) as s, max(i) + 1 + q as e from (select *, i - row_number() over (partition by r, q order by i) as k from pairs) group by r, q, k
+  having count(*) >= greatest(q, 12 - q)
+), runs as (
+  select r, s, e - s as l, min(q) as q from islands group by r, s, e
+), listed as (
+  select r, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as t, min((-l, s, q)) as best from runs group by r
+), gone as (
+  select distinct r, unnest(range(s + q, s + l)) as i from runs
+), kept as (
+  select r, string_agg(w, ' ' order by i) as t from words anti join gone using (r, i) group by r
+)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best[2]::bigint as start, (-best[1])::bigint as length, best[3]::bigint as period,
+  (1000 * -best[1] // best[3])::bigint as exponent_milli, sha256(coalesce(listed.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
+from own left join listed using (r) left join kept using (r)"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, bpe, chat_tree, language_id, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
+from . import attention_quality, bpe, chat_tree, language_id, periodic_runs, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
 from .common import settled, shared_dir
 from .oracles import ORACLES, chat_sql, reputation_sql
 
@@ -109,6 +109,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, in one text of ten of those that are made to repeat."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.digests(periodic_runs.runs_of(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan, op13_periodic_runs)}
 ORACLES["op1_url_reputation"] = reputation_sql(url_reputation.TWO_LABELS, RULES, url_reputation.LIMIT, url_reputation.TAIL)
 ORACLES["op3_chat_tree"] = chat_sql(chat_tree.CONTROL, "</s>[INST] ok [/INST]")
