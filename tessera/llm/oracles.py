@@ -151,3 +151,56 @@ with own as (
 select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best[2]::bigint as start, (-best[1])::bigint as length, best[3]::bigint as period,
   (1000 * -best[1] // best[3])::bigint as exponent_milli, sha256(coalesce(listed.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256
 from own left join listed using (r) left join kept using (r)"""
+
+
+def _tree(name: str, levels: int) -> str:
+    """CTEs for the nodes of a tree, `{name}0 (g, i, h, n)` being its leaves, and for what stands left and right of each."""
+    out = ""
+    for k in range(levels):
+        run = "partition by g, i // 16 order by i rows between"
+        out += f""", {name}s{k} as (
+  select g, i, coalesce(string_agg(h, '') over ({run} unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(h, '') over ({run} 1 following and unbounded following), '') as r from {name}{k} where n > 1
+), {name}{k + 1} as (
+  select g, i // 16 as i, sha256(string_agg(h, '' order by i)) as h, any_value((n + 15) // 16) as n from {name}{k} where n > 1 group by g, i // 16
+)"""
+    tops = " union all ".join(f"select g, h from {name}{k} where n = 1" for k in range(levels + 1))
+    return out + f", {name}top as ({tops})"
+
+
+def merkle_sql(levels: int = 8) -> str:
+    """op11 for up to 16 ** levels leaves a source and as many sources."""
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    steps = ""
+    for tree in ("a", "b"):
+        for k in range(levels):
+            first = "select g, i, leaf, doc_id, r, f as f, '' as p from own" if (tree, k) == ("a", 0) else None
+            steps += "" if first is None else f", w0 as ({first})"
+            at = k + (levels if tree == "b" else 0)
+            if tree == "b" and k == 0:
+                steps += f", w{at}b as (select w.* exclude (g, i), '' as g, c.i, w.g as own_g from w{at} w join b0s c on c.source = w.g)"
+            source = f"w{at}b" if tree == "b" and k == 0 else f"w{at}"
+            steps += f""", w{at + 1} as (
+  select w.* replace (w.i // 16 as i, case when s.i is null then w.f else sha256(s.l || w.f || s.r) end as f, w.p || coalesce(s.l || s.r, '') as p)
+  from {source} w left join {tree}s{k} s on s.g = w.g and s.i = w.i
+)"""
+    return f"""
+with leaves as (
+  select doc_id, coalesce('=' || source, '-') as g, row_number() over () as r, {leaf("text")} as leaf,
+    case when {crc32_sql("doc_id::varchar")} % 5 = 0 and doc_id is not null then {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as other
+  from documents
+), own as (
+  select *, coalesce(other, leaf) as f, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by g) as n from leaves
+), a0 as (
+  select g, i, leaf as h, n from own
+){_tree("a", levels)}, b0s as (
+  select g as source, h, row_number() over (order by g) - 1 as i, count(*) over () as n from atop
+), b0 as (
+  select '' as g, i, h, n from b0s
+){_tree("b", levels)}{steps}
+select w.doc_id, w.leaf, c.h as subroot, t.h as root, sha256(w.p) as proof_sha256, w.f as folded_root, w.f = t.h as verified
+from w{2 * levels} w join b0s c on c.source = w.own_g cross join btop t"""
+
+
+ORACLES["op11_merkle_manifest"] = merkle_sql()
