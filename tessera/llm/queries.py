@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_quality, bpe, chat_tree, language_id, merkle, periodic_runs, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
+from . import attention_quality, bpe, chat_tree, context_mixing, language_id, merkle, periodic_runs, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
 from .common import settled, shared_dir
 from .oracles import ORACLES, chat_sql, reputation_sql
 
@@ -114,12 +114,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"), tampered=_remainder(5) == 0).withColumnRenamed("id", "doc_id")
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_mixing.score(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
+    return found.withColumnRenamed("id", "doc_id").drop("n_bytes")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every text, in one text of ten of those that are made to repeat."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
     return periodic_runs.digests(periodic_runs.runs_of(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan, op11_merkle_manifest, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_reputation, op2_attention_quality, op3_chat_tree, op4_language_id, op5_quality_rules, op6_simhash_dedup, op7_spaced_seeds, op8_warc, op9_byte_bpe, op10_secret_scan, op11_merkle_manifest, op12_context_mixing, op13_periodic_runs)}
 ORACLES["op1_url_reputation"] = reputation_sql(url_reputation.TWO_LABELS, RULES, url_reputation.LIMIT, url_reputation.TAIL)
 ORACLES["op3_chat_tree"] = chat_sql(chat_tree.CONTROL, "</s>[INST] ok [/INST]")
