@@ -65,8 +65,12 @@ def brute_cost(value, known=None):
         if S.DATE.fullmatch(part):
             yield S.SEGMENT + (S.YEAR if k == 4 else S.DAY)
 
+    def copied(i, j):
+        if j - i > S.LONGEST and value.find(value[i:j], i + 1) >= 0:
+            yield S.SEGMENT + S.COPY + math.log10(2 ** ((j - i).bit_length() - 1))
+
     for j in range(1, n + 1):
-        best[j] = min(best[i] + c for i in range(j) for c in costs(value[i:j]))
+        best[j] = min(best[i] + c for i in range(j) for c in (*costs(value[i:j]), *copied(i, j)))
     known[value] = best[n]
     return best[n]
 
@@ -94,6 +98,45 @@ def test_cost_is_the_minimum_over_all_segmentations():
     assert S.guess_cost("passwordfdsasdfghjkl") < 4.3
 
 
+def test_stretches_of_any_length_that_come_again_are_copies():
+    """Blocks of over 20 characters, said twice and more often, whole or in part, with something between or overlapping."""
+    rng, known = random.Random(6), {}
+    for k in range(250):
+        block = "".join(rng.choices("abcx19Q", k=rng.randint(18, 45)))
+        value = mixed_value(rng) * (k % 3 == 0) + block + mixed_value(rng)[: rng.randint(0, 6)] + block * rng.randint(1, 2) + block[: rng.randint(0, 30)]
+        assert abs(S.guess_cost(value) - brute_cost(value, known)) < 1e-9, value
+        tails = S.tail_costs(value)
+        for i in rng.sample(range(len(value)), 2):
+            assert abs(tails[i] - brute_cost(value[i:], known)) < 1e-9
+    once, twice = "x9K2mPq7Zt4WvB3nLtY8r", "x9K2mPq7Zt4WvB3nLtY8r" * 2
+    assert S.guess_cost(twice) < S.guess_cost(once) + 4
+
+
+def test_longest_stretch_that_comes_again():
+    rng = random.Random(1)
+    for _ in range(300):
+        v = "".join(rng.choices("ab" if rng.random() < 0.5 else "abcdefgh", k=rng.randrange(40)))
+        want = [max((k for k in range(len(v) - i + 1) if v.find(v[i : i + k], i + 1) >= 0), default=0) for i in range(len(v))]
+        assert S.again(v) == want
+
+
+def test_runs_of_cheap_values_are_priced_once():
+    began = time.time()
+    assert [k for k, *_ in S.spans("token=" * 100_000)] == ["assign"]
+    assert "guess" not in {k for k, *_ in S.spans("secret:x " * 20_000 + "secret:" * 20_000)}
+    assert time.time() - began < 60
+    value = "x9K2mPq7Zt4WvB3nL"
+    assert ("guess", 6, 12 + len(value)) in S.spans(f"token=token={value}")
+
+
+def test_addresses_are_no_secrets_but_may_hold_one():
+    for text in ("token: http://www.example.com/documentation/index.html", "secret = https://example.org/a/b?c=d", "auth: s3://bucket-of-many/words/9f8e7d6c5b4a.parquet"):
+        assert all(k != "guess" for k, *_ in S.spans(text)), text
+    value = "x9K2mPq7Zt4WvB3nL"
+    text = f"token: https://example.org/?access_token={value}"
+    assert ("guess", len(text) - len(value), len(text)) in S.spans(text)
+
+
 def test_costs_of_long_values_take_time_in_proportion():
     began = time.time()
     assert all(S.guess_cost(v) < S.LEAST for v in ("a" * 20_000, "ab" * 10_000, "qwerty" * 3000)) and S.guess_cost("x9K2mPq7Zt4W" * 1500) >= S.LEAST
