@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import REPORT_RANK, STATUS_RANK, ranked
+from ..sources.shared import settled as kept
+from ..sources.shared import small_or_plain
 
 CELL = ("series_key", "period_start", "period_end")
+#: What one printed table says of one period in one edition.
+TABLE = ("source_id", "source_ref", "period_start", "period_end")
 # Tolerances (least, share) of the log and of leaf sums.
 LOG_TOLERANCE, SUM_TOLERANCE = (5.0, 0.02), (8.0, 0.05)
+# By table the row that is its printed grand total, which all leaves must add up to.
+GRAND_TOTALS = {
+    "C-T14": "product_id = 'prod.petroleum_products_total'",
+    "C-T15": "flow_id = 'flow.demand' and coalesce(scope, '') = '' and coalesce(level_id, '') = ''",
+    "C-T16": "flow_id = 'flow.demand' and coalesce(scope, '') = '' and coalesce(level_id, '') = ''",
+    "C-T20": "flow_id = 'flow.primary_production' and coalesce(producer_id, '') = '' and coalesce(technology, '') = '' and coalesce(scope, '') = ''",
+    "C-T21": "flow_id = 'flow.sales' and coalesce(level_id, '') = '' and coalesce(geography_scope, '') = ''",
+}
 
 
 def precedence(obs: DataFrame, load: str = "load_key", published: str | None = None) -> DataFrame:
@@ -74,14 +88,32 @@ def leaf_sums(obs: DataFrame, keys: list[str], amount: str = "amount") -> DataFr
     )
 
 
-def distrust(settled: DataFrame, keys: list[str], amount: str = "amount") -> DataFrame:
-    """The observations with extraction_confidence low where a group's leaves miss its total, or it has no total at all.
+def off_total(rows: DataFrame, totals: dict[str, str], amount: str = "value") -> DataFrame:
+    """The groups of tables whose leaves miss a printed total: TABLE of each. `totals` pins the total's row by table."""
+    own = rows.where(F.col("source_ref").isin(*totals) & F.col(amount).isNotNull())
+    leaves = own.where("not is_total").groupBy(*TABLE).agg(F.sum(amount).alias("leaves"))
+    pinned = reduce(lambda a, b: a | b, [(F.col("source_ref") == ref) & F.expr(where) for ref, where in totals.items()])
+    printed = own.where(F.col("is_total") & pinned & (F.col(amount) != 0)).select(*TABLE, F.col(amount).alias("total"))
+    off = printed.join(leaves, list(TABLE), "left").where(beyond(F.coalesce("leaves", F.lit(0)).cast("double"), F.col("total").cast("double"), SUM_TOLERANCE))
+    return off.select(*TABLE).distinct()
+
+
+def without_total(rows: DataFrame, tables: tuple[str, ...]) -> DataFrame:
+    """The groups of some tables that have no grand total among their preferred rows."""
+    own = rows.where(F.col("source_ref").isin(*tables) & F.col("is_preferred"))
+    return own.groupBy(*TABLE).agg(F.count_if(F.col("aggregation_role") == "grand_total").alias("n")).where("n = 0").select(*TABLE)
+
+
+def distrust(settled: DataFrame, totals: dict[str, str] = GRAND_TOTALS, whole: tuple[str, ...] = tuple(GRAND_TOTALS), amount: str = "value") -> DataFrame:
+    """The observations with extraction_confidence low in every group of a table whose leaves miss a printed total, and in
+    those of the tables in `whole` that have no grand total at all. Other tables stay as they are.
 
     The second test reads preferred rows only, so this comes after `precedence`.
     """
-    sums = leaf_sums(settled, keys, amount)
-    off = sums.where((F.col("total") != 0) & beyond(F.coalesce("leaves", F.lit(0)).cast("double"), F.col("total").cast("double"), SUM_TOLERANCE))
-    partial = leaf_sums(settled.where("is_preferred"), keys, amount).where("n_grand = 0")
-    bad = off.select(*keys).unionByName(partial.select(*keys)).distinct().withColumn("bad", F.lit(True))
-    joined = settled.join(bad, keys, "left")
-    return joined.withColumn("extraction_confidence", F.when(F.col("bad"), "low").otherwise(F.col("extraction_confidence"))).drop("bad")
+    if not totals and not whole:
+        return settled
+    bad = without_total(settled, whole) if whole else off_total(settled, totals, amount)
+    if totals and whole:
+        bad = bad.unionByName(off_total(settled, totals, amount)).distinct()
+    joined = settled.join(small_or_plain(kept(bad.withColumn("bad", F.lit(True)))), list(TABLE), "left")
+    return joined.withColumn("extraction_confidence", F.when(F.col("bad"), "low").otherwise(F.col("extraction_confidence"))).select(*settled.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, text
-from tessera.operators import api, catalog, evaluate, extraction, quality, settle, tables, upsert, vocab
+from tessera.operators import api, catalog, constraints, evaluate, extraction, quality, settle, tables, upsert, vocab
 from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
@@ -221,16 +221,17 @@ def test_an_ingest_run_is_idempotent_and_keeps_constraints(spark, tmp_path):
     schema = "indicator_id string, unit_id string, value double, period_type string, period_start string, period_end string, ref_year int, report_type string, data_status string, calorific_basis string, extra string, source_id string, source_cell string, load_key long"
     batch = spark.createDataFrame(rows, schema)
     ingest_run.reset(spark, root)
-    first = ingest_run.ingest(spark, batch, root, 1)
-    assert (first["observation"], first["preferred"], first["reconciliation"], first["series"], first["quarantine"]) == (2, 1, 1, 1, 3)
-    assert {r.context for r in spark.read.parquet(f"{root}/quarantine").collect()} == {"period_start > period_end", "data_status=guessed", "unit_id is null"}
+    first, sizes = ingest_run.ingest(spark, batch, root, 1), ingest_run.sizes(spark, root)
+    assert first == {"appended": 2, "set_aside": 3, "replaced": 1}
+    assert (sizes["observation"], sizes["preferred"], sizes["reconciliation"], sizes["series"], sizes["quarantine"]) == (2, 1, 1, 1, 3)
+    assert {r.context for r in spark.read.parquet(f"{root}/quarantine").collect()} == {"not (period_start <= period_end)", "data_status=guessed", "unit_id is null"}
     stored = ingest_run.observations(spark, root)
     assert stored.schema == ingest_run.OBSERVATION and sorted(r.observation_id for r in stored.collect()) == [1, 2]
-    assert ingest_run.ingest(spark, batch, root, 1) == first  # the same run again
-    assert ingest_run.ingest(spark, batch, root, 2)["observation"] == 2  # the same batch as a later run
+    assert ingest_run.ingest(spark, batch, root, 1) == first and ingest_run.sizes(spark, root) == sizes  # the same run again
+    assert ingest_run.ingest(spark, batch, root, 2) == {"appended": 0, "set_aside": 3, "replaced": 0}  # the same batch as a later run
     more = batch.where("source_id = 'a'").withColumns({"value": F.lit(7.0), "source_cell": F.lit("c9")}).unionByName(batch.where("source_id = 'a'").withColumn("source_id", F.lit("z")))
     third = ingest_run.ingest(spark, more, root, 3)
-    assert third["observation"] == 3 and spark.read.parquet(f"{root}/quarantine/run=3").first().dimension == "SERIES_KEY_COLLISION"
+    assert third["appended"] == 1 and ingest_run.sizes(spark, root)["observation"] == 3 and spark.read.parquet(f"{root}/quarantine/run=3").first().dimension == "SERIES_KEY_COLLISION"
     assert spark.read.parquet(f"{root}/settled").where("is_preferred").first().source_id in ("a", "z")
     stored, ids_ = ingest_run.observations(spark, root), lambda x: spark.createDataFrame([(x,)], "id string")
     assert {(r.reference, r.offender) for r in quality.orphan_members(stored, {"unit_id": ids_("t"), "source_id": ids_("a")}).collect()} == {("unit_id", "kt"), ("source_id", "b"), ("source_id", "z")}
@@ -238,6 +239,63 @@ def test_an_ingest_run_is_idempotent_and_keeps_constraints(spark, tmp_path):
     assert ingest_run.observations(spark, root).count() == 0
 
 
+def test_a_later_batch_replaces_only_what_it_touches(spark, tmp_path):
+    """Folders of other periods and indicators stay byte for byte; the store equals one loaded at once."""
+    root, whole = str(tmp_path / "a"), str(tmp_path / "b")
+    schema = "indicator_id string, unit_id string, value double, period_type string, period_start string, period_end string, ref_year int, report_type string, data_status string, calorific_basis string, source_id string, source_ref string, product_id string, is_total boolean, aggregation_role string, source_cell string, load_key long"
+
+    def row(indicator, year, source, product, value, ref="C-T14"):
+        total = product == "prod.petroleum_products_total"
+        return (indicator, "kt", float(value), "annual", f"{year}-01-01", f"{year}-12-31", year, "conjoncture", "final", "NA", source, ref, product, total, "grand_total" if total else "leaf", f"{source}/{product}/{year}/{indicator}", 1)
+
+    total = "prod.petroleum_products_total"
+    old = [row(i, y, s, p, v) for i in ("oil", "gas") for y in (2018, 2019, 2020) for s in ("a", "b") for p, v in (("prod.x", 60), ("prod.y", 40), (total, 200 if i == "oil" else 0))]
+    new = [row("oil", 2019, "a", "prod.z", 500), row("coal", 2020, "c", "prod.x", 5, "M-T2")]
+    new = [*new, row("gas", 2019, "c", "prod.x", 70)]
+    ingest_run.reset(spark, root)
+    ingest_run.reset(spark, whole)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    ingest_run.ingest(spark, frame(old), root, 1)
+    files_of = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for t in ("settled", "reconciliation") for d, _, names in os.walk(f"{root}/{t}") for f in names if f.endswith(".parquet")}
+    before = files_of()
+    found = ingest_run.ingest(spark, frame(new), root, 2)
+    stays = {f for f, t in files_of().items() if before.get(f) == t}
+    gone = {tuple(f.split("/")[-3:-1]) for f in before if f not in stays and "/settled/" in f}
+    assert found == {"appended": 3, "set_aside": 0, "replaced": 3}
+    assert gone == {(f"indicator_id={i}", "period=2019-01-01_2019-12-31") for i in ("oil", "gas")}  # gas shares the printed table
+    ingest_run.ingest(spark, frame(old + new), whole, 1)
+    columns = ["upsert_key", "is_preferred", "extraction_confidence", "value"]
+    rows = lambda r: sorted((tuple(x) for x in ingest_run.settled_rows(spark, r).select(*columns).collect()), key=str)
+    assert rows(root) == rows(whole) and ingest_run.sizes(spark, root) == ingest_run.sizes(spark, whole)
+    log = lambda r: sorted((tuple(x) for x in spark.read.parquet(f"{r}/reconciliation").select("series_key", "period", "n_sources", "note").collect()), key=str)
+    assert log(root) == log(whole)
+    low = {(r.indicator_id, r.ref_year, r.source_id) for r in ingest_run.settled_rows(spark, root).where("extraction_confidence = 'low'").collect()}
+    assert {(y, s) for _, y, s in low} == {(2019, "a")}  # the total is missed there; M-T2 prints none and stays normal
+
+
+def test_pinned_totals_by_table(spark):
+    """Leaves against the pinned total over all indicators and bases of a table; other totals of the table don't count."""
+    rows = [("a", "C-T21", "flow.sales", None, True, "grand_total", 100.0), ("a", "C-T21", "flow.sales", None, False, "leaf", 60.0), ("a", "C-T21", "flow.sales", None, False, "leaf", 38.0), ("a", "C-T21", "flow.exchanges_transfers", None, True, "alternative_breakdown", 900.0), ("b", "C-T21", "flow.sales", None, True, "grand_total", 100.0), ("b", "C-T21", "flow.sales", None, False, "leaf", 60.0), ("c", "C-T21", "flow.sales", None, False, "leaf", 60.0), ("d", "M-T2", "flow.sales", None, False, "leaf", 60.0), ("e", "C-T21", "flow.sales", "lvl.hp", True, "grand_total", 100.0), ("e", "C-T21", "flow.sales", None, False, "leaf", 1.0), ("f", "C-T21", "flow.sales", None, True, "grand_total", 0.0)]
+    frame = spark.createDataFrame([(*r, "2020-01-01", "2020-12-31", None, None, None, None, True, "normal") for r in rows], "source_id string, source_ref string, flow_id string, level_id string, is_total boolean, aggregation_role string, value double, period_start string, period_end string, scope string, geography_scope string, producer_id string, technology string, is_preferred boolean, extraction_confidence string").withColumn("product_id", F.lit(None).cast("string"))
+    low = {r.source_id for r in settle.distrust(frame).where("extraction_confidence = 'low'").collect()}
+    assert low == {"b", "c"}
+
+
+def test_constraints_as_rows(spark):
+    c = constraints.Constraint
+    listed = [c("observation", "not_null", ("a",)), c("observation", "enum", ("b",), ("x", "y")), c("observation", "check", ("ab",), ("a < 3",)), c("observation", "unique", ("a",)), c("observation", "reference", ("b",), ("dim.id",)), c("dim", "reference", ("parent",), ("dim.id",)), c("other", "not_null", ("z",))]
+    rows = spark.createDataFrame([(1, "x"), (1, "q"), (None, "y"), (5, None)], "a int, b string")
+    dim = spark.createDataFrame([("x", None), ("y", "x"), ("z", "nowhere")], "id string, parent string")
+    found = {r.constraint_name: (r.n, r.outcome) for r in constraints.check({"observation": rows, "dim": dim}, listed).collect()}
+    assert found == {"observation.a.not_null": (1, "BLOCK"), "observation.b.enum": (1, "BLOCK"), "observation.ab.check[a < 3]": (1, "BLOCK"), "observation.a.unique": (1, "BLOCK"), "observation.b.reference": (1, "BLOCK"), "dim.parent.reference": (1, "BLOCK")}
+    said = rows.withColumn("v", constraints.violations(listed)).orderBy("b").collect()
+    assert [r.v for r in said] == [["not (a < 3)"], ["b=q"], [], ["a is null"]]
+    unknown = constraints.unknown_members(rows, {"dim": dim}, listed)
+    assert {r.b: r.unknown for r in unknown.collect()} == {"x": [], "q": ["b->q"], "y": [], None: []}
+    clean = constraints.check({"observation": rows.limit(0), "dim": dim.where("parent is null")}, listed).collect()
+    assert all(r.n == 0 and r.outcome == "PASS" for r in clean) and len(clean) == 6
+
+
 def test_the_published_catalog_has_its_columns(store):
     out = catalog.published(store.catalog)
     assert len(out.columns) == 28 and out.columns[:5] == ["series_id", "display_name", "aggregation_role", "definition", "unit"] and out.where("display_name is null").count() == 0
