@@ -123,19 +123,6 @@ def _spanning(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def _nearest(fps: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]:
-    """Links of each fingerprint of one bucket with at most `most` of those closest to it."""
-    fps, out = np.unique(fps), []
-    for at in range(0, len(fps), 128):
-        apart = np.bitwise_count((fps[at : at + 128, None] ^ fps[None, :]).view(np.uint64)).astype(np.int16)
-        apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = 99
-        near = np.argsort(apart, axis=1, kind="stable")[:, :most]
-        row, col = np.nonzero(np.take_along_axis(apart, near, axis=1) <= max_bits)
-        a, b = fps[at + row], fps[near[row, col]]
-        out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
-    return out
-
-
 def _first_combination(max_bits: int) -> np.ndarray:
     """For each set of agreeing bytes, as bits, the number of the first mask of `_masks` that lies in it; -1 for none."""
     sets = [sum(1 << i for i in c) for c in combinations(range(8), 8 - max_bits)]
@@ -155,7 +142,7 @@ def _meets_first(apart: np.ndarray, c: int, sub: int, first: np.ndarray, subs: l
     return out
 
 
-def _bucket_links(buckets: DataFrame, max_bits: int, nearest: int) -> DataFrame:
+def _bucket_links(buckets: DataFrame, max_bits: int) -> DataFrame:
     first = _first_combination(max_bits)
     subs = [[_signed(s) for s in _bit_masks(m, max_bits)] for m in _masks(max_bits)]
 
@@ -170,7 +157,7 @@ def _bucket_links(buckets: DataFrame, max_bits: int, nearest: int) -> DataFrame:
             held, count = [], 0
             for i in range(batch.num_rows):
                 fps = values[ends[i] : ends[i + 1]]
-                pairs = np.array(_spanning(fps, max_bits) + (_nearest(fps, max_bits, nearest) if nearest else []), np.int64).reshape(-1, 2)
+                pairs = np.array(_spanning(fps, max_bits), np.int64).reshape(-1, 2)
                 pairs = pairs[_meets_first(pairs[:, 0] ^ pairs[:, 1], c[i], sub[i], first, subs)]
                 held.append(pairs)
                 count += len(pairs)
@@ -182,11 +169,8 @@ def _bucket_links(buckets: DataFrame, max_bits: int, nearest: int) -> DataFrame:
     return buckets.select("fps", F.col("c").cast("int"), F.col("sub").cast("int")).mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, nearest: int = 0) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fps(fp)` that connect all fingerprints within `max_bits` bits.
-
-    With `nearest`, each fingerprint is also linked with so many of the closest in every bucket, for callers that verify.
-    """
+def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fps(fp)` that connect all fingerprints within `max_bits` bits."""
     masks = [_signed(m) for m in _masks(max_bits)]
     subs = [[_signed(s) for s in _bit_masks(m, max_bits)] for m in _masks(max_bits)]
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
@@ -201,13 +185,13 @@ def links(fps: DataFrame, max_bits: int = 3, bucket: int = BUCKET, nearest: int
         return found
     members = lambda which: posted.join(small_or_plain(counted.where(which).select("k")), "k")
     some = members(F.col("n").between(3, bucket)).groupBy("k", "c").agg(F.collect_list("fp").alias("fps")).withColumn("sub", F.lit(-1))
-    found = found.unionByName(_bucket_links(some, max_bits, nearest))
+    found = found.unionByName(_bucket_links(some, max_bits))
     if sizes[1] > bucket:  # each bucket of a bit run holds at most 2 ** (3 * max_bits) fingerprints
         hot = members(F.col("n") > bucket)
         sub = F.element_at(F.array(*[lit(x) for x in subs]), F.col("c") + 1)
         finer = hot.select("fp", "k", "c", F.posexplode(sub).alias("sub", "m")).select("fp", "c", "sub", F.xxhash64("k", "m", F.col("fp").bitwiseAND(F.col("m"))).alias("k"))
         finer = finer.groupBy("k", "c", "sub").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        found = found.unionByName(_bucket_links(finer, max_bits, nearest))
+        found = found.unionByName(_bucket_links(finer, max_bits))
     return found.distinct()
 
 
