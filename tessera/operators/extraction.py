@@ -6,7 +6,6 @@ in one task; nothing needs more than that.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,19 +119,10 @@ def period(role: Column, real_year: Column, ytd_years: Column, cutoff: Column, c
 
 
 def collapse_rows(ys: DataFrame, keys: list[str], within: float = SAME_ROW) -> DataFrame:
-    """Row positions without those within `within` of the last one kept; what is kept depends on the order, so on pandas."""
-    kinds = dict(ys.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", y double"
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[float] = []
-        for y in sorted(rows["y"].dropna()):
-            if not kept or y - kept[-1] > within:
-                kept.append(y)
-        out = rows[keys].head(1).loc[rows.index.repeat(0)] if not kept else pd.concat([rows[keys].head(1)] * len(kept), ignore_index=True)
-        return out.assign(y=kept)
-
-    return ys.select(*keys, F.col("y").cast("double")).groupBy(*keys).applyInPandas(keep, schema)
+    """Row positions without those within `within` of the last one kept: a fold over a page's rows in order."""
+    sorted_ = F.array_sort(F.collect_set(F.col("y").cast("double")))
+    kept = F.aggregate("ys", F.array().cast("array<double>"), lambda a, v: F.when((F.size(a) == 0) | (v - F.get(a, F.size(a) - 1) > within), F.array_append(a, v)).otherwise(a))
+    return ys.groupBy(*keys).agg(sorted_.alias("ys")).select(*keys, F.explode(kept).alias("y"))
 
 
 def contiguous(rows: DataFrame, keys: list[str], anchor: Column, gap: float = ROW_GAP, first: float = FIRST_ROW) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 # Allowed enum members, columns that must be filled, and tolerances of the checks.
 DOMAINS = {
     "period_type": ("annual", "ytd_cumulative", "monthly", "point_in_time"),
@@ -76,13 +78,43 @@ def outside_members(rows: DataFrame, domains: dict[str, tuple[str, ...]]) -> Dat
     return rows.select(F.explode(F.array_compact(F.array(*wrong))).alias("w")).select("w.*").groupBy("domain", "offender").agg(F.count("*").alias("n"))
 
 
-def cycles(edges: str, child: str, parent: str, depth: int = 50) -> str:
-    """Nodes that come back to themselves along parents."""
-    return f"""with recursive walk as (
-  select {child} as origin, {parent} as node, 1 as depth from {edges} where {parent} is not null
-  union all
-  select w.origin, e.{parent}, w.depth + 1 from walk w join {edges} e on w.node = e.{child} where e.{parent} is not null and w.node <> w.origin and w.depth < {depth}
-) select origin as offender, min(depth) as length from walk where node = origin group by origin"""
+def cycles(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(offender, length): the nodes that come back to themselves along their parents, however long the way.
+
+    Pointer doubling: after k rounds each node knows who stands 2 ** k steps above it and the least node on the way. Nodes
+    whose way ends at a root drop out as it does, so what stays leads into cycles; once 2 ** k is as many as stay, whoever
+    is pointed at stands on a cycle, and the least node names it. A node has one parent; of several the least counts.
+    """
+    state = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).groupBy(F.col(child).cast("string").alias("node")).agg(F.min(F.col(parent).cast("string")).alias("above"))
+    state = settled(state.select("node", "above", F.col("node").alias("least")))
+    steps, left = 1, state.count()
+    while left and steps < left:
+        ends = state.select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("least").alias("beyond"))
+        state = settled(state.join(ends, "above").select("node", F.col("next").alias("above"), F.least("least", "beyond").alias("least")))
+        steps, left = 2 * steps, state.count()
+    state = settled(state.join(state.select(F.col("node").alias("above")).distinct(), "above", "left_semi"))  # a last step that ends
+    on = state.select(F.col("above").alias("node")).distinct().join(state, "node").select("node", "least")
+    sizes = on.groupBy("least").agg(F.count("*").alias("length"))
+    return on.join(sizes, "least").select(F.col("node").alias("offender"), "length")
+
+
+def trees(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(offender, length) of nodes on cycles, a node that is its own parent being one of length 1, and -1 for nodes whose parent is unknown."""
+    known = edges.select(F.col(child).alias("__known")).distinct()
+    dangling = edges.where(F.col(parent).isNotNull()).join(known, F.col(parent) == F.col("__known"), "left_anti")
+    return cycles(edges, child, parent).unionByName(dangling.select(F.col(child).cast("string").alias("offender"), F.lit(-1).cast("long").alias("length")))
+
+
+def run_frames(rules: dict[str, tuple[str, Callable[[], DataFrame]]]) -> list[tuple[str, str, int]]:
+    """The same for rules that are frames: by name a severity and what makes the frame of offenders."""
+    out = []
+    for name, (severity, made) in rules.items():
+        try:
+            n = made().count()
+            out.append((name, severity if n else "PASS", n))
+        except Exception as error:
+            out.append((name, f"ERROR: {str(error)[:200]}", 0))
+    return out
 
 
 def run(spark: SparkSession, rules: list[Rule], execute: Callable[[SparkSession, str], DataFrame]) -> list[tuple[str, str, int]]:

@@ -20,7 +20,7 @@ BAD = """bad as (
     case when observation_id % 227 = 0 then period_end else period_start end as period_start, case when observation_id % 227 = 0 then period_start else period_end end as period_end,
     case when observation_id % 229 = 0 then 'NCV' else calorific_basis end as calorific_basis, ytd_cutoff_month, data_status,
     case when observation_id % 233 = 0 then 'branch' else aggregation_role end as aggregation_role, case when observation_id % 239 = 0 then null else is_total end as is_total, is_derived, case when observation_id % 263 = 0 then not is_preferred else is_preferred end as is_preferred, is_escalated,
-    extraction_confidence, ref_year, case when observation_id % 241 = 0 then null else value end as value, case when observation_id % 482 = 0 then ' ' else 'raw' end as value_raw, amount,
+    extraction_confidence, ref_year, case when observation_id % 241 = 0 then null when observation_id % 251 = 0 then value * 0.9 else value end as value, case when observation_id % 482 = 0 then ' ' else 'raw' end as value_raw, amount,
     case when observation_id % 251 = 0 then series_key || '|' else series_key end as series_key, case when observation_id % 257 = 0 then 'twice' else upsert_key end as upsert_key,
     scope, geography_scope, redevance_included, supersedes_id
   from settled
@@ -58,8 +58,8 @@ rule("c6_one_period_type", q.one_value(("period_type",)))
 rule("c6b_one_unit_basis", q.one_value(("unit_id", "calorific_basis")))
 rule("c2_twin_bands", """select a.observation_id, b.observation_id as twin_id, round(b.value / a.value, 6) as ratio from bad a join bad b on a.indicator_id = b.indicator_id and a.source_id = b.source_id and a.product_id = b.product_id
   and a.region_id is not distinct from b.region_id and coalesce(a.scope, '') = coalesce(b.scope, '') and a.period_start = b.period_start and a.period_end = b.period_end
-where a.calorific_basis = 'GROSS' and b.calorific_basis = 'NET' and a.value > 5 and abs(b.value / a.value - 0.95) > case when a.value <= 15 then 0.15 when a.value < 40 then 0.06 else 0.003 end""")
-rule("c2b_table_pair", "select a.observation_id, b.observation_id as other_id from bad a join bad b on a.product_id = b.product_id and a.region_id = b.region_id and a.ref_year = b.ref_year and a.calorific_basis = b.calorific_basis where a.source_ref = 'T3' and b.source_ref = 'T4' and b.value > 5 and abs(a.value / b.value - 1) > case when b.value <= 30 then 0.12 else 0.5 end")
+where a.calorific_basis = 'GROSS' and b.calorific_basis = 'NET' and a.value > 5 and abs(b.value / a.value - 0.95) > case when a.value <= 15 then 0.15 when a.value < 40 then 0.06 else 0.03 end""")
+rule("c2b_table_pair", "select a.observation_id, b.observation_id as other_id from bad a join bad b on a.product_id = b.product_id and a.region_id = b.region_id and a.ref_year = b.ref_year and a.calorific_basis = b.calorific_basis where a.source_ref = 'T3' and b.source_ref = 'T4' and b.value > 5 and abs(a.value / b.value - 1) > case when b.value <= 30 then 0.12 else 0.04 end")
 rule("c1_balance", "select ref_year, source_id, cast(sum(case when region_id = 'asia' then amount when region_id = 'africa' then - amount else 0 end) as double) as net, cast(sum(case when region_id = 'europe' then amount else 0 end) as double) as printed from bad where aggregation_role = 'leaf' and source_id = 'ed_1' group by ref_year, source_id having abs(sum(case when region_id = 'asia' then amount when region_id = 'africa' then - amount else 0 end) - sum(case when region_id = 'europe' then amount else 0 end)) > greatest(5, 0.02 * abs(sum(case when region_id = 'europe' then amount else 0 end)))")
 rule("c3_carriers", "select ref_year, source_id, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as carriers, cast(max(case when aggregation_role = 'grand_total' then amount end) as double) as total from bad group by ref_year, source_id, calorific_basis having abs(sum(case when aggregation_role = 'leaf' then amount end) - max(case when aggregation_role = 'grand_total' then amount end)) > greatest(5, 0.02 * max(case when aggregation_role = 'grand_total' then amount end))")
 rule("c10_clean_sums", "select source_id, ref_year, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount end) as double) as leaves, cast(max(case when aggregation_role = 'grand_total' then amount end) as double) as total from bad where extraction_confidence <> 'low' group by source_id, ref_year, calorific_basis having abs(sum(case when aggregation_role = 'leaf' then amount end) - max(case when aggregation_role = 'grand_total' then amount end)) > greatest(8, 0.05 * max(case when aggregation_role = 'grand_total' then amount end))")
@@ -102,8 +102,21 @@ _SATELLITES = """with notes as (select 'FN-1' as id), links as (select observati
 ))
 rule("qa_2_2_satellites", _SATELLITES)
 rule("qa_2_3_dead_members", "select lower(n_name) as member from nation n where not exists (select 1 from bad b where b.region_id = lower(n.n_name))")
-_TREE = "tree as (select 'p' || cast(p_partkey as varchar(9)) as node, case when p_partkey % 50 = 0 then 'p' || cast(p_partkey as varchar(9)) when p_partkey % 53 = 0 then 'gone' when p_partkey % 59 = 0 then 'p' || cast(p_partkey + 59 as varchar(9)) when p_partkey > 1900 and p_partkey % 3 = 0 then 'p' || cast(p_partkey - 3 as varchar(9)) end as parent from part union all select 'x1', 'x2' union all select 'x2', 'x3' union all select 'x3', 'x1')"
-rule("qa_3_1_trees", q.cycles("tree", "node", "parent").replace("with recursive walk as", f"with recursive {_TREE}, walk as") + " union all select node as offender, -1 from tree t where parent is not null and not exists (select 1 from tree p where p.node = t.parent)")
+#: Parts in rings of one type and size, of any length, with tails into them, loops, unknown parents and chains to a root.
+_TREE = """with p as (select p_partkey, p_size, row_number() over (partition by p_type, p_size % 3 order by p_partkey) as r, count(*) over (partition by p_type, p_size % 3) as n, first_value(p_partkey) over (partition by p_type, p_size % 3 order by p_partkey) as first_key,
+  lead(p_partkey) over (partition by p_type, p_size % 3 order by p_partkey) as next_key from part)
+select 'p' || cast(p_partkey as varchar(20)) as child, case when p_size = 7 then 'p' || cast(p_partkey as varchar(20)) when p_size = 11 then 'gone' when p_size % 3 = 0 and next_key is null then null else 'p' || cast(coalesce(next_key, first_key) as varchar(20)) end as parent from p"""
+_CYCLES = f"""with recursive tree as ({_TREE}), walk as (select child as origin, parent as node from tree where parent is not null union select w.origin, e.parent from walk w join tree e on w.node = e.child where e.parent is not null),
+  back as (select origin from walk where node = origin) select w.origin as offender, count(*) as length from walk w join back using (origin) group by w.origin
+  union all select child, -1 from tree t where parent is not null and not exists (select 1 from tree p where p.child = t.parent)"""
+
+
+@query(_CYCLES)
+def qa_3_1_trees(spark, sf_dir):
+    """Cycles of any length by pointer doubling, loops, and parents that are unknown."""
+    return q.trees(run_sql(spark, sf_dir, _TREE))
+
+
 _SAME_GROUP = "p.source_id = c.source_id and p.ref_year = c.ref_year and p.calorific_basis = c.calorific_basis and p.scope is not distinct from c.scope"
 #: A child and its parent as leaves of one group would be added up twice. Products stand in a binary tree by the order of their names.
 _TREES = {"qa_3_2_product_siblings": ("product_id", "ranks as (select product_id, dense_rank() over (order by product_id) as r from (select distinct product_id from settled where product_id is not null) x), edges as (select a.product_id as child, b.product_id as parent from ranks a join ranks b on b.r = floor(a.r / 2))"),
@@ -162,7 +175,8 @@ def qa_3_4_edge_type(spark, sf_dir):
 
 
 def _report_sql() -> str:
-    arms = [f"select '{name}' as rule_name, '{severity(name)}' as severity, (select count(*) from ({planted(duck)}) x) as n" for name, (_, duck) in RULES.items()]
+    found = RULES | {"qa_3_1_trees": ("", _CYCLES)}
+    arms = [f"select '{name}' as rule_name, '{severity(name)}' as severity, (select count(*) from ({planted(duck)}) x) as n" for name, (_, duck) in found.items()]
     return f"select rule_name, severity, case when n > 0 then severity else 'PASS' end as outcome, n from ({' union all '.join(arms)}) r"
 
 
@@ -177,5 +191,7 @@ def qa_7_1_report(spark, sf_dir):
     register(spark, sf_dir, " ".join(sql for sql, _ in RULES.values()))
     settled(spark.sql(f"with {BAD} select * from bad")).createOrReplaceTempView("bad")
     rules = [q.Rule(name, severity(name), sql, "") for name, (sql, _) in RULES.items()]
-    found = q.run(spark, rules, lambda s, sql: s.sql(sql))
+    found = [*q.run(spark, rules, lambda s, sql: s.sql(sql)), *q.run_frames({"qa_3_1_trees": (severity("qa_3_1_trees"), lambda: qa_3_1_trees(spark, sf_dir))})]
+    for name in ("obs", "ytd", "settled", "bad"):
+        spark.catalog.dropTempView(name)
     return spark.createDataFrame([(n, severity(n), o, k) for n, o, k in found], "rule_name string, severity string, outcome string, n long")

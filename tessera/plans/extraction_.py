@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extraction as ex
-from ..operators import tables, vocab
+from ..operators import pages, tables, vocab
 from .functions_ import _norm
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
@@ -111,7 +111,7 @@ def x12_upper_median(spark, sf_dir):
     return ex.median_drift(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_extendedprice"), F.col("l_quantity"))
 
 
-sql_query("x13_unpivot_sql", "select o_custkey, 'F' as status, count(*) as n from orders where o_orderstatus = 'F' group by o_custkey union all select o_custkey, 'O', count(*) from orders where o_orderstatus = 'O' group by o_custkey")
+sql_query("x13_unpivot_sql", "select o_custkey, 'F' as status, count(*) as n from orders where o_orderstatus = 'F' group by o_custkey union all select o_custkey, 'O', count(*) from orders where o_orderstatus = 'O' group by o_custkey union all select o_custkey, 'P', count(*) from orders where o_orderstatus = 'P' group by o_custkey")
 
 
 @query("select o_custkey, status, n from (select o_custkey, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as final, nullif(count(*) filter (where o_orderstatus = 'O'), 0) as open, nullif(count(*) filter (where o_orderstatus = 'P'), 0) as pending from orders group by o_custkey) m unpivot (n for status in (final, open, pending))")
@@ -283,3 +283,90 @@ _LEVEL_ROWS = """select case when p_size % 2 = 0 then 'gas_demand' else 'electri
 select indicator_id, unit_id, calorific_basis, source_ref, ref_year, round(v, 1) as value, f as flow_id, g as geography_scope, true as is_total, true as is_grand, true as is_derived from (select *, u as v, 'flow.demand' as f, cast(null as varchar) as g from s union all select *, l, 'flow.sales', 'local' from s union all select *, l + e, 'flow.sales', 'incl_exports' from s) t where v is not null""")
 def x17_table_totals(spark, sf_dir):
     return tables.derived_totals(run_sql(spark, sf_dir, _LEVEL_ROWS))
+
+
+#: Pages of two stacked tables made of parts, twenty lines a page: a title, tops with 3 to 6 numbers, numbers in two pieces, repeated lines, a gap before prose.
+_PAGES = """printed as (
+  select p_partkey, p_partkey / 20 as page0, p_partkey % 20 as i, p_type, p_size, cast(floor(p_retailprice) as bigint) as price from part
+), placed as (
+  select cast(floor(page0) as bigint) as page, p_type, p_size, price, case when i >= 10 then i - 10 else i end as r, case when i >= 10 then 1 else 0 end as b,
+    100.0 + case when i >= 10 then 250.0 else 0.0 end + 14.0 * case when i >= 10 then i - 10 else i end + case when (case when i >= 10 then i - 10 else i end) >= 8 then 40.0 else 0.0 end as y,
+    cast(floor(page0) as bigint) % 4 + 3 as n, (cast(floor(page0) as bigint) % 7) * 3.0 as shift from printed
+), numbers as (
+  select p.*, c.c from placed p join (select 0 as c union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) c on c.c < p.n
+), words as (
+  select page, y, 40.0 as x0, 90.0 as x1, case when r = 0 then 'Demande' else p_type end as text from placed
+  union all select page, y + case when p_size % 3 = 0 then 4.0 else 0.0 end, 95.0, 130.0, case when r = 0 then 'totale' else 'zone' || cast(p_size as {t}) end from placed
+  union all select page, y, 200.0 + shift + 60.0 * c, 206.0 + shift + 60.0 * c, cast(1 + price % 9 as {t}) from numbers
+  union all select page, y, 208.0 + shift + 60.0 * c, 226.0 + shift + 60.0 * c, cast(100 + (price + c) % 900 as {t}) from numbers
+  union all select page, y + 2.0, 210.0 + shift, 220.0 + shift, '-' from placed where p_size % 5 = 0
+  union all select distinct page, 40.0, 40.0, 90.0, 'Demande' from placed
+)"""
+_SPECS = [("P-T1", "demande totale", 0), ("P-T2", "demande totale", 1), ("P-T3", "demande totale", 2)]
+
+
+@query(f"""with recursive {_PAGES.format(t="varchar")}, numeric as (
+  select *, regexp_full_match(regexp_replace(text, '[\\s,.%+-]', '', 'g'), '[0-9]+') as num, lower(text) as label from words
+), tops0 as (
+  select distinct page, round(y, 1) as y from numeric w where label = 'demande' and (select count(*) from numeric m where m.page = w.page and m.num and abs(m.y - round(w.y, 1)) <= 5) >= 4
+), tops as (
+  select page, 0 as block, min(y) as top from tops0 group by page union all select t.page, t.block + 1, min(y.y) from tops t join tops0 y on y.page = t.page and y.y - t.top > 30 group by t.page, t.block
+), runs as (
+  select *, cast(sum(fresh) over (partition by page, block order by x0, x1, text rows unbounded preceding) as bigint) as k from (
+    select t.page, t.block, t.top, w.x0, w.x1, w.text, case when w.x0 - lag(w.x1) over (partition by t.page, t.block order by w.x0, w.x1, w.text) <= 14 then 0 else 1 end as fresh
+    from tops t join numeric w on w.page = t.page and abs(w.y - t.top) <= 5 and (w.num or starts_with(w.text, '-')))
+), centres as (
+  select page, block, top, k, (min(x0) + arg_max(x1, (x0, x1, text))) / 2 as x, max(k) over (partition by page, block) as n from runs group by page, block, top, k
+), spots as (
+  select *, case when n >= 5 then ['real', 'a', 'b', 'c', 'var', 'tcam'][k] when n = 4 then ['real', 'b', 'c', 'var'][k] else ['real', 'b', 'c'][k] end as role from centres
+), geometry as (
+  select page, block, any_value(top) as top, any_value(n) as n, max(x) filter (where role = 'real') as real_x, coalesce(max(x) filter (where role = 'tcam'), max(x) filter (where role = 'var'), max(x) filter (where role = 'c')) + 20 as last_x
+  from spots where role is not null group by page, block having count(*) >= 3
+), ys as (
+  select distinct g.page, g.block, g.top, round(w.y, 1) as y from geometry g join numeric w on w.page = g.page and w.num and w.y >= g.top - 4 and abs((w.x0 + w.x1) / 2 - g.real_x) <= 16
+    and w.y <= coalesce((select min(t.top) from tops t where t.page = g.page and t.top > g.top + 8) - 6, 1e9)
+), apart as (
+  select page, block, top, min(y) as y from ys group by page, block, top union all select a.page, a.block, a.top, min(ys.y) from apart a join ys on ys.page = a.page and ys.block = a.block and ys.y - a.y > 3 group by a.page, a.block, a.top, a.y
+), first_rows as (
+  select page, block, top, min(y) as y from apart where abs(y - top) <= 6 group by page, block, top
+), chain as (
+  select * from first_rows union all select c.page, c.block, c.top, min(a.y) from chain c join apart a on a.page = c.page and a.block = c.block and a.y > c.y group by c.page, c.block, c.top, c.y having min(a.y) - c.y <= 30
+), labelled as (
+  select c.page, c.block, c.top, c.y, g.n, g.real_x, g.last_x, trim(string_agg(w.text, ' ' order by w.x0, w.y, w.text)) as label
+  from chain c join geometry g using (page, block) join numeric w on w.page = c.page and abs(w.y - c.y) <= 9 and w.x0 < g.real_x - 6 and not w.num group by all
+), near as (
+  select l.*, w.x0, w.y as wy, w.text, w.x1, arg_min(s.role, (abs((w.x0 + w.x1) / 2 - s.x), s.k)) as role, min(abs((w.x0 + w.x1) / 2 - s.x)) as d
+  from labelled l join numeric w on w.page = l.page and abs(w.y - l.y) <= 6 and (w.x0 + w.x1) / 2 between l.real_x - 20 and l.last_x
+    join spots s on s.page = l.page and s.block = l.block and s.role is not null where l.label <> '' group by all
+)
+select 'P-T' || cast(block + 1 as varchar) as ref, page, cast(block as int) as block, cast(top as double) as top, cast(y as double) as row_y, label, cast(n as int) as columns, role, string_agg(text, '' order by x0, wy, text, x1) as token
+from near where d <= 27 and block < 3 group by page, block, top, y, label, n, role""")
+def x11_page_segments(spark, sf_dir):
+    """From words to the cells of stacked tables: tops by their numbers, columns by gaps, rows down to the first gap."""
+    words = run_sql(spark, sf_dir, f"with {_PAGES.format(t='string')} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
+    specs = words.select("page").distinct().join(F.broadcast(spark.createDataFrame(_SPECS, "ref string, anchor_label string, block int")))  # three tables a page
+    return pages.segment(words, specs)
+
+
+#: Editions of a template: a supplier's header words are moved by its own shift, some headers lack a column.
+_TEMPLATE = [(0, "all", 190.0), (1, "crude", 216.0), (2, "gas", 300.0), (3, "pv", 380.0), (4, "geo", 400.0), (5, "bio", 420.0), (6, "heat", 500.0)]
+_HEADER = {"brut": "crude", "naturel": "gas", "photovoltaique": "pv", "biomasse": "bio"}
+_HEADERS = """words as (
+  select s_suppkey as page, 100.0 - 10.0 * h.k as y, h.x + s_suppkey % 11 * 2.5 - 8 + case when h.k = s_suppkey % 4 then 3.0 else 0.0 end as x0, h.x + s_suppkey % 11 * 2.5 + 8 + case when h.k = s_suppkey % 4 then 3.0 else 0.0 end as x1, h.w as text
+  from supplier join (select 1 as k, 'BRUT' as w, 216.0 as x union all select 2, 'Naturel', 300.0 union all select 3, 'Photovoltaïque', 380.0 union all select 4, 'biomasse', 420.0 union all select 5, 'Géothermie', 400.0 union all select 6, 'brut', 950.0 union all select 12, 'naturel', 10.0) h
+    on (h.k < 5 and s_suppkey % 5 <> h.k) or (h.k = 5 and s_suppkey % 3 = 0) or (h.k = 6 and s_suppkey % 2 = 0) or h.k = 12
+)"""
+
+
+@query(f"""with {_HEADERS}, t as (select * from (values {", ".join(f"({o}, '{c}', {x})" for o, c, x in _TEMPLATE)}) t(ord, "column", x)),
+head as (select *, case lower(strip_accents(text)) {" ".join(f"when '{w}' then '{c}'" for w, c in _HEADER.items())} end as "column", (x0 + x1) / 2 as cx from words where y > 100.0 - 90 and y < 100.0 - 1),
+base as (select s.s_suppkey as page, t.* from supplier s, t where t.column <> 'geo' or exists (select 1 from head h where h.page = s.s_suppkey and lower(strip_accents(h.text)) = 'geothermie')),
+found as (select page, "column", arg_min(cx, (y, x0, x1, text)) as cx from head where "column" is not null group by all),
+met as (select b.page, b.ord, b.column, b.x, f.cx from base b left join found f on f.page = b.page and f.column = b.column),
+drift as (select page, list_sort(list(cx - x) filter (where cx is not null)) as d from met group by page)
+select m.page, m.column, m.ord, coalesce(m.cx, m.x + coalesce(d[len(d) // 2 + 1], 0))::double as x from met m join drift using (page)""")
+def x12_reanchored(spark, sf_dir):
+    words = run_sql(spark, sf_dir, f"with {_HEADERS} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
+    templates = spark.createDataFrame([("v1", *t) for t in _TEMPLATE], "template string, ord int, column string, x double")
+    on = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.lit("v1").alias("template"), F.lit(100.0).alias("y"))
+    return pages.reanchored(words, templates, on, _HEADER, {"geo": ("geothermie", "geothermal")}, (90.0, 1.0))

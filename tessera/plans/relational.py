@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import api, settle
+from ..operators import api, quality, settle
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
 
@@ -67,19 +67,19 @@ sql_query("a3_group_all", "select c_mktsegment, c_nationkey, count(*) as n from
 sql_query("a4_bool_or", "select o_custkey, bool_or(o_orderstatus = 'P') as any_pending, bool_and(o_totalprice > 1000) as all_large from orders group by o_custkey")
 sql_query("a5_filtered", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as final, count(*) filter (where o_orderstatus <> 'F') as open from orders group by o_orderpriority")
 sql_query("a6_string_agg", "select region_id, array_join(array_sort(collect_set(report_type)), '/') as families from obs group by region_id", "select region_id, string_agg(distinct report_type, '/' order by report_type) as families from obs group by region_id")
-sql_query("a7_struct_list", f"select {CELL}, to_json(array_sort(collect_list(struct(source_id, data_status)))) as listed from obs where region_id = 'asia' group by {CELL}", f"select {CELL}, cast(to_json(list({{'source_id': source_id, 'data_status': data_status}} order by source_id, data_status)) as varchar) as listed from obs where region_id = 'asia' group by {CELL}")
+sql_query("a7_struct_list", f"select {CELL}, to_json(array_sort(collect_list(struct(source_id, data_status)))) as listed from obs group by {CELL}", f"select {CELL}, cast(to_json(list({{'source_id': source_id, 'data_status': data_status}} order by source_id, data_status)) as varchar) as listed from obs group by {CELL}")
 sql_query("a8_enum_minmax", "select product_id, max(aggregation_role) as role, min(extraction_confidence) as confidence from obs group by product_id")
-sql_query("a9_pivot", "select ref_year, max(case when calorific_basis = 'GROSS' then value end) as gross, max(case when calorific_basis = 'NET' then value end) as net from obs where aggregation_role = 'grand_total' and source_id = 'ed_1' group by ref_year")
+sql_query("a9_pivot", "select ref_year, source_id, max(case when calorific_basis = 'GROSS' then value end) as gross, max(case when calorific_basis = 'NET' then value end) as net from obs where aggregation_role = 'grand_total' group by ref_year, source_id")
 sql_query("a10_distinct", "select distinct report_type, data_status, aggregation_role from obs")
 sql_query("a12_overcount", f"""with s as (select *, case when observation_id % 89 = 0 then amount * 9 else amount end as shaken from obs)
 select source_id, ref_year, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then shaken end) as double) as leaves, cast(max(case when aggregation_role = 'grand_total' then amount end) as double) as total
 from s group by source_id, ref_year, calorific_basis having sum(case when aggregation_role = 'leaf' then shaken end) > max(case when aggregation_role = 'grand_total' then amount end) * 1.15""")
 sql_query("a13_structure", "select source_id, ref_year, calorific_basis, count(*) filter (where aggregation_role = 'grand_total') as n_grand from obs where not (aggregation_role = 'grand_total' and ref_year = 1997) group by source_id, ref_year, calorific_basis having count(*) filter (where aggregation_role = 'leaf') > 0 and count(*) filter (where aggregation_role = 'grand_total') <> 1")
-sql_query("a14_balance", """select product_id, ref_year, cast(coalesce(sum(case when region_id = 'asia' then amount end), 0) + coalesce(sum(case when region_id = 'europe' then amount end), 0) - coalesce(sum(case when region_id = 'africa' then amount end), 0) as double) as balance,
-  cast(coalesce(sum(case when region_id = 'america' then amount end), 0) as double) as printed from obs where aggregation_role = 'leaf' and calorific_basis = 'NET' group by product_id, ref_year
+sql_query("a14_balance", """select product_id, ref_year, calorific_basis, cast(coalesce(sum(case when region_id = 'asia' then amount end), 0) + coalesce(sum(case when region_id = 'europe' then amount end), 0) - coalesce(sum(case when region_id = 'africa' then amount end), 0) as double) as balance,
+  cast(coalesce(sum(case when region_id = 'america' then amount end), 0) as double) as printed from obs where aggregation_role = 'leaf' group by product_id, ref_year, calorific_basis
 having abs(coalesce(sum(case when region_id = 'asia' then amount end), 0) + coalesce(sum(case when region_id = 'europe' then amount end), 0) - coalesce(sum(case when region_id = 'africa' then amount end), 0) - coalesce(sum(case when region_id = 'america' then amount end), 0)) > greatest(5, 0.02 * abs(coalesce(sum(case when region_id = 'america' then amount end), 0)))""")
-sql_query("a15_carriers", "select source_id, ref_year, cast(sum(case when aggregation_role = 'leaf' then amount else 0 end) as double) as carriers, cast(sum(case when aggregation_role = 'grand_total' then amount else 0 end) as double) as everything from obs where calorific_basis = 'GROSS' group by source_id, ref_year")
-sql_query("a_role_rollup", "select region_id, product_id, aggregation_role, cast(sum(amount) as double) as total from obs where calorific_basis = 'GROSS' group by region_id, product_id, aggregation_role")
+sql_query("a15_carriers", "select source_id, ref_year, calorific_basis, cast(sum(case when aggregation_role = 'leaf' then amount else 0 end) as double) as carriers, cast(sum(case when aggregation_role = 'grand_total' then amount else 0 end) as double) as everything from obs group by source_id, ref_year, calorific_basis")
+sql_query("a_role_rollup", "select region_id, product_id, aggregation_role, calorific_basis, cast(sum(amount) as double) as total from obs group by region_id, product_id, aggregation_role, calorific_basis")
 sql_query("a16_mode_rates", "select mode, round(avg(hit), 6) as rate, round(var_pop(hit), 6) as variance, count(*) as n from (select explode(split(concat_ws(',', event_type, case when value > 50 then 'large' end), ',')) as mode, case when value > 25 then 1.0D else 0.0D end as hit from events) group by mode", "select mode, round(avg(hit), 6) as rate, round(var_pop(hit), 6) as variance, count(*) as n from (select unnest(string_split(concat_ws(',', event_type, case when value > 50 then 'large' end), ',')) as mode, case when value > 25 then 1.0::double else 0.0::double end as hit from events) group by mode")
 
 # Ranking, sets, recursion
@@ -88,6 +88,13 @@ sql_query("w5_topk", "select p_partkey, p_name, p_size from part order by p_size
 sql_query("w6_probe", "select exists (select 1 from obs where extraction_confidence = 'low') as has_low, exists (select 1 from obs where value < 0) as has_negative")
 sql_query("w7_intersect", "select series_key from obs where ref_year = 1995 intersect select series_key from obs where ref_year = 2001")
 sql_query("w8_union_all", "select n_name as name, 'nation' as kind from nation union all select r_name, 'region' from region")
-sql_query("w10_cycles", """with recursive edges as (select 'n' || cast(n_nationkey as varchar(9)) as child, 'r' || cast(n_regionkey as varchar(9)) as parent from nation union all select 'r0', 'n3' union all select 'r1', 'r2' union all select 'r2', 'r1'),
-walk as (select child as origin, parent as node, 1 as depth from edges union all select w.origin, e.parent, w.depth + 1 from walk w join edges e on w.node = e.child where w.node <> w.origin and w.depth < 50)
-select origin, min(depth) as length from walk where node = origin group by origin""")
+#: Customers in rings of one nation and segment, each pointing at the next, and the first half of them in chains that end.
+_RINGS = """with c as (select c_custkey, c_nationkey, lead(c_custkey) over (partition by c_nationkey, c_mktsegment order by c_custkey) as next_key, first_value(c_custkey) over (partition by c_nationkey, c_mktsegment order by c_custkey) as first_key from customer)
+select cast(c_custkey as varchar(20)) as child, cast(case when c_nationkey % 2 = 0 then next_key else coalesce(next_key, first_key) end as varchar(20)) as parent from c"""
+
+
+@query(f"""with recursive edges as ({_RINGS}), walk as (select child as origin, parent as node from edges where parent is not null union select w.origin, e.parent from walk w join edges e on w.node = e.child where e.parent is not null),
+back as (select origin from walk where node = origin) select w.origin as offender, count(*) as length from walk w join back using (origin) group by w.origin""")
+def w10_cycles(spark, sf_dir):
+    """Members of cycles of any length, in logarithmically many rounds."""
+    return quality.cycles(run_sql(spark, sf_dir, _RINGS))

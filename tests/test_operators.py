@@ -114,7 +114,14 @@ def test_anchor_ties_go_to_the_first(spark):
 
 def test_cycles(spark):
     spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", None), ("f", "f")], "child string, parent string").createOrReplaceTempView("edges")
-    assert {(r.offender, r.length) for r in spark.sql(quality.cycles("edges", "child", "parent")).collect()} == {("a", 3), ("b", 3), ("c", 3), ("f", 1)}
+    assert {(r.offender, r.length) for r in quality.cycles(spark.table("edges")).collect()} == {("a", 3), ("b", 3), ("c", 3), ("f", 1)}
+    ring = [(f"n{i}", f"n{(i + 1) % 1000}") for i in range(1000)]  # a ring of a thousand, with a long tail into it, beside a long chain to a root
+    tail = [(f"t{i}", f"t{i - 1}" if i else "n7") for i in range(300)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(500)]
+    found = {(r.offender, r.length) for r in quality.cycles(spark.createDataFrame(ring + tail + chain + [("two", "one"), ("one", "two"), ("x", None)], "child string, parent string")).collect()}
+    assert found == {(f"n{i}", 1000) for i in range(1000)} | {("one", 2), ("two", 2)}
+    none = spark.createDataFrame([("a", "b"), ("b", None)], "child string, parent string")
+    assert quality.cycles(none).count() == 0 and quality.cycles(none.limit(0)).count() == 0 and quality.trees(none).count() == 0
 
 
 def test_rules_report_errors_and_go_on(spark):
