@@ -152,11 +152,15 @@ def conversions(requests: DataFrame, factors: DataFrame) -> DataFrame:
 class Store:
     """The interface over a settled observation table, its catalog and its small reference tables."""
 
-    def __init__(self, spark: SparkSession, observations: DataFrame, catalog: DataFrame, units: DataFrame | None = None, factors: DataFrame | None = None, glossary: DataFrame | None = None, footnotes: DataFrame | None = None, deferred: list[tuple[str, str, bool]] = (), synonyms: dict[str, str] | None = None):
-        """deferred: (phrase, family, whole word) in order of precedence, for families that are not covered."""
+    def __init__(self, spark: SparkSession, observations: DataFrame, catalog: DataFrame, units: DataFrame | None = None, factors: DataFrame | None = None, glossary: DataFrame | None = None, footnotes: DataFrame | None = None, deferred: list[tuple[str, str, bool]] = (), synonyms: dict[str, str] | None = None, log: DataFrame | None = None):
+        """deferred: (phrase, family, whole word) in order of precedence, for families that are not covered; log: the stored
+        reconciliation log, which is derived from the observations where there is none."""
         self.spark, self.obs, self.units, self.factors, self.glossary, self.footnotes = spark, observations, units, factors, glossary, footnotes
         self.catalog = catalog.cache()
-        self.deferred, self.synonyms = deferred, synonyms or {}
+        self.deferred, self.synonyms, self.log = deferred, synonyms or {}, log
+
+    def close(self) -> None:
+        self.catalog.unpersist()
 
     def query(self, sql: str, args: list | None = None, **views: DataFrame) -> DataFrame:
         """SQL over given views with `?` bound to args as literals; statements other than queries are refused."""
@@ -259,7 +263,7 @@ class Store:
         return out
 
     def get_conflicts(self, series_id: str | None = None, include_agreements: bool = False) -> dict:
-        log = settle.reconciliation_log(self.obs)
+        log = settle.reconciliation_log(self.obs) if self.log is None else self.log
         log = log if series_id is None else log.where(F.col("series_key") == series_id)
         log = log if include_agreements else log.where("note = 'disagreement>tol'")
         rows = self._rows(log.withColumn("values", F.from_json("values_json", "map<string, double>")).orderBy("series_key", "period_start", "period_end"))

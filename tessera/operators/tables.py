@@ -95,7 +95,8 @@ RESOLVERS = {
 #: Parts of product lines: their rows are totals, so that the lines alone add up.
 PARTS = ("prod.gasoil_ordinaire", "prod.gasoil_ss", "prod.gasoil_premium", "prod.gasoline_ssp", "prod.gasoline_super", "prod.gasoline_premium")
 
-#: The tables of two years: page, rows from and to, places of the two years, label and cell columns, what the table is of.
+# The tables of two years, as printed.
+#: Page, rows from and to, places of the two years, label and cell columns, what the table is of.
 YEAR_TABLES_SCHEMA = "ref string, page int, y0 double, y1 double, prior_x double, current_x double, label_min double, label_max double, cell_min double, cell_max double, resolver string, indicator string, unit string, basis string, product string, flow string, table_scope string"
 YEAR_TABLES = [
     ("M-T2", 3, 100.0, 300.0, 168.5, 222.3, 0.0, 160.0, 150.0, 270.0, "field", "crude_production", "kt", "NA", "prod.crude_oil", "flow.primary_production", "incl_gpl_condensat"),

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import vocab
 from ..sources import files
+from ..sources.shared import remove, settled, shared_dir
+from ..streaming import archive
 from .functions_ import _norm
 from .observations import run_sql, table
 from .registry import query
 
-_MIXED = [("unit", "t", "tonne", "mass", "", "", "", "", ""), ("unit", "GWh", "gigawattheure", "energy", "", "", "", "", ""), ("unit", "t", "tonne", "mass", "", "", "", "", ""), ("conversion", "", "", "", "GWh", "ktep", "0.086", "", "electricity"), ("conversion", "", "", "", "PCI", "PCS", "1.1111111111", "PCI->PCS", "natural gas"), ("conversion", "", "", "", "PCS", "PCI", "0.9", "PCI->PCS", "natural gas"), ("conversion", "", "", "", "baril", "m3", "bad", "", "volume"), ("prefix", "k", "kilo", "prefix", "", "", "1e3", "", "")]
-_MIXED_SQL = "select * from (values " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in _MIXED) + ") v(record_type, unit_code, unit_label_fr, quantity_kind, from_unit, to_unit, factor, calorific_basis, scope)"
+#: Parts as a table of units, conversions and prefixes in one: some units and pairs come again, some factors are no numbers.
+_MIXED = """select case p_partkey % 3 when 0 then 'unit' when 1 then 'conversion' else 'prefix' end as record_type, p_partkey as line_no, p_brand || cast(p_size % 4 as {t}) as unit_code, p_name as unit_label_fr, p_type as quantity_kind,
+  p_brand as from_unit, p_type as to_unit, case when p_size % 6 = 0 then 'bad' else cast(p_size as {t}) || '.5' end as factor, case when p_size % 2 = 0 then 'PCI->PCS' end as calorific_basis, case when p_size % 5 = 0 then 'volume' end as scope, p_name as note from part"""
 
 
-@query(f"with m as ({_MIXED_SQL}) select distinct 'unit' as kind, unit_code as a, quantity_kind as b, cast(null as double) as factor from m where record_type = 'unit' union all select distinct 'conversion', from_unit, to_unit, try_cast(factor as double) from m where record_type = 'conversion'")
+@query(f"""with m as ({_MIXED.format(t="varchar")}), u as (select *, row_number() over (partition by unit_code order by line_no) as nth from m where record_type = 'unit'),
+c as (select *, row_number() over (partition by from_unit, to_unit, coalesce(scope, '') order by line_no) as nth from m where record_type = 'conversion')
+select 'unit' as kind, unit_code as a, quantity_kind as b, '' as scope, cast(null as double) as factor, note from u where nth = 1 union all select 'conversion', from_unit, to_unit, coalesce(scope, ''), try_cast(factor as double), note from c where nth = 1""")
 def s4_split_units(spark, sf_dir):
-    units, factors = files.split_units(run_sql(spark, sf_dir, _MIXED_SQL).withColumn("note", F.lit(None).cast("string")))
-    return units.select(F.lit("unit").alias("kind"), F.col("unit_code").alias("a"), F.col("quantity_kind").alias("b"), F.lit(None).cast("double").alias("factor")).unionByName(factors.select(F.lit("conversion").alias("kind"), F.col("from_unit").alias("a"), F.col("to_unit").alias("b"), "factor"))
+    units, factors = files.split_units(run_sql(spark, sf_dir, _MIXED.format(t="string")))
+    one = units.select(F.lit("unit").alias("kind"), F.col("unit_code").alias("a"), F.col("quantity_kind").alias("b"), F.lit("").alias("scope"), F.lit(None).cast("double").alias("factor"), "note")
+    return one.unionByName(factors.select(F.lit("conversion").alias("kind"), F.col("from_unit").alias("a"), F.col("to_unit").alias("b"), "scope", "factor", "note"))
 
 
 _NOTES = "select p_partkey as line_no, case when p_size % 5 = 0 then 'prose | only' when p_size % 5 = 1 then '| FN-' || upper(p_type) || ' | toggle | ' || p_name || ' | x | **drop** |' when p_size % 5 = 2 then '  | **FN-B' || upper(p_type) || '** | Units-Basis | ' || p_name || ' | x | effect |' else '| not an id | a | b | c | d |' end as value from part"
@@ -34,15 +42,28 @@ def s8_link_harvest(spark, sf_dir):
     return files.links(table(spark, sf_dir, "pages")).select("page_id", "link")
 
 
-_NAMES = ["Conjoncture_avril_2026.pdf", "Conjoncture_Energetique_fin_decembre_2019.pdf", "Conjoncture_2024_Ar_resume.pdf", "Chiffres_cles_2024.pdf", "Rapport_Bilan_2023_VF-2024.pdf", "Bilan_National_2022_updated.pdf", "Evolution_du_Bilan_2010-2020.pdf", "Bulletin-fevrier-20.pdf", "ESIA_summary_2021.pdf", "Note_Methodologique.pdf", "Guide_en.pdf", "conjonctre_mai_2021_v_2022_v-2022.pdf"]
-_EXPECTED = [("Conjoncture", "fr", "2026-04", ""), ("Conjoncture", "fr", "2019-12", ""), ("Conjoncture", "ar", "2024", ""), ("Memento", "fr", "2024", ""), ("Bilan", "fr", "2023", "VF-2024"), ("Bilan", "multi", "2022", "updated"), ("Bilan", "fr", "2010-2020", ""), ("Bulletin-COVID", "fr", "2020-02", ""), ("Other", "en", "2021", ""), ("Bilan", "fr", "", ""), ("Other", "en", "", ""), ("Conjoncture", "fr", "2021-05", "v_2022")]
+#: Names of reports from pieces that the customer's number picks; what they stand for is known from the pieces.
+_MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
+_MONTHS_AR = tuple({n: w for w, n in reversed(files.MONTHS_AR.items())}[n] for n in range(1, 13))
+_PIECES = "select c_custkey, c_custkey % 11 as kind, 2010 + c_custkey % 13 as year, c_custkey % 12 + 1 as month, c_custkey % 5 as mark, c_name from customer"
+_MONTH = "case month {} end".format(" ".join(f"when {i + 1} then '{m}'" for i, m in enumerate(_MONTHS)))
+_MONTH_AR = "case month {} end".format(" ".join(f"when {i + 1} then '{m}'" for i, m in enumerate(_MONTHS_AR)))
+_NAMED = f"""select *, case mark when 1 then '_VF-' || cast(year + 1 as {{t}}) when 2 then '_updated' else '' end as tail, case kind when 0 then 'Conjoncture_' || {_MONTH} || '_' || cast(year as {{t}}) when 1 then 'Conjoncture_Energetique_fin_decembre_' || cast(year as {{t}})
+  when 2 then 'Conjoncture_' || cast(year as {{t}}) || '_Ar_resume' when 3 then 'Chiffres_cles_' || cast(year as {{t}}) when 4 then 'Rapport_Bilan_' || cast(year as {{t}}) when 5 then 'Bilan_National_' || cast(year as {{t}})
+  when 6 then 'Evolution_du_Bilan_' || cast(year as {{t}}) || '-' || cast(year + 9 as {{t}}) when 7 then 'Bulletin-' || {_MONTH} || '-' || cast(year as {{t}}) when 8 then 'Guide_summary_' || cast(year as {{t}})
+  when 9 then 'وضع_قطاع_الطاقة_' || {_MONTH_AR} || '_' || cast(year as {{t}}) else 'مؤشرات_قطاع_الطاقة_' || cast(year as {{t}}) end as stem from ({_PIECES}) p"""
 
 
-@query("select * from (values " + ", ".join(f"('{n}', " + ", ".join(f"'{x}'" for x in e) + ")" for n, e in zip(_NAMES, _EXPECTED, strict=True)) + ") v(name, family, language, period, version)")
+@query(f"""select c_custkey, stem || tail || '.pdf' as name, case when kind in (0, 1, 2, 9) then 'Conjoncture' when kind in (3, 10) then 'Memento' when kind in (4, 5, 6) then 'Bilan' when kind = 7 then 'Bulletin-COVID' else 'Other' end as family,
+  case when kind in (2, 9, 10) then 'ar' when kind = 5 then 'multi' when kind = 8 then 'en' else 'fr' end as language,
+  cast(year as varchar) || case when kind in (0, 7, 9) then '-' || lpad(cast(month as varchar), 2, '0') when kind = 1 then '-12' when kind = 6 then '-' || cast(year + 9 as varchar) else '' end as period,
+  case mark when 1 then 'VF-' || cast(year + 1 as varchar) when 2 then 'updated' else '' end as version from ({_NAMED.format(t="varchar")})""")
 def s9_s11_file_names(spark, sf_dir):
-    rows = run_sql(spark, sf_dir, "select name from (values " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(name)")
+    """Family, language, period and version from the names of as many reports as there are customers."""
+    rows = run_sql(spark, sf_dir, _NAMED.format(t="string")).select("c_custkey", F.concat("stem", "tail", F.lit(".pdf")).alias("name"))
     family, language = files.classify(F.col("name"))
-    return rows.select("name", family.alias("family"), language.alias("language")).select("name", "family", "language", files.report_period(F.col("name"), F.col("family")).alias("period"), files.version(F.col("name")).alias("version"))
+    named = rows.select("c_custkey", "name", family.alias("family"), language.alias("language"))
+    return named.select("c_custkey", "name", "family", "language", files.report_period(F.col("name"), F.col("family")).alias("period"), files.version(F.col("name")).alias("version"))
 
 
 @query("""with f as (select c_mktsegment as url, cast(c_nationkey % 4 as varchar) as body, min(c_custkey) as first_at from customer group by all)
@@ -52,6 +73,26 @@ def s7_archive_versions(spark, sf_dir):
     return files.archive_versions(fetched)
 
 
+_FETCHES = "select p_brand || '/' || p_type as url, sha256(cast(p_size % 5 as {t})) as sha256, cast(p_partkey as bigint) as fetched_at, cast(p_partkey % 4 as bigint) as part from part"
+
+
+@query(f"""with f as (select url, sha256, min(part * 1000000 + fetched_at) as came from ({_FETCHES.format(t="varchar")}) group by url, sha256)
+select url, sha256, came % 1000000 as fetched_at, row_number() over (partition by url order by came, sha256) as version_no from f""")
+def s7_archive_stream(spark, sf_dir):
+    """Fetches that arrive in four files and once more: versions by state, across micro-batches."""
+    root = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    fetched = run_sql(spark, sf_dir, _FETCHES.replace("sha256(", "sha2(").replace(") as sha256", ", 256) as sha256").format(t="string"))
+    kept = settled(fetched)
+    schema = kept.drop("part").schema
+    for k in (0, 1, 2, 3, 0):
+        own = kept.where(F.col("part") == k).drop("part").coalesce(1)
+        own.write.mode("append").parquet(f"{root}/in")
+        archive.start(spark, f"{root}/in", schema, f"{root}/store", f"{root}/check").awaitTermination()
+    out = settled(spark.read.parquet(f"{root}/store/versions").drop("batch"))
+    remove(spark, root)
+    return out
+
+
 @query("""select o_orderkey, case o_orderkey % 3 when 0 then 'annual' when 1 then 'monthly' else 'annual' end as cadence, o_orderkey % 4 in (1, 2, 3) as is_canonical_lang, case when o_orderkey % 2 = 1 then cast(month(o_orderdate) as int) end as cutoff_month from orders""")
 def s14_register_sources(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -102,14 +102,15 @@ def f13_dialect(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.expand(F.col("p_name"), _SYNONYMS).alias("expanded"))
 
 
+#: Free scope words, as customers write them: in capitals, with signs for spaces, with what is not known behind them.
 _SCOPES = ["Natural_Gas", "NATURAL-GAS", " gaz  ", "Pétrole brut", "crude/oil", "élec", "Électricité", "volume", "product tep/t", "banana", "", "produits pétroliers", "Power"]
-_SCOPE_ROWS = "select s from (values " + ", ".join(f"('{x}')" for x in _SCOPES) + ") v(s)"
+_SCOPE_ROWS = "select c_custkey, case when c_custkey % 3 = 0 then ' ' when c_custkey % 7 = 0 then '__' else '' end || case c_custkey % 13 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(_SCOPES)) + " end || case when c_custkey % 5 = 0 then '/' when c_custkey % 11 = 0 then ' ' || c_mktsegment else '' end as s from customer"
 
 
-@query("with k as (select s, trim(regexp_replace(translate(lower(trim(s)), 'éèêà_-/', 'eeea   '), ' +', ' ', 'g')) as scope_key from (" + _SCOPE_ROWS + ")) select s, scope_key, case scope_key " + " ".join(f"when '{k}' then '{v}'" for k, v in text.SCOPES.items()) + " end as scope from k")
+@query("with k as (select c_custkey, s, trim(regexp_replace(translate(lower(trim(s)), 'éèêà_-/', 'eeea   '), ' +', ' ', 'g')) as scope_key from (" + _SCOPE_ROWS + ")) select c_custkey, s, scope_key, case scope_key " + " ".join(f"when '{k}' then '{v}'" for k, v in text.SCOPES.items()) + " end as scope from k")
 def f14_scope_norm(spark, sf_dir):
     rows = run_sql(spark, sf_dir, _SCOPE_ROWS)
-    return rows.select("s", text.scope_key(F.col("s")).alias("scope_key"), text.canonical_scope(F.col("s")).alias("scope"))
+    return rows.select("c_custkey", "s", text.scope_key(F.col("s")).alias("scope_key"), text.canonical_scope(F.col("s")).alias("scope"))
 
 
 @query("select event_id, try_cast(json_extract_string(case when event_id % 50 = 0 then null else props end, '$.k') as varchar) as k, case when event_id % 50 <> 0 then len(json_keys(props)) end as n_keys from events")

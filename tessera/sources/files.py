@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import source_id
 from ..functions.text import first_rule
 
 # Types of footnotes, families of reports by their names, cadences.
 FOOTNOTE_TYPES = {"toggle": "toggle", "units-basis": "units_basis", "provenance/status": "provenance_status", "scope/definition": "scope", "scope": "scope", "definition": "definition", "spec-change": "spec_change", "aggregate-membership": "aggregate_membership", "provenance": "provenance_status"}
 ARABIC = r"[؀-ۿ]"
 ARABIC_TOKEN = r"(?i)([_\-.]ar([_\-.]|$)|r[eé]sum[eé]|arabe|arabic)"
+YEAR_AR = "سنة"
+MONTHS_AR = {"جانفي": 1, "فيفري": 2, "مارس": 3, "أفريل": 4, "افريل": 4, "ماي": 5, "جوان": 6, "جويلية": 7, "أوت": 8, "اوت": 8, "سبتمبر": 9, "ىسبتمبر": 9, "سيتمبر": 9, "أكتوبر": 10, "اكتوبر": 10, "نوفمبر": 11, "ديسمبر": 12}
 MONTHS_FR = {"janvier": 1, "fevrier": 2, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "aout": 8, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "decembre": 12, "décembre": 12}
 VERSIONS = (r"(?i)(VF[-_]?\d{4})", r"(?i)(v[_-]?\d{4})", r"(?i)(V[_\s-]*\d{1,2}-?\d{3,4})", r"(?i)(updated)", "(محينة)")
 CADENCE = {"Bilan": "annual", "Memento": "annual", "Conjoncture": "monthly", "Bulletin-COVID": "monthly"}
@@ -58,6 +61,7 @@ def classify(name: Column) -> tuple[Column, Column]:
     """(family, language) of a report by its file name; the first rule that holds decides."""
     low = F.lower(name)
     marked = F.when(low.rlike(ARABIC_TOKEN), "ar").otherwise("fr")
+    # The words of names, in order.
     rules = [
         (low.contains("conjoncture") | low.contains("conjonctre"), "Conjoncture", marked),
         (name.contains("وضع_قطاع_الطاقة"), "Conjoncture", F.lit("ar")),
@@ -84,7 +88,11 @@ def report_period(name: Column, family: Column) -> Column:
     month = F.lit(None).cast("int")
     for word, number in reversed(MONTHS_FR.items()):
         month = F.when(low.rlike(f"(?<![a-zéû]){word}(?![a-zéû])"), number).otherwise(month)
-    month = F.when(low.rlike(r"d[eé]cembre"), 12).otherwise(month)
+    arabic = F.lit(None).cast("int")
+    for word, number in reversed(MONTHS_AR.items()):
+        arabic = F.when(name.contains(word), number).otherwise(arabic)
+    month = F.when(name.rlike(ARABIC), arabic).otherwise(month)
+    month = F.when(low.rlike(r"fin[_\s]+d[eé]cembre|(?<![a-z0-9_])d[eé]cembre(?![a-z0-9_])") | name.contains(YEAR_AR), 12).otherwise(month)
     dated = F.when((year != "") & month.isNotNull(), F.concat(year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"))).otherwise(year)
     span = F.regexp_extract(name, r"(20\d\d)[-_]+(20\d\d)", 0)
     return F.when(family.isin("Conjoncture", "Bulletin-COVID"), dated).when(span != "", F.regexp_replace(span, "[-_]+", "-")).otherwise(year)
@@ -115,6 +123,13 @@ def archive_versions(fetched: DataFrame, url: str = "url", digest: str = "sha256
     return firsts.withColumn("version_no", F.row_number().over(Window.partitionBy(url).orderBy(order, digest)))
 
 
+def with_source_ids(manifest: DataFrame, order: list[str]) -> DataFrame:
+    """Manifest rows with their source_id; of several rows of one id all but the first have the start of their file id behind it."""
+    own = source_id(F.col("report_family"), F.col("period"), F.col("version"), F.col("language"), F.col("local_path"))
+    again = F.row_number().over(Window.partitionBy("source_id").orderBy(*order)) > 1
+    return manifest.withColumn("source_id", own).withColumn("source_id", F.when(again, F.concat("source_id", F.lit("_"), F.substring("file_id", 1, 6))).otherwise(F.col("source_id")))
+
+
 def register_sources(manifest: DataFrame) -> DataFrame:
     """Manifest rows as sources: cadence, canonical language, cutoff; the publication date is not known."""
     cadence = F.element_at(F.create_map(*[F.lit(x) for pair in CADENCE.items() for x in pair]), F.col("report_family"))

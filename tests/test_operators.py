@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, text
-from tessera.operators import api, catalog, constraints, evaluate, extraction, quality, settle, tables, upsert, vocab
+from tessera.operators import api, catalog, constraints, evaluate, pages, postings, requests, extraction, quality, settle, tables, upsert, vocab
 from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
-from tessera.streaming import ingest
+from tessera.streaming import archive, ingest
 
 
 def column(spark, values, kind="string"):
@@ -346,3 +346,85 @@ def test_manifest_states_and_log(spark, tmp_path):
 def test_plans_prune_and_push(spark, sf_dir):
     plan = run_sql(spark, sf_dir, "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")._jdf.queryExecution().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan and "o_totalprice" not in plan.split("Physical Plan")[1]
+
+
+def test_requests_give_what_the_store_gives_one_by_one(store, spark):
+    keys_ = [r[0] for r in store.catalog.select("series_key").orderBy("series_key").limit(6).collect()]
+    asked = [(i, k, None, 1996 if i % 2 else None, None if i % 3 else 1999, i % 2 == 0, i % 3 == 0, i % 4 == 0) for i, k in enumerate([*keys_, "nothing", "crude oil price", keys_[0]])]
+    asked.append((99, keys_[1], "monthly", None, None, True, True, False))
+    frame = spark.createDataFrame(asked, "rid int, series_id string, period_type string, start_year int, end_year int, include_low boolean, include_escalated boolean, exclude_provisional boolean")
+    got = {r.rid: r for r in requests.series(frame, store.obs, store.catalog, store.deferred).collect()}
+    for rid, key, kind, start, end, low, escalated, exclude in asked:
+        want = store.get_series(key, kind, start, end, low, escalated, exclude)
+        r = got[rid]
+        assert (r.status, r.n) == (want["status"], want.get("n", 0)) and r.family == want.get("family") and r.hidden_by_default == want.get("hidden_by_default")
+        assert [o.asDict(recursive=True) for o in r.observations] == want.get("observations", [])
+    one = requests.observation(spark.createDataFrame([(1, keys_[0], 1996, None), (2, keys_[0], 1996, 3)], "rid int, series_id string, year int, cutoff_month int"), store.obs, store.catalog)
+    want = [store.get_observation(keys_[0], 1996), store.get_observation(keys_[0], 1996, 3)]
+    assert [(r.status, r.n) for r in one.orderBy("rid").collect()] == [(w["status"], w["n"]) for w in want]
+    found = {r.rid: r for r in requests.describe(spark.createDataFrame([(1, keys_[0]), (2, "nothing")], "rid int, series_id string"), store.catalog, store.obs, store.footnotes, store.glossary).collect()}
+    full = store.describe_series(keys_[0])
+    assert found[2].status == "unknown_series" and found[1].series.asDict(recursive=True) == full["series"]
+    assert [x.asDict() for x in found[1].footnotes] == full["footnotes"]
+
+
+def test_postings_give_what_a_scan_gives(store, spark):
+    texts_ = postings.texts(catalog.tiers(store.catalog))
+    index = postings.postings(texts_)
+    queries = ["asia large net", "order order_rev", "zz", "a", "", "ev", "it's region=asia net NET"]
+    frame = spark.createDataFrame(list(enumerate(queries)), "qid int, query string")
+    got = {}
+    for r in postings.best(postings.search(frame, index, texts_), store.catalog, 5).orderBy("qid", "place").collect():
+        got.setdefault(r.qid, []).append((r.key, r.score))
+    for i, q in enumerate(queries):
+        want = [(h["series_key"], h["score"]) for h in store.search_series(q, limit=5)["series"]]
+        assert got.get(i, []) == want, q
+    plan = index.join(spark.createDataFrame([("net",)], "piece string"), "piece")
+    assert plan.columns == ["piece", "key", "tier"]
+
+
+def test_a_page_of_stacked_tables(spark):
+    """Split numbers, a title row with too few numbers, a row printed twice, prose behind a gap, and a second block."""
+    rows = [(40, 40, 90, "Demande")]
+    for block, top in ((0, 100), (1, 300)):
+        for r, label in enumerate(("Demande", "Haute", "Haute", "Total")):
+            y = top + (14 * r if r != 2 else 15.5)
+            rows.append((y, 40, 90, label))
+            for c in range(5):
+                rows += [(y, 200 + 60 * c, 206 + 60 * c, str(r + 1)), (y, 208 + 60 * c, 226 + 60 * c, f"{block}0{c}")]
+        rows += [(top + 100, 40, 90, "Prose"), (top + 100, 205, 225, "2020")]
+    words = spark.createDataFrame([(7, float(y), float(a), float(b), t) for y, a, b, t in rows], "page int, y double, x0 double, x1 double, text string")
+    specs = spark.createDataFrame([("A", 7, "Demande", 0), ("B", 7, "Demande", 1), ("C", 7, "Demande", 2), ("D", 7, "Offre", 0)], "ref string, page int, anchor_label string, block int")
+    found = pages.segment(words, specs).collect()
+    assert {r.ref for r in found} == {"A", "B"} and {r.top for r in found} == {100.0, 300.0} and {r["columns"] for r in found} == {5}
+    assert {r.row_y for r in found if r.ref == "A"} == {100.0, 114.0, 142.0}  # one of the two rows that are 1.5 apart, and none behind the gap
+    cells = {(r.row_y, r.role): r.token for r in found if r.ref == "B"}
+    assert cells[300.0, "real"] == "1100" and cells[342.0, "var"] == "4104" and len([r for r in found if r.ref == "B" and r.row_y == 300.0]) == 5
+    assert next(r.label for r in found if r.row_y == 142.0) == "Total"
+
+
+def test_versions_by_state_equal_those_of_the_whole_history(spark, tmp_path):
+    schema = "url string, sha256 string, fetched_at long"
+    batches = [[("a", "x", 1), ("b", "x", 2), ("a", "y", 3)], [("a", "x", 4), ("a", "z", 6), ("a", "z", 5), ("c", "q", 7)], [("b", "w", 8), ("b", "x", 9)]]
+    source, store_ = str(tmp_path / "in"), str(tmp_path / "store")
+    start = lambda: archive.start(spark, source, spark.createDataFrame([], schema).schema, store_, str(tmp_path / "check")).awaitTermination(240)
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        start()
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(f"{store_}/versions").select("url", "sha256", "fetched_at", "version_no").collect())
+    whole = files.archive_versions(spark.createDataFrame(sum(batches, []), schema)).select("url", "sha256", "fetched_at", "version_no")
+    assert read() == sorted(tuple(r) for r in whole.collect())
+    spark.createDataFrame(batches[0], schema).coalesce(1).write.mode("append").parquet(source)  # a replay adds nothing
+    start()
+    assert read() == sorted(tuple(r) for r in whole.collect())
+    last = max(int(x.split("=")[1]) for x in os.listdir(f"{store_}/manifest"))
+    manifest = {r.url: r.sha256 for r in spark.read.parquet(f"{store_}/manifest/state={last}").collect()}
+    assert manifest == {"a": "z", "b": "w", "c": "q"}
+
+
+def test_arabic_months_and_repeated_source_ids(spark):
+    names = {"وضع_قطاع_الطاقة_جويلية_2021.pdf": "2021-07", "وضع_قطاع_الطاقة_سنة_2020.pdf": "2020-12", "Conjoncture_mai_2019.pdf": "2019-05", "Conjoncture_fin_décembre_2018.pdf": "2018-12"}
+    rows = column(spark, list(names)).select("x", files.report_period(F.col("x"), F.lit("Conjoncture")).alias("p")).collect()
+    assert {r.x: r.p for r in rows} == names
+    manifest = spark.createDataFrame([("Bilan", "2020", "", "fr", "p1", "abcdef123"), ("Bilan", "2020", "", "fr", "p2", "fedcba987"), ("Memento", "2020", "", "ar", "p3", "x")], "report_family string, period string, version string, language string, local_path string, file_id string")
+    assert [r.source_id for r in files.with_source_ids(manifest, ["local_path"]).orderBy("local_path").collect()] == ["bilan_2020", "bilan_2020_fedcba", "memento_2020_ar"]
