@@ -37,6 +37,19 @@ def envelope(rows: DataFrame) -> DataFrame:
     )
 
 
+# The columns that go with every value.
+VALUE_COLUMNS = """series_key indicator value unit_id calorific_basis basis_confidence period_type period_start period_end ref_year data_status flow_id product_id sector_id region_id field_id level_id producer_id
+technology regime scope geography_scope redevance_included is_derived is_total aggregation_role source_type confidence extraction_method extraction_confidence is_escalated report_type version template_version
+source_id source_page source_ref source_cell""".split()
+
+
+def values(rows: DataFrame) -> DataFrame:
+    """The rows under the columns that go with every value; what they don't have is null."""
+    have = set(rows.columns)
+    own = lambda c: F.col("indicator_id").alias(c) if c == "indicator" and c not in have else F.col(c) if c in have else F.lit(None).cast("string").alias(c)
+    return rows.select(*[own(c) for c in VALUE_COLUMNS])
+
+
 def surface(settled_view: DataFrame, include_low: bool = False, include_escalated: bool = False) -> DataFrame:
     """Preferred rows without low-confidence and escalated ones, each of the two let in by its own flag."""
     out = settled_view.where("is_preferred")

@@ -113,6 +113,19 @@ YEAR_TABLES = [
 ]
 
 
+# The footnotes that belong to every value of a table.
+YEAR_FOOTNOTES = {
+    "M-T2": ("FN-OIL-GPLCOND-INCL",), "M-T5": ("FN-PCI-PCS", "FN-GAS-COMMERCIAL", "FN-GAZSUD-MEMBERS-M"), "M-T6": ("FN-PCI-PCS", "FN-GAS-COMMERCIAL", "FN-GAZSUD-MEMBERS-M"), "M-T7": ("FN-PCI-PCS",), "M-T8": ("FN-PCI-PCS",),
+    "M-T12": ("FN-ELEC-NOAUTOTHERM",), "M-T15": ("FN-PP-CONS-AUTOSTIR",), "M-T16": ("FN-PCI-PCS",), "M-T17": ("FN-PCI-PCS",),
+}
+
+
+def footnotes_of(ref: Column, notes: dict[str, tuple[str, ...]] = YEAR_FOOTNOTES) -> Column:
+    """The footnotes of a table; none for tables without any."""
+    listed = F.create_map(*[x for k, v in notes.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    return F.coalesce(F.element_at(listed, ref), F.array().cast("array<string>"))
+
+
 def blocks(rows: DataFrame, keys: list[str], y: str = "y", gap: float = BLOCK_GAP) -> DataFrame:
     """(keys, block, y): stacked blocks of a page, from 0 down; a row more than `gap` below the top of the last begins one.
 
@@ -186,7 +199,7 @@ def year_observations(cells: DataFrame, known: dict[str, DataFrame], ref_year: i
         own("indicator_id", "indicator"), parse_number(F.col("token")).alias("value"), F.col("token").alias("value_raw"), F.col("unit").alias("unit_id"), F.col("basis").alias("calorific_basis"),
         F.when(F.col("basis") == "NA", "na").otherwise("stated").alias("basis_confidence"), F.lit("annual").alias("period_type"), F.make_date(year, F.lit(1), F.lit(1)).alias("period_start"), F.make_date(year, F.lit(12), F.lit(31)).alias("period_end"),
         year.alias("ref_year"), F.when(F.col("year_column") == "prior", "final").otherwise("provisional").alias("data_status"), F.col("ref").alias("source_ref"), (F.col("page") + 1).cast("string").alias("source_page"),
-        F.concat(F.lit("row="), F.col("label"), F.lit("|col="), year.cast("string")).alias("source_cell"), own("flow_id", "flow"), own("product_id", "product"), "field_id", "level_id", "producer_id", "technology", own("scope", "table_scope"), "geography_scope", "is_total",
+        F.concat(F.lit("row="), F.col("label"), F.lit("|col="), year.cast("string")).alias("source_cell"), own("flow_id", "flow"), own("product_id", "product"), "field_id", "level_id", "producer_id", "technology", own("scope", "table_scope"), "geography_scope", "is_total", footnotes_of(F.col("ref")).alias("footnotes"),
     ).where("value is not null")
     return rows, missed
 

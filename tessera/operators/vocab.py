@@ -26,6 +26,14 @@ def _grams(words: Column, longest: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(max(longest, 1)))), of)))
 
 
+def quarantine(missed: DataFrame, label: str, dimension: str, source: str, ref: str, page: str, row: str, values: list[str]) -> DataFrame:
+    """Labels that nothing knows, with all that a reader needs to place them: source, table, dimension, and in the context
+    the page, the row and the values beside the label."""
+    listed = F.array_join(F.array(*[F.coalesce(F.col(v).cast("string"), F.lit("None")) for v in values]), ", ")
+    context = F.concat(F.lit("page"), F.col(page).cast("string"), F.lit(" y="), F.col(row).cast("string"), F.lit(" values=["), listed, F.lit("]"))
+    return missed.select(F.col(source).alias("source_id"), F.col(ref).alias("source_ref"), F.lit(dimension).alias("dimension"), F.col(label).alias("raw_label"), context.alias("context"))
+
+
 def match(labels: DataFrame, label: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels with `id`, labels without any).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from ..operators import constraints
 from ..operators import quality as q
 from ..sources.shared import settled
 from .observations import duck_sql, register, run_sql, view
@@ -146,6 +147,38 @@ rule("qa_9_3_clean_leaks", "select count(*) filter (where extraction_confidence
 rule("qa_10_1_redevance", "select b.observation_id, b.redevance_included, d.included from bad b join (select 'GROSS' as basis, true as included union all select 'NET', true) d on b.calorific_basis = d.basis where b.redevance_included is distinct from d.included")
 rule("qa_10_2_templates", "select b.source_id, b.report_type, d.template, count(*) as n from bad b join (select 'ed_' || cast(r_regionkey + 1 as varchar(9)) as source_id, case r_regionkey when 0 then 'bilan' else 'memento' end as template from region) d on b.source_id = d.source_id where b.report_type <> d.template group by b.source_id, b.report_type, d.template")
 
+#: The declared constraints that the planted table has columns for, and dimension tables with defects of their own.
+_DECLARED = [c for c in constraints.declared(("observation_id", "indicator_id", "unit_id", "calorific_basis", "is_total", "aggregation_role", "period_type", "period_start", "period_end", "ytd_cutoff_month", "data_status", "source_id", "extraction_confidence", "is_derived", "series_key", "upsert_key", "is_escalated", "flow_id", "product_id", "region_id", "sector_id", "field_id"), {"calorific_basis": ("GROSS", "NET")})]
+_MEMBERS = {
+    "flow": "select 'flow.sales' as id, cast(null as varchar(20)) as parent union all select 'flow.export', 'flow.sales' union all select 'flow.local', 'flow.nowhere'", "product": "select distinct 'prod.' || lower(p_type) as id, 'prod.' || lower(p_type) as parent from part where p_type <> 'SMALL'",
+    "region": "select lower(r_name) as id, cast(null as varchar(20)) as parent from region where r_regionkey <> 2 union all select 'asia', null", "unit": "select 'cur' as id, cast(null as varchar(20)) as parent union all select null, null", "source": "select distinct source_id as id, cast(null as varchar(20)) as parent from settled",
+}
+
+
+def _constraint_sql(c: constraints.Constraint) -> str | None:
+    """What breaks a constraint, counted by SQL of its own; None where a table is missing."""
+    rows = {"observation": "bad"} | {t: f"dim_{t}" for t in _MEMBERS}
+    if c.table not in rows or c.kind == "reference" and c.detail[0].split(".")[0] not in rows:
+        return None
+    t, col = rows[c.table], c.columns[0]
+    count = {
+        "not_null": f"select count(*) as n from {t} where {col} is null",
+        "enum": f"select count(*) as n from {t} where {col} not in ({', '.join(repr(m) for m in c.detail)})",
+        "check": f"select count(*) as n from {t} where not ({c.detail[0] if c.detail else ''})",
+        "unique": f"select count(*) as n from (select {col} from {t} where {col} is not null group by {col} having count(*) > 1) x",
+        "reference": f"select count(*) as n from {t} x where {col} is not null and not exists (select 1 from {rows.get(c.detail[0].split('.')[0]) if c.detail else ''} d where d.id = x.{col})",
+    }[c.kind]
+    name = c.name.replace("'", "''")
+    return f"select '{name}' as constraint_name, '{c.kind}' as kind, n, case when n > 0 then '{c.severity}' else 'PASS' end as outcome from ({count}) q"
+
+
+@query(duck_sql(f"with {BAD}, " + ", ".join(f"dim_{t} as ({sql})" for t, sql in _MEMBERS.items()) + " " + " union all ".join(filter(None, map(_constraint_sql, _DECLARED)))))
+def p9_constraints(spark, sf_dir):
+    """Every declared constraint over the planted table and its dimensions, from the registry."""
+    tables = {"observation": run_sql(spark, sf_dir, planted("select * from bad"))} | {t: run_sql(spark, sf_dir, sql) for t, sql in _MEMBERS.items()}
+    return constraints.check(tables, _DECLARED).select("constraint_name", "kind", "n", "outcome")
+
+
 _VIEWS = ("obs", "ytd", "settled", "v_series", "v_series_clean")
 _QUALIFIERS = ("calorific_basis", "period_type", "scope", "geography_scope", "aggregation_role", "data_status", "extraction_confidence", "is_escalated", "is_derived", "unit_id")
 

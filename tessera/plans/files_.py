@@ -126,6 +126,9 @@ def j9_vocab_match(spark, sf_dir):
     return _matched(spark, sf_dir)[0].select("p_partkey", "label", "id")
 
 
-@query(_MATCH + " select p_partkey, label from best where id is null")
+@query(_MATCH + " select 'ed_' || cast(p_size % 5 as varchar) as source_id, 'T' || p_brand as source_ref, 'product' as dimension, label as raw_label, 'page' || cast(b.p_partkey // 40 as varchar) || ' y=' || cast(b.p_partkey % 40 as varchar) || ' values=[' || cast(p_size as varchar) || ', ' || case when p_size % 2 = 0 then p_type else 'None' end || ']' as context from best b join part using (p_partkey) where id is null")
 def m5_quarantine(spark, sf_dir):
-    return _matched(spark, sf_dir)[1].select("p_partkey", "label")
+    """Labels that the vocabulary doesn't know, with their source, table, dimension and context."""
+    missed = _matched(spark, sf_dir)[1].join(table(spark, sf_dir, "part"), "p_partkey")
+    missed = missed.withColumns({"source": F.concat(F.lit("ed_"), (F.col("p_size") % 5).cast("string")), "ref": F.concat(F.lit("T"), "p_brand"), "page": F.floor(F.col("p_partkey") / 40), "row": F.col("p_partkey") % 40, "even": F.when(F.col("p_size") % 2 == 0, F.col("p_type"))})
+    return vocab.quarantine(missed, "label", "product", "source", "ref", "page", "row", ["p_size", "even"])

@@ -13,7 +13,16 @@ CELL = "series_key, period_start, period_end"
 
 # Scans, projections and filters
 sql_query("s1_bound_scan", "select observation_id, value from obs where source_id = 'ed_1' and ref_year >= 1996")
-sql_query("p1_projection", "select observation_id, indicator_id, flow_id, product_id, sector_id, region_id, field_id, level_id, producer_id, technology, regime, scope, geography_scope, redevance_included, calorific_basis, unit_id, period_type, period_start, period_end, ref_year, ytd_cutoff_month, data_status, source_id, source_ref, report_type, is_total, is_derived, aggregation_role, extraction_confidence, is_escalated, value, series_key, upsert_key from obs")
+_HERE = ("series_key, indicator_id as indicator, value, unit_id, calorific_basis, cast(null as varchar) as basis_confidence, period_type, period_start, period_end, ref_year, data_status, flow_id, product_id, sector_id, region_id, field_id, level_id, producer_id, technology, regime, scope, geography_scope, redevance_included, "
+         "is_derived, is_total, aggregation_role, cast(null as varchar) as source_type, cast(null as varchar) as confidence, cast(null as varchar) as extraction_method, extraction_confidence, is_escalated, report_type, cast(null as varchar) as version, cast(null as varchar) as template_version, source_id, cast(null as varchar) as source_page, source_ref, cast(null as varchar) as source_cell")
+
+
+@query(duck_sql(f"select {_HERE} from v_series"))
+def p1_projection(spark, sf_dir):
+    """The 38 columns that go with every value, as the interface shows them."""
+    return api.values(view(spark, sf_dir, "v_series"))
+
+
 sql_query("p4_membership", "select observation_id from obs where data_status not in ('provisional', 'estimated') and report_type in ('bilan', 'memento')")
 sql_query("p5_in_subquery", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 sql_query("p6_exists", "select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderpriority = '1-URGENT')")
