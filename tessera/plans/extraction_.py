@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import extraction as ex
 from ..operators import pages, tables, vocab
+from ..sources import words
+from ..sources.shared import remove, settled, shared_dir
 from .functions_ import _norm
 from .observations import duck_sql, run_sql, table, view
 from .registry import query, sql_query
@@ -343,9 +347,9 @@ select 'P-T' || cast(block + 1 as varchar) as ref, page, cast(block as int) as b
 from near where d <= 27 and block < 3 group by page, block, top, y, label, n, role""")
 def x11_page_segments(spark, sf_dir):
     """From words to the cells of stacked tables: tops by their numbers, columns by gaps, rows down to the first gap."""
-    words = run_sql(spark, sf_dir, f"with {_PAGES.format(t='string')} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
-    specs = words.select("page").distinct().join(F.broadcast(spark.createDataFrame(_SPECS, "ref string, anchor_label string, block int")))  # three tables a page
-    return pages.segment(words, specs)
+    found = run_sql(spark, sf_dir, f"with {_PAGES.format(t='string')} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
+    specs = found.select("page").distinct().join(F.broadcast(spark.createDataFrame(_SPECS, "ref string, anchor_label string, block int")))  # three tables a page
+    return pages.segment(found, specs)
 
 
 #: Editions of a template: a supplier's header words are moved by its own shift, some headers lack a column.
@@ -366,7 +370,18 @@ met as (select b.page, b.ord, b.column, b.x, f.cx from base b left join found f
 drift as (select page, list_sort(list(cx - x) filter (where cx is not null)) as d from met group by page)
 select m.page, m.column, m.ord, coalesce(m.cx, m.x + coalesce(d[len(d) // 2 + 1], 0))::double as x from met m join drift using (page)""")
 def x12_reanchored(spark, sf_dir):
-    words = run_sql(spark, sf_dir, f"with {_HEADERS} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
+    found = run_sql(spark, sf_dir, f"with {_HEADERS} select page, cast(y as double) as y, cast(x0 as double) as x0, cast(x1 as double) as x1, text from words")
     templates = spark.createDataFrame([("v1", *t) for t in _TEMPLATE], "template string, ord int, column string, x double")
     on = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), F.lit("v1").alias("template"), F.lit(100.0).alias("y"))
-    return pages.reanchored(words, templates, on, _HEADER, {"geo": ("geothermie", "geothermal")}, (90.0, 1.0))
+    return pages.reanchored(found, templates, on, _HEADER, {"geo": ("geothermie", "geothermal")}, (90.0, 1.0))
+
+
+@query(f"with w as ({_WORDS}) select page, round(y, 4) as y, x0, x1, text from w where page between 3 and 17 and y <= 60 and page <> 9")
+def s6_word_pages(spark, sf_dir):
+    """The words written as pages of files and read back: some pages, and a band of rows on them."""
+    path = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
+    words.write(run_sql(spark, sf_dir, _WORDS), path)
+    found = words.read(spark, path).where("page >= 3 and page <= 17 and y <= 60 and page <> 9")
+    out = settled(found.select(F.col("page").cast("long").alias("page"), F.round("y", 4).alias("y"), "x0", "x1", "text"))
+    remove(spark, path)
+    return out

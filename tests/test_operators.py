@@ -10,6 +10,7 @@ from tessera.operators import api, catalog, constraints, evaluate, pages, postin
 from tessera.operators import ingest as ingest_run
 from tessera.plans.observations import run_sql, view
 from tessera.sources import files
+from tessera.sources import words as word_pages
 from tessera.streaming import archive, ingest
 
 
@@ -428,3 +429,24 @@ def test_arabic_months_and_repeated_source_ids(spark):
     assert {r.x: r.p for r in rows} == names
     manifest = spark.createDataFrame([("Bilan", "2020", "", "fr", "p1", "abcdef123"), ("Bilan", "2020", "", "fr", "p2", "fedcba987"), ("Memento", "2020", "", "ar", "p3", "x")], "report_family string, period string, version string, language string, local_path string, file_id string")
     assert [r.source_id for r in files.with_source_ids(manifest, ["local_path"]).orderBy("local_path").collect()] == ["bilan_2020", "bilan_2020_fedcba", "memento_2020_ar"]
+
+
+def test_pages_that_nobody_wants_are_not_read(spark, tmp_path, monkeypatch):
+    rows = [(page, float(y), 10.0 * i, 10.0 * i + 5, f"w{page}\t{i} é") for page in range(1, 31) for y in (10, 20, 30) for i in range(4)]
+    words_ = spark.createDataFrame(rows, "page int, y double, x0 double, x1 double, text string")
+    path = str(tmp_path / "words")
+    word_pages.write(words_, path, files=3)
+    back = word_pages.read(spark, path)
+    assert sorted((r.page, r.y, r.x0, r.x1, r.text) for r in back.collect()) == sorted((p, y, a, b, t.replace("\t", " ")) for p, y, a, b, t in rows)
+    some = word_pages.read(spark, "file://" + path).where("page in (4, 29) and y > 10 and y <= 20")
+    assert {(r.page, r.y) for r in some.collect()} == {(4, 20.0), (29, 20.0)} and some.count() == 8
+    reader = word_pages.WordReader({"path": path, "partition_bytes": "100"})
+    reader.pages.append((word_pages.BOUNDS[word_pages.EqualTo], 7))
+    plan = reader.partitions()
+    assert [x[1] for p in plan for x in p.of] == [7]  # one page is planned
+    reader.bands.append((word_pages.BOUNDS[word_pages.GreaterThan], 25.0))
+    assert sum(b.num_rows for p in plan for b in reader.read(p)) == 4
+    whole = word_pages.WordReader({"path": path, "partition_bytes": "400"}).partitions()
+    assert len(whole) > 10 and sum(len(p.of) for p in whole) == 30
+    assert word_pages.file_system("s3a://bucket/x")[1] == "bucket/x" if hasattr(word_pages.pafs, "S3FileSystem") and os.environ.get("AWS_REGION") else True
+    assert word_pages.read(spark, path).where("page > 99").count() == 0
