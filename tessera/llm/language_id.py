@@ -6,7 +6,8 @@ that were never seen in that script are ruled out for it. The labels of a text's
 penalty for each switch, so that a stray word does not make a span.
 
 Texts whose best single language can't be beaten by any switch are settled by that bound alone; the others step through
-Viterbi together, one word of each at a time.
+Viterbi together, one word of each at a time. A text of over WINDOW bytes goes through by itself, window by window, with
+the same result: only the state before each window is kept, so memory doesn't grow with words times languages.
 
 Defined cases: a null text and one without letters are `und` with score 0 and no spans; a text whose letters are in no
 learned script is judged by all languages; whole texts are labelled, the longest too; any number of languages can be
@@ -30,6 +31,8 @@ PENALTY = 12.0
 RULED_OUT = -40.0
 #: Words that are scored at once, to bound memory.
 WORDS = 1 << 17
+#: Bytes of a text above which it is labelled window by window, and of a window.
+WINDOW = 1 << 20
 #: Training texts for each language at most about this many, and of at most so many characters.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 #: Ranges of code points of scripts. A letter outside all of them is of the script "other"; ASCII and combining accents are Latin.
@@ -207,6 +210,84 @@ class Model:
             now = out[first[:a] + t]
             out[first[:a] + t - 1] = came[at[t] : at[t + 1]][np.arange(a), now]
 
+    def _first_labels(self, score: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Viterbi steps over a window of words from the state `best` before it: where each state came from, and the state behind."""
+        came = np.zeros(score.shape, np.min_scalar_type(score.shape[1]))
+        own = np.arange(score.shape[1])
+        for t in range(len(score)):
+            top = int(best.argmax())
+            leap = best[top] - self.penalty
+            came[t] = np.where(leap > best, top, own)
+            best = np.maximum(best, leap) + score[t]
+        return came, best
+
+    def _window(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, bool]:
+        """Of a window of a text: words' scores, their first and last code points and bytes, its code points, and whether it has a letter."""
+        text = data.decode("utf-8", "replace")
+        low = text.lower()
+        low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        raw = np.frombuffer(low.encode("utf-8", "replace") + b" ", np.uint8)
+        letter, starts, ends = _words(raw)
+        score = self.scores(raw, letter, starts, ends) if len(starts) else np.zeros((0, len(self.languages)), np.float32)
+        point = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)
+        return score, point[starts] - 1, point[ends - 1], ends - starts, len(text), any(map(str.isalpha, text))
+
+    def identify_long(self, data: bytes, window: int = WINDOW) -> tuple[str, float, list[tuple[int, int, str]]]:
+        """What `identify` gives for one text, in memory for a window of it: the text is cut at white space, and the state of the
+        search is kept for each window, from which its steps are taken once more on the way back."""
+        cuts, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + window)
+            while end < len(data) and data[end] not in b" \t\n\v\f\r":
+                end += 1
+            cuts.append((at, end))
+            at = end
+        count, total, points, lettered = len(self.languages), 0.0, [], False
+        for a, b in cuts:
+            found = self._window(data[a:b])
+            total = total + found[0].sum(axis=0, dtype=np.float64)
+            points.append(found[4])
+            lettered = lettered or found[5]
+        if not count or not lettered or not np.any(total):
+            return ("und", 0.0, [])
+        base = np.concatenate(([0], np.cumsum(points)))
+        constant = int(np.argmax(total))
+        run, least, worst = np.zeros(count), np.zeros(count), 0.0
+        for a, b in cuts:  # the largest sum that any stretch of words gains in another language
+            score = self._window(data[a:b])[0]
+            if len(score):
+                sums = run + np.cumsum(score - score[:, constant : constant + 1], axis=0, dtype=np.float64)
+                before = np.minimum.accumulate(np.concatenate((run[None, :], sums[:-1])), axis=0)
+                worst = max(worst, float((sums - np.minimum(before, least)).max()))
+                least, run = np.minimum(least, np.minimum(before[-1], sums[-1])), sums[-1]
+        labels: list[np.ndarray] = []
+        if count > 1 and worst > self.penalty / 2:
+            best, states = np.zeros(count), []
+            for a, b in cuts:
+                states.append(best)
+                best = self._first_labels(self._window(data[a:b])[0], best)[1]
+            now = int(best.argmax())
+            for (a, b), state in zip(reversed(cuts), reversed(states), strict=True):
+                came = self._first_labels(self._window(data[a:b])[0], state)[0]
+                own = np.zeros(len(came), np.min_scalar_type(count))
+                for t in range(len(came) - 1, -1, -1):
+                    own[t] = now
+                    now = int(came[t, now])
+                labels.insert(0, own)
+        spans, weight = [], np.zeros(count)
+        for k, (a, b) in enumerate(cuts):
+            _, first, last, size, *_ = self._window(data[a:b])
+            own = labels[k] if labels else np.full(len(first), constant)
+            weight += np.bincount(own, weights=size, minlength=count)
+            head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+            for i, j in zip(head.tolist(), [*head[1:].tolist(), len(own)], strict=False):
+                span = (int(first[i] + base[k]), int(last[j - 1] + base[k]), self.languages[int(own[i])])
+                if spans and spans[-1][2] == span[2]:
+                    span = (spans.pop()[0], span[1], span[2])
+                spans.append(span)
+        k = int(weight.argmax())
+        return (self.languages[k], float(weight[k] / weight.sum()), spans) if weight.sum() else ("und", 0.0, [])
+
     def identify(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, share of the letters in it, spans (start, end, language) in code points) of each text."""
         low = [t.lower() for t in texts]
@@ -261,7 +342,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(texts, batch):
-        found = sent.value.identify([x.decode("utf-8", "replace") for x in texts])
+        model = sent.value
+        short = iter(model.identify([x.decode("utf-8", "replace") for x in texts if len(x) <= WINDOW]))
+        found = [next(short) if len(x) <= WINDOW else model.identify_long(x) for x in texts]
         spans = pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found], shape)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), spans], ["id", "lang", "score", "spans"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_quality, bpe, chat_tree, context_mixing, language_id, merkle, periodic_runs, quality_rules, secret_scan, simhash_dedup, spaced_seeds, url_reputation, warc
-from .common import settled, shared_dir
+from .common import remove, settled, shared_dir
 from .oracles import ORACLES, chat_sql, reputation_sql
 
 
@@ -87,8 +87,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     revisits = rows(warc.read(spark, path, payload=False), "revisit", F.col("declared_length"), F.substring_index("payload_digest", ":", -1))
     out = responses.unionByName(revisits)
     out = settled(out)  # a few columns a page, so that the archive need not stay
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, path)
     return out
 
 

@@ -102,10 +102,23 @@ def write(recs: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compre
     recs.select(text.alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(path)
 
 
+#: File systems that go by another name in Spark than in Arrow.
+SAME = {"s3a": "s3", "s3n": "s3"}
+
+
+def _uri(path: str) -> str | None:
+    """The path as Arrow names it; None for a local one."""
+    scheme, rest = path.split(":", 1) if ":/" in path else ("", path)
+    return None if scheme in ("", "file") else f"{SAME.get(scheme, scheme)}:{rest}"
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[5:]
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    """The file system of a path as Spark writes it, and the path in it; an unknown scheme is an error, never a local path."""
+    uri = _uri(path)
+    if uri is None:
+        rest = path.removeprefix("file:")
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/") if rest.startswith("/") else rest
+    return pafs.FileSystem.from_uri(uri)
 
 
 @dataclass

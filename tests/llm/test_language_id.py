@@ -128,3 +128,33 @@ def test_odd_rows(spark, model):
     assert L.identify(empty(spark), model).count() == 0
     nothing = L.train(empty(spark))
     assert {r.lang for r in L.identify(odd(spark), nothing).collect()} == {"und"}
+
+
+def test_long_texts_in_windows_give_what_they_give_whole(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = {"en": "the of and house water with from this that language".split(), "de": "der die und haus wasser mit von dieses sprache nicht".split(), "ru": "это дом вода язык который было".split()}
+    model = L.Model([(" ".join(rng.choices(own, k=60)), lang) for lang, own in words.items() for _ in range(20)])
+    texts = ["", "123 456", "\u0301 \u0302", "the house"]
+    for _ in range(25):
+        parts = [" ".join(rng.choices(words[rng.choice(sorted(words))], k=rng.randrange(1, 40))) for _ in range(rng.randrange(1, 6))]
+        texts.append(rng.choice((" ", ". ", "\n")).join(parts))
+    whole = model.identify(texts)
+    for window in (7, 50, 1000):
+        for text, want in zip(texts, whole, strict=True):
+            got = model.identify_long(text.encode(), window)
+            assert (got[0], got[2]) == (want[0], want[2]) and abs(got[1] - want[1]) < 1e-9, (window, text)
+
+
+def test_memory_of_a_long_text_does_not_grow_with_languages():
+    import tracemalloc
+
+    name = lambda k: chr(97 + k // 8) + chr(97 + k % 8)
+    model = L.Model([(f"wort{name(k)} haus{name(k)} " * 20, f"l{k:02d}") for k in range(60)])
+    data = b"wortah hausah wortah hausah " * 70_000  # 2 MB
+    tracemalloc.start()
+    found = model.identify_long(data, 1 << 17)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == "l07" and most < 100 << 20

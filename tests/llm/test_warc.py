@@ -137,3 +137,11 @@ def test_empty_tables_and_query(spark, sf_dir, tmp_path):
     rows = queries.op8_warc(spark, sf_dir).collect()
     html = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert len(rows) == len(html) and all((r.payload_bytes, r.payload_digest) == (len(html[r.page_id]), digest(html[r.page_id])) for r in rows)
+
+
+def test_paths_of_other_schemes_are_never_local():
+    assert warc._uri("s3a://bucket/a/b") == "s3://bucket/a/b" and warc._uri("s3n://b/x") == "s3://b/x" and warc._uri("hdfs://host/a") == "hdfs://host/a"
+    assert warc._uri("/tmp/x") is None and warc._uri("file:/tmp/x") is None and warc._uri("file:///tmp/x") is None
+    assert warc._open("file:/tmp/x")[1] == warc._open("file:///tmp/x")[1] == warc._open("/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(Exception):
+        warc._open("dbfs:/x")
