@@ -7,19 +7,22 @@ so a substituted token at an ignored position does not hide the hit. Hits of the
 themselves, byte by byte: along the hit's diagonal the region with the most matches is taken in which there are at least
 three matches to a mismatch, and it counts as an overlap if it has `least` matching tokens (for items shorter than
 `least / 0.8` tokens: four fifths of the item's tokens, all others counting as mismatches). Some mask of MASKS lies in
-every region of 13 matches or more; short items have masks of their own, one for every way to miss a fifth.
+every region of 13 matches or more; short items have masks of their own, one for every way to miss a fifth. Items of fewer
+than LEAST_ITEM tokens say too little to tell a leak from ordinary text ("Yes" would match every text with that word):
+they never overlap, unless `least_item` says otherwise.
 
 Defined cases: null or tokenless texts and items never overlap; repeated document rows give repeated result rows, repeated
 items count once each; a pair of document and item is reported once, with its longest overlap (the first in the text on
 ties); whole texts are searched, hits of however many items being expanded a bounded number at a time; other columns are
 ignored whatever their names; empty tables give no rows. The benchmark is taken in blocks of a bounded size, each
-broadcast in turn, at the cost of one more scan of the documents.
+broadcast in turn, at the cost of one more scan of the documents; a worker builds a block's index once.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+import uuid
 from functools import cache, reduce
 from itertools import combinations
 
@@ -32,8 +35,8 @@ from .common import map_texts, settled, small_or_plain
 
 #: No region of 13 matches or more, three to a mismatch, avoids all of them (the tests search through all arrangements).
 MASKS = ("111111", "1110111", "1111011", "11011011", "1111101", "11111001", "11110101", "11110011", "1011111")
-#: Characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 16_000_000
+#: Characters of benchmark text in one broadcast block (its index takes about 30 bytes for each), and tokens of an item at least.
+BLOCK_CHARS, LEAST_ITEM = 8_000_000, 5
 #: Bytes of text that are hashed at once, and hits or tokens on their diagonals that are looked at once, to bound memory.
 CHUNK, HITS = 1 << 20, 1 << 20
 
@@ -106,19 +109,24 @@ def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
-def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the masked window at each position."""
+def seeds(tokens: np.ndarray, mask: str, terms: list[np.ndarray] | None = None) -> np.ndarray:
+    """The hash of the masked window at each position; `terms`: the tokens times the constant of each of the first slots."""
     n = len(tokens) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, len(mask) + (mask.count("1") << 8), np.uint64)
     for k, c in enumerate(mask):
         if c == "1":
-            out += tokens[k : k + n] * _SLOT[k % 16] ^ tokens[k : k + n] >> np.uint64(29)
-            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += terms[k][k : k + n] if terms and k < len(terms) else tokens[k : k + n] * _SLOT[k % 16]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
     return out ^ out >> np.uint64(31)
 
 
+def slot_terms(tokens: np.ndarray, masks: list[str]) -> list[np.ndarray]:
+    return [tokens * x for x in _SLOT[: min(8, max(map(len, masks), default=0))]]
+
+
 def best_region(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, end, matches) of the region with the most matches and at least three to a mismatch; the first on ties."""
     run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
@@ -148,42 +156,48 @@ def short_masks(n: int, misses: int) -> list[tuple[str, int]]:
 
 
 class Index:
-    """Seeds of one block of benchmark items."""
+    """Seeds of one block of benchmark items: for each mask the hashes in order, with the item and the place of each."""
 
-    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...], least: int):
+    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...], least: int, least_item: int = 1):
         self.ids = [i for i, _ in items]
         texts = [folded(t) for _, t in items]
-        found = [token_hashes(t) for t in texts]
-        self.tokens = [f[0] for f in found]
-        self.words = [[t[a:b] for a, b in zip(f[1].tolist(), f[2].tolist(), strict=True)] for t, f in zip(texts, found, strict=True)]
-        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
-        self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([np.zeros(0, np.uint64), *self.tokens])
-        self.need = np.array([least if 0.8 * len(t) >= least else math.ceil(0.8 * len(t)) for t in self.tokens], np.int64)
-        rows_of: dict[str, list[tuple[int, int, int]]] = {mask: [] for mask in masks}
-        for i, t in enumerate(self.tokens):
-            if 0.8 * len(t) >= least:
-                for mask in masks:
-                    rows_of[mask] += [(h, i, p) for p, h in enumerate(seeds(t, mask).tolist())]
-            elif len(t):
-                for mask, p in short_masks(len(t), len(t) - int(self.need[i])):
-                    rows_of.setdefault(mask, []).append((int(seeds(t[p : p + len(mask)], mask)[0]), i, p))
-        self.masks = list(rows_of)
-        self.tables = []
-        for rows in rows_of.values():
-            keys = np.array([r[0] for r in rows], np.uint64)
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((keys[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order], seen))
+        self.data = b"\n".join(texts)
+        self.flat, self.starts, self.stops = token_hashes(self.data)
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+        bounds = np.concatenate(([0], np.searchsorted(self.starts, ends)))
+        self.sizes, self.offsets = np.diff(bounds), bounds[:-1]
+        self.need = np.where(0.8 * self.sizes >= least, least, np.ceil(0.8 * self.sizes - 1e-9).astype(np.int64))
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), self.sizes)
+        place = (np.arange(len(self.flat)) - self.offsets[owner]).astype(np.int32)
+        rows_of: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        fit = self.sizes >= least_item
+        long = (0.8 * self.sizes >= least) & fit
+        terms = slot_terms(self.flat, list(masks))
+        for mask in masks:
+            found = seeds(self.flat, mask, terms)
+            at = np.flatnonzero(long[owner[: len(found)]] & (place[: len(found)] + len(mask) <= self.sizes[owner[: len(found)]]))
+            rows_of[mask] = [(found[at], owner[at], place[at])]
+        for n in np.unique(self.sizes[~long & fit & (self.sizes > 0)]).tolist():
+            own = np.flatnonzero((self.sizes == n) & ~long).astype(np.int32)
+            whole = self.flat[self.offsets[own][:, None] + np.arange(n)]
+            for mask, p in short_masks(n, n - int(self.need[own[0]])):
+                keys = _row_seeds(whole[:, p : p + len(mask)], mask)
+                rows_of.setdefault(mask, []).append((keys, own, np.full(len(own), p, np.int32)))
+        self.masks, self.tables = [], []
+        for mask, rows in rows_of.items():
+            keys, item, at = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            if len(keys):
+                order = np.argsort(keys, kind="stable")
+                seen = np.zeros(1 << 20, bool)
+                seen[(keys >> np.uint64(44)).astype(np.int64)] = True
+                self.masks.append(mask)
+                self.tables.append((keys[order], item[order], at[order], seen))
 
     def _diagonals(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The distinct (text, item, diagonal) of all hits; a bounded number of hits at a time."""
-        found = []
+        found, terms = [], slot_terms(tokens, self.masks)
         for mask, (keys, item, place, seen) in zip(self.masks, self.tables, strict=True):
-            if not len(keys):
-                continue
-            got = seeds(tokens, mask)
+            got = seeds(tokens, mask, terms)
             at = np.flatnonzero(seen[(got >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, got[at]), np.searchsorted(keys, got[at], side="right")
             many = hi - lo
@@ -211,11 +225,11 @@ class Index:
         """(text, item, first token in the text, first token in the item, tokens, matches) of texts end to end in `data`."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for text, i, diagonal, first, last in self._matching(tokens, bounds, self._diagonals(tokens, bounds)).tolist():
-            lo, words = int(bounds[text]), self.words[i]
-            equal = self.tokens[i][first:last] == tokens[diagonal + first : diagonal + last]
+            lo, own = int(bounds[text]), int(self.offsets[i])
+            equal = self.flat[own + first : own + last] == tokens[diagonal + first : diagonal + last]
             for k in np.flatnonzero(equal).tolist():
-                t = diagonal + first + k
-                equal[k] = data[starts[t] : ends[t]] == words[first + k]
+                t, u = diagonal + first + k, own + first + k
+                equal[k] = data[starts[t] : ends[t]] == self.data[self.starts[u] : self.stops[u]]
             if np.count_nonzero(equal) < self.need[i]:
                 continue
             start, end, matches = best_region(equal)
@@ -227,6 +241,23 @@ class Index:
         return [(text, i, -b[1], b[2], b[3], b[0]) for (text, i), b in sorted(best.items())]
 
 
+def _row_seeds(rows: np.ndarray, mask: str) -> np.ndarray:
+    """The seed of each row, all of the mask's length."""
+    flat = np.ascontiguousarray(rows).ravel()
+    return seeds(flat, mask)[:: rows.shape[1]]
+
+
+#: The index that this worker built last, by the name of its block.
+_BUILT: dict[str, Index] = {}
+
+
+def _index(name: str, items: list[tuple[int, bytes]], *how) -> Index:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(items, *how)
+    return _BUILT[name]
+
+
 def _runs(many: np.ndarray) -> list[slice]:
     """Consecutive slices of about HITS in sum, one element at least."""
     if not len(many):
@@ -235,23 +266,20 @@ def _runs(many: np.ndarray) -> list[slice]:
     return [slice(a, b) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(many)], strict=True)]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least: int = 13, block_chars: int = BLOCK_CHARS, least_item: int = LEAST_ITEM) -> DataFrame:
     """Rows (id, item, text_start, item_start, n_tokens, n_matches), in tokens: overlaps of documents with items."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.lower(F.col(item_text)).alias("t")).where("t is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * chars / block_chars))
+    blocks, stamp = max(1, math.ceil(chars / block_chars)), uuid.uuid4().hex
     kind, item_kind = docs.select(id_col).dtypes[0][1], items.dtypes[0][1]
 
     def one(block: int) -> DataFrame:
         mine = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in mine.collect()])  # of a block's size
-        held: list[Index] = []
 
         def run(texts, batch):
-            if not held:
-                held.append(Index(sent.value, masks, least))
-            index = held[0]
+            index = _index(f"{stamp}-{block}", sent.value, masks, least, least_item)
             low = [folded(x) for x in texts]
             data = b"\n".join(low)
             tokens, starts, stops = token_hashes(data)
@@ -265,7 +293,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             names = pa.array([index.ids[r[1]] for r in rows], pa.int64() if item_kind in ("bigint", "long") else None)
             return pa.RecordBatch.from_arrays([ids, names, *cols], ["id", "item", "text_start", "item_start", "n_tokens", "n_matches"])
 
-        return map_texts(docs, [id_col], text_col, run, f"id {kind}, item {item_kind}, text_start long, item_start long, n_tokens long, n_matches long")
+        return map_texts(docs, [id_col], text_col, run, f"id {kind}, item {item_kind}, text_start long, item_start long, n_tokens long, n_matches long", most_bytes=2 << 20)
 
     return reduce(DataFrame.unionByName, map(one, range(blocks)))
 

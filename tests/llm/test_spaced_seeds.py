@@ -52,8 +52,10 @@ def test_short_items_repeated_words_and_blocks(spark):
     items = bench(spark, "alpha beta", None, "", "same same same same same same same same same same", ITEM, ITEM)
     texts = ["x alpha beta y", "alpha x beta", "same " * 500, ITEM, None, ""]
     want = [(0, 0), (2, 3), (3, 4), (3, 5)]
-    assert pairs(S.overlaps(docs(spark, *texts), items)) == want
-    assert pairs(S.overlaps(docs(spark, *texts), items, block_chars=120)) == want
+    assert pairs(S.overlaps(docs(spark, *texts), items, least_item=1)) == want
+    assert pairs(S.overlaps(docs(spark, *texts), items, block_chars=60, least_item=1)) == want
+    assert pairs(S.overlaps(docs(spark, *texts), items)) == [p for p in want if p[1]]  # two tokens say too little
+    assert pairs(S.overlaps(docs(spark, "Yes, of course", ITEM), bench(spark, "Yes", ITEM))) == [(1, 1)]
 
 
 def test_odd_rows(spark):
@@ -106,7 +108,7 @@ def test_against_all_placements(spark):
     items.append([f"v{i}" for i in range(34)])
     texts.append([f"v{i}" if not 12 <= i < 16 and i not in (20, 27) else "z" for i in range(34)])
     want = sorted((d, i, m) for d, t in enumerate(texts) for i, x in enumerate(items) if (m := brute_overlap(x, t)))
-    found = S.overlaps(docs(spark, *map(" ".join, texts)), bench(spark, *map(" ".join, items)))
+    found = S.overlaps(docs(spark, *map(" ".join, texts)), bench(spark, *map(" ".join, items)), least_item=1)
     assert sorted((r.id, r.item, r.n_matches) for r in found.collect()) == want and len(want) > 40
 
 
@@ -158,3 +160,20 @@ def test_a_phrase_that_all_items_share(monkeypatch):
     assert [r[:2] for r in whole] == [(1, 1234)]
     monkeypatch.setattr(S, "HITS", 5000)
     assert index.overlaps(data, tokens, starts, ends, bounds) == whole
+
+
+def test_an_index_of_a_large_block_is_built_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(50_000)}" for _ in range(rng.choice((8, 40)))).encode()) for i in range(16_000)]
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    index = S.Index(items, S.MASKS, 13, 5)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert chars > 2_000_000 and held < 40 * chars
+    data = items[77][1] + b"\n" + items[8000][1]
+    tokens, starts, ends = S.token_hashes(data)
+    found = index.overlaps(data, tokens, starts, ends, np.array([0, len(items[77][1].split()), len(tokens)]))
+    assert {r[:2] for r in found} == {(0, 77), (1, 8000)}
