@@ -31,7 +31,7 @@ from .common import map_texts
 NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Entries of the per-worker memory of units; it is emptied when full, which changes no result.
-MEMORY = 1 << 18
+MEMORY = 1 << 17
 #: Ids that are decoded at once, and bytes of text that are encoded at once, to bound memory.
 DECODE_IDS, ENCODE_BYTES = 1 << 19, 2 << 20
 #: Marks a unit at the start of a text; no text holds this code point.

@@ -24,7 +24,6 @@ import re
 from collections import deque
 from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -282,8 +281,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", least: float = LEAST) -> DataFrame:
     """The documents with every secret replaced by `mark`; a null text stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: redacted(x, mark, least), na_action="ignore")
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else redacted(x, mark, least) for x in texts.to_pylist()], pa.string())
 
     return docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
