@@ -26,6 +26,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with some columns that are computed once a row: a row goes through a generator, behind which the optimizer
+    can't put their expressions in place of their names, once for each use and once for each word in a filter."""
+    made = F.struct(*[v.alias(k) for k, v in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("__once")).select(*df.columns, "__once.*")
+
+
 def page_words(words: DataFrame) -> DataFrame:
     """(page, words): each page's words(y, x0, x1, text, label, number) in order."""
     word = F.struct("y", "x0", "x1", "text", norm_label(F.col("text")).alias("label"), looks_numeric(F.col("text")).alias("number"))
@@ -93,18 +100,19 @@ def segment(words: DataFrame, specs: DataFrame) -> DataFrame:
     `block` counts the stacked tables of the page from 0. A block runs from its anchor row to the next block or the first
     gap; words left of its first column make the label, others the cell of the nearest column, the first on ties.
     """
-    found = page_words(words).join(specs, "page").withColumn("tops", block_tops(F.col("words"), norm_label(F.col("anchor_label"))))
-    found = found.withColumn("top", F.get("tops", F.col("block"))).where("top is not null")
-    found = found.withColumn("spots", column_spots(F.col("words"), F.col("top"))).where(F.size("spots") >= LEAST_COLUMNS)
+    found = page_words(words).join(once(specs, anchor=norm_label(F.col("anchor_label"))), "page")
+    found = once(found, tops=block_tops(F.col("words"), F.col("anchor")))
+    found = once(found.withColumn("top", F.get("tops", F.col("block"))).where("top is not null"), spots=column_spots(F.col("words"), F.col("top")))
+    found = found.where(F.size("spots") >= LEAST_COLUMNS)
     place = lambda *roles: F.coalesce(*[F.get(F.filter("spots", _is("role", r)), F.lit(0))["x"] for r in roles])
     below = F.filter("tops", lambda t: t > F.col("top") + NEXT_BLOCK)
-    found = found.withColumns({"real_x": place("real"), "columns": F.get("spots", F.lit(0))["of"], "bottom": F.coalesce(F.array_min(below) - ABOVE_BLOCK, F.lit(1e9))})
-    found = found.withColumn("last_x", F.coalesce(place("tcam", "var", "c"), F.col("real_x") + NO_COLUMN) + BEHIND_CELLS)
+    found = once(found, real_x=place("real"), columns=F.get("spots", F.lit(0))["of"], bottom=F.coalesce(F.array_min(below) - ABOVE_BLOCK, F.lit(1e9)))
+    found = once(found, last_x=F.coalesce(place("tcam", "var", "c"), F.col("real_x") + NO_COLUMN) + BEHIND_CELLS)
     rows = found.withColumn("row_y", F.explode(row_places(F.col("words"), F.col("top"), F.col("bottom"), F.col("real_x"))))
     near = lambda band: F.filter("words", lambda w: F.abs(w["y"] - F.col("row_y")) <= band)
     by_x = lambda ws: F.array_sort(F.transform(ws, lambda w: F.struct(w["x0"], w["y"], w["text"], w["x1"])))
     left = F.filter(near(LABEL_BAND), lambda w: (w["x0"] < F.col("real_x") - BEFORE_LABEL) & ~w["number"])
-    rows = rows.withColumn("label", F.trim(F.array_join(F.transform(by_x(left), lambda w: w["text"]), " "))).where("label <> ''")
+    rows = once(rows, label=F.trim(F.array_join(F.transform(by_x(left), lambda w: w["text"]), " "))).where("label <> ''")
     centre = lambda w: (w["x0"] + w["x1"]) / 2
     inside = F.filter(near(CELL_BAND), lambda w: (centre(w) >= F.col("real_x") - BEFORE_CELLS) & (centre(w) <= F.col("last_x")))
 
@@ -113,7 +121,7 @@ def segment(words: DataFrame, specs: DataFrame) -> DataFrame:
         return F.when(best["d"] <= CELL_TOLERANCE, best["role"])
 
     placed = F.transform(by_x(inside), lambda w: F.struct(w["text"].alias("text"), column_of(w).alias("role")))
-    rows = rows.withColumn("placed", placed).withColumn("role", F.explode(F.array_distinct(F.filter(F.transform("placed", lambda p: p["role"]), lambda r: r.isNotNull()))))
+    rows = once(rows, placed=placed).withColumn("role", F.explode(F.array_distinct(F.filter(F.transform("placed", lambda p: p["role"]), lambda r: r.isNotNull()))))
     token = F.array_join(F.transform(F.filter("placed", lambda p: p["role"] == F.col("role")), lambda p: p["text"]), "")
     return rows.select("ref", "page", "block", "top", "row_y", "label", "columns", "role", token.alias("token"))
 
