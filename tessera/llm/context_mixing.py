@@ -11,9 +11,10 @@ like results, which moves too. The text's probability is the product over its bi
 What is learned: the count of every word over all training documents, found by one shuffle and joined back to every block
 of texts; it grows with the corpus. The predictors' tables are counted from those word counts (each word brings its bits
 as often as it occurs), in SLOTS hashed slots a predictor, so that they can be sent to every task whatever the corpus's
-size. Weights and table start from values fitted on at most FIT_DOCS training documents (none longer than FIT_CHARS), each
-bit's own occurrence left out of the counts; they start anew after each STRETCH bits of a text, so that stretches of many
-texts go through together.
+size. The predictors' first weights are fitted to every word of all training documents, as often as it occurs, each bit's
+own occurrence left out of the counts: ROUNDS steps of Newton's method, whose sums the tasks bring together. What a
+prediction of the next word weighs at first is a constant, and so is the table. Weights and table start anew after each
+STRETCH bits of a text, so that stretches of many texts go through together.
 
 Texts are read once, into blocks: the numbers of their words in a dictionary of the block. Long texts are taken apart at
 white space and their parts' scores added up; words over LONG bytes are spelled in parts. Memory goes with the block, or
@@ -28,11 +29,11 @@ other columns are ignored, whatever their names; no rows give no rows.
 from __future__ import annotations
 
 import heapq
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,23 +42,23 @@ from .common import pieces, settled
 from .simhash_dedup import LOWER, _parts
 
 #: Bytes of text in a block, of those whose bits are laid out together, and bytes above which a word is spelled in parts.
-BLOCK, GROUP, LONG = 4 << 20, 1 << 20, 2048
+BLOCK, GROUP, LONG = 8 << 20, 1 << 20, 2048
 #: Bytes of words that are spelled together, about.
-SOME = 1 << 18
+SOME = 1 << 16
 #: Contexts: so many last bytes of the word, -1 for all of it; slots of each one's table.
 ORDERS, SLOTS = (1, 3, 5, -1), 1 << 20
 #: Bits after which weights start anew, those with one set of weights after which it moves, and stretches side by side.
-STRETCH, TOGETHER, SIDE_BY_SIDE = 2048, 32, 2048
+STRETCH, TOGETHER, SIDE_BY_SIDE = 2048, 32, 1024
 #: Inputs of the mixer, in 64 bits: the predictors, none, the word predicted to come, a constant; sets of weights: 3 states by 3 places.
 INPUTS, SAID, STATES, PLACES = 8, 5, 3, 3
 #: Input units a logit, and the greatest input; bits are counted with DELTA more.
 UNIT, MOST, DELTA = 16.0, 127, 0.05
-#: What a prediction of the next word counts, in input units; words up to so many bytes are predicted.
-FORETOLD, FORETOLD_BYTES = 32, 64
+#: What a prediction of the next word counts, in input units; words up to so many bytes are predicted; its first weights by state, times UNIT.
+FORETOLD, FORETOLD_BYTES, FIRST = 32, 64, (0.25, 0.5, 1.5)
 #: Cells of the refining table by state; steps of weights and cells.
 CELLS, WEIGHT_STEP, CELL_STEP = 24, 0.00002, 0.01
-#: Bounds of the documents from which the first weights are fitted, and the steps of the rounds over them.
-FIT_DOCS, FIT_CHARS, FIT_STEPS = 200, 20_000, (0.0001,) * 6 + (0.00004,) * 6
+#: Steps of the fit of the first weights, and how much of the mean curvature holds them where they were.
+ROUNDS, HOLD = 1, 0.01
 #: Words whose bits one task counts, about.
 WORDS_A_TASK = 400_000
 END, CLOSE = b"\n", b" "
@@ -132,14 +133,14 @@ def spell(words: list[bytes], code: tuple[np.ndarray, np.ndarray, np.ndarray]) -
 
 def count_bits(words: list[bytes], counts: np.ndarray, code) -> np.ndarray:
     """Zeros and ones by predictor and slot, shape (predictors, 2, SLOTS), of closed words that come so often."""
-    out = np.zeros((len(ORDERS), 2, SLOTS))
+    out = np.zeros((len(ORDERS), 2 * SLOTS))
     for part in portions(lengths(words), SOME):
         many, bit, _, slots = spell(words[part], code)
         weight = np.repeat(counts[part].astype(np.float64), many)
+        side = bit.astype(np.int32) * np.int32(SLOTS)
         for k, own in enumerate(slots):
-            for y in (0, 1):
-                out[k, y] += np.bincount(own, np.where(bit == y, weight, 0), SLOTS)
-    return out
+            np.add.at(out[k], own + side, weight)
+    return out.reshape(len(ORDERS), 2, SLOTS)
 
 
 def logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -150,7 +151,8 @@ def logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Spelled:
     """The bits of a list of words, end to end, and their predictors' inputs in columns, with room for others.
 
-    Column SAID has the bit itself and twice its place, so that one look in memory gives all there is to a bit.
+    Column SAID has the bit itself and twice its place, and of a bit in a text eight times its state (0 without a prediction,
+    1, or 2 if the last one came true), so that one look in memory gives all there is to a bit.
     """
 
     first: np.ndarray  # of each word its first bit; one more than words
@@ -163,10 +165,11 @@ def spelled(words: list[bytes], code, look) -> Spelled:
     many, bit, inputs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros((0, INPUTS), np.int8)]
     for part in portions(lengths(words), SOME):
         n, b, where, slots = spell(words[part], code)
-        packed = (b | where << 1).astype(np.uint64) << np.uint64(8 * SAID)
+        own = np.zeros((len(b), INPUTS), np.int8)
         for k, x in enumerate(slots):
-            packed |= look(k, x, b).view(np.uint8).astype(np.uint64) << np.uint64(8 * k)
-        many, bit, inputs = [*many, n], [*bit, b], [*inputs, packed.view(np.int8).reshape(-1, INPUTS)]
+            own[:, k] = look(k, x, b)
+        own[:, SAID], own[:, INPUTS - 1] = b | where << 1, int(UNIT)
+        many, bit, inputs = [*many, n], [*bit, b], [*inputs, own]
     return Spelled(np.concatenate(([0], np.cumsum(np.concatenate(many)))), np.concatenate(bit), np.concatenate(inputs))
 
 
@@ -174,9 +177,7 @@ def spelled(words: list[bytes], code, look) -> Spelled:
 class Bits:
     """The bits of texts, end to end, in the order of their words."""
 
-    source: np.ndarray  # of each bit that of its word
-    foretold: np.ndarray  # int8: the bit predicted by the last appearance of the word before, signed, or zero
-    state: np.ndarray  # int8: 0 without such a prediction, 1, or 2 if the last one came true
+    inputs: np.ndarray  # uint64: of each bit those of its word, with the prediction and its state
     first: np.ndarray  # of each text its first bit; one more than texts
 
 
@@ -185,8 +186,9 @@ def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spe
     n = len(tokens)
     length = np.diff(own.first)[tokens]
     ends = np.concatenate(([0], np.cumsum(length)))
-    depth = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), length)
-    source = np.repeat(own.first[tokens].astype(np.int32), length) + depth
+    source = np.repeat((own.first[tokens] - ends[:-1]).astype(np.int32), length)
+    source += np.arange(ends[-1], dtype=np.int32)
+    inputs = own.inputs.view(np.uint64).ravel().take(source)
     starts = bounds[:-1][np.diff(bounds) > 0]
     before = np.concatenate(([len(words)], tokens[:-1]))[:n]
     before[starts] = len(words)
@@ -197,7 +199,7 @@ def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spe
     guess[order[again + 1]] = tokens[order[again]]
     guess[(guess >= 0) & (lengths(words) > FORETOLD_BYTES)[np.maximum(guess, 0)]] = -1
     right = guess == tokens
-    shared = np.where(right, length, -1).astype(np.int32)  # bits up to the first that is foretold wrongly
+    shared = length - 1  # bits before the last that is foretold; all of a word that comes true are foretold rightly
     rest, k = np.flatnonzero((guess >= 0) & ~right), 0
     while len(rest):
         shared[rest] = k
@@ -205,22 +207,28 @@ def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spe
         k += 1
     came = np.concatenate(([False], right[:-1]))[:n]
     came[starts] = False
-    far = np.repeat(shared, length)
-    foretold = (depth < far).view(np.int8) - (depth == far).view(np.int8)
-    foretold *= (2 * FORETOLD * own.bit[source].view(np.int8) - FORETOLD).astype(np.int8)
-    state = (depth <= far).view(np.int8) * np.repeat(1 + came.view(np.int8), length)
-    return Bits(source, foretold, state, ends[bounds])
+    told = np.flatnonzero(guess >= 0)
+    many = shared[told] + 1
+    at = np.repeat(ends[told] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    cells = inputs.view(np.int8).reshape(-1, INPUTS)
+    said = cells[at, SAID]
+    foretold = (2 * FORETOLD * (said & 1) - FORETOLD).astype(np.int8)
+    foretold[(np.cumsum(many) - 1)[~right[told]]] *= -1
+    cells[at, INPUTS - 2] = foretold
+    cells[at, SAID] = said | np.repeat(8 * (1 + came[told].astype(np.int8)), many)
+    return Bits(inputs, ends[bounds])
 
 
 def start_weights() -> tuple[np.ndarray, np.ndarray]:
     weights = np.full((STATES * PLACES, INPUTS), 0.25 / UNIT, np.float32)
     weights[:, -1] = 0
+    weights[:, INPUTS - 2] = np.repeat(FIRST, PLACES) / UNIT
     middle = (np.arange(CELLS) - CELLS // 2 + 0.5) / 1.5
     return weights, np.tile(1 / (1 + np.exp(-middle)), STATES).astype(np.float32)
 
 
-def mix(own: Spelled, bits: Bits, weights: np.ndarray, cells: np.ndarray, step: float = WEIGHT_STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of each text's probability, and what weights and cells have become, on average over stretches that moved them.
+def mix(bits: Bits, weights: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability.
 
     The stretches of all texts go through side by side, the longest first, so that those which go on are always the first.
     """
@@ -228,56 +236,73 @@ def mix(own: Spelled, bits: Bits, weights: np.ndarray, cells: np.ndarray, step:
     start = np.repeat(bits.first[:-1], many) + STRETCH * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
     size = np.minimum(STRETCH, np.repeat(bits.first[1:], many) - start)
     order = np.argsort(-size, kind="stable")
-    logs, moved, refined = np.zeros(len(start)), [np.zeros((2, *weights.shape))], [np.zeros((2, *cells.shape))]
+    logs = np.zeros(len(start))
     for at in range(0, len(start), SIDE_BY_SIDE):
         some = order[at : at + SIDE_BY_SIDE]
-        logs[some], w, a = _mix_some(own, bits, start[some], size[some], weights, cells, step)
-        moved.append(np.array([(w - weights).sum(axis=0), (w != weights).any(axis=-1, keepdims=True).sum(axis=0) + 0 * weights]))
-        refined.append(np.array([(a - cells).sum(axis=0), (a != cells).sum(axis=0)]))
-    new = [(old + x[0] / np.maximum(1, x[1])).astype(np.float32) for old, x in ((weights, sum(moved)), (cells, sum(refined)))]
+        logs[some] = _mix_some(bits.inputs, start[some], size[some], weights, cells)
     out = np.zeros(len(many))
     if len(logs):
         out[many > 0] = np.add.reduceat(logs, (np.cumsum(many) - many)[many > 0])
-    return out, new[0], new[1]
+    return out
 
 
-def _mix_some(own: Spelled, bits: Bits, start, size, weights, cells, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of each stretch's probability, and its weights and cells in the end."""
-    rows, sets = len(start), len(weights)
-    w, a = np.tile(weights, (rows, 1)), np.tile(cells, rows)
-    set_of, cell_of = np.arange(rows, dtype=np.int32) * sets, np.arange(rows, dtype=np.int32)[:, None] * len(cells) + CELLS // 2
-    inputs, logs = own.inputs.view(np.uint64).ravel(), np.zeros(rows)
-    chunk = 8 * TOGETHER
+def _mix_some(inputs: np.ndarray, start, size, weights, cells) -> np.ndarray:
+    """log10 of each stretch's probability. Arrays have stretches in columns, so that what is done to one bit of all is done at once."""
+    rows, sets, used = len(start), len(weights), [*range(len(ORDERS)), INPUTS - 2]
+    w, a = np.tile(weights.T, (1, rows)), np.tile(cells, rows)
+    set_of, cell_of = np.arange(rows) * sets, np.arange(rows) * len(cells)
+    logs, chunk = np.zeros(rows), 2 * TOGETHER
+    columns, room, spare = np.empty((len(used), chunk, rows), np.float32), np.empty((TOGETHER, rows), np.float32), np.empty((TOGETHER, rows), np.float32)
     for low in range(0, int(size.max()) if rows else 0, chunk):
         k = int(np.searchsorted(-size, -low, side="left"))  # the stretches that are longer
-        where = start[:k, None].astype(np.int32) + np.arange(low, low + chunk, dtype=np.int32)
-        np.minimum(where, len(bits.source) - 1, out=where)
-        source = bits.source.take(where)
-        x = inputs.take(source).view(np.int8).reshape(k, chunk, INPUTS)
-        y, state = (x[:, :, SAID] & 1).astype(np.float32), bits.state.take(where).astype(np.int32)
-        chosen = set_of[:k, None] + state[:, ::TOGETHER] * PLACES + (x[:, ::TOGETHER, SAID] >> 1)
-        x[:, :, SAID], x[:, :, INPUTS - 2], x[:, :, INPUTS - 1] = 0, bits.foretold.take(where), int(UNIT)
-        cell = state * CELLS + cell_of[:k]
-        left, product = size[:k, None] - low, np.ones(k)
+        x = inputs.take(start[:k] + np.arange(low, low + chunk)[:, None], mode="clip").view(np.int8).reshape(chunk, k, INPUTS)
+        for c, j in enumerate(used):
+            columns[c, :, :k] = x[:, :, j]
+        said = x[:, :, SAID]
+        y, first, middle = (said & 1).astype(np.float32), said[::TOGETHER], ((said >> 3) * np.int8(CELLS) + np.int8(CELLS // 2)).astype(np.float32)
+        chosen = set_of[:k] + (first >> 3) * PLACES + (first >> 1 & 3)
+        left, product = size[:k] - low, np.ones(k)
         for g in range(0, chunk, TOGETHER):
             n = int(np.searchsorted(-size, -(low + g), side="left"))
             if not n:
                 break
-            now, use, real = x[:n, g : g + TOGETHER].astype(np.float32), chosen[:n, g // TOGETHER], y[:n, g : g + TOGETHER]
-            set_ = w.take(use, axis=0)
-            logit = np.clip(np.matmul(now, set_[:, :, None])[:, :, 0], -7.9, 7.9)
-            p = 1 / (1 + np.exp(-logit))
-            at = cell[:n, g : g + TOGETHER] + np.floor(logit * np.float32(1.5)).astype(np.int32)
+            now, use, real = columns[:, g : g + TOGETHER, :n], chosen[g // TOGETHER, :n], y[g : g + TOGETHER, :n]
+            logit, p = room[:, :n], spare[:, :n]
+            np.multiply(now[0], w[used[0]].take(use), out=logit)
+            for c in range(1, len(used)):
+                logit += np.multiply(now[c], w[used[c]].take(use), out=p)
+            logit += w[-1].take(use) * np.float32(UNIT)
+            np.clip(logit, -7.9, 7.9, out=logit)
+            np.exp(np.negative(logit, out=p), out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            logit *= np.float32(1.5)
+            logit += middle[g : g + TOGETHER, :n]  # above zero, where whole numbers are cut off downwards
+            at = logit.astype(np.intp)
+            at += cell_of[:n]
             seen = a.take(at)
-            error, becomes, chance = real - p, seen + (real - seen) * np.float32(CELL_STEP), 1 - np.abs(real - (p + seen) / 2)
-            if left[n - 1, 0] < g + TOGETHER:  # some stretches end here
-                inside = np.arange(g, g + TOGETHER) < left[:n]
-                error, at, becomes, chance = np.where(inside, error, 0), at[inside], becomes[inside], np.where(inside, chance, 1)
-            w[use] = set_ + np.matmul((error * np.float32(step))[:, None, :], now)[:, 0]
-            a[at] = becomes
-            product[:n] *= chance.prod(axis=1, dtype=np.float64)
+            error = np.subtract(real, p, out=logit)
+            p += seen
+            p *= np.float32(-0.5)
+            p += real
+            chance = np.subtract(1, np.abs(p, out=p), out=p)
+            becomes = real - seen
+            becomes *= np.float32(CELL_STEP)
+            becomes += seen
+            if left[n - 1] < g + TOGETHER:  # some stretches end here
+                inside = np.arange(g, g + TOGETHER)[:, None] < left[:n]
+                error *= inside
+                chance[~inside] = 1
+                a[at[inside]] = becomes[inside]
+            else:
+                a[at] = becomes
+            step = np.float32(WEIGHT_STEP)
+            for c, j in enumerate(used):
+                w[j, use] += np.multiply(error, now[c], out=becomes).sum(axis=0) * step
+            w[-1, use] += error.sum(axis=0) * (step * np.float32(UNIT))
+            product[:n] *= (chance[::4] * chance[1::4] * chance[2::4] * chance[3::4]).astype(np.float64).prod(axis=0)
         logs[:k] += np.log10(product)
-    return logs, w.reshape(rows, sets, -1), a.reshape(rows, -1)
+    return logs
 
 
 @dataclass
@@ -295,23 +320,39 @@ class Model:
 
 def bit_logs(own: Spelled, words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
     """log10 of the probability of each text; `words` are closed."""
-    return mix(own, lay_out(words, tokens, bounds, own), model.weights, model.cells)[0]
+    return mix(lay_out(words, tokens, bounds, own), model.weights, model.cells)
 
 
-def fit(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, code, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First weights and cells: the averages of what stretches end with, round by round, over texts that were counted."""
-    weights, cells = start_weights()
-    if not len(tokens):
-        return weights, cells
+def pulls(words: list[bytes], counts: np.ndarray, code, others: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The slopes, then the curvature, of the log-likelihood of closed words that come so often, shape (PLACES, inputs, 1 + inputs).
+
+    `weights` (PLACES, inputs) are those of the predictors and the constant; `others` (predictors, 2, SLOTS) their inputs
+    without the zero, or the one, that is looked at.
+    """
+    wide = len(ORDERS) + 1
+    out = np.zeros((PLACES, wide, 1 + wide))
+    for part in portions(lengths(words), SOME):
+        many, bit, where, slots = spell(words[part], code)
+        side, often = bit.astype(np.int32) * np.int32(SLOTS), np.repeat(counts[part].astype(np.float32), many)
+        inputs = [others[k].ravel().take(x + side) for k, x in enumerate(slots)]
+        for place in range(PLACES):
+            own = np.flatnonzero(where == place)
+            x = np.full((wide, len(own)), UNIT, np.float32)
+            for k, column in enumerate(inputs):
+                x[k] = column.take(own)
+            n = often.take(own)
+            p = 1 / (1 + np.exp(-np.clip(weights[place].astype(np.float32) @ x, -7.9, 7.9)))
+            out[place, :, 0] += x @ (n * (bit.take(own) - p))
+            n *= p * (1 - p)
+            out[place, :, 1:] += (x * n) @ x.T
+    return out
 
-    def others(k, slots, bit):
-        return logits(np.maximum(0, counted[k, 0][slots] - (bit == 0)), np.maximum(0, counted[k, 1][slots] - (bit == 1)))
 
-    own = spelled(words, code, others)
-    bits = lay_out(words, tokens, bounds, own)
-    for step in FIT_STEPS:
-        weights, cells = mix(own, bits, weights, cells, step)[1:]
-    return weights, cells
+def stepped(weights: np.ndarray, found: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Weights (PLACES, inputs) after a step of Newton's method, held near `start` where nothing pulls."""
+    slopes, curves = found[:, :, 0], found[:, :, 1:]
+    hold = HOLD * np.trace(curves, axis1=1, axis2=2)[:, None] / len(start[0]) + 1e-9
+    return weights + np.linalg.solve(curves + hold[:, :, None] * np.eye(len(start[0])), (slopes + hold * (start - weights))[:, :, None])[:, :, 0]
 
 
 def _closed(words: list[bytes]) -> list[bytes]:
@@ -319,29 +360,51 @@ def _closed(words: list[bytes]) -> list[bytes]:
     return [*[w + CLOSE for w in words], END]
 
 
+def _bytes(x: pa.Array) -> list[bytes]:
+    """The values of strings or binaries without nulls; `to_pylist` takes ten times as long."""
+    x = x.cast(pa.binary())
+    _, ends, data = x.buffers()
+    if not len(x) or data is None:
+        return [b""] * len(x)
+    at, data = np.frombuffer(ends, np.int32)[x.offset : x.offset + len(x) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The words of texts in order of their first appearance, the texts' words by number, and each text's first one."""
-    known: dict[bytes, int] = {}
-    found, bounds = [], [0]
-    for text in texts:
-        own = text.translate(LOWER).split()
-        found += [known.setdefault(w, len(known)) for w in own]
-        bounds.append(len(found))
-    return list(known), np.array(found, np.int32), np.array(bounds, np.int64)
+    lower = pa.array([text.translate(LOWER) for text in texts], pa.binary())
+    split = pc.ascii_split_whitespace(lower.view(pa.string()))  # white space at either end gives an empty string there
+    coded = split.values.dictionary_encode()
+    words, tokens, ends = _bytes(coded.dictionary), coded.indices.to_numpy(), split.offsets.to_numpy()
+    if b"" in words:
+        none = words.index(b"")
+        real = tokens != none
+        tokens, ends = tokens[real], np.concatenate(([0], np.cumsum(real)))[ends]
+        tokens = tokens - (tokens > none)
+        del words[none]
+    return words, tokens.astype(np.int32), ends.astype(np.int64)
+
+
+def _squeezed(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def _loosened(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
 def _packed(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as the greatest takes, with that size before them."""
     kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-    return bytes([kind.itemsize]) + zlib.compress(x.astype(kind).tobytes(), 1)
+    return bytes([kind.itemsize]) + _squeezed(x.astype(kind).tobytes())
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x[1:]), f"u{x[0]}").astype(np.int64)
+    return np.frombuffer(_loosened(x[1:]), f"u{x[0]}").astype(np.int64)
 
 
 def _words(x: bytes) -> list[bytes]:
-    return zlib.decompress(x).split()
+    return _loosened(x).split()
 
 
 def blocks(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most: int = BLOCK) -> DataFrame:
@@ -358,7 +421,7 @@ def blocks(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         held = batch.column(1).take(pa.array(rows, pa.int64()))
         learned = np.repeat(~np.array(held.to_pylist(), bool), np.diff(bounds))
         values = {"block": (TaskContext.get().partitionId() << 32) + number, "held": held.to_pylist(), "row": row, "last": last, "sizes": _packed(np.diff(bounds)), "tokens": _packed(tokens)}
-        values |= {"words": zlib.compress(b" ".join(words), 1), "counts": _packed(np.bincount(tokens[learned], minlength=len(words)))}
+        values |= {"words": _squeezed(b" ".join(words)), "counts": _packed(np.bincount(tokens[learned], minlength=len(words)))}
         ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column(0).take(pa.array(rows, pa.int64())))
         return pa.RecordBatch.from_arrays([ids, *[pa.array([values[c]], t) for c, t in types.items()]], ["ids", *types])
 
@@ -399,7 +462,7 @@ def _posted(held: DataFrame) -> DataFrame:
 def _byte_counts(known: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
-            words, counts, out = [w + CLOSE for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), np.zeros(256)
+            words, counts, out = [w + CLOSE for w in _bytes(batch.column(0))], batch.column(1).to_numpy(), np.zeros(256)
             for part in portions(lengths(words), SOME):
                 out += np.bincount(np.frombuffer(b"".join(words[part]), np.uint8), np.repeat(counts[part], lengths(words[part])), 256)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(out.astype(np.int64))], ["byte", "n"])
@@ -420,7 +483,7 @@ def _bit_counts(known: DataFrame, tasks: int, code) -> np.ndarray:
     def run(batches):
         out = np.zeros((len(ORDERS), 2, SLOTS))
         for batch in batches:
-            out += count_bits([w + CLOSE for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), code)
+            out += count_bits([w + CLOSE for w in _bytes(batch.column(0))], batch.column(1).to_numpy(), code)
         for k in range(len(ORDERS)):
             for c in range(SLOTS // CHUNK):
                 part = out[k, :, c * CHUNK : (c + 1) * CHUNK]
@@ -438,17 +501,46 @@ def _bit_counts(known: DataFrame, tasks: int, code) -> np.ndarray:
     return out
 
 
-def train(known: DataFrame, ends: int, sample: list[bytes]) -> Model:
-    """The model from the training documents' words, known(word, n), their number `ends`, and some of their texts."""
+def _pulls(known: DataFrame, code, others, weights: np.ndarray) -> np.ndarray:
+    """The `pulls` of all words, added up before they come to the driver."""
+    shape = (PLACES, len(ORDERS) + 1, len(ORDERS) + 2)
+
+    def run(batches):
+        out = np.zeros(shape)
+        for batch in batches:
+            out += pulls([w + CLOSE for w in _bytes(batch.column(0))], batch.column(1).to_numpy(), code, others.value, weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel())], ["i", "x"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for r in known.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # 90 rows
+        out[r.i] = r.x
+    return out.reshape(shape)
+
+
+def fit(known: DataFrame, ends: int, code, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First weights and cells: those of the predictors by all words of known(word, n) and `ends` ends."""
+    weights, cells = start_weights()
+    used = [*range(len(ORDERS)), INPUTS - 1]
+    zeros, ones = counted[:, 0], counted[:, 1]
+    others = np.stack([logits(np.maximum(0, zeros - 1), ones), logits(zeros, np.maximum(0, ones - 1))], axis=1)
+    sent, first = known.sparkSession.sparkContext.broadcast(others), weights[:PLACES, used].astype(np.float64)  # of a fixed size
+    now = first
+    for _ in range(ROUNDS):
+        now = stepped(now, _pulls(known, code, sent, now) + pulls([END], np.array([ends]), code, others, now), first)
+    sent.destroy()
+    weights[:, used] = np.tile(now, (STATES, 1))
+    return weights, cells
+
+
+def train(known: DataFrame, ends: int) -> Model:
+    """The model from the training documents' words, known(word, n), and their number `ends`."""
     sums = known.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     counts = _byte_counts(known)
     counts[END[0]] += ends
     code = huffman(counts)
     counted = _bit_counts(known, max(1, -(-sums.v // WORDS_A_TASK)), code)
     counted += count_bits([END], np.array([ends]), code)
-    words, tokens, bounds = _numbered(sample)
-    tokens, bounds = _ended(tokens, bounds, np.ones(len(sample), bool), len(words))
-    weights, cells = fit(_closed(words), tokens, bounds, code, counted)
+    weights, cells = fit(known, ends, code, counted)
     return Model(code, np.stack([logits(*c) for c in counted]), weights, cells, int(sums.n) + ends, sums.v + (ends > 0), ends)
 
 
@@ -480,8 +572,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     posted = _posted(held)
     every = settled(posted.groupBy("word").agg(F.sum("m").alias("n"), F.count("*").alias("in_blocks")))
     ends = own.where("not held").count()
-    sample = own.where(~F.col("held") & F.length("text").between(1, FIT_CHARS)).select("text").orderBy(F.xxhash64("text"), "text").limit(FIT_DOCS).collect()
-    model = train(every.where("n > 0").select("word", "n"), ends, [r.text.encode() for r in sample])
+    model = train(every.where("n > 0").select("word", "n"), ends)
     # a word of one block needs no answer: it has all there are
     more = posted.join(every.where("in_blocks > 1").select("word", "n"), "word").where("n <> m")
     answers = more.groupBy("block").agg(F.collect_list("j").alias("at"), F.collect_list("n").alias("n"))

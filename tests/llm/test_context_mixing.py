@@ -185,6 +185,44 @@ def large():
     return "/root/testdata/sf0.01"
 
 
+def test_first_weights_come_from_every_word(spark):
+    """A step of Newton's method over all bits of all words, each as often as it occurs, however they are dealt."""
+    rng = random.Random(8)
+    counts = {f"{rng.choice('abc')}{rng.choice(('', 'an', 'xyz'))}{i}".encode(): rng.randrange(1, 50) for i in range(300)}
+    counts[b"w" * 30_000], ends = 7, 400  # longer than any text that a sample of short ones holds
+    closed, n = [w + b" " for w in counts], np.array(list(counts.values()), np.int64)
+    code = C.huffman(np.bincount(np.frombuffer(b"".join(closed), np.uint8), minlength=256))
+    counted = C.count_bits(closed, n, code) + C.count_bits([b"\n"], np.array([ends]), code)
+    used, first = [*range(len(C.ORDERS)), C.INPUTS - 1], C.start_weights()[0]
+    weights = first[: C.PLACES, used].astype(float)
+    for _ in range(C.ROUNDS):
+        slopes, curves = np.zeros(weights.shape), np.zeros((*weights.shape, len(used)))
+        for word, often in [*zip(closed, n.tolist(), strict=True), (b"\n", ends)]:
+            _, bit, where, slots = C.spell([word], code)
+            for i, y in enumerate(bit.tolist()):
+                seen = [counted[k, :, s[i]] - (np.arange(2) == y) for k, s in enumerate(slots)]
+                x = np.array([*[C.logits(*c) for c in seen], C.UNIT], float)
+                p = 1 / (1 + math.exp(-max(-7.9, min(7.9, weights[where[i]] @ x))))
+                slopes[where[i]] += often * (y - p) * x
+                curves[where[i]] += often * p * (1 - p) * np.outer(x, x)
+        for place in range(C.PLACES):
+            hold = C.HOLD * np.trace(curves[place]) / len(used)
+            weights[place] += np.linalg.solve(curves[place] + hold * np.eye(len(used)), slopes[place] + hold * (first[place, used] - weights[place]))
+    for parts in (1, 5):
+        known = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, n long").repartition(parts)
+        got = C.fit(known, ends, code, counted)[0]
+        assert np.allclose(got[:, used], np.tile(weights, (C.STATES, 1)), rtol=1e-3, atol=1e-5)
+        assert (got[:, C.INPUTS - 2] == first[:, C.INPUTS - 2]).all() and not np.allclose(got[:, used], first[:, used], atol=1e-3)
+
+
+def test_numbers_of_words():
+    rng = random.Random(4)
+    for texts in ([], [b""], [b" \x0b", b"a"], [bytes(rng.choice(b" \t\n\x0b\x0c\rabA\x00\x1c\x1f") for _ in range(rng.randrange(30))) for _ in range(500)]):
+        words, tokens, bounds = C._numbered(texts)
+        assert [[words[k] for k in tokens[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] == [t.lower().split() for t in texts]
+        assert words == list(dict.fromkeys(w for t in texts for w in t.lower().split()))
+
+
 def test_held_out_texts_are_foretold(spark, large):
     """Bits a byte on held-out documents against an order-0 code, and shuffled letters against the texts themselves."""
     docs = spark.read.parquet(f"{large}/documents.parquet").where("length(text) < 6000").select("doc_id", "text")
