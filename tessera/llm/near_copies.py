@@ -1,9 +1,10 @@
-"""Near copies at a similarity of 0.8 or more of their five-word shingles: MinHash bands in the bucket and forest scheme.
+"""Near copies at a similarity of 0.8 or more of their five-word shingles: SimHash index and MinHash bands, exactly verified.
 
-SimHash bits, over shingles or words, move too far when a tenth of a text is cut off or appended, so the index of the
-SimHash operator holds MinHash bands here: BANDS of ROWS least hashes over the shingles. Two texts of similarity s meet in
-a band with probability s ** ROWS, at 0.8 in some band with 0.995. What meets is verified exactly: by the shingle sets of
-the two texts, of which only those of texts in a bucket with others are drawn.
+Every text has a SimHash over its shingles, and the SimHash operator's index of positional bytes with count filtering finds
+those within BITS bits; what these links connect is one bucket. SimHash bits move too far when a tenth of a text is cut
+off or appended, so the same scheme of buckets holds MinHash bands besides: BANDS of ROWS least hashes over the shingles. Two
+texts of similarity s meet in a band with probability 1 - (1 - s ** ROWS) ** BANDS, 0.995 at 0.8. What meets in either way is
+verified exactly: by the shingle sets of the two texts, of which only those of texts in a bucket with others are drawn.
 
 No group is expanded into all its pairs, and none is left unfinished. A bucket's texts are searched breadth first, each
 found text being compared with all that are not found yet, so links span what any links of the bucket connect. Buckets
@@ -32,6 +33,8 @@ from .simhash_dedup import LOWER, MANY
 
 SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 10, 4
+#: Bits in which SimHashes that meet may differ.
+BITS = 3
 #: Texts of one bucket that one task searches, and texts that the chunks of a larger one have in common.
 CROWD, PIVOTS = 2048, 16
 _rng = np.random.default_rng(11)
@@ -80,15 +83,24 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(BANDS, ROWS)]
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The signed majority of the bits of 64-bit hashes; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 255):  # at most 255, so the bytes can't overflow
+        part = hashes[at : at + 255].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1), axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Rows (id, key, bands array<long>) of whole texts."""
+    """Rows (id, key, fp, bands array<long>) of whole texts."""
     kind = docs.select(f"`{id_col}`").dtypes[0][1]
 
     def run(texts, batch):
         found = [shingles(x, shingle) for x in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), pa.array([bands(h) for _, h in found], pa.list_(pa.int64()))], ["id", "key", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.binary()), pa.array([simhash(h) for _, h in found], pa.int64()), pa.array([bands(h) for _, h in found], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
 
-    return map_texts(docs, [id_col], text_col, run, f"id {kind}, key binary, bands array<long>")
+    return map_texts(docs, [id_col], text_col, run, f"id {kind}, key binary, fp long, bands array<long>")
 
 
 def alike(a: int, b: int, shared: np.ndarray, similarity: float) -> np.ndarray:
@@ -177,9 +189,19 @@ def _drawn(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shing
     return map_texts(some, [id_col], text_col, run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
 
+def _by_simhash(reps: DataFrame) -> DataFrame:
+    """Rows (key, rep, c, h) of the texts whose SimHash is another's, or is linked to another: h is their bucket."""
+    worded = reps.where(F.size("bands") > 0).select("key", "rep", "fp")
+    fps = settled(worded.groupBy("fp").agg(F.count("*").alias("n")))
+    stars = settled(components(simhash_dedup.links(fps.select("fp"), BITS), "a", "b"))
+    alone = fps.where("n > 1").select(F.col("fp").alias("node"), F.col("fp").alias("root")).join(stars.select("node"), "node", "left_anti")
+    several = settled(stars.select("node", "root").unionByName(alone))
+    return worded.join(small_or_plain(several), F.col("fp") == F.col("node")).select("key", "rep", F.lit(BANDS).alias("c"), F.col("root").alias("h"))
+
+
 def _edges(docs: DataFrame, reps: DataFrame, similarity: float, crowd: int, how: dict) -> DataFrame:
-    """Verified links (u, v) between the keys of reps(key, rep, bands)."""
-    posted = reps.select("key", "rep", F.posexplode("bands").alias("c", "h"))
+    """Verified links (u, v) between the keys of reps(key, rep, fp, bands)."""
+    posted = reps.select("key", "rep", F.posexplode("bands").alias("c", "h")).unionByName(_by_simhash(reps))
     members = F.xxhash64("key").cast("decimal(20,0)")
     buckets = posted.groupBy("c", "h").agg(F.count("*").alias("n"), F.sum(members).alias("s")).where("n > 1")
     chosen = settled(buckets.groupBy("n", "s").agg(F.min(F.struct("c", "h")).alias("b")).select("b.*", "n").withColumn("bucket", F.xxhash64("c", "h")))  # one of those with equal texts
@@ -211,7 +233,7 @@ def _edges(docs: DataFrame, reps: DataFrame, similarity: float, crowd: int, how:
 
 def _groups(docs: DataFrame, each: DataFrame, similarity: float, crowd: int, how: dict) -> DataFrame:
     """One row (key, rep, copies, component, kept) a distinct text; kept: the key of its group's text that stays."""
-    reps = settled(each.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    reps = settled(each.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     stars = components(_edges(docs, reps, similarity, crowd, how), "u", "v")
     linked = settled(reps.select("key", "rep").join(stars, F.col("key") == F.col("node")).select("key", "rep", "root"))
     first = linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("m"))  # by id, then key

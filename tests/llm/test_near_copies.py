@@ -95,6 +95,33 @@ def test_against_all_pairs(spark, sf_dir):
     assert {r.doc_id for r in N.keep_one(docs).collect()} == {i for i, c in got.items() if i == c}
 
 
+def test_the_simhash_index_finds_what_no_band_does(spark):
+    """Every text has bands of its own here; what meets is verified all the same, as is what meets by chance."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.randrange(9000)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], "other"]))]
+    found = [N.shingles(t.encode()) for _, t in rows]
+    fps = [N.simhash(h) for _, h in found]
+    fps[1], fps[2] = fps[0], fps[0]  # the next pair's by chance
+    reps = [(bytearray(k), i, fps[i], [i * 10 + 1, i * 10 + 2]) for i, (k, _) in enumerate(found)]
+    frame = spark.createDataFrame(reps, "key binary, rep long, fp long, bands array<long>")
+    name = {k: i for i, (k, _) in enumerate(found)}
+    how = {"id_col": "doc_id", "text_col": "text", "shingle": 5}
+    got = {tuple(sorted((name[bytes(r.u)], name[bytes(r.v)]))) for r in N._edges(spark.createDataFrame(rows, "doc_id long, text string"), frame, 0.8, N.CROWD, how).collect()}
+    near = {(i, i + 1) for i in range(0, 120, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= N.BITS}
+    assert got == near and 30 < len(near)
+
+
+def test_simhash_is_the_majority_of_bits():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 255, 256, 1000):
+        hashes = rng.integers(0, 2**64, n, dtype=np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > n)
+        assert N.simhash(hashes) % 2**64 == want
+
+
 def test_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     got = sorted(((r.id, r.component) for r in N.near_copies(odd(spark)).collect()), key=str)
