@@ -17,8 +17,8 @@ prediction of the next word weighs at first is a constant, and so is the table.
 STRETCH bits of a text, so that stretches of many texts go through together.
 
 Texts are read once, into blocks: the numbers of their words in a dictionary of the block. Long texts are taken apart at
-white space and their parts' scores added up; words over LONG bytes are spelled in parts. Memory goes with the block, or
-with the longest word.
+white space and their parts' scores added up; words over LONG bytes are spelled in parts. Bits of texts are laid out for
+about SIDE_BY_SIDE stretches at a time, however long the texts are. Memory goes with the block, or with the longest word.
 
 Defined cases: null and empty texts are one end; white space is \\x20 and \\x09-\\x0D, all else belongs to words, which are
 compared byte by byte; without training documents all counts are zero; repeated rows are scored alike and each counts in
@@ -41,8 +41,10 @@ from pyspark.sql import functions as F
 from .common import pieces, settled
 from .simhash_dedup import LOWER, _parts
 
-#: Bytes of text in a block, of those whose bits are laid out together, and bytes above which a word is spelled in parts.
+#: Bytes of text in a block, of those whose words are foretold together, and bytes above which a word is spelled in parts.
 BLOCK, GROUP, LONG = 8 << 20, 1 << 20, 2048
+#: Bytes of a block's texts whose words' bits are held at once.
+HELD = 4 << 20
 #: Bytes of words that are spelled together, about.
 SOME = 1 << 16
 #: Contexts: so many last bytes of the word, -1 for all of it; slots of each one's table.
@@ -131,16 +133,16 @@ def spell(words: list[bytes], code: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     return np.add.reduceat(many, start) if len(words) else sizes, bits.ravel().take(cell), np.minimum(at, PLACES - 1).astype(np.uint8).take(byte), slots
 
 
-def count_bits(words: list[bytes], counts: np.ndarray, code) -> np.ndarray:
-    """Zeros and ones by predictor and slot, shape (predictors, 2, SLOTS), of closed words that come so often."""
-    out = np.zeros((len(ORDERS), 2 * SLOTS))
+def count_bits(words: list[bytes], counts: np.ndarray, code, out: np.ndarray | None = None) -> np.ndarray:
+    """Zeros and ones by predictor and slot, shape (predictors, 2, SLOTS), of closed words that come so often; added to `out` in place."""
+    out = np.zeros((len(ORDERS), 2, SLOTS)) if out is None else out
     for part in portions(lengths(words), SOME):
         many, bit, _, slots = spell(words[part], code)
         weight = np.repeat(counts[part].astype(np.float64), many)
         side = bit.astype(np.int32) * np.int32(SLOTS)
         for k, own in enumerate(slots):
-            np.add.at(out[k], own + side, weight)
-    return out.reshape(len(ORDERS), 2, SLOTS)
+            np.add.at(out[k].reshape(-1), own + side, weight)
+    return out
 
 
 def logits(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -162,33 +164,37 @@ class Spelled:
 
 def spelled(words: list[bytes], code, look) -> Spelled:
     """`look(k, slots, bit)`: the inputs of predictor k."""
-    many, bit, inputs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros((0, INPUTS), np.int8)]
-    for part in portions(lengths(words), SOME):
+    parts = portions(lengths(words), SOME)
+    total = sum(int(code[0].take(np.frombuffer(b"".join(words[part]), np.uint8)).sum()) for part in parts)
+    many, bit, inputs, at = [np.zeros(1, np.int64)], np.empty(total, np.uint8), np.zeros((total, INPUTS), np.int8), 0
+    for part in parts:
         n, b, where, slots = spell(words[part], code)
-        own = np.zeros((len(b), INPUTS), np.int8)
+        own = inputs[at : at + len(b)]
         for k, x in enumerate(slots):
             own[:, k] = look(k, x, b)
         own[:, SAID], own[:, INPUTS - 1] = b | where << 1, int(UNIT)
-        many, bit, inputs = [*many, n], [*bit, b], [*inputs, own]
-    return Spelled(np.concatenate(([0], np.cumsum(np.concatenate(many)))), np.concatenate(bit), np.concatenate(inputs))
+        bit[at : at + len(b)] = b
+        many.append(n)
+        at += len(b)
+    return Spelled(np.cumsum(np.concatenate(many)), bit, inputs)
 
 
 @dataclass
-class Bits:
-    """The bits of texts, end to end, in the order of their words."""
+class Told:
+    """The words of texts, end to end, and what is foretold of them."""
 
-    inputs: np.ndarray  # uint64: of each bit those of its word, with the prediction and its state
-    first: np.ndarray  # of each text its first bit; one more than texts
+    tokens: np.ndarray  # numbers of words
+    first: np.ndarray  # of each its first bit; one more than tokens
+    guess: np.ndarray  # the word that is foretold, -1 for none
+    right: np.ndarray  # whether it comes
+    came: np.ndarray  # whether the last one's came
+    shared: np.ndarray  # bits before the last that is foretold
 
 
-def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spelled) -> Bits:
-    """The bits of texts of `tokens` (numbers of words; `bounds` has each text's first one)."""
+def foretell(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spelled) -> Told:
+    """What is foretold in texts of `tokens` (numbers of words; `bounds` has each text's first one)."""
     n = len(tokens)
     length = np.diff(own.first)[tokens]
-    ends = np.concatenate(([0], np.cumsum(length)))
-    source = np.repeat((own.first[tokens] - ends[:-1]).astype(np.int32), length)
-    source += np.arange(ends[-1], dtype=np.int32)
-    inputs = own.inputs.view(np.uint64).ravel().take(source)
     starts = bounds[:-1][np.diff(bounds) > 0]
     before = np.concatenate(([len(words)], tokens[:-1]))[:n]
     before[starts] = len(words)
@@ -199,7 +205,7 @@ def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spe
     guess[order[again + 1]] = tokens[order[again]]
     guess[(guess >= 0) & (lengths(words) > FORETOLD_BYTES)[np.maximum(guess, 0)]] = -1
     right = guess == tokens
-    shared = length - 1  # bits before the last that is foretold; all of a word that comes true are foretold rightly
+    shared = length - 1  # all of a word that comes true are foretold rightly
     rest, k = np.flatnonzero((guess >= 0) & ~right), 0
     while len(rest):
         shared[rest] = k
@@ -207,16 +213,27 @@ def lay_out(words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, own: Spe
         k += 1
     came = np.concatenate(([False], right[:-1]))[:n]
     came[starts] = False
-    told = np.flatnonzero(guess >= 0)
-    many = shared[told] + 1
-    at = np.repeat(ends[told] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    cells = inputs.view(np.int8).reshape(-1, INPUTS)
+    return Told(tokens, np.concatenate(([0], np.cumsum(length))), guess, right, came, shared)
+
+
+def lay_out(told: Told, own: Spelled, low: int, high: int) -> np.ndarray:
+    """uint64: of each bit from `low` to `high` the inputs of its word, with the prediction and its state."""
+    some = slice(int(np.searchsorted(told.first, low, "right")) - 1, int(np.searchsorted(told.first, high)))
+    first, until = told.first[some], told.first[some.start + 1 : some.stop + 1]
+    source = np.repeat((own.first[told.tokens[some]] - first + low).astype(np.int32), np.minimum(until, high) - np.maximum(first, low))
+    source += np.arange(high - low, dtype=np.int32)
+    inputs = own.inputs.view(np.uint64).ravel().take(source)
+    del source
+    cells, which = inputs.view(np.int8).reshape(-1, INPUTS), np.flatnonzero(told.guess[some] >= 0)
+    start, last = np.maximum(first[which], low) - low, first[which] + told.shared[some][which] - low
+    many = np.maximum(0, np.minimum(last + 1, high - low) - start)
+    at = np.repeat(start - (np.cumsum(many) - many), many)
+    at += np.arange(len(at))
     said = cells[at, SAID]
-    foretold = (2 * FORETOLD * (said & 1) - FORETOLD).astype(np.int8)
-    foretold[(np.cumsum(many) - 1)[~right[told]]] *= -1
-    cells[at, INPUTS - 2] = foretold
-    cells[at, SAID] = said | np.repeat(8 * (1 + came[told].astype(np.int8)), many)
-    return Bits(inputs, ends[bounds])
+    cells[at, INPUTS - 2] = (2 * FORETOLD * (said & 1) - FORETOLD).astype(np.int8)
+    cells[at, SAID] = said | np.repeat(8 * (1 + told.came[some][which].astype(np.int8)), many)
+    cells[last[~told.right[some][which] & (last >= 0) & (last < high - low)], INPUTS - 2] *= -1
+    return inputs
 
 
 def start_weights() -> tuple[np.ndarray, np.ndarray]:
@@ -227,19 +244,23 @@ def start_weights() -> tuple[np.ndarray, np.ndarray]:
     return weights, np.tile(1 / (1 + np.exp(-middle)), STATES).astype(np.float32)
 
 
-def mix(bits: Bits, weights: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """log10 of each text's probability.
+def mix(told: Told, own: Spelled, bounds: np.ndarray, weights: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """log10 of each text's probability; `bounds` has each text's first token.
 
     The stretches of all texts go through side by side, the longest first, so that those which go on are always the first.
     """
-    many = -(-np.diff(bits.first) // STRETCH)
-    start = np.repeat(bits.first[:-1], many) + STRETCH * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    size = np.minimum(STRETCH, np.repeat(bits.first[1:], many) - start)
-    order = np.argsort(-size, kind="stable")
-    logs = np.zeros(len(start))
-    for at in range(0, len(start), SIDE_BY_SIDE):
-        some = order[at : at + SIDE_BY_SIDE]
-        logs[some] = _mix_some(bits.inputs, start[some], size[some], weights, cells)
+    first = told.first[bounds]
+    many = -(-np.diff(first) // STRETCH)
+    start = np.repeat(first[:-1], many) + STRETCH * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    size = np.minimum(STRETCH, np.repeat(first[1:], many) - start)
+    logs, full = np.zeros(len(start)), SIDE_BY_SIDE * STRETCH
+    for part in portions(size, -(-int(size.sum()) // max(1, round(int(size.sum()) / full)))):
+        low = int(start[part.start])
+        inputs = lay_out(told, own, low, int(start[part.stop - 1] + size[part.stop - 1]))
+        order = part.start + np.argsort(-size[part], kind="stable")
+        for some in np.array_split(order, max(1, round(len(order) / SIDE_BY_SIDE))):
+            logs[some] = _mix_some(inputs, start[some] - low, size[some], weights, cells)
+        del inputs  # before the next are laid out
     out = np.zeros(len(many))
     if len(logs):
         out[many > 0] = np.add.reduceat(logs, (np.cumsum(many) - many)[many > 0])
@@ -320,7 +341,7 @@ class Model:
 
 def bit_logs(own: Spelled, words: list[bytes], tokens: np.ndarray, bounds: np.ndarray, model: Model) -> np.ndarray:
     """log10 of the probability of each text; `words` are closed."""
-    return mix(lay_out(words, tokens, bounds, own), model.weights, model.cells)
+    return mix(foretell(words, tokens, bounds, own), own, bounds, model.weights, model.cells)
 
 
 def pulls(words: list[bytes], counts: np.ndarray, code, others: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -483,7 +504,7 @@ def _bit_counts(known: DataFrame, tasks: int, code) -> np.ndarray:
     def run(batches):
         out = np.zeros((len(ORDERS), 2, SLOTS))
         for batch in batches:
-            out += count_bits([w + CLOSE for w in _bytes(batch.column(0))], batch.column(1).to_numpy(), code)
+            count_bits([w + CLOSE for w in _bytes(batch.column(0))], batch.column(1).to_numpy(), code, out)
         for k in range(len(ORDERS)):
             for c in range(SLOTS // CHUNK):
                 part = out[k, :, c * CHUNK : (c + 1) * CHUNK]
@@ -549,17 +570,28 @@ def _ended(tokens: np.ndarray, bounds: np.ndarray, last: np.ndarray, end: int) -
     return np.insert(tokens, bounds[1:][last], end), bounds + np.concatenate(([0], np.cumsum(last)))
 
 
+def _text_logs(closed: list[bytes], tokens: np.ndarray, bounds: np.ndarray, n_bytes: np.ndarray, model: Model) -> np.ndarray:
+    """The `bit_logs` of texts, for which only their own words are spelled."""
+    seen = np.zeros(len(closed), bool)
+    seen[tokens] = True
+    words, tokens = [closed[k] for k in np.flatnonzero(seen).tolist()], (np.cumsum(seen) - 1)[tokens]
+    own, out = spelled(words, model.code, lambda k, slots, bit: model.tables[k].take(slots)), np.zeros(len(n_bytes))
+    for part in portions(n_bytes, GROUP):
+        a, b = bounds[part.start], bounds[part.stop]
+        out[part] = bit_logs(own, words, tokens[a:b], bounds[part.start : part.stop + 1] - a, model)
+    return out
+
+
 def _scored(words: list[bytes], counts: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, model: Model) -> dict[str, np.ndarray]:
     """Of each part of a text its tokens, how many are known, the base score, the model's, and bytes as they are spelled."""
     closed = _closed(words)
-    own = spelled(closed, model.code, lambda k, slots, bit: model.tables[k].take(slots))
     size, n = lengths(closed), len(bounds) - 1
     text = np.repeat(np.arange(n), np.diff(bounds))
     n_bytes = np.bincount(text, size[tokens], n).astype(np.int64)
     score = np.zeros(n)
-    for part in portions(n_bytes, GROUP):
+    for part in portions(n_bytes, HELD):
         a, b = bounds[part.start], bounds[part.stop]
-        score[part] = bit_logs(own, closed, tokens[a:b], bounds[part.start : part.stop + 1] - a, model)
+        score[part] = _text_logs(closed, tokens[a:b], bounds[part.start : part.stop + 1] - a, n_bytes[part], model)
     base = np.log10(counts + 0.5) - np.log10(model.tokens + 0.5 * (model.distinct + 1))
     return {"n_tokens": np.diff(bounds), "n_known": np.bincount(text, counts[tokens] > 0, n).astype(np.int64), "base_score": np.bincount(text, base[tokens], n), "score": score, "n_bytes": n_bytes}
 

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -147,6 +148,39 @@ def test_a_text_is_scored_alike_in_any_company(monkeypatch):
     assert np.allclose(scores(texts, model), together, rtol=1e-6)
 
 
+def test_bits_are_laid_out_some_at_a_time(monkeypatch):
+    """Of one long text too, with the scores of all its bits laid out at once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("ab", "abc", "b" * 3000, "cab", "zz")) for _ in range(n)) for n in (400, 3, 0, 60)]
+    model, _ = model_of(texts)
+    want, had, mix_some = scores(texts, model), [], C._mix_some
+    monkeypatch.setattr(C, "SIDE_BY_SIDE", 2)
+    monkeypatch.setattr(C, "_mix_some", lambda inputs, *rest: had.append(len(inputs)) or mix_some(inputs, *rest))
+    assert np.allclose(scores(texts, model), want, rtol=1e-6)
+    assert max(had) <= 4 * C.STRETCH < sum(had) / 20  # words of 3,000 bytes are longer than that
+    monkeypatch.setattr(C, "HELD", 1000)
+    assert np.allclose(scores(texts, model), want, rtol=1e-6)
+
+
+def test_words_are_spelled_and_counted_without_copies(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(C, "SOME", 1 << 12)
+    words = [f"{rng.randrange(10**9):x} ".encode() for _ in range(40_000)]
+    code = C.huffman(np.ones(256, np.int64))
+    tracemalloc.start()
+    try:
+        own = C.spelled(words, code, lambda k, slots, bit: bit)
+        assert tracemalloc.get_traced_memory()[1] < 1.3 * (own.inputs.nbytes + own.bit.nbytes)
+        out = np.zeros((len(C.ORDERS), 2, C.SLOTS))
+        tracemalloc.reset_peak()
+        had = tracemalloc.get_traced_memory()[0]
+        C.count_bits(words, np.ones(len(words), np.int64), code, out)
+        assert tracemalloc.get_traced_memory()[1] < had + out.nbytes / 8
+    finally:
+        tracemalloc.stop()
+    assert (out == C.count_bits(words, np.ones(len(words), np.int64), code)).all() and out.sum() == len(C.ORDERS) * len(own.bit)
+
+
 def test_probabilities_of_a_bit_add_up_to_one():
     """Of all words of one byte, any of which could follow, and of longer ones, no more than the whole is given out."""
     model, _ = model_of(["a b a c a b"] * 5)
