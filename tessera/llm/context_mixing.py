@@ -18,7 +18,7 @@ STRETCH bits of a text, so that stretches of many texts go through together.
 
 Texts are read once, into blocks: the numbers of their words in a dictionary of the block. Long texts are taken apart at
 white space and their parts' scores added up; words over LONG bytes are spelled in parts. Bits of texts are laid out for
-about SIDE_BY_SIDE stretches at a time, however long the texts are. Memory goes with the block, or with the longest word.
+about three times SIDE_BY_SIDE stretches at a time, however long the texts are. Memory goes with the block, or with the longest word.
 
 Defined cases: null and empty texts are one end; white space is \\x20 and \\x09-\\x0D, all else belongs to words, which are
 compared byte by byte; without training documents all counts are zero; repeated rows are scored alike and each counts in
@@ -253,12 +253,13 @@ def mix(told: Told, own: Spelled, bounds: np.ndarray, weights: np.ndarray, cells
     many = -(-np.diff(first) // STRETCH)
     start = np.repeat(first[:-1], many) + STRETCH * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
     size = np.minimum(STRETCH, np.repeat(first[1:], many) - start)
-    logs, full = np.zeros(len(start)), SIDE_BY_SIDE * STRETCH
+    logs, full = np.zeros(len(start)), 3 * SIDE_BY_SIDE * STRETCH
     for part in portions(size, -(-int(size.sum()) // max(1, round(int(size.sum()) / full)))):
         low = int(start[part.start])
         inputs = lay_out(told, own, low, int(start[part.stop - 1] + size[part.stop - 1]))
         order = part.start + np.argsort(-size[part], kind="stable")
-        for some in np.array_split(order, max(1, round(len(order) / SIDE_BY_SIDE))):
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            some = order[at : at + SIDE_BY_SIDE]
             logs[some] = _mix_some(inputs, start[some] - low, size[some], weights, cells)
         del inputs  # before the next are laid out
     out = np.zeros(len(many))
