@@ -93,6 +93,12 @@ def approx(a: Column, b: Column, least: float = 1.0, share: float = 0.01) -> Col
     return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(least), share * F.greatest(F.abs(a), F.abs(b))), F.lit(False))
 
 
+def decimal_text(number: Column, places: int = 2) -> Column:
+    """A number rounded to `places` (one at least) as text without an exponent, of trailing zeros only the first place's: `35242386.5`, `7.0`."""
+    digits = F.round(number, places).cast(f"decimal(38, {places})").cast("string")
+    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")
+
+
 def first_rule(rules: list[tuple[Column, str]], otherwise: str | None = None) -> Column:
     """The value of the first rule that holds."""
     out = F.lit(otherwise)

@@ -255,7 +255,7 @@ def e1_evaluation(spark, sf_dir):
     store = api.Store(spark, rows, catalog.catalog(rows), factors=factors, deferred=[("oil price", "crude_price", False)])
     found = evaluate.run(spark, store, _QUESTIONS)
     value = F.col("path") == "observations.0.value"
-    return found.select("name", "path", F.when(value, F.round(F.col("got").cast("double"), 2).cast("string")).otherwise(F.col("got")).alias("got"))
+    return found.select("name", "path", F.when(value, text.decimal_text(F.col("got").try_cast("double"))).otherwise(F.col("got")).alias("got"))
 
 
 #: Golden cases of parts and answers of five runs by the lines that sell them: right, near, off, or none.

@@ -25,6 +25,12 @@ def test_numbers(spark):
     assert {r.x for r in rows if r.like} >= {"4 702", "0,3", "-291"} and not any(r.like for r in rows if r.x in ("abc", "-", None))
 
 
+def test_decimals_as_text(spark):
+    cases = {35242386.54: "35242386.54", 35242386.5: "35242386.5", 1e7: "10000000.0", 12345678901.25: "12345678901.25", -12345678.5: "-12345678.5", 7.0: "7.0", 0.1: "0.1", 100.0: "100.0", 2.005: "2.01", 0.0: "0.0"}
+    rows = column(spark, [*cases, None], "double").select("x", text.decimal_text(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in rows} == cases | {None: None}
+
+
 def test_labels(spark):
     rows = column(spark, ["  Pétrole brut (1) ", None, "ÉLEC.-HT", "نفط خام", "Å_b"]).select(text.norm_label(F.col("x")), text.norm_label(F.col("x"), exact=True)).collect()
     assert [r[0] for r in rows] == ["petrole brut 1", "", "elec ht", "نفط خام", "a_b"] == [r[1] for r in rows]

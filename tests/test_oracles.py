@@ -49,3 +49,17 @@ def test_greedy_rows_against_a_loop(spark, sf_dir):
             if not kept or y - kept[-1] > 3:
                 kept.append(y)
         assert sorted(got[page]) == kept
+
+
+def test_evaluation_of_large_values(spark, sf_dir, con, tmp_path):
+    """A thousand times the prices: values from ten million on have no exponent."""
+    for name in os.listdir(sf_dir):
+        if name != "lineitem.parquet":
+            os.symlink(f"{sf_dir}/{name}", tmp_path / name)
+    con.execute(f"copy (select * replace (l_extendedprice * 1000 as l_extendedprice) from lineitem) to '{tmp_path}/lineitem.parquet'")
+    large = duckdb.connect()
+    for name in os.listdir(tmp_path):
+        large.execute(f"create view {name.removesuffix('.parquet')} as select * from '{tmp_path}/{name}'")
+    want = large.execute(ORACLES["e1_evaluation"]).fetchall()
+    assert max(float(got) for _, path, got in want if path == "observations.0.value") >= 1e7
+    assert sorted(map(tuple, QUERIES["e1_evaluation"](spark, str(tmp_path)).select("name", "path", "got").collect())) == sorted(want)
