@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tessera.operators import evaluate
 from tessera.plans import all_queries
 
 QUERIES, ORACLES = all_queries()
@@ -63,3 +64,12 @@ def test_evaluation_of_large_values(spark, sf_dir, con, tmp_path):
     want = large.execute(ORACLES["e1_evaluation"]).fetchall()
     assert max(float(got) for _, path, got in want if path == "observations.0.value") >= 1e7
     assert sorted(map(tuple, QUERIES["e1_evaluation"](spark, str(tmp_path)).select("name", "path", "got").collect())) == sorted(want)
+
+
+def test_evaluation_settles_once(spark, sf_dir, monkeypatch):
+    """What the cases ask is a table of its own: no case joins and shuffles the given tables again."""
+    seen, run = [], evaluate.run
+    monkeypatch.setattr(evaluate, "run", lambda spark, store, cases: seen.append(store) or run(spark, store, []))
+    QUERIES["e1_evaluation"](spark, sf_dir)
+    [store] = seen
+    assert store.obs.count() > 0 and not store.obs.inputFiles() and not store.catalog.inputFiles()
